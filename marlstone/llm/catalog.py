@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .url_filter import filter_urls
@@ -16,6 +17,16 @@ URL_RULES = [
 ]
 
 
+#: A conversation that op1 formats besides those of the table: (conv_id, turn, role, text).
+CLASHING = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op1_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CLASHING, "conv_id bigint, turn bigint, role string, text string")
+    return read_back(format_turns(turns.unionByName(more)))
+
+
 def op5_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -26,6 +37,20 @@ def op7_exact_dedup(spark, sf_dir):
 
 _WS = "'[\\x20\\x09-\\x0D]'"
 
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || role || ': ') + length(text) + len(regexp_extract_all(text, '###[ \t]*\pL+:|</turn>')) + length('.</turn>.')) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 OP5_SQL = """
 WITH hp AS (
   SELECT page_id, split_part(split_part(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '?', 1), '#', 1) AS hp
@@ -59,6 +84,7 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 
 def queries():
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op5_url_filters": op5_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
     }
@@ -66,6 +92,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_chat_formatting": OP1_SQL,
         "op5_url_filters": OP5_SQL,
         "op7_exact_dedup": OP7_SQL,
     }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
+from .token_files import write_and_read
 from .url_filter import filter_urls
 
 #: (host, path, verdict)
@@ -27,6 +31,17 @@ def op1_chat_formatting(spark, sf_dir):
     return read_back(format_turns(turns.unionByName(more)))
 
 
+END_ID = 2
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=END_ID)
+
+
+def op10_token_id_output(spark, sf_dir):
+    return write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+
+
 def op5_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -85,8 +100,10 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 def queries():
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op5_url_filters": op5_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_token_id_output": op10_token_id_output,
     }
 
 

@@ -7,6 +7,7 @@ import public_tokenizers
 from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .jpeg_media import media_features, to_jpeg
 from .packing import pack_documents
 from .token_files import write_and_read
 from .url_filter import filter_urls
@@ -38,6 +39,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=END_ID)
 
 
+def op9_media_columns(spark, sf_dir):
+    return media_features(to_jpeg(table(spark, sf_dir, "documents")))
+
+
 def op10_token_id_output(spark, sf_dir):
     return write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
@@ -103,6 +108,7 @@ def queries():
         "op3_best_fit_packing": op3_best_fit_packing,
         "op5_url_filters": op5_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_media_columns": op9_media_columns,
         "op10_token_id_output": op10_token_id_output,
     }
 

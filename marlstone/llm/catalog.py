@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .bpe_fragments import round_trip
 from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
@@ -47,6 +48,10 @@ def op10_token_id_output(spark, sf_dir):
     return write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
 
 
+def op4_bpe_round_trip(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -106,6 +111,7 @@ def queries():
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_url_filters": op5_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_media_columns": op9_media_columns,

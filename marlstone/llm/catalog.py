@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jpeg_media import media_features, to_jpeg
 from .packing import pack_documents
 from .token_files import write_and_read
+from .toxicity import toxicity
 from .url_filter import filter_urls
 
 #: (host, path, verdict)
@@ -40,6 +41,11 @@ def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=END_ID)
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_media_columns(spark, sf_dir):
     return media_features(to_jpeg(table(spark, sf_dir, "documents")))
 
@@ -114,6 +120,7 @@ def queries():
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_url_filters": op5_url_filters,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_media_columns": op9_media_columns,
         "op10_token_id_output": op10_token_id_output,
     }

@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .jpeg_media import media_features, to_jpeg
 from .packing import pack_documents
+from .substring_dedup import substring_dedup
 from .token_files import write_and_read
 from .toxicity import toxicity
 from .url_filter import filter_urls
@@ -62,6 +63,10 @@ def op5_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,24 @@ SELECT page_id, c.host, c.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM cut c LEFT JOIN best b ON c.host = b.host AND c.path = b.path
 """
 
+OP6_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s
+  FROM w, LATERAL (SELECT unnest(generate_series(1, len(ws) - 34)) AS i)
+), rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS j FROM rep)
+), per AS (
+  SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(js, k)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN per ON w.doc_id = per.doc_id
+"""
+
 OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), {_WS}, '', 'g')) AS text_sha256 FROM documents
@@ -119,6 +142,7 @@ def queries():
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_url_filters": op5_url_filters,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_media_columns": op9_media_columns,
@@ -130,5 +154,6 @@ def oracle_sql():
     return {
         "op1_chat_formatting": OP1_SQL,
         "op5_url_filters": OP5_SQL,
+        "op6_substring_dedup": OP6_SQL,
         "op7_exact_dedup": OP7_SQL,
     }

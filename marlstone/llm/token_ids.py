@@ -9,6 +9,7 @@ hold a special token's string, go through the library as a whole. The memory for
 from __future__ import annotations
 
 import functools
+import json
 import re
 import sys
 from array import array
@@ -16,6 +17,7 @@ from array import array
 import numpy as np
 import regex
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: Every character that is white space to the pre-tokenizer or to Python, but for blank and line feed.
 _ODD_SPACE = re.compile("[%s]" % "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
@@ -40,7 +42,11 @@ class ByteLevelEncoder:
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        model, letters = tokenizer.model, dict(enumerate(byte_letters()))
+        letters = dict(enumerate(byte_letters()))
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)["model"]
+        # The library's model without its own cache, which costs more than it saves behind the memory here.
+        model = BPE(made["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in made["merges"]], cache_capacity=0)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, special))) if special else None
         whole = self._whole
@@ -60,14 +66,19 @@ class ByteLevelEncoder:
                 word = stretch[:-1]
                 if (mark := self.marks.get(stretch[-1:])) and word.isalpha():
                     got = self[word] + mark
-                elif stretch.isascii() and stretch.isalpha():
-                    got = array("I", [t.id for t in model.tokenize(self.letter_lead + stretch)]).tobytes()
+                elif stretch.isalpha() and _SETTLED.match(stretch):
+                    letter = stretch if stretch.isascii() else stretch.encode().decode("latin-1").translate(letters)
+                    got = array("I", [t.id for t in model.tokenize(self.letter_lead + letter)]).tobytes()
+                elif (parts := stretch.split("\n", 1))[-1] and len(parts) == 2 and parts[0] and parts[1][0] != "\n" and "\n" != parts[0][-1]:
+                    # A single line feed between other characters is a token of its own.
+                    got = self[parts[0]] + line_feed + coder._first[parts[1]]
                 else:
                     got = encode(self.lead + stretch)
                 if len(self) < limit and len(stretch) < 64:
                     self[stretch] = got
                 return got
 
+        coder, line_feed = self, encode("\n")
         marks = {c: encode(c) for c in ".,;:!?"}
         self._first, self._later = Memory("", marks), Memory(" ", marks)
 

@@ -9,6 +9,7 @@ from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .jpeg_media import media_features, to_jpeg
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .token_files import write_and_read
@@ -35,6 +36,10 @@ def op1_chat_formatting(spark, sf_dir):
     return read_back(format_turns(turns.unionByName(more)))
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3).select("doc_id", "n_shingles", "component_id")
+
+
 END_ID = 2
 
 
@@ -139,6 +144,7 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 def queries():
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_url_filters": op5_url_filters,

@@ -7,11 +7,11 @@ similarity is at least ``percent`` / 100, checked on the sets themselves. The re
 With o(n) the least overlap that a set of n needs (the ceiling of n * percent / 100), two sets that link share at least c tokens
 among the first n - o(n) + c of each, under whatever global order of all tokens and for every c. That gives the filters:
 
-1. Order 1 is by hash. Each set gives its prefix for c = n // 16 + 1.
+1. Order 1 is by hash. Each set gives its prefix for c = (n - o(n)) * 5 // 8 + 1.
 2. Order 2 is by rarity: the number of classes that have a token in their prefix. Prefixes that share c tokens share one among all
    but the c - 1 commonest of either, so only those make a class a candidate; a common line or passage, however many documents hold
    it, rarely is among them, and tokens of a single class leave at once.
-3. Order 3 is by another hash, for c = n // 32 + 1: candidates must share c tokens of these prefixes as well.
+3. Order 3 is by another hash, for c = (n - o(n)) * 5 // 16 + 1: candidates must share c tokens of these prefixes as well.
 
 Only pairs that pass all of them, and the bound on sizes, are verified on the texts.
 
@@ -44,6 +44,15 @@ def need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def shared_first(n: int, percent: int) -> int:
+    """How many tokens the prefixes of a set of n must share under order 1."""
+    return (n - need(n, percent)) * 5 // 8 + 1
+
+
+def shared_third(n: int, percent: int) -> int:
+    return (n - need(n, percent)) * 5 // 16 + 1
+
+
 def shingle_set(words: list[bytes], memory: WordHashes, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text's lower-cased words."""
     return np.unique(windows(memory.of(words), min(size, len(words)))) if words else np.empty(0, np.uint64)
@@ -64,8 +73,8 @@ def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 own = shingle_set(words_of(text), memory, size)
                 n = len(own)
                 short = n - need(n, percent)
-                first, third = own[: short + n // 16 + 1], mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
-                k = min(n, short + n // 32 + 1)
+                first, third = own[: short + shared_first(n, percent)], mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
+                k = min(n, short + shared_third(n, percent))
                 third = np.sort(np.partition(third, k - 1)[:k]) if n else third
                 c1, c2 = (int(mix(own * np.uint64(a) + np.uint64(1)).sum(dtype=np.uint64)) for a in (1, 0xD6E8FEB86659FD93))
                 rows.append((n, c1 - (1 << 64) * (c1 >> 63), c2 - (1 << 64) * (c2 >> 63), first.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes(), third.astype("<u4").tobytes()))
@@ -107,8 +116,11 @@ def postings(own: DataFrame) -> DataFrame:
 def rarest(found: DataFrame, percent: int) -> DataFrame:
     """token, id, n: what is left of the prefixes under order 2, without tokens of a single class."""
     n, need_of = F.col("n"), lambda c: F.ceil(c * percent / F.lit(100))
-    prefix = n - need_of(n) + F.floor(n / 16) + 1
-    least_shared = F.floor(need_of(n) / 16) + 1  # c of the smallest partner
+    shared = lambda c: F.floor((c - need_of(c)) * 5 / F.lit(8)) + 1
+    prefix = n - need_of(n) + shared(n)
+    # A partner has at least need(n) tokens, and none of that many or more has to share fewer than this.
+    least_shared = F.floor((need_of(n) - need_of(need_of(n)) - 1) * 5 / F.lit(8)) + 1
+    least_shared = F.greatest(least_shared, F.lit(1))
     prefix = F.least(prefix, n)
     held = found.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     by_id = Window.partitionBy("id")
@@ -146,7 +158,7 @@ def only(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) -
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_semi")
 
 
-def shared_in_third(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def shared_in_third(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that share enough under order 3, with what tells where their texts are."""
 
     def run(batches):
@@ -154,7 +166,7 @@ def shared_in_third(pairs: DataFrame, own: DataFrame) -> DataFrame:
             keep = []
             for na, nb, x, y in zip(*(b[c].to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
                 same = np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=False)
-                keep.append(len(same) >= min(na, nb) // 32 + 1)
+                keep.append(len(same) >= min(shared_third(na, percent), shared_third(nb, percent)))
             names = ["a", "b", "da", "fa", "db", "fb"]
             yield pa.RecordBatch.from_arrays([b[c].filter(pa.array(keep, pa.bool_())) for c in names], names=names)
 
@@ -219,7 +231,7 @@ def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, small:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("__d"), F.xxhash64(text_or_empty()).alias("__f"), text_or_empty().alias("text"))
 
     def check(pairs: DataFrame) -> DataFrame:
-        passed = materialize(shared_in_third(materialize(pairs.distinct(), "pairs"), own), "pairs")
+        passed = materialize(shared_in_third(materialize(pairs.distinct(), "pairs"), own, percent), "pairs")
         # Rows that repeat a document bring its text twice; any of them serves, and the links are made distinct.
         return materialize(verified(passed, keyed, percent, size), "links")
 

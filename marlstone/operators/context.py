@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import is_descendant, section_number, xml_escape
 
-_RANKED = Window.partitionBy("query_id").orderBy("rank")
 _EMPTY = "<context>\n</context>"
 
 
+def _ranked():
+    return Window.partitionBy("query_id").orderBy("rank")
+
+
 def score_filter(hits: DataFrame, least: float = 0.0) -> DataFrame:
     return hits if least <= 0 else hits.where(F.col("score") >= least)
 
@@ -27,8 +30,8 @@ def _union(arrays: Column) -> Column:
 
 def merge_adjacent(hits: DataFrame) -> DataFrame:
     """Neighbours in rank with one document and heading and consecutive pages become one hit, with the first one's ids and score."""
-    same = (F.lag("document").over(_RANKED) == F.col("document")) & (F.lag("heading").over(_RANKED) == F.col("heading")) & (F.lag("page").over(_RANKED) + 1 == F.col("page"))
-    island = F.sum(F.when(same, 0).otherwise(1)).over(_RANKED.rowsBetween(Window.unboundedPreceding, 0))
+    same = (F.lag("document").over(_ranked()) == F.col("document")) & (F.lag("heading").over(_ranked()) == F.col("heading")) & (F.lag("page").over(_ranked()) + 1 == F.col("page"))
+    island = F.sum(F.when(same, 0).otherwise(1)).over(_ranked().rowsBetween(Window.unboundedPreceding, 0))
     cols = ["rank", "chunk_id", "document", "page", "heading", "score", "text", "entities"]
     parts = F.sort_array(F.collect_list(F.struct(*cols)))
     got = hits.withColumn("__island", island).groupBy("query_id", "__island").agg(parts.alias("p"))
@@ -58,7 +61,7 @@ def merge_hierarchical(hits: DataFrame) -> DataFrame:
 
 def blocks(hits: DataFrame) -> DataFrame:
     """Context blocks with their index from 1 and their rendered text."""
-    out = hits.withColumn("index", F.row_number().over(_RANKED))
+    out = hits.withColumn("index", F.row_number().over(_ranked()))
     e = lambda c: xml_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
     lines = [
         F.concat(F.lit('<context_block index="'), "index", F.lit('" id="'), e("chunk_id"), F.lit('">')),
@@ -79,7 +82,7 @@ def blocks(hits: DataFrame) -> DataFrame:
 
 def within_budget(rendered: DataFrame, max_tokens: int) -> DataFrame:
     """The longest row of first blocks whose context has at most so many tokens (a quarter of its characters)."""
-    used = F.sum(F.length("block") + 1).over(_RANKED.rowsBetween(Window.unboundedPreceding, 0)) + len(_EMPTY)
+    used = F.sum(F.length("block") + 1).over(_ranked().rowsBetween(Window.unboundedPreceding, 0)) + len(_EMPTY)
     return rendered.withColumn("__used", used).where(F.floor(F.col("__used") / 4) <= max_tokens).drop("__used")
 
 

@@ -15,7 +15,6 @@ from marlstone.functions.text import paragraphs, word_count
 from .parsing import document_order, split_paragraphs, with_block_ids
 
 DEPTH = 6
-_DOC = Window.partitionBy("document_id").orderBy("ord")
 
 # Fixed values ----------------------------------------------------------------------------------------------------------
 
@@ -55,6 +54,10 @@ TABLE_DELIMITERS = [r"\s{2,}", r"\t", r"\|"]
 # Headings --------------------------------------------------------------------------------------------------------------
 
 
+def _in_order():
+    return Window.partitionBy("document_id").orderBy("ord")
+
+
 def headings(blocks: DataFrame) -> DataFrame:
     """Heading blocks with ord (from 1, in document order), title, hierarchical number and parent.
 
@@ -63,8 +66,8 @@ def headings(blocks: DataFrame) -> DataFrame:
     """
     own = with_block_ids(blocks).where("type = 'heading' AND level IS NOT NULL")
     own = own.withColumn("ord", F.row_number().over(document_order())).withColumn("title", F.array_join(paragraphs("text"), " "))
-    stretch = _DOC.rowsBetween(Window.unboundedPreceding, 0)
-    before = _DOC.rowsBetween(Window.unboundedPreceding, -1)
+    stretch = _in_order().rowsBetween(Window.unboundedPreceding, 0)
+    before = _in_order().rowsBetween(Window.unboundedPreceding, -1)
     for k in range(1, DEPTH + 1):
         own = own.withColumn(f"__g{k}", F.sum((F.col("level") < k).cast("int")).over(stretch))
     for k in range(1, DEPTH + 1):
@@ -112,7 +115,7 @@ def sections(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     next one starts, but not before its own start; its words are those of its blocks, the heading's included.
     """
     heads = headings(blocks).join(titles.select("document_id", "page_count"), "document_id")
-    after = F.lead("page").over(_DOC)
+    after = F.lead("page").over(_in_order())
     made = heads.select("document_id", F.col("ord").alias("section_ord"), "title", "number", "level", "parent_ord", F.col("page").alias("page_start"), F.coalesce(F.greatest("page", after - 1), "page_count").alias("page_end"))
     words = word_count("text")
     got = block_sections(blocks).groupBy("document_id", "section_ord").agg(F.sum(words).alias("word_count"), F.count(F.lit(1)).alias("block_count"))
@@ -149,14 +152,14 @@ def enriched_blocks(blocks: DataFrame, inherit: bool = False) -> DataFrame:
 def references(blocks: DataFrame) -> DataFrame:
     """Cross-references in scan order (page, block, paragraph, pattern, match), the first of each (target, type, page) in a document."""
     paras = split_paragraphs(blocks)
-    parts = []
-    for text, groups, kind in REFERENCE_PATTERNS:
-        each = lambda g, rx="(?i)" + text: F.regexp_extract_all("text", F.lit(rx), F.lit(g))
-        if groups == 2 and kind != "entity_ref":
-            target = F.zip_with(each(1), each(2), lambda a, b: F.concat(a, F.lit(" "), b))
-        else:
-            target = each(min(groups, 1))
-        parts.append(F.transform(F.arrays_zip(each(0).alias("whole"), target.alias("target")), lambda x, i, n=len(parts), k=kind: F.struct(F.lit(n).alias("pattern"), i.alias("match"), x["whole"].alias("text"), F.trim(x["target"]).alias("target"), F.lit(k).alias("type"))))
+
+    def matches(n: int, pattern: str, groups: int, kind: str):
+        group = lambda g: F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(g))
+        target = F.zip_with(group(1), group(2), lambda a, b: F.concat(a, F.lit(" "), b)) if groups == 2 else group(min(groups, 1))
+        made = lambda x, i: F.struct(F.lit(n).alias("pattern"), i.alias("match"), x["whole"].alias("text"), F.trim(x["target"]).alias("target"), F.lit(kind).alias("type"))
+        return F.transform(F.arrays_zip(group(0).alias("whole"), target.alias("target")), made)
+
+    parts = [matches(n, *p) for n, p in enumerate(REFERENCE_PATTERNS)]
     found = paras.select("document_id", "page", "block_index", "paragraph", F.explode(F.concat(*parts)).alias("x")).select("document_id", "page", "block_index", "paragraph", "x.*")
     scan = ("page", "block_index", "paragraph", "pattern", "match")
     first = F.row_number().over(Window.partitionBy("document_id", "target", "type", "page").orderBy(*scan))

@@ -1,15 +1,785 @@
-"""Registry of every query of the retrieval engine and its SQL equivalent."""
+"""Registry of every query of the retrieval engine and its SQL equivalent.
+
+Inputs that the star schema lacks (manuals, font spans, ranked hits) are derived from its whole tables by SQL that both engines run.
+Arrays are given out as joined text, scores rounded.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as T
+from marlstone.operators import answers, chunking, context, enrichment, evaluation, index, parsing, retrieval
+from marlstone.sources import corpus
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks_of(spark, sf):
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def questions(spark, sf):
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+# Retrieval -----------------------------------------------------------------------------------------------------------------
+
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
+BM25_CTE = f"""
+tok AS (SELECT doc_id AS chunk_id, {_TOK("coalesce(text, '')")} AS ts FROM documents),
+dl AS (SELECT chunk_id, len(ts) AS dl FROM tok),
+post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM dl) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
+stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOK("text")}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT query_id, p.chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))), 6) AS score
+  FROM asked JOIN stats USING (term) JOIN post p USING (term) JOIN dl ON dl.chunk_id = p.chunk_id GROUP BY ALL
+),
+bm25 AS (
+  SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM scored WHERE score > 0) WHERE rank <= 20
+)"""
+KNN_CTE = """
+knn AS (
+  SELECT * FROM (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank, chunk_id, score FROM (
+      SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+      FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+  ) WHERE rank <= 20
+)"""
+ENT_CTE = r"""
+mention AS (
+  SELECT doc_id AS chunk_id, t AS name FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS t FROM documents)
+  WHERE regexp_full_match(t, '[A-Z0-9_]{4,20}') AND regexp_matches(t, '[A-Z]') AND (contains(t, '_') OR length(t) BETWEEN 6 AND 8)
+),
+located AS (SELECT DISTINCT upper(name) AS entity_name, chunk_id FROM mention),
+asking AS (
+  SELECT item_id AS query_id, t AS name, k FROM (
+    SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ts FROM benchmark)
+  ) WHERE regexp_full_match(t, '[A-Z0-9_]{4,20}')
+),
+ent AS (
+  SELECT query_id, rank, chunk_id FROM (
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id) AS rank FROM (
+      SELECT query_id, chunk_id, min(k) AS k FROM asking JOIN located ON entity_name = name GROUP BY ALL)
+  ) WHERE rank <= 20
+)"""
+DENSE_CTE = """
+vec AS (
+  SELECT * FROM (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank, chunk_id, score FROM (
+      SELECT b.item_id AS query_id, v.vec_id AS chunk_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+      FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v)
+  ) WHERE rank <= 20
+)"""
+FUSE_CTE = """
+lists AS (
+  SELECT 0 AS list, query_id, rank, chunk_id, 'vector' AS method FROM vec
+  UNION ALL SELECT 1, query_id, rank, chunk_id, 'bm25' FROM bm25
+  UNION ALL SELECT 2, query_id, rank, chunk_id, 'entity' FROM ent
+),
+fused AS (
+  SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS raw, string_agg(method, '+' ORDER BY list) AS method, arg_min(list, list * 1000 + rank) AS l, arg_min(rank, list * 1000 + rank) AS r
+  FROM lists GROUP BY query_id, chunk_id
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, l, r, chunk_id) AS rank FROM fused) WHERE rank <= 10),
+hybrid AS (
+  SELECT query_id, rank, chunk_id, raw, method,
+         CASE WHEN max(raw) OVER w = min(raw) OVER w THEN raw ELSE round((raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w), 6) END AS score
+  FROM best WINDOW w AS (PARTITION BY query_id)
+)"""
+ALL_CTE = f"WITH {DENSE_CTE}, {BM25_CTE}, {ENT_CTE}, {FUSE_CTE}"
+JUDGED_CTE = """
+judged AS (
+  SELECT h.query_id, h.rank, h.chunk_id, contains(lower(d.text), lower(b.text)) AS matched
+  FROM hybrid h JOIN documents d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id
+)"""
+PER_CTE = """
+firsts AS (SELECT item_id AS query_id, first FROM benchmark LEFT JOIN (SELECT query_id, min(rank) AS first FROM judged WHERE matched GROUP BY 1) f ON f.query_id = item_id),
+per AS (
+  SELECT query_id, first, CASE WHEN first <= 1 THEN 1 ELSE 0 END AS hit_1, CASE WHEN first <= 3 THEN 1 ELSE 0 END AS hit_3, CASE WHEN first <= 5 THEN 1 ELSE 0 END AS hit_5,
+         CASE WHEN first <= 10 THEN 1 ELSE 0 END AS hit_10, coalesce(round(1.0::DOUBLE / first, 6), 0) AS rr,
+         CASE WHEN first <= 5 THEN round(1 / log2(first + 1), 6) ELSE 0 END AS ndcg_5, CASE WHEN first <= 10 THEN round(1 / log2(first + 1), 6) ELSE 0 END AS ndcg_10
+  FROM firsts
+),
+means AS (
+  SELECT count(*) AS total_queries, round(avg(hit_1), 6) AS hit_1, round(avg(hit_3), 6) AS hit_3, round(avg(hit_5), 6) AS hit_5, round(avg(hit_10), 6) AS hit_10,
+         round(avg(rr), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(ndcg_10), 6) AS ndcg_10 FROM per
+)"""
+
+
+@query(f"SELECT doc_id, len({_TOK('text')}) AS n_tokens, len(list_distinct({_TOK('text')})) AS n_distinct FROM documents")
+def tokenize_counts(spark, sf):
+    found = T.tokens("text")
+    return read(spark, sf, "documents").select("doc_id", F.size(found).alias("n_tokens"), F.size(F.array_distinct(found)).alias("n_distinct"))
+
+
+@query(f"WITH {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM stats")
+def bm25_term_stats(spark, sf):
+    own = chunks_of(spark, sf)
+    return retrieval.term_stats(retrieval.postings(own), retrieval.chunk_lengths(own)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {BM25_CTE} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_topk(spark, sf):
+    return retrieval.bm25(questions(spark, sf), chunks_of(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
+
+
+@query(f"WITH {KNN_CTE} SELECT query_id, rank, chunk_id, score FROM knn WHERE rank <= 10")
+def knn_cosine_topk(spark, sf):
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return retrieval.knn(asked, vectors, 10).select("query_id", "rank", "chunk_id", "score")
+
+
+def located_entities(spark, sf):
+    found = enrichment.pattern_entities(corpus.line_blocks(read(spark, sf, "documents")))
+    own = found.select(F.col("document_id").cast("bigint").alias("chunk_id"), "document_id", "page", F.lit("").alias("section"), "name", "entity_type", F.struct("page", "block_index", "paragraph", "k").alias("ord"))
+    return index.locate_entities(own)
+
+
+@query(f"WITH {ENT_CTE} SELECT DISTINCT query_id, name FROM asking")
+def query_entity_names(spark, sf):
+    return retrieval.query_entities(questions(spark, sf)).select("query_id", "name")
+
+
+@query(f"WITH {ENT_CTE} SELECT chunk_id, name, count(*) AS mentions FROM mention GROUP BY ALL")
+def entity_extract_pattern(spark, sf):
+    found = enrichment.pattern_entities(corpus.line_blocks(read(spark, sf, "documents")))
+    return found.groupBy(F.col("document_id").cast("bigint").alias("chunk_id"), "name").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query(f"WITH {ENT_CTE} SELECT entity_name, chunk_id FROM located")
+def entity_index_dedup(spark, sf):
+    return located_entities(spark, sf).select("entity_name", "chunk_id")
+
+
+@query(f"WITH {ENT_CTE} SELECT entity_name, count(*) AS chunks, min(chunk_id) AS first_chunk FROM located GROUP BY 1")
+def entity_lookup(spark, sf):
+    return located_entities(spark, sf).groupBy("entity_name").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+
+
+@query(f"WITH {ENT_CTE} SELECT query_id, rank, chunk_id FROM ent")
+def entity_retrieve(spark, sf):
+    return retrieval.entity_retrieve(questions(spark, sf), located_entities(spark, sf), 20).select("query_id", "rank", "chunk_id")
+
+
+def hybrid(spark, sf, k: int = 10):
+    asked, own = questions(spark, sf), chunks_of(spark, sf)
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    dense = asked.join(vectors.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", "embedding")
+    lists = [retrieval.knn(dense, vectors, 20), retrieval.bm25(asked, own, 20), retrieval.entity_retrieve(asked, located_entities(spark, sf), 20)]
+    return retrieval.rrf(lists, k)
+
+
+@query(f"{ALL_CTE} SELECT query_id, rank, chunk_id, raw, method, score FROM hybrid")
+def rrf_fuse(spark, sf):
+    return hybrid(spark, sf)
+
+
+@query(f"{ALL_CTE} SELECT method, count(*) AS hits, min(rank) AS best_rank FROM hybrid GROUP BY 1")
+def rrf_provenance(spark, sf):
+    return hybrid(spark, sf).groupBy("method").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("best_rank"))
+
+
+def judged(spark, sf):
+    hits = hybrid(spark, sf).join(chunks_of(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
+    none = F.lit(None).cast("string")
+    matched = evaluation.is_match(none, none, F.lit(0), F.col("text"), none, none, F.lit(0), F.array("question"))
+    return hits.select("query_id", "rank", "chunk_id", matched.alias("matched"))
+
+
+@query(f"{ALL_CTE}, {JUDGED_CTE} SELECT query_id, rank, chunk_id, matched FROM judged")
+def eval_is_match(spark, sf):
+    return judged(spark, sf)
+
+
+@query(f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} SELECT query_id, first, hit_1, hit_3, hit_5, hit_10, rr, ndcg_5, ndcg_10 FROM per")
+def eval_per_query(spark, sf):
+    return evaluation.per_query(questions(spark, sf), judged(spark, sf))
+
+
+@query(f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} SELECT * FROM means")
+def eval_summary(spark, sf):
+    return evaluation.summary(evaluation.per_query(questions(spark, sf), judged(spark, sf)))
+
+
+@query(
+    f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} "
+    r"SELECT printf('# Retrieval report' || chr(10) || chr(10) || '| Metric | Score |' || chr(10) || '| ------ | ----- |' || chr(10) || '| Queries | %d |' || chr(10) || '| Hit@1 | %.2f%% |' || chr(10) || '| Hit@3 | %.2f%% |' || chr(10) || '| Recall@5 | %.2f%% |' || chr(10) || '| Recall@10 | %.2f%% |' || chr(10) || '| MRR | %.4f |' || chr(10) || '| NDCG@5 | %.4f |' || chr(10) || '| NDCG@10 | %.4f |' || chr(10), total_queries, hit_1 * 100, hit_3 * 100, hit_5 * 100, hit_10 * 100, mrr, ndcg_5, ndcg_10) AS report FROM means"
+)
+def eval_report(spark, sf):
+    return evaluation.report(evaluation.summary(evaluation.per_query(questions(spark, sf), judged(spark, sf))))
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return hybrid(spark, sf_dir)
+
+
+# Parsing -------------------------------------------------------------------------------------------------------------------
+
+SPANS = """
+SELECT concat('L', l_suppkey) AS document_id, CAST(l_orderkey AS BIGINT) AS page, CAST(floor(k / 3) AS INT) AS block, CAST(k AS INT) AS span,
+       CAST(CASE WHEN l_quantity > 45 THEN l_quantity / 2 WHEN l_quantity > 40 THEN 15 WHEN l_quantity < 2 THEN 0 ELSE 11 END AS DOUBLE) AS size,
+       CASE WHEN k % 4 = 3 THEN concat('. ', l_returnflag) ELSE concat(l_returnflag, l_partkey) END AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_tax) AS k FROM {lineitem}) numbered
+"""
+
+
+def spans(spark, sf):
+    return spark.sql(SPANS, lineitem=read(spark, sf, "lineitem"))
+
+
+_SPANS = f"WITH s AS ({SPANS.format(lineitem='lineitem')})"
+_SPAN_BLOCKS = f"""{_SPANS},
+m AS (SELECT document_id, page, median(size) AS med FROM s GROUP BY ALL),
+b AS (
+  SELECT document_id, page, block, trim(string_agg(CASE WHEN substr(text, 1, 1) IN ('.', ',', ':', ';', ')', ']', '}}') THEN text ELSE ' ' || text END, '' ORDER BY span)) AS text, max(size) AS largest,
+         arg_min(size, span) FILTER (WHERE size <> 0) AS first
+  FROM s GROUP BY ALL
+),
+h AS (SELECT b.*, med, (largest >= med * 1.2::DOUBLE OR coalesce(first >= med * 1.2::DOUBLE, false)) AS heading, CASE WHEN med > 0 THEN largest / med ELSE 1 END AS ratio FROM b JOIN m USING (document_id, page)),
+lv AS (SELECT document_id, page, block, text, CASE WHEN heading THEN 'heading' ELSE 'text' END AS type,
+  CASE WHEN heading THEN CASE WHEN ratio >= 2.5 THEN 1 WHEN ratio >= 2.0 THEN 2 WHEN ratio >= 1.6 THEN 3 WHEN ratio >= 1.3 THEN 4 WHEN ratio >= 1.1 THEN 5 ELSE 6 END END AS level FROM h)"""
+
+
+@query(f"{_SPANS} SELECT document_id, page, median(size) AS median FROM s GROUP BY ALL")
+def median_font(spark, sf):
+    return parsing.median_fonts(spans(spark, sf))
+
+
+@query(f"{_SPAN_BLOCKS} SELECT document_id, page, block, text, type, level FROM lv")
+def heading_detect(spark, sf):
+    return parsing.span_blocks(spans(spark, sf))
+
+
+@query(f"{_SPAN_BLOCKS} SELECT level, count(*) AS headings, sum(length(text)) AS characters FROM lv WHERE type = 'heading' GROUP BY 1")
+def heading_level(spark, sf):
+    found = parsing.span_blocks(spans(spark, sf)).where("type = 'heading'")
+    return found.groupBy("level").agg(F.count(F.lit(1)).alias("headings"), F.sum(F.length("text")).alias("characters"))
+
+
+_MAN = f"WITH man AS ({corpus.MANUAL_SQL.format(region='region', nation='nation', customer='customer')})"
+_PARA = """
+para AS (
+  SELECT document_id, page, block_index, type, ord, k - 1 AS paragraph, ps[k] AS text FROM (
+    SELECT *, unnest(generate_series(1, len(ps))) AS k FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM man)
+  )
+)"""
+
+
+@query(f"{_MAN}, {_PARA} SELECT document_id, page, block_index, paragraph, text FROM para")
+def paragraph_split(spark, sf):
+    return parsing.split_paragraphs(corpus.manual_blocks(spark, sf))
+
+
+@query(f"{_MAN}, {_PARA} SELECT document_id || ':p' || page AS page_id, document_id, page, sum(len(regexp_extract_all(text, '\\S+'))) AS word_count, sum(length(text)) + count(*) - 1 AS character_count FROM para GROUP BY ALL")
+def page_counts(spark, sf):
+    return parsing.page_counts(corpus.manual_blocks(spark, sf))
+
+
+_DATES = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('D:', {day}, '120000+05''30''') WHEN 1 THEN concat('D:', {day}, '120000') WHEN 2 THEN concat('D:', {day}, '120000Z') ELSE concat({day}, '235959-08''00''') END AS raw FROM {orders}"
+
+
+@query(
+    "WITH d AS (" + _DATES.format(day="strftime(o_orderdate, '%Y%m%d')", orders="orders") + ") SELECT o_orderkey, raw, "
+    "CASE WHEN substr(regexp_replace(trim(raw), '^D:', ''), 15, 1) IN ('+', '-') THEN strftime(try_strptime(substr(regexp_replace(trim(raw), '^D:', ''), 1, 14), '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') END AS parsed FROM d"
+)
+def pdf_date_parse(spark, sf):
+    rows = spark.sql(_DATES.replace("{day}", "date_format(o_orderdate, 'yyyyMMdd')"), orders=read(spark, sf, "orders"))
+    return rows.select("o_orderkey", "raw", F.date_format(T.pdf_date("raw"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+# Structure -----------------------------------------------------------------------------------------------------------------
+
+_HEADS = f"""{_MAN}, hd AS (
+  SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page, block_index) AS ord, page, block_index, level, text AS title FROM man WHERE type = 'heading' AND level IS NOT NULL
+), g AS (
+  SELECT *, {", ".join(f"sum(CASE WHEN level < {k} THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ord) AS g{k}" for k in (1, 2, 3))} FROM hd
+), c AS (
+  SELECT *, {", ".join(f"sum(CASE WHEN level = {k} THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, g{k} ORDER BY ord) AS c{k}" for k in (1, 2, 3))} FROM g
+), heads AS (
+  SELECT document_id, ord, page, block_index, level, title, CASE level WHEN 1 THEN c1 || '' WHEN 2 THEN c1 || '.' || c2 ELSE c1 || '.' || c2 || '.' || c3 END AS number,
+         (SELECT max(p.ord) FROM hd p WHERE p.document_id = c.document_id AND p.ord < c.ord AND p.level < c.level) AS parent_ord
+  FROM c
+), titles AS (SELECT document_id, 'Manual' AS title, max(page) AS page_count FROM man GROUP BY 1),
+bs AS (SELECT *, document_id || ':p' || page || ':b' || block_index AS block_id, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page, block_index) AS section_ord FROM man),
+sec AS (
+  SELECT h.document_id, h.ord AS section_ord, h.title, h.number, h.level, h.parent_ord, h.page AS page_start,
+         coalesce(greatest(h.page, lead(h.page) OVER (PARTITION BY h.document_id ORDER BY h.ord) - 1), t.page_count) AS page_end, w.word_count, w.block_count
+  FROM heads h JOIN titles t USING (document_id) JOIN (SELECT document_id, section_ord, sum(len(regexp_extract_all(text, '\\S+'))) AS word_count, count(*) AS block_count FROM bs GROUP BY ALL) w
+    ON w.document_id = h.document_id AND w.section_ord = h.ord
+), paths AS (
+  SELECT a.document_id, a.ord, concat_ws(' > ', p2.title, p1.title, a.title) AS path, 1 + (p1.ord IS NOT NULL)::INT + (p2.ord IS NOT NULL)::INT AS depth
+  FROM heads a LEFT JOIN heads p1 ON p1.document_id = a.document_id AND p1.ord = a.parent_ord LEFT JOIN heads p2 ON p2.document_id = a.document_id AND p2.ord = p1.parent_ord
+)"""
+
+
+def manual_titles(blocks):
+    return blocks.groupBy("document_id").agg(F.lit("Manual").alias("title"), F.max("page").alias("page_count"))
+
+
+def manual_sections(spark, sf):
+    blocks = corpus.manual_blocks(spark, sf)
+    return enrichment.sections(blocks, manual_titles(blocks))
+
+
+@query(f"{_HEADS} SELECT document_id, ord, level, title, number FROM heads")
+def heading_numbers(spark, sf):
+    return enrichment.headings(corpus.manual_blocks(spark, sf)).select("document_id", "ord", "level", "title", "number")
+
+
+@query(f"{_HEADS} SELECT document_id, ord, parent_ord FROM heads")
+def heading_parent(spark, sf):
+    return enrichment.headings(corpus.manual_blocks(spark, sf)).select("document_id", "ord", "parent_ord")
+
+
+@query(f"{_HEADS} SELECT document_id, ord, path FROM paths")
+def heading_path(spark, sf):
+    found = enrichment.heading_paths(enrichment.headings(corpus.manual_blocks(spark, sf)))
+    return found.select("document_id", "ord", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"{_HEADS} SELECT document_id, ord, level, title, page FROM heads WHERE document_id <> 'R0' UNION ALL SELECT 'R0', 1, 1, 'Given', 1")
+def toc_fallback(spark, sf):
+    given = spark.createDataFrame([("R0", 1, 1, "Given", 1)], "document_id string, ord int, level int, title string, page int")
+    return enrichment.toc_with_fallback(given, corpus.manual_blocks(spark, sf))
+
+
+@query(f"{_HEADS} SELECT document_id, max(level) AS depth, count(*) AS entries, count(*) FILTER (WHERE level = 2) AS entries_2 FROM heads GROUP BY 1")
+def toc_depth_counts(spark, sf):
+    return enrichment.toc_depth(enrichment.headings(corpus.manual_blocks(spark, sf)))
+
+
+_SEC_ID = "document_id || ':sec:' || "
+
+
+@query(f"{_HEADS} SELECT {_SEC_ID} section_ord AS section_id, document_id, section_ord, title, number, level, CASE WHEN parent_ord IS NOT NULL THEN {_SEC_ID} parent_ord END AS parent_id, page_start, page_end, word_count, block_count FROM sec")
+def sections(spark, sf):
+    return manual_sections(spark, sf)
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, line FROM l WHERE trim(line) <> '')
+SELECT doc_id || ':sec:1' AS section_id, '1' AS number, CAST(ceil(count(*) / 4.0) AS INT) AS page_end, sum(len(regexp_extract_all(line, '\S+'))) AS word_count, count(*) AS block_count FROM k GROUP BY doc_id
+""")
+def default_section(spark, sf):
+    blocks = corpus.line_blocks(read(spark, sf, "documents"))
+    return enrichment.sections(blocks, manual_titles(blocks)).select("section_id", "number", "page_end", "word_count", "block_count")
+
+
+@query(f"{_HEADS} SELECT {_SEC_ID} parent_ord AS parent_id, string_agg({_SEC_ID} section_ord, ',' ORDER BY section_ord) AS child_ids FROM sec WHERE parent_ord IS NOT NULL GROUP BY document_id, parent_ord")
+def section_children(spark, sf):
+    return enrichment.section_children(manual_sections(spark, sf)).select("parent_id", F.array_join("child_ids", ",").alias("child_ids"))
+
+
+@query(f"{_HEADS} SELECT bs.document_id, block_id, bs.document_id || ':sec:' || section_ord AS section_id, CASE WHEN type = 'heading' THEN path ELSE '' END AS heading_path, CASE WHEN type = 'heading' THEN depth ELSE 0 END AS depth FROM bs JOIN paths ON paths.document_id = bs.document_id AND paths.ord = section_ord")
+def block_enrich(spark, sf):
+    return enrichment.enriched_blocks(corpus.manual_blocks(spark, sf)).withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+def _ref_sql() -> str:
+    parts = []
+    for n, (rx, groups, kind) in enumerate(enrichment.REFERENCE_PATTERNS):
+        rx = "(?i)" + rx.replace("'", "''")
+        whole = f"regexp_extract_all(text, '{rx}', 0)"
+        one = lambda g, rx=rx: f"regexp_extract_all(text, '{rx}', {g})"
+        target = f"list_transform(list_zip({one(1)}, {one(2)}), lambda z: z[1] || ' ' || z[2])" if groups == 2 else one(min(groups, 1))
+        parts.append(f"SELECT document_id, page, block_index, paragraph, {n} AS pattern, unnest(generate_series(1, len({whole}))) AS match, unnest({whole}) AS text, trim(unnest({target})) AS target, '{kind}' AS type FROM para")
+    return "refs0 AS (" + " UNION ALL ".join(parts) + """),
+refs1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, target, type, page ORDER BY block_index, paragraph, pattern, match) AS rn FROM refs0) WHERE rn = 1),
+refs AS (SELECT document_id || ':ref:' || row_number() OVER (PARTITION BY document_id ORDER BY page, block_index, paragraph, pattern, match) AS id, document_id, text, target, type, document_id || ':p' || page || ':b' || block_index AS source_block_id, page FROM refs1)"""
+
+
+@query(f"{_MAN}, {_PARA}, {_ref_sql()} SELECT * FROM refs")
+def refs_extract_dedup(spark, sf):
+    return enrichment.references(corpus.manual_blocks(spark, sf))
+
+
+@query(f"{_MAN}, {_PARA}, {_ref_sql()} SELECT type, count(*) AS n, count(DISTINCT target) AS targets FROM refs WHERE type IN ('entity_ref', 'cross_ref') GROUP BY 1")
+def refs_filtered(spark, sf):
+    found = enrichment.references(corpus.manual_blocks(spark, sf)).where(F.col("type").isin("entity_ref", "cross_ref"))
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("targets"))
+
+
+_TABLES = f"""{_MAN}, {_PARA}, tx AS (
+  SELECT document_id, page, block_index, document_id || ':p' || page || ':b' || block_index AS block_id, list_filter(list_transform(string_split(trim(string_agg(text, chr(10) ORDER BY paragraph)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM para WHERE type = 'text' GROUP BY ALL
+), many AS (SELECT * FROM tx WHERE len(lines) >= 2),
+cnt AS (SELECT block_id, d, len(lines) AS n, i, CASE d WHEN 0 THEN len(regexp_split_to_array(lines[i], '\\s{{2,}}')) WHEN 1 THEN len(string_split(lines[i], chr(9))) ELSE len(string_split(lines[i], '|')) END AS cols
+  FROM many, (VALUES (0), (1), (2)) v(d), LATERAL (SELECT unnest(generate_series(1, len(lines))) AS i)),
+md AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id, d ORDER BY times DESC, line) AS k FROM (SELECT block_id, d, n, cols, count(*) AS times, min(i) AS line FROM cnt GROUP BY ALL)) WHERE k = 1),
+cells AS (SELECT document_id, page, block_index, block_id, list_transform(lines, lambda l: list_filter(list_transform(regexp_split_to_array(l, '\\s{{2,}}'), lambda c: trim(c)), lambda c: c <> '')) AS cells
+  FROM many WHERE block_id IN (SELECT block_id FROM md WHERE times / n >= 0.6 AND cols >= 2))"""
+
+
+@query(f"{_TABLES} SELECT block_id, d, n, cols, times FROM md")
+def table_detect(spark, sf):
+    return enrichment.table_candidates(corpus.manual_blocks(spark, sf)).select("block_id", "d", "n", "cols", "times")
+
+
+@query(f"""{_TABLES} SELECT document_id || ':tbl:' || row_number() OVER (PARTITION BY document_id ORDER BY page, block_index) AS id, document_id, block_id AS source_block_id, page,
+  array_to_string(cells[1], '|') AS headers, array_to_string(list_transform(cells[2:], lambda r: array_to_string(r, '|')), ';') AS rows, len(cells) - 1 AS num_rows, len(cells[1]) AS num_cols FROM cells WHERE len(cells) >= 2""")
+def table_parse(spark, sf):
+    found = enrichment.text_tables(corpus.manual_blocks(spark, sf))
+    return found.withColumns({"headers": F.array_join("headers", "|"), "rows": F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";")})
+
+
+_NAMED = ", ".join(f"('{n}', '{t}')" for n, t in enrichment.NAMED_ENTITIES)
+
+
+@query(rf"""{_MAN}, {_PARA} SELECT document_id, name, entity_type, page, substr(text, 1, 200) AS context FROM (
+  SELECT *, row_number() OVER (PARTITION BY document_id, name, page ORDER BY block_index, paragraph) AS k FROM para JOIN (VALUES {_NAMED}) e(name, entity_type) ON list_contains(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), name)) WHERE k = 1""")
+def entity_extract_named(spark, sf):
+    return enrichment.named_entities(corpus.manual_blocks(spark, sf))
+
+
+_MODULES = ", ".join(f"({i}, '{m}', '{k.lower()}')" for i, (m, ks) in enumerate(enrichment.MODULE_KEYWORDS) for k in ks)
+
+
+@query(f"""
+WITH kw(i, module, k) AS (VALUES {_MODULES}), hit AS (SELECT doc_id, module, i, count(*) AS hits FROM documents JOIN kw ON contains(lower(text), k) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS r FROM hit) WHERE r = 1)
+SELECT d.doc_id AS document_id, coalesce(module, 'Unknown') AS module, coalesce(hits, 0) AS hits FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id""")
+def classify_module(spark, sf):
+    return enrichment.classify_modules(read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+# Chunks --------------------------------------------------------------------------------------------------------------------
+
+_PACK = r"""
+WITH RECURSIVE l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, len(regexp_extract_all(line, '\S+')) AS w, line FROM l WHERE trim(line) <> ''),
+sec AS (SELECT doc_id, list(w ORDER BY pos) AS ws, list(line ORDER BY pos) AS lines FROM b GROUP BY doc_id),
+run AS (
+  SELECT doc_id, 0 AS i, 0 AS s, CAST(0 AS BIGINT) AS w, CAST(NULL AS INT) AS os, CAST(NULL AS INT) AS oe, ws FROM sec
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN fl THEN ns ELSE s END, CASE WHEN fl THEN list_sum(ws[ns + 1:i + 1]) ELSE w + ws[i + 1] END, CASE WHEN fl THEN s END, CASE WHEN fl THEN i - 1 END, ws FROM (
+    SELECT *, (floor(w * 1.3::DOUBLE) + floor(ws[i + 1] * 1.3::DOUBLE) > 900 AND w > 0) AS fl,
+           coalesce((SELECT min(j) FROM (SELECT unnest(generate_series(s, i - 1)) AS j) WHERE list_sum(ws[j + 1:i]) * 1.3::DOUBLE <= 100), i) AS ns
+    FROM run WHERE i < len(ws))
+),
+rng AS (SELECT doc_id, os AS s, oe AS e FROM run WHERE os IS NOT NULL UNION ALL SELECT doc_id, s, len(ws) - 1 FROM run WHERE i = len(ws) AND w > 0),
+packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS chunk_ord, s, e FROM rng)"""
+
+
+def one_section(spark, sf):
+    return parsing.with_block_ids(corpus.line_blocks(read(spark, sf, "documents"))).withColumn("section_ord", F.lit(1))
+
+
+@query(f"{_PACK} SELECT doc_id, chunk_ord, s AS first, e AS last FROM packed")
+def chunk_pack(spark, sf):
+    return chunking.pack(one_section(spark, sf)).select(F.col("document_id").cast("bigint").alias("doc_id"), "chunk_ord", "first", "last")
+
+
+@query(f"""{_PACK}, asm AS (SELECT p.doc_id, chunk_ord, s, e, array_to_string(list_transform(lines[s + 1:e + 1], lambda x: trim(x)), chr(10) || chr(10)) AS text FROM packed p JOIN sec ON sec.doc_id = p.doc_id)
+SELECT doc_id || ':chunk:' || chunk_ord AS chunk_id, sha256(text) AS text_sha256, s // 4 + 1 AS page_start, e // 4 + 1 AS page_end, len(regexp_extract_all(text, '\\S+')) AS word_count, CAST(floor(len(regexp_extract_all(text, '\\S+')) * 1.3::DOUBLE) AS INT) AS token_count FROM asm""")
+def chunk_assemble(spark, sf):
+    blocks = one_section(spark, sf)
+    return chunking.assemble(blocks, chunking.pack(blocks)).select("chunk_id", F.sha2("text", 256).alias("text_sha256"), "page_start", "page_end", "word_count", "token_count")
+
+
+@query(f"{_MAN} SELECT document_id, page, block_index, (type IN ('table', 'list', 'code') OR regexp_matches(trim(string_split(text, chr(10) || chr(10))[1]), '(?i)^(step\\s*\\d+|[a-z]\\)|\\d+\\.)')) AS unbreakable FROM man")
+def unbreakable_flag(spark, sf):
+    return corpus.manual_blocks(spark, sf).select("document_id", "page", "block_index", chunking.unbreakable(F.col("type"), F.col("text")).alias("unbreakable"))
+
+
+_TABLE_ROWS = "SELECT c_custkey AS document_id, 1 AS page, 0 AS block_index, 'table' AS type, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS title, '' AS text, array({h}) AS headers, array(array({r1}), array({r2})) AS rows FROM {{customer}}"
+
+
+@query("SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN '**' || c_name || '**' || chr(10) ELSE '' END || 'Name | Segment' || chr(10) || '--- | ---' || chr(10) || c_name || ' | ' || c_mktsegment || chr(10) || 'Key | ' || c_custkey AS rendered FROM customer")
+def block_text_render(spark, sf):
+    made = _TABLE_ROWS.format(h="'Name', 'Segment'", r1="c_name, c_mktsegment", r2="'Key', CAST(c_custkey AS STRING)")
+    rows = spark.sql(made, customer=read(spark, sf, "customer"))
+    return rows.select("document_id", chunking.block_text(rows).alias("rendered"))
+
+
+def manual_chunks(spark, sf):
+    blocks = enrichment.block_sections(corpus.manual_blocks(spark, sf))
+    return chunking.assemble(blocks, chunking.pack(blocks))
+
+
+_MCHUNK = f"{_HEADS}, {_PARA}, chunks AS (SELECT bs.document_id, section_ord, row_number() OVER (PARTITION BY bs.document_id ORDER BY section_ord) AS chunk_ord, min(page) AS p0, max(page) AS p1, list(block_id) AS ids FROM bs GROUP BY bs.document_id, section_ord)"
+
+
+@query(rf"""{_MCHUNK}, ne AS (SELECT DISTINCT document_id, page, name, entity_type FROM para JOIN (VALUES {_NAMED}) e(name, entity_type) ON list_contains(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), name))
+SELECT DISTINCT c.document_id || ':chunk:' || chunk_ord AS chunk_id, name, entity_type FROM chunks c JOIN ne ON ne.document_id = c.document_id AND ne.page BETWEEN p0 AND p1""")
+def chunk_entities(spark, sf):
+    found = enrichment.named_entities(corpus.manual_blocks(spark, sf)).withColumn("section_ord", F.lit(None).cast("bigint"))
+    return chunking.chunk_entities(manual_chunks(spark, sf), found)
+
+
+@query(f"{_MCHUNK}, {_ref_sql()} SELECT c.document_id || ':chunk:' || chunk_ord AS chunk_id, id FROM chunks c JOIN refs r ON list_contains(ids, source_block_id)")
+def chunk_refs_tables(spark, sf):
+    return chunking.chunk_references(manual_chunks(spark, sf), enrichment.references(corpus.manual_blocks(spark, sf)))
+
+
+# Context -------------------------------------------------------------------------------------------------------------------
+
+HITS = """
+SELECT query_id, rank, chunk_id, document, CAST(rank + p % 2 AS INT) AS page, heading, score, text, entities FROM (
+  SELECT l_orderkey AS query_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS INT) AS rank, CAST(l_partkey % 7 AS INT) AS chunk_id, l_partkey AS p,
+         concat('D', l_suppkey % 2, '.pdf') AS document,
+         CASE WHEN l_suppkey % 3 = 0 THEN 'Intro' ELSE CASE l_partkey % 4 WHEN 0 THEN '7' WHEN 1 THEN '7.1' WHEN 2 THEN '7.1.1 Deep' ELSE '8 Other' END END AS heading,
+         CAST(l_discount * 10 AS DOUBLE) AS score, concat('Text <', l_partkey, '> & "', l_returnflag, '"') AS text, {array}(l_returnflag, l_linestatus) AS entities
+  FROM {lineitem}
+) ranked
+"""
+
+
+def hits_of(spark, sf):
+    return spark.sql(HITS.replace("{array}", "array"), lineitem=read(spark, sf, "lineitem"))
+
+
+_HITS = f"hits AS ({HITS.format(lineitem='lineitem', array='list_value')})"
+_DEDUP = """dd AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank) AS k FROM hits) WHERE k = 1)"""
+_ADJ = """isl AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY rank) AS g FROM (
+  SELECT *, coalesce(lag(document) OVER w = document AND lag(heading) OVER w = heading AND lag(page) OVER w + 1 = page, false) AS same FROM dd WINDOW w AS (PARTITION BY query_id ORDER BY rank))),
+adj AS (SELECT query_id, min(rank) AS rank, arg_min(chunk_id, rank) AS chunk_id, arg_min(document, rank) AS document, arg_min(page, rank) AS page, arg_min(heading, rank) AS heading, arg_min(score, rank) AS score,
+  string_agg(text, chr(10) || chr(10) ORDER BY rank) AS text, flatten(list(entities ORDER BY rank)) AS ents FROM isl GROUP BY query_id, g)"""
+_HIER = r"""o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k, regexp_extract(heading, '^(\d+(?:\.\d+)*)', 1) AS num FROM adj),
+fold AS (
+  SELECT query_id, k, rank AS lead_rank, document AS ldoc, num AS lnum FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.query_id, o.k, CASE WHEN o.document = ldoc AND lnum <> '' AND starts_with(o.num, lnum || '.') THEN lead_rank ELSE o.rank END,
+         CASE WHEN o.document = ldoc AND lnum <> '' AND starts_with(o.num, lnum || '.') THEN ldoc ELSE o.document END, CASE WHEN o.document = ldoc AND lnum <> '' AND starts_with(o.num, lnum || '.') THEN lnum ELSE o.num END
+  FROM fold JOIN o ON o.query_id = fold.query_id AND o.k = fold.k + 1
+),
+hier AS (SELECT o.query_id, lead_rank AS rank, arg_min(chunk_id, o.rank) AS chunk_id, arg_min(document, o.rank) AS document, min(page) AS page, arg_min(heading, o.rank) AS heading, max(score) AS score,
+  string_agg(text, chr(10) || chr(10) ORDER BY o.rank) AS text, flatten(list(ents ORDER BY o.rank)) AS ents FROM o JOIN fold ON fold.query_id = o.query_id AND fold.k = o.k GROUP BY o.query_id, lead_rank)"""
+_UNIQ = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), ',')".format
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')".format
+_BLK = f"""blk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS index FROM hier),
+ren AS (SELECT *, concat_ws(chr(10), '<context_block index="' || index || '" id="' || chunk_id || '">', '<chunk_id>' || chunk_id || '</chunk_id>', '<document>' || {_ESC("document")} || '</document>', '<document_id></document_id>',
+  '<section>' || {_ESC("heading")} || '</section>', '<section_id>' || chunk_id || '</section_id>', '<module></module>', '<page>' || page || '</page>', '<page_end></page_end>',
+  '<entities>' || replace({_UNIQ("ents")}, ',', ', ') || '</entities>', '<text>' || chr(10) || {_ESC("text")} || chr(10) || '</text>', '</context_block>') AS block FROM blk)"""
+_CTX = f"WITH RECURSIVE {_HITS}, {_DEDUP}, {_ADJ}, {_HIER}, {_BLK}"
+
+
+@query(f"WITH {_HITS} SELECT query_id, rank, score FROM hits WHERE score >= 0.25")
+def score_filter(spark, sf):
+    return context.score_filter(hits_of(spark, sf), 0.25).select("query_id", "rank", "score")
+
+
+@query(f"WITH {_HITS}, {_DEDUP} SELECT query_id, rank, chunk_id FROM dd")
+def dedup_hits(spark, sf):
+    return context.distinct_chunks(hits_of(spark, sf)).select("query_id", "rank", "chunk_id")
+
+
+@query(f"{_CTX} SELECT query_id, rank, chunk_id, document, page, heading, score, text, {_UNIQ('ents')} AS entities FROM adj")
+def merge_adjacent(spark, sf):
+    return context.merge_adjacent(context.distinct_chunks(hits_of(spark, sf))).withColumn("entities", F.array_join("entities", ","))
+
+
+@query(f"{_CTX} SELECT query_id, rank, chunk_id, document, page, heading, score, text, {_UNIQ('ents')} AS entities FROM hier")
+def merge_hierarchical(spark, sf):
+    return context.merge_hierarchical(context.merge_adjacent(context.distinct_chunks(hits_of(spark, sf)))).withColumn("entities", F.array_join("entities", ","))
+
+
+@query(rf"WITH {_HITS} SELECT heading, regexp_extract(heading, '^(\d+(?:\.\d+)*)', 1) AS num, count(*) AS n FROM hits GROUP BY ALL")
+def section_num_parse(spark, sf):
+    own = hits_of(spark, sf).select("heading", F.array_join(T.section_number("heading"), ".").alias("num"))
+    return own.groupBy("heading", "num").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_CTX} SELECT query_id, index, block FROM ren")
+def context_blocks(spark, sf):
+    return context.assemble(hits_of(spark, sf)).select("query_id", "index", "block")
+
+
+_BUDGET = "fit AS (SELECT * FROM (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) + 20 AS used FROM ren) WHERE floor(used / 4) <= 400)"
+
+
+@query(f"{_CTX}, {_BUDGET} SELECT query_id, index, length(block) AS size FROM fit")
+def budget_truncate(spark, sf):
+    return context.within_budget(context.assemble(hits_of(spark, sf)), 400).select("query_id", "index", F.length("block").alias("size"))
+
+
+def asked_of(spark, sf):
+    return hits_of(spark, sf).select("query_id").distinct().withColumn("question", F.concat(F.lit(" What about order "), "query_id", F.lit("? ")))
+
+
+_XML = "xml AS (SELECT q.query_id, CASE WHEN t IS NULL THEN '<context>' || chr(10) || '</context>' ELSE '<context>' || chr(10) || t || chr(10) || '</context>' END AS context FROM (SELECT DISTINCT query_id FROM hits) q LEFT JOIN (SELECT query_id, string_agg(block, chr(10) ORDER BY index) AS t FROM fit GROUP BY 1) f ON f.query_id = q.query_id)"
+
+
+def contexts_of(spark, sf):
+    return context.context_xml(asked_of(spark, sf), context.within_budget(context.assemble(hits_of(spark, sf)), 400))
+
+
+@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, sha256(context) AS context_sha256, length(context) AS size FROM xml")
+def context_xml(spark, sf):
+    return contexts_of(spark, sf).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").alias("size"))
+
+
+_QUESTION = "trim(' What about order ' || query_id || '? ')"
+
+
+@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, sha256(context || chr(10) || chr(10) || {_QUESTION}) AS prompt_sha256, greatest(1, CAST(floor(length('Date: 2024-01-01' || chr(10) || chr(10) || '{context.system_prompt('benchmark')}' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'User Question' || chr(10) || '-------------' || chr(10) || chr(10) || {_QUESTION}) / 4) AS INT)) AS estimated_tokens FROM xml")
+def prompt_build(spark, sf):
+    made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"), "benchmark")
+    return made.select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), "estimated_tokens")
+
+
+@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, length(context || chr(10) || chr(10) || {_QUESTION}) + CASE query_id % 4 WHEN 1 THEN {len(context.MODES['detailed'])} WHEN 2 THEN {len(context.MODES['expert'])} ELSE {len(context.MODES['concise'])} END AS size FROM xml")
+def final_prompt(spark, sf):
+    made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"))
+    mode = F.when(F.col("query_id") % 4 == 1, "detailed").when(F.col("query_id") % 4 == 2, "expert").when(F.col("query_id") % 4 == 3, "unheard of").otherwise("concise")
+    return context.final_prompt(made, mode).select("query_id", F.length("prompt").alias("size"))
+
+
+@query(f"WITH {_HITS}, {_DEDUP} SELECT query_id, sha256('{context.SYSTEM_INTRO}' || chr(10) || chr(10) || '----------------' || chr(10) || 'Retrieved Context' || chr(10) || '----------------' || chr(10) || string_agg(chr(10) || '[Source ' || rank || ']' || chr(10) || 'Document: ' || document || chr(10) || 'Page: ' || page || chr(10) || 'Section: ' || heading || chr(10) || 'Text:' || chr(10) || trim(text), chr(10) ORDER BY rank) || chr(10) || chr(10) || '----------------' || chr(10) || 'User Question' || chr(10) || '----------------' || chr(10) || {_QUESTION}) AS prompt_sha256 FROM dd GROUP BY query_id")
+def plain_prompt(spark, sf):
+    return context.plain_prompt(asked_of(spark, sf), context.distinct_chunks(hits_of(spark, sf))).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(f"{_CTX} SELECT query_id, index, document, heading AS section, page, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document, heading, page ORDER BY index) AS k FROM blk) WHERE k = 1")
+def citations(spark, sf):
+    return context.citations(context.assemble(hits_of(spark, sf)))
+
+
+# Answers -------------------------------------------------------------------------------------------------------------------
+
+_CONF = "conf AS (SELECT query_id, least(100 * (0.4::DOUBLE * max(score) + 0.3::DOUBLE * avg(score) + 0.15::DOUBLE * least(count(DISTINCT document) / 3, 1) + 0.15::DOUBLE * CAST(bool_or(len(ents) > 0) AS INT)), 100) AS p FROM blk GROUP BY 1)"
+
+
+@query(f"{_CTX}, {_CONF} SELECT query_id, CASE WHEN p >= 80 THEN 'High' WHEN p >= 50 THEN 'Medium' ELSE 'Low' END AS label, round(round(p, 6), 1) AS percentage FROM conf")
+def confidence(spark, sf):
+    return answers.confidence(asked_of(spark, sf), context.assemble(hits_of(spark, sf)))
+
+
+_ERRORS = "SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Connection refused' WHEN 1 THEN 'read timed out' WHEN 2 THEN 'model x not found' WHEN 3 THEN 'context too large' WHEN 4 THEN 'host Unreachable' WHEN 5 THEN 'not found' ELSE 'odd' END AS message FROM {customer}"
+
+
+@query(f"SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'connection' WHEN 1 THEN 'timeout' WHEN 2 THEN 'model_not_found' WHEN 3 THEN 'context_overflow' ELSE 'connection' END AS kind, c_custkey % 7 NOT IN (2, 3) AS retry FROM ({_ERRORS.format(customer='customer')})")
+def error_classify(spark, sf):
+    own = spark.sql(_ERRORS, customer=read(spark, sf, "customer")).select("c_custkey", answers.error_class(F.col("message")).alias("kind"))
+    return own.withColumn("retry", answers.retryable(F.col("kind")))
+
+
+@query("SELECT o_orderkey AS query_id, 'Question: ' || o_orderpriority || chr(10) || chr(10) || 'Answer [concise]' || chr(10) || o_orderstatus || chr(10) || chr(10) || 'Sources' || chr(10) || '  D.pdf (Page ' || o_orderkey % 9 || ')' || CASE WHEN o_orderkey % 2 = 0 THEN ' | Section: S' ELSE '' END || chr(10) || chr(10) || 'Confidence: Low (' || o_orderkey % 50 || '%)' || chr(10) || chr(10) || repeat('-', 60) AS text FROM orders")
+def answer_format(spark, sf):
+    source = F.array(F.struct(F.lit("D.pdf").alias("document"), (F.col("o_orderkey") % 9).alias("page"), F.when(F.col("o_orderkey") % 2 == 0, "S").otherwise("").alias("section")))
+    own = read(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("question"), F.lit("concise").alias("mode"), F.col("o_orderstatus").alias("answer"), source.alias("sources"), F.lit("Low").alias("label"), (F.col("o_orderkey") % 50).cast("double").alias("percentage"))
+    return answers.console_text(own)
+
+
+@query()
+def generate_stub(spark, sf):
+    made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"))
+    return answers.generate(made)
+
+
+# Index ---------------------------------------------------------------------------------------------------------------------
+
+_HELD = "held AS (SELECT doc_id AS chunk_id, source AS document_id, lang AS text FROM documents WHERE lang <> 'fr')"
+_NEW = "neu AS (SELECT doc_id AS chunk_id, source AS document_id, upper(lang) AS text FROM documents WHERE lang IN ('fr', 'en'))"
+
+
+def held_and_new(spark, sf):
+    own = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("lang").alias("text"))
+    return own.where("text <> 'fr'"), own.where("text IN ('fr', 'en')").withColumn("text", F.upper("text"))
+
+
+@query(f"WITH {_HELD}, {_NEW} SELECT * FROM held UNION ALL SELECT * FROM neu WHERE chunk_id NOT IN (SELECT chunk_id FROM held)")
+def index_insert_absent(spark, sf):
+    return index.insert_absent(*held_and_new(spark, sf))
+
+
+@query(f"WITH {_HELD}, {_NEW} SELECT * FROM neu UNION ALL SELECT * FROM held WHERE chunk_id NOT IN (SELECT chunk_id FROM neu)")
+def index_upsert(spark, sf):
+    return index.upsert(*held_and_new(spark, sf))
+
+
+@query(f"WITH {_HELD}, {_NEW} SELECT count(*) FILTER (chunk_id NOT IN (SELECT chunk_id FROM held)) AS added, count(*) FILTER (chunk_id IN (SELECT chunk_id FROM held)) AS skipped FROM neu")
+def index_change_counts(spark, sf):
+    return index.change_counts(*held_and_new(spark, sf))
+
+
+@query(f"WITH {_HELD} SELECT * FROM held WHERE document_id <> 'src0'")
+def index_delete_doc(spark, sf):
+    held, _ = held_and_new(spark, sf)
+    return index.delete(held, spark.createDataFrame([("src0",)], "document_id string"), "document_id")
+
+
+@query(f"WITH {_HELD} SELECT count(*) AS total_chunks, count(DISTINCT document_id) AS total_documents FROM held")
+def index_health(spark, sf):
+    return index.health(held_and_new(spark, sf)[0])
+
+
+@query("""SELECT doc_id AS chunk_id, '{"document_id":"' || coalesce(source, '') || '","module":"' || coalesce(lang, '') || '","page_start":"' || n_chars || '"}' AS metadata FROM documents""")
+def metadata_json(spark, sf):
+    own = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("lang").alias("module"), F.col("n_chars").alias("page_start"))
+    return index.metadata_json(own, ["document_id", "module", "page_start"])
+
+
+@query("SELECT doc_id, sha256('hash-64:' || text) AS key, (doc_id IN (SELECT vec_id FROM embeddings) ) AS hit FROM documents")
+def cache_hit_miss(spark, sf):
+    own = chunks_of(spark, sf)
+    cached = own.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id").select(index.cache_key("hash-64", F.col("text")).alias("key"), "embedding", "chunk_id")
+    keyed = own.withColumn("key", index.cache_key("hash-64", F.col("text")))
+    return keyed.join(cached.select("chunk_id", F.lit(True).alias("hit")), "chunk_id", "left").select(F.col("chunk_id").alias("doc_id"), "key", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) SELECT count(*) FILTER (text IN (SELECT text FROM k)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM k)) AS misses FROM documents")
+def embed_metrics(spark, sf):
+    own = chunks_of(spark, sf)
+    cache = own.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id").select(index.cache_key("m", F.col("text")).alias("key"), "embedding").dropDuplicates(["key"])
+    hits, misses = index.split_by_cache(own, cache, "m")
+    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses")))
+
+
+@query()
+def embed_udf(spark, sf):
+    return index.embed(chunks_of(spark, sf)).select("chunk_id", F.size("embedding").alias("dimension"))
+
+
+@query("SELECT count(*) AS total_documents, sum(n) AS total_pages, sum(w) AS total_words, sum(b) AS total_bytes FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(regexp_extract_all(text, '\\S+')) AS w, octet_length(encode(text)) AS b FROM documents)")
+def manifest(spark, sf):
+    own = read(spark, sf, "documents")
+    files = own.select(F.col("doc_id").alias("document_id"), F.size(F.split("text", "\n")).alias("page_count"), T.word_count("text").alias("word_count"), F.octet_length("text").alias("file_size_bytes"))
+    return corpus.manifest(files)
+
+
+@query("SELECT doc_id, sha256(text) AS document_id, sha256(text) || ':p1:b0' AS block_id FROM documents")
+def sha256_ids(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("document_id"), F.concat(F.sha2("text", 256), F.lit(":p1:b0")).alias("block_id"))
+
+
+_PATHS = "SELECT page_id, concat('/data/', CASE page_id % 3 WHEN 0 THEN '.cache/' ELSE '' END, page_id, CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.json' WHEN 2 THEN '.HTML' ELSE '' END) AS path FROM {pages}"
+
+
+@query(f"SELECT page_id, path, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/html' ELSE 'application/octet-stream' END AS mime_type, page_id % 3 = 0 AS hidden FROM ({_PATHS.format(pages='pages')})")
+def mime_and_hidden(spark, sf):
+    own = spark.sql(_PATHS, pages=read(spark, sf, "pages"))
+    return own.select("page_id", "path", T.mime_type("path").alias("mime_type"), T.is_hidden("path").alias("hidden"))
+
+
+@query()
+def binaryfile_scan(spark, sf):
+    return corpus.scan_files(spark, sf, "*.parquet").select("filename", "sha256", "file_size_bytes", "mime_type")
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)

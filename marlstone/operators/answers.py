@@ -14,7 +14,9 @@ def confidence(queries: DataFrame, rendered: DataFrame) -> DataFrame:
     """query_id, label, percentage: 40 % best score, 30 % mean score, 15 % documents (three count in full), 15 % any entity."""
     got = rendered.groupBy("query_id").agg(F.max("score").alias("best"), F.avg("score").alias("mean"), F.countDistinct("document").alias("docs"), F.bool_or(F.size("entities") > 0).alias("named"))
     points = 100 * (0.4 * F.col("best") + 0.3 * F.col("mean") + 0.15 * F.least(F.col("docs") / 3, F.lit(1.0)) + 0.15 * F.col("named").cast("int"))
-    own = queries.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce(F.round(F.round(F.least(points, F.lit(100.0)), 6), 1), F.lit(0.0)).alias("percentage"), F.coalesce(F.least(points, F.lit(100.0)), F.lit(0.0)).alias("__p"))
+    # No blocks, no points; least() alone would take the cap for them.
+    capped = F.least(F.coalesce(points, F.lit(0.0)), F.lit(100.0))
+    own = queries.select("query_id").join(got, "query_id", "left").select("query_id", F.round(F.round(capped, 6), 1).alias("percentage"), capped.alias("__p"))
     return own.select("query_id", F.when(F.col("__p") >= 80, "High").when(F.col("__p") >= 50, "Medium").otherwise("Low").alias("label"), "percentage")
 
 

@@ -47,8 +47,8 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, w
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = [[] for _ in range(8 if with_ids else 7)]
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids, start = enc.encode(text) + end, 0
+            for doc, coded in zip(b["doc_id"].to_pylist(), enc.encode_all(b["text"].to_pylist()), strict=True):
+                ids, start = coded + end, 0
                 for k, stop in enumerate(cut_points(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * stop]
                     row = (doc, k, start, stop - start, zlib.crc32(own), task, nth[stop - start])

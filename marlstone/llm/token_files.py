@@ -125,8 +125,8 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, mode: str = "
             return out
 
         for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc, coded in zip(b["doc_id"].to_pylist(), enc.encode_all(b["text"].to_pylist()), strict=True):
+                ids = coded + end
                 while ids:
                     own, ids = ids[: 4 * (shard_ids - size)], ids[4 * (shard_ids - size) :]
                     held.append(own)

@@ -13,8 +13,11 @@ import json
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
@@ -85,15 +88,53 @@ class ByteLevelEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _odd(self, text: str) -> bool:
+        """Whether a text can't be cut at its blanks."""
+        return bool("  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text) or (self._special and self._special.search(text)))
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text) or (self._special and self._special.search(text)):
+        if self._odd(text):
             return self._whole(text)
         first, *rest = text.split(" ")
         return self._first[first] + b"".join(map(self._later.__getitem__, rest))
 
 
+    def encode_all(self, texts: list[str], most: int = 8 << 20) -> Iterator[bytes]:
+        """The ids of each text. Stretches are looked up once for about ``most`` characters of text, and put together by numpy."""
+        start = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= most or k == len(texts) - 1:
+                yield from self._encode_group(texts[start : k + 1])
+                start, size = k + 1, 0
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [self._whole(t) if self._odd(t) else None for t in texts]
+        plain = [k for k, x in enumerate(out) if x is None]
+        if not plain:
+            return out
+        cut = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        # A text's first stretch has no blank in front, so it has an entry of its own.
+        known = coded.dictionary.to_pylist()
+        first = bounds[:-1]
+        entries = [*map(self._later.__getitem__, known), *(self._first[known[k]] for k in at[first].tolist())]
+        at[first] = len(known) + np.arange(len(plain))
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        starts = np.cumsum(size) - size
+        held = size[at]
+        stop = np.cumsum(held)
+        ids = np.frombuffer(b"".join(entries), "<u4")[np.repeat(starts[at] - (stop - held), held) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.concatenate([[0], stop])[bounds]
+        for k, lo, hi in zip(plain, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = ids[lo:hi].tobytes()
+        return out
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ByteLevelEncoder:
     """One for each worker process."""

@@ -20,6 +20,8 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import Counter
 from typing import NamedTuple
 
@@ -31,17 +33,22 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 
 ORDER, SHARED, SLOTS, DISCOUNT = 5, 2, 1 << 20, 0.75
+#: The least probability of a character in any context.
+FLOOR = 1e-4
 _PAD, _END = "\x02", "\x03"
 _STRIP = ".,;:!?\"'()[]{}<>«»„“”…-–—*#$%&+=/\\|~^_`"
 N_FEATURES = 4
 
 
 class Model(NamedTuple):
-    """By order from SHARED + 1 to ORDER: for n-grams the discounted share in their context, for contexts the weight of what is below; columns toxic, ordinary."""
+    """By order from SHARED + 1 to ORDER: for n-grams the discounted share in their context, for contexts the weight of what is below.
 
-    shares: list[np.ndarray]
-    weights: list[np.ndarray]
-    base: np.ndarray  # probability by the shared orders
+    Kept as (slots, values with the columns toxic and ordinary), since most of the SLOTS are empty.
+    """
+
+    shares: list[tuple[np.ndarray, np.ndarray]]
+    weights: list[tuple[np.ndarray, np.ndarray]]
+    base: tuple[np.ndarray, np.ndarray]  # probability by the shared orders
     fit: np.ndarray  # intercept, then a weight for each feature
 
 
@@ -136,33 +143,33 @@ def fit_counts(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np
         context = level.groupBy(F.substring("g", 1, k - 1).alias("h")).agg(*[x for c in "to" for x in (F.sum(c).alias(f"n{c}"), F.count_if(F.col(c) > 0).alias(f"k{c}"))])
         share = lambda c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0)
         rows = level.join(context, F.substring(level["g"], 1, k - 1) == context["h"])
-        at, value = _collect(rows.select("g", share("t").alias("t"), share("o").alias("o")))
-        table = np.zeros((SLOTS, 2), np.float32)
-        table[at] = value
-        shares.append(table)
+        shares.append(_collect(rows.select("g", share("t").alias("t"), share("o").alias("o"))))
         weight = lambda c: F.when(F.col(f"n{c}") > 0, F.col(f"k{c}") * DISCOUNT / F.col(f"n{c}")).otherwise(1.0)
-        at, value = _collect(context.select(F.col("h").alias("g"), weight("t").alias("t"), weight("o").alias("o")))
-        table = np.ones((SLOTS, 2), np.float32)
-        table[at] = value
-        weights.append(table)
+        weights.append(_collect(context.select(F.col("h").alias("g"), weight("t").alias("t"), weight("o").alias("o"))))
         # One order down, a count is the number of distinct characters in front.
         level = level.groupBy(F.substring("g", 2, k - 1).alias("g")).agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
     level = level.select("g", (F.col("t") + F.col("o")).alias("n"))
     context = level.groupBy(F.substring("g", 1, SHARED - 1).alias("h")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     rows = level.join(context, F.substring(level["g"], 1, SHARED - 1) == context["h"])
     # Below the shared order all characters are alike.
-    floor = 1e-4
-    at, value = _collect(rows.select("g", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * floor) / F.col("total")).alias("p")))
-    base = np.full(SLOTS, floor, np.float32)
-    base[at] = np.maximum(value[:, 0], floor)
+    base = _collect(rows.select("g", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * FLOOR) / F.col("total")).alias("p")))
     return shares[::-1], weights[::-1], base
 
 
+def _dense(entries: tuple[np.ndarray, np.ndarray], empty: float) -> np.ndarray:
+    at, value = entries
+    out = np.full((SLOTS, value.shape[1]), empty, np.float32)
+    out[at] = value
+    return out
+
+
 class Scorer:
     """The features of texts; what a word says is remembered, in bounded memory."""
 
     def __init__(self, model: Model, limit: int = 600_000):
-        self.model, self.limit, self.index = model, limit, {}
+        self.limit, self.index = limit, {}
+        self.orders = [(_dense(a, 0), _dense(b, 1)) for a, b in zip(model.shares, model.weights, strict=True)]
+        self.base = np.maximum(_dense(model.base, FLOOR)[:, 0], np.float32(FLOOR))
         self.says, self.chars = np.empty(0), np.empty(0, np.int64)
 
     def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +187,8 @@ class Scorer:
         for k in range(ORDER - 1):
             inside[np.cumsum(whole) - whole + k] = False
         place = np.flatnonzero(inside)
-        p = np.repeat(self.model.base[at[SHARED - 1][place] & mask][:, None], 2, 1).astype(np.float64)
-        for k, (shares, weights) in enumerate(zip(self.model.shares, self.model.weights, strict=True), SHARED + 1):
+        p = np.repeat(self.base[at[SHARED - 1][place] & mask][:, None], 2, 1).astype(np.float64)
+        for k, (shares, weights) in enumerate(self.orders, SHARED + 1):
             p = shares[at[k - 1][place] & mask] + weights[at[k - 2][place - 1] & mask] * p
         total = np.concatenate([[0.0], np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))])
         stop = np.cumsum(size)
@@ -227,10 +234,10 @@ def _scorer(model) -> Scorer:
 
 
 class _Shared:
-    """A broadcast with an identity that reaches the workers."""
+    """A compressed broadcast with an identity that reaches the workers."""
 
     def __init__(self, spark, value):
-        self.held = spark.sparkContext.broadcast(value)
+        self.held = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(value), 1))
         self.id = self.held._jbroadcast.id() if self.held._jbroadcast is not None else id(value)
 
     def __getstate__(self):
@@ -241,7 +248,7 @@ class _Shared:
 
     @property
     def value(self):
-        return self.held.value
+        return pickle.loads(zlib.decompress(self.held.value))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -305,10 +312,9 @@ def score_texts(docs: DataFrame, model: Model | None, threshold: float = 0.7) ->
     own = own.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False)))
     if model is None:
         return own.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    held = _Shared(docs.sparkSession, model)
+    held, fit = _Shared(docs.sparkSession, model), model.fit
 
     def run(batches):
-        fit = held.value.fit
         for b in batches:
             x = _features(held, [t or "" for t in b["text"].to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(fit[0] + x @ fit[1:], -40, 40)))

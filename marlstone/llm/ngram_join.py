@@ -10,15 +10,16 @@ among the first n - o(n) + c of each, under whatever global order of all tokens
 1. Order 1 is by hash. Each set gives its prefix for c = (n - o(n)) * 5 // 8 + 1.
 2. Order 2 is by rarity: the number of classes that have a token in their prefix. Prefixes that share c tokens share one among all
    but the c - 1 commonest of either, so only those make a class a candidate; a common line or passage, however many documents hold
-   it, rarely is among them, and tokens of a single class leave at once.
-3. Order 3 is by another hash, for c = (n - o(n)) * 5 // 16 + 1: candidates must share c tokens of these prefixes as well.
+   it, rarely is among them, and tokens of a single class leave at once. Classes with such a token in common form a bucket.
+3. Order 3 is by another hash, for c = (n - o(n)) * 5 // 16 + 1: of the pairs that meet, only those that share c tokens of these
+   prefixes as well are verified.
 
-Only pairs that pass all of them, and the bound on sizes, are verified on the texts.
-
-No group is expanded into all of its pairs. Buckets (classes with a candidate token in common) of at most ``small`` classes are paired
-directly. In a larger one every class meets the bucket's first class; what links becomes one component, and buckets that lie in one
-component are done. The others repeat this with the first class outside that component, ``rounds`` times in all, and what is then
-left is joined in full between different components of a bucket, so that no link that joins components is lost.
+No pair travels or is written. A bucket's first class is its pivot, and the buckets with one pivot form a group, so that two classes
+with a token of order 2 in common are in a group together. The classes of a group are sorted by size and dealt into blocks of bounded
+size, and every two blocks whose sizes can link are one piece of work. First only the prefixes of order 3 travel, and classes without
+any partner leave the piece of work; then the texts of the others do. Both steps count shared tokens of all pairs of a piece of work
+at once, as products of 0/1 matrices. A piece of work gives out only the links of a spanning forest, so what comes out is never more
+than what went in, while every link that joins components is found.
 
 Defined results: a set without words is empty and links with nothing; rows with a null doc_id link as others do, and a component of
 them alone has a null component_id; rows that repeat a document are documents of their own; extra columns play no part; an empty
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -63,7 +64,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """doc_id, fp (of the text), n, c1 and c2 (of the set), and the prefixes p1 (6 bytes a token) and p3 (4 bytes) of every row."""
+    """doc_id, fp (of the text), n, c1 and c2 (of the set), and the prefixes p1 (6 bytes a token) and p3 (4 bytes) under orders 1 and 3 of every row."""
 
     def run(batches):
         memory = WordHashes()
@@ -73,11 +74,9 @@ def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 own = shingle_set(words_of(text), memory, size)
                 n = len(own)
                 short = n - need(n, percent)
-                first, third = own[: short + shared_first(n, percent)], mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
-                k = min(n, short + shared_third(n, percent))
-                third = np.sort(np.partition(third, k - 1)[:k]) if n else third
+                first, third = own[: short + shared_first(n, percent)], third_prefix(own, percent)
                 c1, c2 = (int(mix(own * np.uint64(a) + np.uint64(1)).sum(dtype=np.uint64)) for a in (1, 0xD6E8FEB86659FD93))
-                rows.append((n, c1 - (1 << 64) * (c1 >> 63), c2 - (1 << 64) * (c2 >> 63), first.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes(), third.astype("<u4").tobytes()))
+                rows.append((n, c1 - (1 << 64) * (c1 >> 63), c2 - (1 << 64) * (c2 >> 63), first.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes(), (third >> np.uint64(32)).astype("<u4").tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["fp"], *made], names=["doc_id", "fp", "n", "c1", "c2", "p1", "p3"])
@@ -130,71 +129,174 @@ def rarest(found: DataFrame, percent: int) -> DataFrame:
     return kept.where(F.col("k") + F.col("single") <= prefix - least_shared + 1).select("token", "id", "n")
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
-
-
-def bucket_sizes(kept: DataFrame) -> DataFrame:
-    return kept.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("pivot")).where("held > 1")
-
-
-def pairs_of_small(kept: DataFrame, sizes: DataFrame, small: int, percent: int) -> DataFrame:
-    own = kept.join(sizes.where(F.col("held") <= small).select("token"), "token")
-    a, b = own.select("token", F.col("id").alias("a"), F.col("n").alias("na")), own.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    return a.join(b, "token").where(F.col("a") < F.col("b")).where(_fits(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-
-def pairs_with_pivot(large: DataFrame, percent: int) -> DataFrame:
-    """Each class of a bucket with the bucket's pivot; ``large`` has token, id, n, pivot."""
-    own = large.where("id <> pivot")
-    heads = large.where("id = pivot").select("token", F.col("n").alias("np"))
-    met = own.join(heads, "token").where(_fits(F.col("n"), F.col("np"), percent))
-    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-
-
 def only(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
     """The rows that have one of ``keys``, found before the rows are shuffled if the keys are few enough to be broadcast."""
     keys = materialize(keys.distinct(), "keys")
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, on, "left_semi")
 
 
-def shared_in_third(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs that share enough under order 3, with what tells where their texts are."""
+def groups(kept: DataFrame) -> DataFrame:
+    """g, id, n: the classes that may link, by the first class of their buckets."""
+    sizes = kept.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("g")).where("held > 1")
+    return kept.join(materialize(sizes.select("token", "g"), "buckets"), "token").select("g", "id", "n").distinct()
+
+
+def work(grouped: DataFrame, percent: int, block_classes: int, block_tokens: int) -> DataFrame:
+    """g, i, j, side, id: each class once for each pair of blocks (i, j) that it has a part in, on side 0, 1 or, for i = j, 0 alone."""
+    w = Window.partitionBy("g").orderBy("n", "id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    tokens = F.coalesce(F.sum("n").over(before), F.lit(0))
+    dealt = materialize(grouped.select("g", "id", "n", (F.floor((F.row_number().over(w) - 1) / block_classes) + F.floor(tokens / block_tokens)).alias("block")), "blocks")
+    blocks = dealt.groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a = blocks.select("g", F.col("block").alias("i"), F.col("hi").alias("hi"))
+    b = blocks.select("g", F.col("block").alias("j"), F.col("lo").alias("lo"))
+    met = a.join(b, "g").where((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo") * percent)).select("g", "i", "j")
+    sides = met.select("g", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("x"))
+    return dealt.join(sides.select("g", "i", "j", "x.side", "x.block"), ["g", "block"]).select("g", "i", "j", "side", "id")
+
+
+def third_prefix(own: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set under order 3."""
+    n = len(own)
+    k = min(n, n - need(n, percent) + shared_third(n, percent))
+    order = mix(own ^ np.uint64(0x5851F42D4C957F2D))
+    return own[np.argpartition(order, k - 1)[:k]] if k < n else own
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many tokens each set of ``a`` shares with each of ``b``: products of 0/1 matrices, so many tokens at a time."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def places(sets, flat):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, flat)
+        hit = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == flat)
+        return row[hit], at[hit]
+
+    if len(common):
+        (ra, ca), (rb, cb) = places(a, flat_a), places(b, flat_b)
+        for k in range(0, len(common), columns):
+            wide = min(columns, len(common) - k)
+            parts = []
+            for n, r, c in (len(a), ra, ca), (len(b), rb, cb):
+                own = (c >= k) & (c < k + wide)
+                m = np.zeros((n, wide), np.float32)
+                m[r[own], c[own] - k] = 1
+                parts.append(m)
+            out += parts[0] @ parts[1].T
+    return out
+
+
+def may_link(thirds: list[np.ndarray], size: np.ndarray, own: list[int], other: list[int], percent: int, lost: np.ndarray | int = 0) -> np.ndarray:
+    """Which pairs pass order 3 and the bound on sizes; of the pairs within one side, one of each two.
+
+    ``lost`` is how many tokens of each prefix fell together when they were shortened, which the pair then need not share.
+    """
+    na, nb = size[own][:, None], size[other][None, :]
+    ask = np.array([shared_third(int(n), percent) for n in size]) - lost
+    may = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+    may &= shared_counts([thirds[k] for k in own], [thirds[k] for k in other]) >= np.minimum(ask[own][:, None], ask[other][None, :])
+    if other is own:
+        may &= np.tri(len(own), k=-1, dtype=bool)
+    return may
+
+
+def sides_of(sides: list[int]) -> tuple[list[int], list[int]]:
+    own = [k for k, s in enumerate(sides) if s == 0]
+    return own, [k for k, s in enumerate(sides) if s == 1] or own
+
+
+def linking(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between side 0 and side 1, or within side 0 if there is no other."""
+    own, other = sides_of(sides)
+    if not own:
+        return []
+    size = np.array([len(s) for s in sets])
+    may = may_link([third_prefix(s, percent) for s in sets], size, own, other, percent)
+    rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(rows):
+        return []
+    na, nb = size[own][rows][:, None], size[other][cols][None, :]
+    same = shared_counts([sets[own[k]] for k in rows], [sets[other[k]] for k in cols])
+    x, y = np.nonzero(may[np.ix_(rows, cols)] & (same * 100 >= (na + nb - same) * percent))
+    up = list(range(len(sets)))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    out = []
+    for i, j in zip(rows[x].tolist(), cols[y].tolist(), strict=True):
+        a, b = own[i], other[j]
+        if (ra := root(a)) != (rb := root(b)):
+            up[ra] = rb
+            out.append((a, b))
+            if len(out) == len(sets) - 1:
+                break
+    return out
+
+
+def by_piece(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows dealt out and sorted by piece of work: g, i, j, side, id and what they carry."""
+    flat = rows.select("g", "i", "j", "side", "id", payload)
+    return flat.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id")
+
+
+def pieces(batches, payload: str):
+    """The pieces of work of a sorted partition: key, ids, sides and what the classes carry; a class that comes twice counts once."""
+    key, ids, sides, held = None, [], [], []
+    for b in batches:
+        for g, i, j, side, k, x in zip(*(b[c].to_pylist() for c in ("g", "i", "j", "side", "id", payload)), strict=True):
+            if (g, i, j) != key:
+                if len(ids) > 1:
+                    yield key, ids, sides, held
+                key, ids, sides, held = (g, i, j), [], [], []
+            if not (ids and ids[-1] == k and sides[-1] == side):
+                ids.append(k)
+                sides.append(side)
+                held.append(x)
+    if len(ids) > 1:
+        yield key, ids, sides, held
+
+
+def with_partners(todo: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``todo`` whose class has a partner under order 3 in the piece of work."""
 
     def run(batches):
-        for b in batches:
-            keep = []
-            for na, nb, x, y in zip(*(b[c].to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
-                same = np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=False)
-                keep.append(len(same) >= min(shared_third(na, percent), shared_third(nb, percent)))
-            names = ["a", "b", "da", "fa", "db", "fb"]
-            yield pa.RecordBatch.from_arrays([b[c].filter(pa.array(keep, pa.bool_())) for c in names], names=names)
-
-    side = lambda s: own.select(F.col("id").alias(s), F.col("least").alias(f"d{s}"), F.col("fp").alias(f"f{s}"), F.col("n").alias(f"n{s}"), F.col("p3").alias(f"x{s}"))
-    own = only(own, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), ["id"])
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.mapInArrow(run, "a bigint, b bigint, da bigint, fa bigint, db bigint, fb bigint")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b: the pairs that link. ``docs`` has __d, __f and text."""
+        for (g, i, j), ids, sides, held in pieces(batches, "x"):
+            mine, other = sides_of(sides)
+            if not mine:
+                continue
+            # The size comes in front of the prefix.
+            size = np.array([int.from_bytes(x[:8], "big") for x in held])
+            thirds = [np.unique(np.frombuffer(x, "<u4", offset=8)) for x in held]
+            lost = np.array([(len(x) - 8) // 4 - len(t) for x, t in zip(held, thirds, strict=True)])
+            may = may_link(thirds, size, mine, other, percent, lost)
+            keep = sorted({mine[k] for k in np.flatnonzero(may.any(1))} | {other[k] for k in np.flatnonzero(may.any(0))})
+            if keep:
+                cols = [[g] * len(keep), [i] * len(keep), [j] * len(keep), [sides[k] for k in keep], [ids[k] for k in keep]]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["g", "i", "j", "side", "id"])
+
+    carried = own.select("id", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "p3").alias("x"))
+    carried = only(carried, todo.select("id"), ["id"])
+    return by_piece(todo.join(carried, "id"), "x").mapInArrow(run, "g bigint, i bigint, j bigint, side int, id bigint")
+
+
+def links_of(todo: DataFrame, percent: int, size: int) -> DataFrame:
+    """a, b: links out of ``todo(g, i, j, side, id, text)``; each (g, i, j) is one piece of work of bounded size."""
 
     def run(batches):
-        memory, last, own = WordHashes(), None, None
-        for b in batches:
-            keep = []
-            for k, ta, tb in zip(*(b[c].to_pylist() for c in ("b", "ta", "tb")), strict=True):
-                if k != last:
-                    last, own = k, shingle_set(words_of(tb), memory, size)
-                other = shingle_set(words_of(ta), memory, size)
-                same = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * same >= percent * (len(own) + len(other) - same))
-            yield pa.RecordBatch.from_arrays([b[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+        memory = WordHashes()
+        for _, ids, sides, texts in pieces(batches, "text"):
+            found = linking([shingle_set(words_of(t), memory, size) for t in texts], sides, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in c], pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    side = lambda s: docs.select(F.col("__d").alias(f"d{s}"), F.col("__f").alias(f"f{s}"), F.col("text").alias(f"t{s}"))
-    docs = only(docs, pairs.select(F.col("da").alias("__d"), F.col("fa").alias("__f")).union(pairs.select("db", "fb")), ["__d", "__f"])
-    met = pairs.join(side("a"), ["da", "fa"]).join(side("b"), ["db", "fb"])
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return by_piece(todo, "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,48 +328,23 @@ def labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, small: int = 8, rounds: int = 2) -> DataFrame:
+def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, block_classes: int, block_tokens: int) -> DataFrame:
     """a, b: links that join the classes ``own`` to the components of all links."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("__d"), F.xxhash64(text_or_empty()).alias("__f"), text_or_empty().alias("text"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        passed = materialize(shared_in_third(materialize(pairs.distinct(), "pairs"), own, percent), "pairs")
-        # Rows that repeat a document bring its text twice; any of them serves, and the links are made distinct.
-        return materialize(verified(passed, keyed, percent, size), "links")
-
     kept = materialize(rarest(postings(own), percent), "candidate-tokens")
-    sizes = bucket_sizes(kept)
-    large = materialize(kept.join(sizes.where(F.col("held") > small).select("token", "pivot"), "token"), "large-buckets")
-    links = check(pairs_of_small(kept, sizes, small, percent).unionByName(pairs_with_pivot(large, percent)))
-    for k in range(rounds):
-        if large.isEmpty():
-            break
-        # Buckets of one component are done; in the others the pivot is the first class outside the component of the last one.
-        now = labelled(large.drop("comp", "pivot"), components(links))
-        over = now.groupBy("token").agg(F.min(F.struct("comp", "id")).alias("lead"), F.max("comp").alias("hi")).where("hi > lead.comp")
-        now = now.join(over.select("token", F.col("lead.comp").alias("lead")), "token")
-        pivots = now.where("comp <> lead").groupBy("token").agg(F.min("id").alias("pivot"))
-        large = materialize(now.drop("lead").join(pivots, "token"), "large-buckets")
-        heads = large.where("id = pivot").select("token", F.col("comp").alias("cp"), F.col("n").alias("np"))
-        if k < rounds - 1:
-            met = large.join(heads, "token").where("comp <> cp").where(_fits(F.col("n"), F.col("np"), percent))
-            found = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        else:
-            lead = large.groupBy("token").agg(F.min("comp").alias("lead"))
-            few = large.join(lead, "token").where("comp <> lead").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            rest = large.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            met = few.join(rest, "token").where("ca <> cb").where(_fits(F.col("na"), F.col("nb"), percent))
-            found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = materialize(links.unionByName(check(found)), "links")
-    return links
+    todo = materialize(work(groups(kept), percent, block_classes, block_tokens), "work")
+    todo = materialize(with_partners(todo, own, percent), "work")
+    held = only(own.select("id", F.col("least").alias("__d"), F.col("fp").alias("__f")), todo.select("id"), ["id"])
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("__d"), F.xxhash64(text_or_empty()).alias("__f"), text_or_empty().alias("text"))
+    texts = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).join(held, ["__d", "__f"]).select("id", "text")
+    return materialize(links_of(todo.join(texts, "id"), percent, size), "links")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, small: int = 8, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, block_classes: int = 2048, block_tokens: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (of its text), n_shingles, component_id and comp, which tells components apart."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, percent, size), "signatures")
     own = materialize(classes(signed), "classes")
-    comps = components(find_links(own, docs, percent, size, small, rounds))
+    comps = components(find_links(own, docs, percent, size, block_classes, block_tokens))
     member = labelled(own.select("id", "least", "n", "c1", "c2"), comps)
     least = member.groupBy("comp").agg(F.min("least").alias("component_id"))
     member = member.join(least, "comp").select("n", "c1", "c2", "comp", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"))

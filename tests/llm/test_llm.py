@@ -134,7 +134,7 @@ def near_copies(seed):
     return [(k, t, "l", "c", "c", 7, "c") for k, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("percent", "size", "how"), [(90, 3, {}), (80, 5, {"block_classes": 7}), (90, 3, {"most": 10, "block_classes": 5, "block_tokens": 900})])
+@pytest.mark.parametrize(("percent", "size", "how"), [(90, 3, {}), (80, 5, {"block_classes": 7}), (90, 3, {"block_classes": 5, "block_tokens": 900})])
 def test_jaccard_components(spark, rows, percent, size, how):
     data = rows + [(d + 1000, *r) for d, *r in near_copies(7)]
     made = spark.createDataFrame(data, DOCS).repartition(4)

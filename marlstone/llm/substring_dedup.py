@@ -190,7 +190,8 @@ def count_hot(packed: DataFrame, size: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, size: int, most: int) -> DataFrame:
     """__id, __fp, first, end: words of keyed documents that repeated windows cover; ranges may touch or overlap."""
     spans = materialize(find_super_kmers(docs, size), "super-kmers")
-    shared = spans.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m", (F.col("times") > most).alias("hot"))
+    # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot minimiser.
+    shared = materialize(spans.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m", (F.col("times") > most).alias("hot")), "shared")
     packed = materialize(pack(docs, spans.join(shared, "m"), size), "packed")
     found = count_buckets(packed.where("NOT hot").drop("hot"), size)
     if packed.where("hot").isEmpty():
@@ -208,11 +209,11 @@ def covered(found: list[dict] | None, n: int) -> np.ndarray:
 
 
 def _with_ranges(docs: DataFrame, size: int, most: int) -> DataFrame:
-    by_doc = repeated_ranges(docs.select("__id", "__fp", "text"), size, most).groupBy("__id", "__fp").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))
+    by_doc = repeated_ranges(docs.select("__id", "__fp", text_or_empty().alias("text")), size, most).groupBy("__id", "__fp").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))
     return docs.join(by_doc, ["__id", "__fp"], "left")
 
 
-def substring_dedup(docs: DataFrame, size: int = 35, most: int = 4096) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 35, most: int = 20_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by single blanks)."""
 
     def run(batches):
@@ -230,7 +231,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, most: int = 4096) -> DataFr
     return own.select("doc_id", "text", "__ranges").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def dedup_texts(docs: DataFrame, size: int = 35, most: int = 4096) -> DataFrame:
+def dedup_texts(docs: DataFrame, size: int = 35, most: int = 20_000) -> DataFrame:
     """``docs`` without the repeated words; a text that loses any is its kept words joined by single blanks, others stay as they are."""
 
     def run(batches):

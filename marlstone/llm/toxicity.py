@@ -276,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) ->
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     fold = remainder().cast("int").alias("fold")
-    counted = texts.withColumn("fold", fold).where("fold <> 1").join(known.where(remainder() != 1), "doc_id")
+    # Shuffled at every size, so that a small set of labels makes no other plan than a large one.
+    counted = texts.withColumn("fold", fold).where("fold <> 1").join(known.where(remainder() != 1).hint("merge"), "doc_id")
     words = materialize(word_counts(counted), "toxic-words")
     made = []
     for t, o in ("t0", "o0"), ("t0 + t2", "o0 + o2"):

@@ -64,7 +64,7 @@ def recipes(docs: DataFrame, shared: list[int] | DataFrame | None, bits: int = 6
 
 
 def verified_recipes(docs: DataFrame, bits: int = 64, max_shared: int = 10_000, **sizes: int) -> DataFrame:
-    """The recipes of all rows, written to the shared folder.
+    """The recipes of all rows.
 
     Runs one job to verify the chunk hashes. Should more than ``max_shared`` hashes be shared by different chunks, every
     identifier is a SHA-256, so that the list of them need not travel to the tasks.
@@ -76,16 +76,17 @@ def verified_recipes(docs: DataFrame, bits: int = 64, max_shared: int = 10_000,
         made = norm.select("doc_id", "__len", F.sha2("__norm", 256).alias("text_sha256"), F.transform(chunks(F.col("__norm"), **sizes), lambda c: F.sha2(c, 256)).alias("recipe"))
     else:
         made = recipes(own, [r["h"] for r in found], bits, **sizes)
-    return materialize(made.withColumn("__by", F.coalesce("doc_id", F.lit(_LAST))), "recipes")
+    return made.withColumn("__by", F.coalesce("doc_id", F.lit(_LAST)))
 
 
 def _decided(made: DataFrame) -> tuple[DataFrame, Column]:
     """Distinct (doc_id, text) with what stays of their group, and whether it is this one."""
     # Rows that repeat a document become one row with their number, so that one of them can stay.
-    rows = made.groupBy("recipe", "text_sha256", "__len", "__by", "doc_id").agg(F.count(F.lit(1)).alias("__times"))
+    rows = materialize(made.groupBy("recipe", "text_sha256", "__len", "__by", "doc_id").agg(F.count(F.lit(1)).alias("__times")), "recipes")
     best = F.max(F.struct(F.col("__len").alias("l"), (-F.col("__by")).alias("b")))
     keep = rows.groupBy("recipe").agg(best.alias("__best"), F.sum("__times").alias("group_size"))
-    keep = keep.select(F.col("recipe").alias("__recipe"), "group_size", F.col("__best.l").alias("__best_len"), (-F.col("__best.b")).alias("__best_by"))
+    # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot group.
+    keep = materialize(keep.select(F.col("recipe").alias("__recipe"), "group_size", F.col("__best.l").alias("__best_len"), (-F.col("__best.b")).alias("__best_by")), "keepers")
     rows = rows.join(keep, rows["recipe"] == keep["__recipe"])
     return rows, (F.col("__len") == F.col("__best_len")) & (F.col("__by") == F.col("__best_by"))
 

@@ -18,7 +18,6 @@ columns play no part; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import text_or_empty
+from .common import resident, text_or_empty
 from .token_ids import _SETTLED, byte_letters
 
 #: The pre-tokenizer's pattern (a fixed value of the public vocabulary).
@@ -131,10 +130,9 @@ class FragmentCoder:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> FragmentCoder:
     """One for each worker process."""
-    return FragmentCoder(path)
+    return resident(("fragments", path), lambda: FragmentCoder(path))
 
 
 def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:

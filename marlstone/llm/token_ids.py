@@ -8,7 +8,6 @@ hold a special token's string, go through the library as a whole. The memory for
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import sys
@@ -22,6 +21,8 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
+from .common import resident
+
 #: Every character that is white space to the pre-tokenizer or to Python, but for blank and line feed.
 _ODD_SPACE = re.compile("[%s]" % "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -135,7 +136,6 @@ class ByteLevelEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ByteLevelEncoder:
     """One for each worker process."""
-    return ByteLevelEncoder(path)
+    return resident(("bytes", path), lambda: ByteLevelEncoder(path))

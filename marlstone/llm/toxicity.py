@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, resident, text_or_empty
 
 ORDER, SHARED, SLOTS, DISCOUNT = 5, 2, 1 << 20, 0.75
 #: The least probability of a character in any context.
@@ -166,7 +166,7 @@ def _dense(entries: tuple[np.ndarray, np.ndarray], empty: float) -> np.ndarray:
 class Scorer:
     """The features of texts; what a word says is remembered, in bounded memory."""
 
-    def __init__(self, model: Model, limit: int = 600_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         self.limit, self.index = limit, {}
         self.orders = [(_dense(a, 0), _dense(b, 1)) for a, b in zip(model.shares, model.weights, strict=True)]
         self.base = np.maximum(_dense(model.base, FLOOR)[:, 0], np.float32(FLOOR))
@@ -222,15 +222,9 @@ def _features(model, texts: list[str]) -> np.ndarray:
     return np.concatenate([scorer.features(texts[k : k + 500]) for k in range(0, len(texts), 500)] or [np.empty((0, N_FEATURES))])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(model) -> Scorer:
     """One for each broadcast model and worker process."""
-    if model.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.id] = Scorer(model.value)
-    return _SCORERS[model.id]
+    return resident(("toxicity", model.id), lambda: Scorer(model.value))
 
 
 class _Shared:

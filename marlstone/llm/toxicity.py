@@ -9,8 +9,13 @@ together. A logistic fit turns them into a score.
 
 Fitting uses labelled rows whose ``crc32(doc_id as text) mod 3`` is not 1. The logistic fit compares rows of remainder 2 (at most
 ``calibration_rows`` of them, the first by hash of doc_id) by models whose counts come from remainder 0 alone, so that it sees texts
-that the counts do not know; the models that score have the counts of all rows of both remainders. Counting is distributed: word counts by class first, n-grams from the distinct words. What the tasks
-get is a table of ``SLOTS`` hashed slots an order, whatever the corpus; the n-grams of a slot share its entry.
+that the counts do not know; the models that score have the counts of all rows of both remainders. Counting is distributed: word
+counts by class first, n-grams from the distinct words. A model is tables of n-grams and contexts, as many as were counted.
+
+Scoring joins with these tables under the n-grams themselves: distinct n-grams of words, then distinct words, then texts. What
+nearly every text asks for comes first to the tasks, so that it is not joined: the likelihoods of the ``COMMON_GRAMS`` most counted
+n-grams and the words that ``COMMON_WORDS`` names, exact like all others. Likelihoods are whole billionths, so that sums do not
+depend on an order.
 
 Defined results: a null or empty text (or one without words) has all features 0 and so the score that the fit gives them; a null
 doc_id is not held out and never trains; conflicting labels count as toxic; repeated rows are scored one by one; with no labelled
@@ -23,16 +28,21 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, resident, text_or_empty
 
-ORDER, SHARED, SLOTS, DISCOUNT = 5, 2, 1 << 20, 0.75
+ORDER, SHARED, DISCOUNT = 5, 2, 0.75
+#: How many of the most counted n-grams and words the tasks hold; all others are joined.
+COMMON_GRAMS, COMMON_WORDS = 300_000, 200_000
+#: Log-likelihoods are whole numbers of this part.
+UNIT = 1e9
 #: The least probability of a character in any context.
 FLOOR = 1e-4
 _PAD, _END = "\x02", "\x03"
@@ -40,53 +50,42 @@ _STRIP = ".,;:!?\"'()[]{}<>«»„“”…-–—*#$%&+=/\\|~^_`"
 N_FEATURES = 4
 
 
-class Model(NamedTuple):
-    """By order from SHARED + 1 to ORDER: for n-grams the discounted share in their context, for contexts the weight of what is below.
-
-    Kept as (slots, values with the columns toxic and ordinary), since most of the SLOTS are empty.
-    """
-
-    shares: list[tuple[np.ndarray, np.ndarray]]
-    weights: list[tuple[np.ndarray, np.ndarray]]
-    base: tuple[np.ndarray, np.ndarray]  # probability by the shared orders
-    fit: np.ndarray  # intercept, then a weight for each feature
-
+class _Shared:
+    """A compressed broadcast with an identity that reaches the workers."""
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    def __init__(self, spark, value):
+        self.held = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(value), 1))
+        self.id = self.held._jbroadcast.id() if self.held._jbroadcast is not None else id(value)
 
+    def __getstate__(self):
+        return {"held": self.held, "id": self.id}
 
-def _grams(word: str) -> list[str]:
-    padded = _PAD * (ORDER - 1) + word + _END
-    return [padded[k : k + ORDER] for k in range(len(word) + 1)]
+    def __setstate__(self, state):
+        self.__dict__.update(state)
 
+    @property
+    def value(self):
+        return pickle.loads(zlib.decompress(self.held.value))
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return h ^ (h >> np.uint32(16))
 
+class Model(NamedTuple):
+    """By order from SHARED + 1 to ORDER: for n-grams (g) the discounted share in their context, for contexts (h) the weight of what is below."""
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    shares: list[DataFrame]  # g, t, o
+    weights: list[DataFrame]  # h, t, o
+    base: DataFrame  # g, p: probability by the shared orders
+    grams: _Shared  # the most counted n-grams: what they say
+    words: _Shared | None  # the most counted words: what they say
+    fit: np.ndarray | None  # intercept, then a weight for each feature
 
 
-def hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
-    """The hash of the k characters that end at each place, for k from 1 to ``order``; the first k - 1 places have none."""
-    out = [_mix(chars)]
-    for _ in range(order - 1):
-        before = np.empty_like(chars)
-        before[:1], before[1:] = 0, out[-1][:-1]
-        out.append(_mix(before * np.uint32(31) + chars))
-    return out
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
 
 
-def slots(grams: list[str]) -> np.ndarray:
-    """The slots of n-grams of one length."""
-    if not grams:
-        return np.empty(0, np.int32)
-    n = len(grams[0])
-    return (hashes(codes("".join(grams)), n)[-1][n - 1 :: n] & np.uint32(SLOTS - 1)).astype(np.int32)
+def _grams(word: str) -> list[str]:
+    padded = _PAD * (ORDER - 1) + word + _END
+    return [padded[k : k + ORDER] for k in range(len(word) + 1)]
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -123,126 +122,152 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "g string, t bigint, o bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram slots, values): rows hashed and pre-aggregated by slot in the tasks, so that at most SLOTS rows reach the driver."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(b["g"].to_pylist())), *(b[c] for c in b.schema.names[1:])], names=["slot", *b.schema.names[1:]])
-
-    values = [c for c in df.columns if c != "g"]
-    found = df.select("g", *values).mapInArrow(run, "slot int, " + ", ".join(f"{c} double" for c in values))
-    got = found.groupBy("slot").agg(*[F.max(c).alias(c) for c in values]).toArrow()
-    return got["slot"].to_numpy(), np.stack([got[c].to_numpy() for c in values], 1).astype(np.float32)
-
-
-def fit_counts(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def fit_counts(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """The Kneser-Ney tables out of counts of n-grams of the highest order."""
     shares, weights, level = [], [], grams
     for k in range(ORDER, SHARED, -1):
         context = level.groupBy(F.substring("g", 1, k - 1).alias("h")).agg(*[x for c in "to" for x in (F.sum(c).alias(f"n{c}"), F.count_if(F.col(c) > 0).alias(f"k{c}"))])
         share = lambda c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0)
         rows = level.join(context, F.substring(level["g"], 1, k - 1) == context["h"])
-        shares.append(_collect(rows.select("g", share("t").alias("t"), share("o").alias("o"))))
+        shares.append(materialize(rows.select("g", share("t").alias("t"), share("o").alias("o")), "toxic-shares"))
         weight = lambda c: F.when(F.col(f"n{c}") > 0, F.col(f"k{c}") * DISCOUNT / F.col(f"n{c}")).otherwise(1.0)
-        weights.append(_collect(context.select(F.col("h").alias("g"), weight("t").alias("t"), weight("o").alias("o"))))
+        weights.append(materialize(context.select("h", weight("t").alias("t"), weight("o").alias("o")), "toxic-weights"))
         # One order down, a count is the number of distinct characters in front.
         level = level.groupBy(F.substring("g", 2, k - 1).alias("g")).agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
     level = level.select("g", (F.col("t") + F.col("o")).alias("n"))
     context = level.groupBy(F.substring("g", 1, SHARED - 1).alias("h")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     rows = level.join(context, F.substring(level["g"], 1, SHARED - 1) == context["h"])
     # Below the shared order all characters are alike.
-    base = _collect(rows.select("g", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * FLOOR) / F.col("total")).alias("p")))
-    return shares[::-1], weights[::-1], base
-
-
-def _dense(entries: tuple[np.ndarray, np.ndarray], empty: float) -> np.ndarray:
-    at, value = entries
-    out = np.full((SLOTS, value.shape[1]), empty, np.float32)
-    out[at] = value
-    return out
-
-
-class Scorer:
-    """The features of texts; what a word says is remembered, in bounded memory."""
-
-    def __init__(self, model: Model, limit: int = 400_000):
-        self.limit, self.index = limit, {}
-        self.orders = [(_dense(a, 0), _dense(b, 1)) for a, b in zip(model.shares, model.weights, strict=True)]
-        self.base = np.maximum(_dense(model.base, FLOOR)[:, 0], np.float32(FLOOR))
-        self.says, self.chars = np.empty(0), np.empty(0, np.int64)
-
-    def compare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Toxic less ordinary log-likelihood of each word, and its characters with its end (none: nothing is left of it)."""
-        own = [w.strip(_STRIP) for w in words]
-        size = np.array([len(w) + 1 if w else 0 for w in own], np.int64)
-        lead = _PAD * (ORDER - 1)
-        chars = codes("".join(f"{lead}{w}{_END}" for w in own if w))
-        if not len(chars):
-            return np.zeros(len(own)), size
-        at = hashes(chars, ORDER)
-        mask = np.uint32(SLOTS - 1)
-        whole = size[size > 0] + ORDER - 1
-        inside = np.ones(len(chars), bool)
-        for k in range(ORDER - 1):
-            inside[np.cumsum(whole) - whole + k] = False
-        place = np.flatnonzero(inside)
-        p = np.repeat(self.base[at[SHARED - 1][place] & mask][:, None], 2, 1).astype(np.float64)
-        for k, (shares, weights) in enumerate(self.orders, SHARED + 1):
-            p = shares[at[k - 1][place] & mask] + weights[at[k - 2][place - 1] & mask] * p
-        total = np.concatenate([[0.0], np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))])
-        stop = np.cumsum(size)
-        return total[stop] - total[stop - size], size
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """One row for each text: difference per character, the most telling word in full and per character, the best three words."""
-        found = [words_of(t) for t in texts]
-        flat = [w for own in found for w in own]
-        new = list(set(flat) - self.index.keys())
-        if len(self.index) + len(new) > self.limit:
-            self.index, self.says, self.chars, new = {}, np.empty(0), np.empty(0, np.int64), list(set(flat))
-        if new:
-            said, chars = self.compare(new)
-            self.index.update(zip(new, range(len(self.says), len(self.says) + len(new)), strict=True))
-            self.says, self.chars = np.concatenate([self.says, said]), np.concatenate([self.chars, chars])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        out, stop = np.zeros((len(texts), N_FEATURES)), 0
-        for row, own in zip(out, found, strict=True):
-            start, stop = stop, stop + len(own)
-            if own:
-                said, chars = self.says[at[start:stop]], self.chars[at[start:stop]]
-                top = np.argpartition(said, max(0, len(said) - 3))[-3:]
-                best = np.maximum(said[top], 0)
-                row[:] = said.sum() / max(1, chars.sum()), said[top].max(), (said[top] / np.maximum(chars[top], 1)).max(), best.sum()
-        return out
-
-
-def _features(model, texts: list[str]) -> np.ndarray:
-    scorer = _scorer(model)
-    return np.concatenate([scorer.features(texts[k : k + 500]) for k in range(0, len(texts), 500)] or [np.empty((0, N_FEATURES))])
-
-
-def _scorer(model) -> Scorer:
-    """One for each broadcast model and worker process."""
-    return resident(("toxicity", model.id), lambda: Scorer(model.value))
+    base = rows.select("g", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * FLOOR) / F.col("total")).alias("p"))
+    return shares[::-1], weights[::-1], materialize(base, "toxic-base")
 
 
-class _Shared:
-    """A compressed broadcast with an identity that reaches the workers."""
+def likelihoods(grams: DataFrame, model: Model) -> DataFrame:
+    """g, said: toxic less ordinary log-likelihood of the last character of the distinct n-grams ``grams`` of the highest order."""
 
-    def __init__(self, spark, value):
-        self.held = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(value), 1))
-        self.id = self.held._jbroadcast.id() if self.held._jbroadcast is not None else id(value)
+    def tail(k: int) -> DataFrame:
+        return grams.select(F.substring("g", ORDER - k + 1, k).alias("g")).distinct()
 
-    def __getstate__(self):
-        return {"held": self.held, "id": self.id}
+    p = F.greatest(F.coalesce("p", F.lit(FLOOR)), F.lit(FLOOR))
+    level = tail(SHARED).join(model.base, "g", "left").select("g", p.alias("pt"), p.alias("po"))
+    for k, (shares, weights) in enumerate(zip(model.shares, model.weights, strict=True), SHARED + 1):
+        own = (tail(k) if k < ORDER else grams).withColumns({"h": F.substring("g", 1, k - 1), "low": F.substring("g", 2, k - 1)})
+        own = own.join(shares, "g", "left").withColumnsRenamed({"t": "st", "o": "so"})
+        own = own.join(weights, "h", "left").join(level.withColumnRenamed("g", "low"), "low")
+        mixed = lambda c: (F.coalesce(f"s{c}", F.lit(0.0)) + F.coalesce(c, F.lit(1.0)) * F.col(f"p{c}")).alias(f"p{c}")
+        level = own.select("g", mixed("t"), mixed("o"))
+    return level.select("g", F.round((F.log("pt") - F.log("po")) * UNIT).cast("bigint").alias("said"))
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
 
-    @property
-    def value(self):
-        return pickle.loads(zlib.decompress(self.held.value))
+def _held(rows: DataFrame, key: str) -> _Shared:
+    """A broadcast of what the keys of a table of bounded size say."""
+    got = rows.select(key, "said").toArrow()
+    return _Shared(rows.sparkSession, (got[key].to_pylist(), got["said"].to_numpy()))
+
+
+def _known(held: _Shared) -> dict[str, int]:
+    return resident(("toxic-known", held.id), lambda: dict(zip(held.value[0], held.value[1].tolist(), strict=True)))
+
+
+def score_words(words: DataFrame, model: Model) -> DataFrame:
+    """word, said: toxic less ordinary log-likelihood of the distinct words ``words``."""
+    held = model.grams
+
+    def run(batches):
+        known = _known(held)
+        for b in batches:
+            total, rest = [], []
+            for word in b["word"].to_pylist():
+                grams = _grams(word)
+                said = [known.get(g) for g in grams]
+                rest.append([g for g, x in zip(grams, said, strict=True) if x is None])
+                total.append(sum(x for x in said if x is not None))
+            yield pa.RecordBatch.from_arrays([b["word"], pa.array(total, pa.int64()), pa.array(rest, pa.list_(pa.string()))], names=["word", "total", "rest"])
+
+    part = materialize(words.select("word").mapInArrow(run, "word string, total bigint, rest array<string>"), "toxic-word-parts")
+    rest = part.select("word", F.explode("rest").alias("g"))
+    grams = materialize(rest.select("g").distinct(), "toxic-rest-grams")
+    if grams.isEmpty():
+        return part.select("word", F.col("total").alias("said"))
+    # Plain exchanges on both sides: an n-gram of many words is split.
+    more = rest.join(likelihoods(grams, model).hint("merge"), "g").groupBy("word").agg(F.sum("said").alias("more"))
+    return part.where("size(rest) = 0").select("word", F.col("total").alias("said")).unionByName(part.where("size(rest) > 0").join(more, "word").select("word", (F.col("total") + F.col("more")).alias("said")))
+
+
+def read_words(texts: list[str], known: dict[str, int], memory: dict, limit: int = 300_000) -> pa.StructArray:
+    """What is known of texts: total, chars (of all words, with their ends), top (the three most telling known words) and rest (the other words)."""
+    found = [words_of(t) for t in texts]
+    flat = list(chain.from_iterable(found))
+    new = set(flat) - memory.keys()
+    if len(memory) + len(new) > limit:
+        memory.clear()
+        new = set(flat)
+    for w in new:
+        own = w.strip(_STRIP)
+        # What it says, its characters with its end (none: nothing is left of it) and, if it is not known, the word.
+        said = known.get(own) if own else 0
+        memory[w] = (said or 0, len(own) + 1 if own else 0, own if said is None else None)
+    said, chars, rest = zip(*map(memory.__getitem__, flat), strict=True) if flat else ((), (), ())
+    said, chars = np.array(said, np.int64), np.array(chars, np.int64)
+    each = said / np.maximum(chars, 1)
+    totals, sizes, tops, rests, stop = [], [], [], [], 0
+    for own in found:
+        start, stop = stop, stop + len(own)
+        here = rest[start:stop]
+        others = [w for w in here if w is not None]
+        at = np.arange(start, stop)
+        if others:
+            at = at[[w is None for w in here]]
+        if len(at) > 3:
+            # All that say as much as the third do, and then the first three of them.
+            least = np.partition(said[at], len(at) - 3)[-3]
+            at = at[said[at] >= least]
+            at = at[np.lexsort((each[at], said[at]))[-3:]]
+        totals.append(int(said[start:stop].sum()))
+        sizes.append(int(chars[start:stop].sum()))
+        tops.append(at)
+        rests.append(others)
+    at = np.concatenate([*tops, np.empty(0, np.int64)]).astype(np.int64)
+    top = pa.StructArray.from_arrays([pa.array(said[at]), pa.array(each[at])], ["said", "each"])
+    top = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tops)]), pa.int32()), top)
+    return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), top, pa.array(rests, pa.list_(pa.string()))], ["total", "chars", "top", "rest"])
+
+
+_FEATURES = [f"x{k}" for k in range(N_FEATURES)]
+
+
+def features(texts: DataFrame, model: Model) -> DataFrame:
+    """k and x0 to x3 for each distinct k of ``texts(k, text)``: the difference per character, the most telling word in full and per character, the best three words."""
+    held = model.words
+
+    def run(batches):
+        known, memory = resident(("toxic-words", held.id), lambda: (dict(zip(held.value[0], held.value[1].tolist(), strict=True)), {}))
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part["k"], *read_words(part["text"].to_pylist(), known, memory).flatten()], names=["k", "total", "chars", "top", "rest"])
+
+    read = texts.mapInArrow(run, "k bigint, total bigint, chars bigint, top array<struct<said: bigint, each: double>>, rest array<string>")
+    read = materialize(read, "toxic-texts").dropDuplicates(["k"])
+    rest = read.select("k", F.explode("rest").alias("word"))
+    said = materialize(score_words(rest.select("word").distinct(), model), "toxic-rest-words")
+    one = F.struct("said", (F.col("said") / (F.length("word") + 1)).alias("each"))
+    # Plain exchanges on both sides: a word of many texts is split.
+    more = rest.join(said.hint("merge"), "word").groupBy("k").agg(F.sum("said").alias("more"), F.slice(F.sort_array(F.collect_list(one), False), 1, 3).alias("others"))
+    none = F.array().cast("array<struct<said: bigint, each: double>>")
+    best = F.slice(F.sort_array(F.concat("top", F.coalesce("others", none)), False), 1, 3)
+    made = read.drop("rest").join(more, "k", "left").select("k", "chars", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), best.alias("best"))
+    of = [
+        F.col("total") / F.greatest("chars", F.lit(1)),
+        F.array_max(F.transform("best", lambda x: x["said"])),
+        F.array_max(F.transform("best", lambda x: x["each"])),
+        F.aggregate("best", F.lit(0).cast("bigint"), lambda s, x: s + F.greatest(x["said"], F.lit(0).cast("bigint"))),
+    ]
+    return made.select("k", *[(F.coalesce(x.cast("double"), F.lit(0.0)) / UNIT).alias(c) for x, c in zip(of, _FEATURES, strict=True)])
+
+
+def text_key() -> Column:
+    return F.xxhash64("doc_id", text_or_empty())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -266,38 +291,33 @@ def remainder(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) -> Model | None:
     """The model out of the labelled rows of ``docs``; None if a fold has no rows of a class."""
-    spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     fold = remainder().cast("int").alias("fold")
     # Shuffled at every size, so that a small set of labels makes no other plan than a large one.
     counted = texts.withColumn("fold", fold).where("fold <> 1").join(known.where(remainder() != 1).hint("merge"), "doc_id")
     words = materialize(word_counts(counted), "toxic-words")
+    common = materialize(words.orderBy((F.col("t0") + F.col("o0") + F.col("t2") + F.col("o2")).desc(), "word").limit(COMMON_WORDS).select("word"), "toxic-common")
     made = []
     for t, o in ("t0", "o0"), ("t0 + t2", "o0 + o2"):
         grams = materialize(gram_counts(words.select("word", F.expr(t).alias("t"), F.expr(o).alias("o"))), "toxic-grams")
         seen = grams.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
         if not seen["t"] or not seen["o"]:
             return None
-        made.append(Model(*fit_counts(grams), np.zeros(N_FEATURES + 1)))
-    model = made[0]
-    held = _Shared(spark, model)
+        model = Model(*fit_counts(grams), None, None, None)
+        most = materialize(grams.orderBy((F.col("t") + F.col("o")).desc(), "g").limit(COMMON_GRAMS).select("g"), "toxic-common")
+        model = model._replace(grams=_held(likelihoods(most, model), "g"))
+        made.append(model._replace(words=_held(score_words(common, model), "word")))
     # At most calibration_rows rows, so this side may be broadcast.
     chosen = known.where(remainder() == 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-
-    def run(batches):
-        for b in batches:
-            x = _features(held, b["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([b["toxic"].cast(pa.float64()), *(pa.array(c) for c in x.T)], names=["y", *(f"x{k}" for k in range(N_FEATURES))])
-
-    rows = texts.where(remainder() == 2).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.mapInArrow(run, "y double, " + ", ".join(f"x{k} double" for k in range(N_FEATURES)))
+    rows = texts.where(remainder() == 2).join(F.broadcast(chosen), "doc_id").select(text_key().alias("k"), "text", F.col("toxic").cast("int").alias("toxic"))
     # A doc_id that documents repeat could bring more rows than were chosen.
-    got = rows.limit(2 * calibration_rows).toArrow()
-    y = got["y"].to_numpy()
+    rows = materialize(rows.limit(2 * calibration_rows), "toxic-calibration")
+    got = rows.select("k", "toxic").join(features(rows.select("k", "text"), made[0]), "k").orderBy("k").toArrow()
+    y = got["toxic"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    x = np.stack([got[f"x{k}"].to_numpy() for k in range(N_FEATURES)], 1)
+    x = np.stack([got[c].to_numpy() for c in _FEATURES], 1)
     return made[1]._replace(fit=logistic(x, y))
 
 
@@ -307,18 +327,14 @@ def score_texts(docs: DataFrame, model: Model | None, threshold: float = 0.7) ->
     own = own.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False)))
     if model is None:
         return own.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    held, fit = _Shared(docs.sparkSession, model), model.fit
-
-    def run(batches):
-        for b in batches:
-            x = _features(held, [t or "" for t in b["text"].to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(fit[0] + x @ fit[1:], -40, 40)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
-
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    schema = StructType(list(own.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType())
-    return own.mapInArrow(run, schema)
+    found = features(docs.select(text_key().alias("k"), text_or_empty().alias("text")), model)
+    weighed = F.lit(float(model.fit[0]))
+    for w, c in zip(model.fit[1:].tolist(), _FEATURES, strict=True):
+        weighed = weighed + F.lit(w) * F.col(c)
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(weighed, F.lit(40.0)), F.lit(-40.0))))
+    scores = materialize(found.select(F.col("k").alias("__k"), score.alias("score")), "toxic-scores")
+    scored = own.withColumn("__k", text_key()).join(scores, "__k").drop("__k")
+    return scored.select(*own.columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, calibration_rows: int = 20_000) -> DataFrame:

@@ -356,6 +356,82 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def brute_toxicity(rows):
+    """Scores by models whose n-grams are kept as they are."""
+    order, shared, off, floor = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT, toxicity.FLOOR
+    fold = {d: zlib.crc32(str(d).encode()) % 3 for d, *_ in rows}
+    strip = lambda t: [w.strip(toxicity._STRIP) for w in t.lower().split()]
+
+    def fit(folds):
+        level = defaultdict(lambda: [0, 0])
+        for d, t, toxic in rows:
+            if fold[d] in folds:
+                for w in filter(None, strip(t)):
+                    padded = "\x02" * (order - 1) + w + "\x03"
+                    for k in range(len(w) + 1):
+                        level[padded[k : k + order]][1 - toxic] += 1
+        shares, weights = {}, {}
+        for k in range(order, shared, -1):
+            total, below = defaultdict(lambda: [0, 0, 0, 0]), defaultdict(lambda: [0, 0])
+            for g, own in level.items():
+                for c in (0, 1):
+                    total[g[:-1]][c] += own[c]
+                    total[g[:-1]][2 + c] += own[c] > 0
+                    below[g[1:]][c] += own[c] > 0
+            for g, own in level.items():
+                shares[g] = [max(own[c] - off, 0) / total[g[:-1]][c] if total[g[:-1]][c] else 0 for c in (0, 1)]
+            for h, n in total.items():
+                weights[h] = [n[2 + c] * off / n[c] if n[c] else 1 for c in (0, 1)]
+            level = below
+        total, kinds = Counter(), Counter()
+        for g, own in level.items():
+            total[g[0]] += sum(own)
+            kinds[g[0]] += 1
+        base = {g: (max(sum(own) - off, 0) + off * kinds[g[0]] * floor) / total[g[0]] for g, own in level.items()}
+        return shares, weights, base
+
+    def says(word, model):
+        shares, weights, base = model
+        padded, out = "\x02" * (order - 1) + word + "\x03", 0.0
+        for k in range(len(word) + 1):
+            g = padded[k : k + order]
+            p = [max(floor, base.get(g[-shared:], floor))] * 2
+            for n in range(shared + 1, order + 1):
+                s, w = shares.get(g[-n:], (0, 0)), weights.get(g[-n:-1], (1, 1))
+                p = [s[c] + w[c] * p[c] for c in (0, 1)]
+            out += np.log(p[0]) - np.log(p[1])
+        return out
+
+    def features(text, model):
+        own = sorted(((says(w, model) if w else 0.0, len(w) + 1 if w else 0) for w in strip(text)), key=lambda x: (x[0], x[0] / max(x[1], 1)))
+        top = own[-3:]
+        return [sum(s for s, _ in own) / max(1, sum(n for _, n in own)), top[-1][0], max(s / max(n, 1) for s, n in top), sum(max(s, 0) for s, _ in top)] if own else [0] * 4
+
+    first, both = fit({0}), fit({0, 2})
+    held = [(features(t, first), x) for d, t, x in rows if fold[d] == 2]
+    w = toxicity.logistic(np.array([f for f, _ in held]), np.array([x for _, x in held], float))
+    return {d: 1 / (1 + np.exp(-np.clip(w[0] + np.dot(w[1:], features(t, both)), -40, 40))) for d, t, _ in rows}
+
+
+@pytest.mark.parametrize(("grams", "words"), [(300_000, 200_000), (50, 20), (0, 0)])
+def test_many_ngrams_score_as_unhashed_models_do(spark, monkeypatch, grams, words):
+    monkeypatch.setattr(toxicity, "COMMON_GRAMS", grams)
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", words)
+    rng = random.Random(88)
+    letters = [chr(c) for c in range(0x3041, 0x3041 + 250)]
+    junk = lambda: "".join(rng.choices(letters, k=8))
+    rows = [(d, t + " " + " ".join(junk() for _ in range(25)) + " --- (er), ", x) for d, t, x in toxic_corpus()[:600]]
+    # The classes overlap, so that the logistic fit does not run to its bounds.
+    rows = [(d, t, x if d % 5 else 1 - x) for d, t, x in rows] + [(5000, "", 0), (5001, " ... ", 0)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(5002, None)] + [rows[3][:2]] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id bigint, toxic int")
+    # Rows that repeat a document would be counted as often.
+    want = brute_toxicity(rows + [rows[3]] * 2)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + 3
+    assert max(abs(r.score - want[r.doc_id if r.doc_id != 5002 else 5000]) for r in got) < 1e-6
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------------
 
 

@@ -37,7 +37,7 @@ def op1_chat_formatting(spark, sf_dir):
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, size=3).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 END_ID = 2

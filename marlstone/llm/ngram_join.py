@@ -2,7 +2,8 @@
 
 A document's set holds the hashes of its distinct ``SHINGLE``-word shingles (A-Z lower-cased; with fewer words the whole sequence is
 the one shingle). Documents with equal sets form a class; one set of each class goes on. Two classes link when their Jaccard
-similarity is at least ``percent`` / 100, checked on the sets themselves. The result is the components of the links.
+similarity is at least ``percent`` / 100, checked on the sets themselves. The result is the components of the links and every document's number of links, which counts
+documents: the copies in its own class and all documents of the classes that link with it.
 
 With o(n) the least overlap that a set of n needs (the ceiling of n * percent / 100), two sets that link share at least c tokens
 among the first n - o(n) + c of each, under whatever global order of all tokens and for every c. That gives the filters:
@@ -18,8 +19,9 @@ No pair travels or is written. A bucket's first class is its pivot, and the buck
 with a token of order 2 in common are in a group together. The classes of a group are sorted by size and dealt into blocks of bounded
 size, and every two blocks whose sizes can link are one piece of work. First only the prefixes of order 3 travel, and classes without
 any partner leave the piece of work; then the texts of the others do. Both steps count shared tokens of all pairs of a piece of work
-at once, as products of 0/1 matrices. A piece of work gives out only the links of a spanning forest, so what comes out is never more
-than what went in, while every link that joins components is found.
+at once, as products of 0/1 matrices. A piece of work gives out the links of a spanning forest and for each class the number of documents it
+links with, so what comes out is never more than a few times what went in, while every link is counted and every link that joins
+components is found. Two classes may meet in several groups; their link is counted in the first of these.
 
 Defined results: a set without words is empty and links with nothing; rows with a null doc_id link as others do, and a component of
 them alone has a null component_id; rows that repeat a document are documents of their own; extra columns play no part; an empty
@@ -86,15 +88,15 @@ def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row per non-empty distinct set: id, least (doc_id), fp, n, c1, c2, p1, p3."""
+    """One row per non-empty distinct set: id, least (doc_id), fp, n, c1, c2, copies (rows that have it), p1, p3."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.col("fp"))).alias("__first")
-    own = signed.where("n > 0").groupBy("n", "c1", "c2").agg(first, F.first("p1").alias("p1"), F.first("p3").alias("p3"))
-    own = own.select(F.col("__first.d").alias("least"), F.col("__first.fp").alias("fp"), "n", "c1", "c2", "p1", "p3")
+    own = signed.where("n > 0").groupBy("n", "c1", "c2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("p1").alias("p1"), F.first("p3").alias("p3"))
+    own = own.select(F.col("__first.d").alias("least"), F.col("__first.fp").alias("fp"), "n", "c1", "c2", "copies", "p1", "p3")
     # A doc_id stands for its class, unless none is known or rows of several classes repeat it.
     twice = own.select("least").groupBy("least").count().where(f"count > 1 OR least = {_NO_ID}").select(F.col("least").alias("__twice"))
     own = own.join(twice, own["least"] == twice["__twice"], "left")
     other = F.lit(-1) - F.pmod(F.xxhash64("c1", "c2"), F.lit(1 << 62))
-    return own.select(F.when(F.col("__twice").isNull(), F.col("least")).otherwise(other).alias("id"), "least", "fp", "n", "c1", "c2", "p1", "p3")
+    return own.select(F.when(F.col("__twice").isNull(), F.col("least")).otherwise(other).alias("id"), "least", "fp", "n", "c1", "c2", "copies", "p1", "p3")
 
 
 def postings(own: DataFrame) -> DataFrame:
@@ -208,19 +210,28 @@ def sides_of(sides: list[int]) -> tuple[list[int], list[int]]:
     return own, [k for k, s in enumerate(sides) if s == 1] or own
 
 
-def linking(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between side 0 and side 1, or within side 0 if there is no other."""
+def linking(sets: list[np.ndarray], sides: list[int], percent: int, copies: list[int], earlier: list[np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between side 0 and side 1, or within side 0 if there is no other, and how many copies each set links with.
+
+    Pairs that share a group in ``earlier`` have been counted there.
+    """
     own, other = sides_of(sides)
+    counts = np.zeros(len(sets), np.int64)
     if not own:
-        return []
+        return [], counts
     size = np.array([len(s) for s in sets])
     may = may_link([third_prefix(s, percent) for s in sets], size, own, other, percent)
     rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
     if not len(rows):
-        return []
+        return [], counts
     na, nb = size[own][rows][:, None], size[other][cols][None, :]
     same = shared_counts([sets[own[k]] for k in rows], [sets[other[k]] for k in cols])
-    x, y = np.nonzero(may[np.ix_(rows, cols)] & (same * 100 >= (na + nb - same) * percent))
+    found = may[np.ix_(rows, cols)] & (same * 100 >= (na + nb - same) * percent)
+    at, to, many = np.array(own)[rows], np.array(other)[cols], np.array(copies, np.int64)
+    first = found & (shared_counts([earlier[k] for k in at], [earlier[k] for k in to]) == 0)
+    counts[at] += first @ many[to]
+    counts[to] += many[at] @ first
+    x, y = np.nonzero(found)
     up = list(range(len(sets)))
 
     def root(k: int) -> int:
@@ -236,7 +247,7 @@ def linking(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tupl
             out.append((a, b))
             if len(out) == len(sets) - 1:
                 break
-    return out
+    return out, counts
 
 
 def by_piece(rows: DataFrame, payload: str) -> DataFrame:
@@ -287,16 +298,23 @@ def with_partners(todo: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def links_of(todo: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b: links out of ``todo(g, i, j, side, id, text)``; each (g, i, j) is one piece of work of bounded size."""
+    """a, b, n: links (a, b) and numbers n of documents that a links with, out of ``todo(g, i, j, side, id, x)``.
+
+    Each (g, i, j) is one piece of work of bounded size; x has the text, the copies and the earlier groups of a class.
+    """
 
     def run(batches):
         memory = WordHashes()
-        for _, ids, sides, texts in pieces(batches, "text"):
-            found = linking([shingle_set(words_of(t), memory, size) for t in texts], sides, percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in c], pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        for _, ids, sides, held in pieces(batches, "x"):
+            sets = [shingle_set(words_of(x["text"]), memory, size) for x in held]
+            found, counts = linking(sets, sides, percent, [x["copies"] for x in held], [np.array(x["earlier"], np.int64) for x in held])
+            counted = np.flatnonzero(counts).tolist()
+            a, b = [ids[i] for i, _ in found] + [ids[k] for k in counted], [ids[j] for _, j in found] + [None] * len(counted)
+            n = [None] * len(found) + counts[counted].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
-    return by_piece(todo, "text").mapInArrow(run, "a bigint, b bigint")
+    return by_piece(todo, "x").mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -329,27 +347,33 @@ def labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, block_classes: int, block_tokens: int) -> DataFrame:
-    """a, b: links that join the classes ``own`` to the components of all links."""
+    """a, b, n: links (a, b) that join the classes ``own`` to the components of all links, and numbers n of documents that a links with."""
     kept = materialize(rarest(postings(own), percent), "candidate-tokens")
     todo = materialize(work(groups(kept), percent, block_classes, block_tokens), "work")
     todo = materialize(with_partners(todo, own, percent), "work")
-    held = only(own.select("id", F.col("least").alias("__d"), F.col("fp").alias("__f")), todo.select("id"), ["id"])
+    held = only(own.select("id", F.col("least").alias("__d"), F.col("fp").alias("__f"), "copies"), todo.select("id"), ["id"])
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("__d"), F.xxhash64(text_or_empty()).alias("__f"), text_or_empty().alias("text"))
-    texts = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).join(held, ["__d", "__f"]).select("id", "text")
-    return materialize(links_of(todo.join(texts, "id"), percent, size), "links")
+    texts = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).join(held, ["__d", "__f"]).select("id", "text", "copies")
+    # Two classes that link are partners in every group they share, so the groups left are all that matter.
+    todo = todo.join(todo.groupBy("id").agg(F.collect_set("g").alias("all")), "id").join(texts, "id")
+    carried = F.struct("text", "copies", F.filter("all", lambda x: x < F.col("g")).alias("earlier"))
+    return materialize(links_of(todo.withColumn("x", carried), percent, size), "links")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, block_classes: int = 2048, block_tokens: int = 2_000_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (of its text), n_shingles, component_id and comp, which tells components apart."""
+    """One row per row of ``docs``: doc_id, fp (of its text), n_shingles, n_links, component_id and comp, which tells components apart."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, percent, size), "signatures")
     own = materialize(classes(signed), "classes")
-    comps = components(find_links(own, docs, percent, size, block_classes, block_tokens))
-    member = labelled(own.select("id", "least", "n", "c1", "c2"), comps)
+    found = find_links(own, docs, percent, size, block_classes, block_tokens)
+    comps = components(found.where("b IS NOT NULL").select("a", "b"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    member = labelled(own.select("id", "least", "n", "c1", "c2", "copies"), comps).join(counts, "id", "left")
+    member = member.withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
     least = member.groupBy("comp").agg(F.min("least").alias("component_id"))
-    member = member.join(least, "comp").select("n", "c1", "c2", "comp", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"))
-    full = signed.where("n > 0").select("doc_id", "fp", "n", "c1", "c2").join(member, ["n", "c1", "c2"]).select("doc_id", "fp", F.col("n").alias("n_shingles"), "component_id", "comp")
-    return full.unionByName(signed.where("n = 0").select("doc_id", "fp", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("comp")))
+    member = member.join(least, "comp").select("n", "c1", "c2", "n_links", "comp", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"))
+    full = signed.where("n > 0").select("doc_id", "fp", "n", "c1", "c2").join(member, ["n", "c1", "c2"]).select("doc_id", "fp", F.col("n").alias("n_shingles"), "n_links", "component_id", "comp")
+    return full.unionByName(signed.where("n = 0").select("doc_id", "fp", F.col("n").alias("n_shingles"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("comp")))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -145,6 +145,17 @@ def test_jaccard_components(spark, rows, percent, size, how):
     assert kept.count() == n
 
 
+@pytest.mark.parametrize(("percent", "size", "how"), [(90, 3, {}), (80, 5, {"block_classes": 7}), (90, 3, {"block_classes": 5, "block_tokens": 900})])
+def test_jaccard_links_are_all_counted(spark, rows, percent, size, how):
+    data = rows + [(d + 1000, *r) for d, *r in near_copies(7)]
+    words = [(t or "").encode().lower().split() for _, t, *_ in data]
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+    want = [(d, sum(k != j and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets))) for k, ((d, *_), a) in enumerate(zip(data, sets, strict=True))]
+    assert max(n for _, n in want) > 2
+    got = ngram_join.jaccard_components(spark.createDataFrame(data, DOCS).repartition(4), percent, size, **how)
+    assert Counter(map(tuple, got.select("doc_id", "n_links").collect())) == Counter(want)
+
+
 def test_jaccard_of_nothing(none):
     assert ngram_join.jaccard_components(none).count() == 0
 

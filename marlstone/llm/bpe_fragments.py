@@ -7,7 +7,8 @@ feeds and the pre-tokenizer's own bounds are certain cuts as well. A text is cut
 the tokenizers library's model and remembered (in bounded memory), and the ids are put together again.
 
 The vocabulary is one with word ends, lower case and dropped white space (see ``WORD_PATTERN``). Stretches with characters whose
-Unicode class may differ between versions, or with a special token's string, are encoded by the library as they are.
+Unicode class may differ between versions are cut into words by the library's normalizer and pre-tokenizer, and these words into
+fragments; only a stretch with a special token's string is encoded by the library as it is.
 
 Decoding goes from ids to their tokens' strings, joined as the library's ``decode(ids, skip_special_tokens=False)`` does for a
 tokenizer without a decoder.
@@ -118,10 +119,15 @@ class FragmentCoder:
         return [*out, word[start:] + "\0"]
 
     def _stretch(self, stretch: str) -> bytes:
-        if not _SETTLED.match(stretch) or (self._special and self._special.search(stretch)):
+        if self._special and self._special.search(stretch):
             return array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
-        words = self._words.findall(unicodedata.normalize("NFC", stretch).lower())
-        return b"".join(self._fragments[f] for w in words for f in self.cut(w if w.isascii() else w.encode().decode("latin-1").translate(self._letters)))
+        if _SETTLED.match(stretch):
+            words = self._words.findall(unicodedata.normalize("NFC", stretch).lower())
+            words = [w if w.isascii() else w.encode().decode("latin-1").translate(self._letters) for w in words]
+        else:
+            # The library's own Unicode tables cut; its words come in byte letters.
+            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(stretch))]
+        return b"".join(self._fragments[f] for w in words for f in self.cut(w))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self._stretches.__getitem__, text.replace("\n", " ").split(" ")))

@@ -248,6 +248,32 @@ def test_fragments_are_the_librarys(spark, docs, rows, none):
     assert bpe_fragments.round_trip(none, WORD).count() == 0
 
 
+SCRIPTS = "αβγΣςΆабвЯёЙعربيةَไทยภาषा日本語汉字한글かなガ“”‘’–—…€😀👩‍👧🇩🇪नमस्तेʼ\u0301\u200d\u00a0\u3000\u2028ﬁİſ①½०𝒳𐐀abZ1'.,"
+
+
+def test_fragments_of_all_scripts(monkeypatch):
+    rng = random.Random(66)
+    own = bpe_fragments.FragmentCoder(WORD, limit=100)
+    texts = ["".join(rng.choices(SCRIPTS + " \n", k=rng.randint(1, 40))) for _ in range(3000)] + ["Ελληνικά κείμενα", "Привет, мир!", "“quoted” – 5 €", "日本語のテキスト。", "a😀b"]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+
+    class Library:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def encode(self, text, **how):
+            asked.append(text)
+            return self.of.encode(text, **how)
+
+    monkeypatch.setattr(own, "tokenizer", Library(own.tokenizer))
+    assert [np.frombuffer(own.encode(t), "<u4").tolist() for t in texts] == want
+    assert not asked
+
+
 def test_cuts_are_certain():
     own = bpe_fragments.FragmentCoder(WORD)
     assert own.cut("zqxj")[-1].endswith("\0") and "".join(own.cut("zqxj")) == "zqxj\0"

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import resident, text_or_empty
+from .common import map_arrow, resident, text_or_empty
 from .token_ids import _SETTLED, byte_letters
 
 #: The pre-tokenizer's pattern (a fixed value of the public vocabulary).
@@ -149,7 +149,7 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(own.encode, b["text"].to_pylist()), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, "doc_id bigint, ids binary", heavy="text")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -161,7 +161,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = (own.decode(np.frombuffer(x, "<u4")) for x in b["ids"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+    return map_arrow(encoded, run, "doc_id bigint, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -178,4 +178,4 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
             n, ids, said = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(said, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", heavy="text")

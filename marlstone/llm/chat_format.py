@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 _CONTROL = r"###[ \t]*[^\W\d_]+:|</turn>"
 _ANY = re.compile(rf"(\\*)({_CONTROL})")
 _HEAD = re.compile(r"### ([^\s:]*): ")
@@ -119,7 +121,7 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     blank = F.lit("")
     own = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
-    return own.mapInArrow(run, TURNS)
+    return map_arrow(own, run, TURNS)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -162,4 +164,4 @@ def read_back(rendered: DataFrame) -> DataFrame:
             yield flush()
 
     dealt = rendered.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "rendered", "loss_start").mapInArrow(run, schema)
+    return map_arrow(dealt.select("conv_id", "rendered", "loss_start"), run, schema)

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes that separate words everywhere in this subpackage: blank, tab, LF, VT, FF, CR.
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
@@ -23,31 +35,115 @@ def shared_dir(spark: SparkSession) -> str:
         return got.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    got = tempfile.mkdtemp(prefix="marlstone-")
-    spark.sparkContext._conf.set("spark.checkpoint.dir", got)
-    return got
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="marlstone-")
+    return _own_dirs[app]
+
+
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialised; for when its results have been written."""
+    _delete(spark, _tables_dir(spark))
 
 
 _RESIDENT: dict = {}
 
 
 def resident(key, make):
-    """What a Python worker remembers between tasks: one object at a time, so that one operator's memory makes way for the next one's."""
+    """What a Python worker remembers between tasks: one object at a time, let go of when no task comes for ``IDLE_S``."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
-        gc.collect()
+        release()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+#: Seconds after which a worker without a task gives its memory back.
+IDLE_S = 1.5
+_tasks = {"running": 0, "ended": 0.0, "watched_by": 0}
+
+
+def release() -> None:
+    """Give what this worker remembers, and what its allocators keep, back to the system."""
+    _RESIDENT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _watch() -> None:
+    released = 0.0
+    while True:
+        time.sleep(0.5)
+        ended = _tasks["ended"]
+        if not _tasks["running"] and ended > released and time.monotonic() - ended > IDLE_S:
+            release()
+            released = time.monotonic()
+
+
+def working(batches: Iterator) -> Iterator:
+    """``batches`` of a task, while which the worker counts as busy."""
+    if _tasks["watched_by"] != os.getpid():
+        _tasks["watched_by"] = os.getpid()
+        threading.Thread(target=_watch, daemon=True).start()
+    _tasks["running"] += 1
+    try:
+        yield from batches
+    finally:
+        _tasks["running"] -= 1
+        _tasks["ended"] = time.monotonic()
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], col: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``col`` has at most ``most`` bytes, or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[col]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(ends) or ends[-1] <= most:
+            yield b
+            continue
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType, heavy: str | None = None, most: int = 8 << 20) -> DataFrame:
+    """``df.mapInArrow`` for workers that outlive their task: an idle one remembers nothing, and ``heavy`` texts come ``most`` bytes at a time."""
+
+    def task(batches):
+        return working(run(by_bytes(batches, heavy, most) if heavy else batches))
+
+    return df.mapInArrow(task, schema)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_arrow, text_or_empty
 
 #: Blocks in a row of an own frame, the most rows of one, and the unit of payloads.
 ROW, MOST_ROWS, UNIT = 64, 8191, 64
@@ -375,7 +375,7 @@ def to_jpeg(docs: DataFrame) -> DataFrame:
             for part in _groups([len(t) for t in texts]):
                 yield pa.RecordBatch.from_arrays([b["doc_id"][part.start : part.stop], pa.array([len(t) for t in texts[part]], pa.int64()), pa.array(_media(texts[part]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, MEDIA)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, MEDIA, heavy="text")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -389,4 +389,4 @@ def media_features(stored: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([b[c][part.start : part.stop] for c in ("doc_id", "n_bytes")] + [pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return stored.mapInArrow(run, FEATURES)
+    return map_arrow(stored, run, FEATURES, heavy="media")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 from .word_shingles import WordHashes, mix, windows
 
 _NO_ID = (1 << 63) - 1
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["fp"], *made], names=["doc_id", "fp", "n", "c1", "c2", "p1", "p3"])
 
     own = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty()).alias("fp"), text_or_empty().alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, fp bigint, n bigint, c1 bigint, c2 bigint, p1 binary, p3 binary")
+    return map_arrow(own, run, "doc_id bigint, fp bigint, n bigint, c1 bigint, c2 bigint, p1 binary, p3 binary", heavy="text")
 
 
 def classes(signed: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def postings(own: DataFrame) -> DataFrame:
             wide[:, 8 - _TOKEN_BYTES :] = raw
             yield pa.RecordBatch.from_arrays([pa.array(wide.view(">u8").reshape(-1).astype(np.int64)), *(pa.array(np.repeat(b[c].to_numpy(), count)) for c in ("id", "n"))], names=["token", "id", "n"])
 
-    return own.select("id", "n", "p1").mapInArrow(run, "token bigint, id bigint, n bigint")
+    return map_arrow(own.select("id", "n", "p1"), run, "token bigint, id bigint, n bigint")
 
 
 def rarest(found: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +294,7 @@ def with_partners(todo: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
     carried = own.select("id", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "p3").alias("x"))
     carried = only(carried, todo.select("id"), ["id"])
-    return by_piece(todo.join(carried, "id"), "x").mapInArrow(run, "g bigint, i bigint, j bigint, side int, id bigint")
+    return map_arrow(by_piece(todo.join(carried, "id"), "x"), run, "g bigint, i bigint, j bigint, side int, id bigint")
 
 
 def links_of(todo: DataFrame, percent: int, size: int) -> DataFrame:
@@ -314,7 +314,7 @@ def links_of(todo: DataFrame, percent: int, size: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
-    return by_piece(todo, "x").mapInArrow(run, "a bigint, b bigint, n bigint")
+    return map_arrow(by_piece(todo, "x"), run, "a bigint, b bigint, n bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

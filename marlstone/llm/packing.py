@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 from .token_ids import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, __task int, __nth bigint"
@@ -61,7 +61,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, w
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=False)], names=names[: len(out)])
 
     own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
-    return own.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return map_arrow(own, run, PIECES + (", ids binary" if with_ids else ""), heavy="text")
 
 
 def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -130,7 +130,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
     own = ranked(pieces)
     schema = ", ".join(f"{c} {t}" for c, t in own.dtypes if c != "__rank")
-    return own.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return map_arrow(own, run, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 from .word_shingles import WordHashes, windows
 
 GRAM = 4
@@ -84,7 +84,7 @@ def find_super_kmers(docs: DataFrame, size: int) -> DataFrame:
             ids = [pa.array(np.repeat(b[c].to_numpy(), counts)) for c in ("__id", "__fp")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(m.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["__id", "__fp", "m", "start", "n"])
 
-    return docs.select("__id", "__fp", "text").mapInArrow(run, f"{_KEY}, m bigint, start int, n int")
+    return map_arrow(docs.select("__id", "__fp", "text"), run, f"{_KEY}, m bigint, start int, n int", heavy="text")
 
 
 def pack(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     by_doc = spans.groupBy("__id", "__fp").agg(F.collect_set(F.struct("m", "hot", "start", "n")).alias("spans"))
-    return docs.join(by_doc, ["__id", "__fp"]).select("__id", "__fp", "text", "spans").mapInArrow(run, f"{_KEY}, m bigint, hot boolean, start int, n int, words binary")
+    return map_arrow(docs.join(by_doc, ["__id", "__fp"]).select("__id", "__fp", "text", "spans"), run, f"{_KEY}, m bigint, hot boolean, start int, n int, words binary", heavy="text")
 
 
 def window_texts(words: bytes, n: int, size: int) -> list[bytes]:
@@ -163,7 +163,7 @@ def count_buckets(packed: DataFrame, size: int) -> DataFrame:
             yield flush()
 
     dealt = packed.repartition(F.col("m")).sortWithinPartitions("m")
-    return dealt.select("m", "__id", "__fp", "start", "n", "words").mapInArrow(run, f"{_KEY}, first int, end int")
+    return map_arrow(dealt.select("m", "__id", "__fp", "start", "n", "words"), run, f"{_KEY}, first int, end int", heavy="words")
 
 
 def count_hot(packed: DataFrame, size: int) -> DataFrame:
@@ -177,7 +177,7 @@ def count_hot(packed: DataFrame, size: int) -> DataFrame:
 
     sid = F.md5("words").alias("sid")
     distinct = packed.groupBy("words", "n").agg(F.count(F.lit(1)).alias("c")).select(sid, "n", "words", "c")
-    each = materialize(distinct.mapInArrow(explode, "sid string, i int, w binary, c bigint"), "hot-windows")
+    each = materialize(map_arrow(distinct, explode, "sid string, i int, w binary, c bigint"), "hot-windows")
     again = each.groupBy("w").agg(F.sum("c").alias("total")).where("total > 1").select("w")
     hit = each.join(again, "w").groupBy("sid").agg(F.collect_set("i").alias("at"))
     rows = packed.select("__id", "__fp", "start", sid).join(hit, "sid")
@@ -228,7 +228,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, most: int = 20_000) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     own = _with_ranges(keyed(docs), size, most)
-    return own.select("doc_id", "text", "__ranges").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_arrow(own.select("doc_id", "text", "__ranges"), run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", heavy="text")
 
 
 def dedup_texts(docs: DataFrame, size: int = 35, most: int = 20_000) -> DataFrame:
@@ -249,4 +249,4 @@ def dedup_texts(docs: DataFrame, size: int = 35, most: int = 20_000) -> DataFram
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__fp": F.xxhash64(text)})
     own = _with_ranges(own, size, most).drop("__id", "__fp")
     schema = T.StructType([f for f in own.schema.fields if f.name != "__ranges"])
-    return own.mapInArrow(run, schema).select(*docs.columns)
+    return map_arrow(own, run, schema, heavy="text").select(*docs.columns)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 from .token_ids import encoder
 
 MAGIC = b"MSTP0001"
@@ -141,7 +141,7 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, mode: str = "
     own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return dealt.mapInArrow(run, SHARDS)
+    return map_arrow(dealt, run, SHARDS, heavy="text")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    parts = shards.select("task", "shard", "payload").mapInArrow(run, "task int, shard int, nth int, doc_id bigint, at bigint, n bigint, crc bigint, more boolean")
+    parts = map_arrow(shards.select("task", "shard", "payload"), run, "task int, shard int, nth int, doc_id bigint, at bigint, n bigint, crc bigint, more boolean")
     by_task = shards.groupBy("task").agg(F.sum("n_ids").alias("n"))
     before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # One row for each task that wrote, and for each shard within its task.
@@ -192,7 +192,7 @@ def _joined(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     dealt = parts.repartition(F.col("task")).sortWithinPartitions("task", "start")
-    return dealt.select("doc_id", "start", "n", "crc", "more").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(dealt.select("doc_id", "start", "n", "crc", "more"), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def crc32_combine(a: int, b: int, size: int) -> int:

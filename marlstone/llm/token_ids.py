@@ -40,7 +40,7 @@ def byte_letters() -> list[str]:
 class ByteLevelEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000):
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as little-endian unsigned 32-bit integers")
         self.tokenizer = tokenizer = Tokenizer.from_file(path)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, resident, text_or_empty
+from .common import map_arrow, materialize, resident, text_or_empty
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 #: How many of the most counted n-grams and words the tasks hold; all others are joined.
@@ -100,7 +100,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             words = list(set().union(*by))
             yield pa.RecordBatch.from_arrays([pa.array([w.strip(_STRIP) for w in words], pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in by)], names=["word", *names])
 
-    found = labelled.select("text", "toxic", "fold").mapInArrow(run, "word string, " + ", ".join(f"{c} bigint" for c in names))
+    found = map_arrow(labelled.select("text", "toxic", "fold"), run, "word string, " + ", ".join(f"{c} bigint" for c in names), heavy="text")
     return found.where("word <> ''").groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
 
 
@@ -119,7 +119,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
             grams = list(t.keys() | o.keys())
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([t[g] for g in grams], pa.int64()), pa.array([o[g] for g in grams], pa.int64())], names=["g", "t", "o"])
 
-    return words.mapInArrow(run, "g string, t bigint, o bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return map_arrow(words, run, "g string, t bigint, o bigint").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def fit_counts(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
@@ -184,7 +184,7 @@ def score_words(words: DataFrame, model: Model) -> DataFrame:
                 total.append(sum(x for x in said if x is not None))
             yield pa.RecordBatch.from_arrays([b["word"], pa.array(total, pa.int64()), pa.array(rest, pa.list_(pa.string()))], names=["word", "total", "rest"])
 
-    part = materialize(words.select("word").mapInArrow(run, "word string, total bigint, rest array<string>"), "toxic-word-parts")
+    part = materialize(map_arrow(words.select("word"), run, "word string, total bigint, rest array<string>"), "toxic-word-parts")
     rest = part.select("word", F.explode("rest").alias("g"))
     grams = materialize(rest.select("g").distinct(), "toxic-rest-grams")
     if grams.isEmpty():
@@ -247,7 +247,7 @@ def features(texts: DataFrame, model: Model) -> DataFrame:
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part["k"], *read_words(part["text"].to_pylist(), known, memory).flatten()], names=["k", "total", "chars", "top", "rest"])
 
-    read = texts.mapInArrow(run, "k bigint, total bigint, chars bigint, top array<struct<said: bigint, each: double>>, rest array<string>")
+    read = map_arrow(texts, run, "k bigint, total bigint, chars bigint, top array<struct<said: bigint, each: double>>, rest array<string>", heavy="text")
     read = materialize(read, "toxic-texts").dropDuplicates(["k"])
     rest = read.select("k", F.explode("rest").alias("word"))
     said = materialize(score_words(rest.select("word").distinct(), model), "toxic-rest-words")

@@ -19,7 +19,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash by word (bytes), remembered up to a limit."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:

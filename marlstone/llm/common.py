@@ -155,3 +155,15 @@ def ascii_lower(col: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``: the least, by its columns in their order (any, if a column has no order)."""
+    if any(word in kind for _, kind in df.dtypes for word in ("map<", "variant", "interval")):
+        return df.dropDuplicates(keys)
+    return df.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(*columns_of(df))).alias("__row")).select("__row.*")

@@ -1,16 +1,23 @@
 """Best-fit packing of token pieces into sequences of fixed length, in bulk-synchronous rounds.
 
 A document is its token ids and an end id; only a longer one than ``capacity`` is cut, from its end backwards, so that the
-first piece may be shorter. Pieces are range-sorted by length and numbered within their length: each task numbers its own
-while it encodes, and the tasks' counts (one row for each task and length) give every piece its rank. Sorted pieces and
-sorted gaps are runs of equal entries, at most ``capacity`` lengths of them, so a round handles a whole run at once. Round
-by round, from the longest pieces down, the sweep finds for a run of pieces the successor among the gaps (the smallest that
-holds them), the pieces' ranks say which of them gets which gap of that run, the gaps are updated, and the sweep repeats
-until the run is placed, opening new sequences when no gap is left that fits. As a gap that has just taken a piece is, while
-it still holds another one, the smallest that fits, the rounds give the same fill as best-fit decreasing over single pieces.
+first piece may be shorter. A sequence is named by the key of the piece that opens it, and what is free in it is its gap.
 
-The rounds work on counts alone, whose number the capacity bounds and not the data; the resulting placements (runs of ranks)
-are what each task needs to look its own pieces up in. No text, id or piece is moved to be placed.
+Pieces come in bands of lengths, from the longest down. Pieces of more than half a sequence open one each; below that, a round
+
+1. range-sorts the band's pieces and the gaps together, by size (a gap that holds several pieces of the band stands there as
+   several slots), so that each task has one range of sizes,
+2. sweeps each range from the largest size down: a piece takes its successor, the smallest slot that holds it and is still
+   free; of pieces with the same successor the one of the first rank (longer, then smaller key) gets it, the next one takes the
+   next larger slot,
+3. passes what a range leaves over on to the ranges that follow: free slots are a stack to which each range adds and of which
+   the next ones take, so a left-over piece and a left-over slot meet at the same depth of that stack, whatever lies between
+   them; depths come from prefix sums over one row for each range, and the pairs from a shuffle by depth,
+4. updates the gaps.
+
+Rounds repeat until no piece of the band finds a slot; those left then open new sequences, as many to one as always fit. The
+driver sees how many rows a round has matched and left, never the rows. Rounds move keys and sizes alone (24 bytes); a piece's
+other columns meet its place once at the end.
 
 Defined results: a null or empty text is the end id alone; repeated rows and doc_ids are documents of their own; extra columns
 play no part; an empty table gives an empty table.
@@ -19,7 +26,7 @@ play no part; an empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, text_or_empty
 from .token_ids import encoder
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, __task int, __nth bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, __key bigint"
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -38,104 +45,178 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """The pieces of all documents with their number within task and length; with_ids adds their ids (binary, 4 bytes each)."""
+    """The pieces of all documents, each with a key of its own; with_ids adds their ids (binary, 4 bytes each)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, nth, enc = TaskContext.get().partitionId(), Counter(), encoder(tokenizer)
+        key, enc = TaskContext.get().partitionId() << 40, encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            out = [[] for _ in range(8 if with_ids else 7)]
+            out = [[] for _ in range(7 if with_ids else 6)]
             for doc, coded in zip(b["doc_id"].to_pylist(), enc.encode_all(b["text"].to_pylist()), strict=True):
                 ids, start = coded + end, 0
                 for k, stop in enumerate(cut_points(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * stop]
-                    row = (doc, k, start, stop - start, zlib.crc32(own), task, nth[stop - start])
+                    row = (doc, k, start, stop - start, zlib.crc32(own), key)
                     for col, v in zip(out, row + ((own,) if with_ids else ()), strict=True):
                         col.append(v)
-                    nth[stop - start] += 1
+                    key += 1
                     start = stop
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "__task", "__nth", "ids"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "__key", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=False)], names=names[: len(out)])
 
     own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
     return map_arrow(own, run, PIECES + (", ids binary" if with_ids else ""), heavy="text")
 
 
-def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Placements ``(length, first rank, pieces, first sequence, pieces in each sequence, offset)`` for so many pieces of each length.
-
-    A run of pieces with consecutive ranks goes to consecutive sequences, some in each, from the same offset on.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, number)
-    opened, out = 0, []
+#: What a row of a round is: a piece with the slot that it took, a piece without one, a free slot (seq, gap, no key).
+TOOK, LEFT, FREE = 0, 1, 2
+SWEPT = "kind int, seq bigint, gap bigint, key bigint, length bigint, part int, nth bigint"
 
-    def leave(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            gaps.setdefault(gap, []).append((first, number))
 
-    for length in range(capacity, 0, -1):
-        left, rank = counts.get(length, 0), 0
-        while left:
-            gap = min((g for g in gaps if g >= length), default=0)
-            if gap:
-                first, number = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-            else:
-                gap, first = capacity, opened
-                number = -(-left // (capacity // length))
-                opened += number
-            each = gap // length
-            took = min(left, each * number)
-            full, rest = divmod(took, each)
-            if full:
-                out.append((length, rank, full * each, first, each, capacity - gap))
-                leave(gap - each * length, first, full)
-            if rest:
-                out.append((length, rank + full * each, rest, first + full, rest, capacity - gap))
-                leave(gap - rest * length, first + full, 1)
-            leave(gap, first + full + bool(rest), number - full - bool(rest))
-            rank, left = rank + took, left - took
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """Lengths (more than, up to) that are placed together, below half a sequence: finer where few pieces fill a gap."""
+    out, hi = [], capacity // 2
+    while hi:
+        lo = hi * 3 // 4 if hi > capacity // 8 else hi // 3
+        out.append((lo, hi))
+        hi = lo
     return out
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Materialised pieces with their rank among all of their length."""
-    own = pieces.groupBy("__task", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
-    base = own.select(F.col("__task").alias("__t"), F.col("length").alias("__l"), F.coalesce(before, F.lit(0)).alias("__base"))
-    out = pieces.join(base, (F.col("__task") == F.col("__t")) & (F.col("length") == F.col("__l")))
-    return out.withColumn("__rank", F.col("__base") + F.col("__nth")).drop("__t", "__l", "__base", "__task", "__nth")
+def _swept(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in SWEPT.split(", ")), strict=True)
+    types = {"int": pa.int32(), "bigint": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def place(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Materialised ``pieces`` (with length, __task and __nth) with sequence_id and offset."""
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = np.array(sorted(plan_rounds(counts, capacity)) or np.empty((0, 6)), np.int64)
-    most = int(plan[:, 1].max()) + 1 if len(plan) else 1
-    wide = max([most, *counts.values()]) + 1
+def sweep(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """One range, sorted from the largest size down: (size, is_piece, id, gap) -> pieces with their slots, then what is left over in its order."""
+    free, left, out = [], [], []
+    for b in batches:
+        for size, is_piece, own, gap in zip(*(b[c].to_pylist() for c in ("size", "is_piece", "id", "gap")), strict=True):
+            if not is_piece:
+                free.append((own, gap))
+            elif free:
+                out.append((TOOK, *free.pop(), own, size, part, 0))
+            else:
+                left.append((own, size))
+        if len(out) > 20_000:
+            yield _swept(out)
+            out = []
+    out += [(LEFT, None, None, key, size, part, k) for k, (key, size) in enumerate(left)]
+    out += [(FREE, seq, gap, None, None, part, k) for k, (seq, gap) in enumerate(free)]
+    if out:
+        yield _swept(out)
+
+
+def between_ranges(swept: DataFrame) -> DataFrame:
+    """The rows of a round after left-over pieces have met the slots that earlier ranges have left over."""
+    rest = swept.where(F.col("kind") != TOOK)
+    # One row for each range: how far the stack of free slots has changed before it.
+    each = rest.groupBy("part").agg(F.count_if(F.col("kind") == LEFT).alias("lost"), F.count_if(F.col("kind") == FREE).alias("won"))
+    before = F.sum(F.col("won") - F.col("lost")).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("part", "lost", F.coalesce(before, F.lit(0)).alias("before"))
+    # A range takes from the stack first and adds to it then; what is added at a depth goes when the stack comes down to it next.
+    depth = F.when(F.col("kind") == LEFT, F.col("before") - F.col("nth")).otherwise(F.col("before") - F.col("lost") + F.col("nth") + 1)
+    at = rest.join(F.broadcast(each), "part").withColumn("depth", depth)
+    w = Window.partitionBy("depth").orderBy("part", "kind")
+    prior, after = F.lag(F.struct("kind", "seq", "gap")).over(w), F.lead("kind").over(w)
+    at = at.withColumns({"prior": prior, "after": after})
+    met = (F.col("kind") == LEFT) & (F.col("prior.kind") == FREE)
+    own = [F.when(met, F.lit(TOOK)).otherwise(F.col("kind")).cast("int").alias("kind"), *(F.when(met, F.col(f"prior.{c}")).otherwise(F.col(c)).alias(c) for c in ("seq", "gap")), "key", "length", "part", "nth"]
+    # A slot that has been taken stands with the piece that took it.
+    return swept.where(F.col("kind") == TOOK).unionByName(at.where(~((F.col("kind") == FREE) & F.coalesce(F.col("after") == LEFT, F.lit(False)))).select(*own))
+
+
+def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int) -> DataFrame:
+    """One round for ``pieces(key, length)`` of lengths in (lo, hi] and ``gaps(seq, gap)``: rows of SWEPT, materialised."""
+    many = F.greatest(F.floor(F.col("gap") / hi), F.lit(1))
+    slots = gaps.where(F.col("gap") > lo).select("seq", "gap", many.alias("many"), F.explode(F.sequence(F.lit(1).cast("bigint"), many)).alias("k"))
+    # All slots of a gap but one have just the size that each piece of the band fits into.
+    size = F.when(F.col("k") < F.col("many"), F.lit(hi)).otherwise(F.col("gap") - (F.col("many") - 1) * hi).cast("bigint")
+    rows = slots.select(size.alias("size"), F.lit(0).alias("is_piece"), F.col("seq").alias("id"), "gap")
+    rows = rows.unionByName(pieces.select(F.col("length").alias("size"), F.lit(1).alias("is_piece"), F.col("key").alias("id"), F.lit(None).cast("bigint").alias("gap")))
+    order = [F.desc("size"), "is_piece", "id"]
 
     def run(batches):
-        starts = plan[:, 0] * wide + plan[:, 1]
-        for b in batches:
-            length, rank = (b[c].to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
-            hit = plan[np.searchsorted(starts, length * wide + rank, side="right") - 1]
-            nth = rank - hit[:, 1]
-            keep = [i for i, c in enumerate(b.schema.names) if c != "__rank"]
-            cols = [*(b.column(i) for i in keep), pa.array(hit[:, 3] + nth // hit[:, 4]), pa.array(hit[:, 5] + nth % hit[:, 4] * length)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*(b.schema.names[i] for i in keep), "sequence_id", "offset"])
+        from pyspark import TaskContext
+
+        return sweep(batches, TaskContext.get().partitionId())
+
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
+    swept = materialize(map_arrow(dealt.sortWithinPartitions(*order), run, SWEPT), "swept")
+    small = gaps.where(F.col("gap") <= lo).select(F.lit(FREE).alias("kind"), "seq", "gap", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("length", "bigint"), ("part", "int"), ("nth", "bigint"))))
+    if ranges > 1:
+        return materialize(between_ranges(swept).unionByName(small), "round")
+    return swept.unionByName(small)
 
-    own = ranked(pieces)
-    schema = ", ".join(f"{c} {t}" for c, t in own.dtypes if c != "__rank")
-    return map_arrow(own, run, f"{schema}, sequence_id bigint, offset bigint")
 
+def open_sequences(pieces: DataFrame, capacity: int, hi: int, ranges: int) -> DataFrame:
+    """New sequences for ``pieces(key, length)`` of lengths up to ``hi``, as many to one as always fit: rows of SWEPT, materialised."""
+    each = capacity // hi
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+    def run(batches):
+        n, first = 0, None
+        for b in batches:
+            out = []
+            for key, length in zip(b["key"].to_pylist(), b["length"].to_pylist(), strict=True):
+                first = key if n % each == 0 else first
+                n += 1
+                out.append((TOOK, first, capacity, key, length, 0, 0))
+            if out:
+                yield _swept(out)
+
+    order = [F.desc("length"), "key"]
+    dealt = pieces.select("key", "length").repartitionByRange(ranges, *order) if ranges > 1 else pieces.select("key", "length").coalesce(1)
+    return materialize(map_arrow(dealt.sortWithinPartitions(*order), run, SWEPT), "opened")
+
+
+def gaps_after(rows: DataFrame) -> DataFrame:
+    """seq, gap: what is free in the sequences after a round."""
+    left = F.min("gap") - F.coalesce(F.sum("length"), F.lit(0))
+    return rows.where(F.col("kind") != LEFT).groupBy("seq").agg(left.alias("gap")).where("gap > 0")
+
+
+def place(pieces: DataFrame, capacity: int, range_rows: int = 50_000) -> DataFrame:
+    """Materialised ``pieces`` (with length and __key) with sequence_id and offset; a range has about ``range_rows`` rows."""
+    items = pieces.select(F.col("__key").alias("key"), "length")
+    in_band = bands(capacity)
+    number = F.lit(-1)
+    for k, (lo, hi) in enumerate(in_band):
+        number = F.when((F.col("length") > lo) & (F.col("length") <= hi), F.lit(k)).otherwise(number)
+    counts = {r["band"]: r["n"] for r in items.groupBy(number.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    alone = items.where(F.col("length") > capacity // 2)
+    placed = [alone.select("key", F.col("key").alias("seq"))]
+    gaps, n_gaps = alone.select(F.col("key").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0"), counts.get(-1, 0)
+    for k, (lo, hi) in enumerate(in_band):
+        left, n_left = items.where((F.col("length") > lo) & (F.col("length") <= hi)), counts.get(k, 0)
+        while n_left:
+            ranges = -(-(n_left + n_gaps) // range_rows)
+            rows = match(gaps, left, lo, hi, ranges)
+            seen = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+            n_left, left = seen.get(LEFT, 0), rows.where(F.col("kind") == LEFT)
+            if seen.get(TOOK):
+                placed.append(rows.where(F.col("kind") == TOOK).select("key", "seq"))
+            elif n_left:
+                opened = open_sequences(left, capacity, hi, -(-n_left // range_rows))
+                placed.append(opened.select("key", "seq"))
+                rows, n_gaps, n_left = rows.unionByName(opened), n_gaps + n_left, 0
+            gaps = gaps_after(rows)
+    found = placed[0]
+    for p in placed[1:]:
+        found = found.unionByName(p)
+    out = pieces.join(found.select(F.col("key").alias("__key"), F.col("seq").alias("sequence_id")), "__key")
+    # A sequence has at most ``capacity`` pieces.
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "__key").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("__key")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, **how) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    return place(materialize(encode_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
+    return place(materialize(encode_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity, **how)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

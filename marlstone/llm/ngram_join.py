@@ -8,20 +8,25 @@ documents: the copies in its own class and all documents of the classes that lin
 With o(n) the least overlap that a set of n needs (the ceiling of n * percent / 100), two sets that link share at least c tokens
 among the first n - o(n) + c of each, under whatever global order of all tokens and for every c. That gives the filters:
 
-1. Order 1 is by hash. Each set gives its prefix for c = (n - o(n)) * 5 // 8 + 1.
-2. Order 2 is by rarity: the number of classes that have a token in their prefix. Prefixes that share c tokens share one among all
-   but the c - 1 commonest of either, so only those make a class a candidate; a common line or passage, however many documents hold
-   it, rarely is among them, and tokens of a single class leave at once. Classes with such a token in common form a bucket.
-3. Order 3 is by another hash, for c = (n - o(n)) * 5 // 16 + 1: of the pairs that meet, only those that share c tokens of these
-   prefixes as well are verified.
+1. Order 1 is by hash. Each set gives its prefix for c = n - o(n) + 1, which keeps texts of a form apart whose common words are less
+   than about half of each.
+2. Order 2 ranks these prefixes by rarity: by the number of classes that have a token in their prefix. Prefixes that share c tokens
+   share one among all but the c - 1 commonest of either, so only those make a class a candidate; a common line or passage, however
+   many documents hold it, rarely is among them, and tokens of a single class leave at once. Classes with such a token in common form
+   a bucket.
+3. Orders 3 and 4 are by other hashes, each over whole sets and independent of the others, for c = (n - o(n)) * 5 // 16 + 1.
+
+A pair of classes is a candidate only if it passes all of them: a token of order 2 in common and c tokens of either's prefix under
+order 3 and under order 4, and sizes that can link. Only candidates are verified.
 
 No pair travels or is written. A bucket's first class is its pivot, and the buckets with one pivot form a group, so that two classes
-with a token of order 2 in common are in a group together. The classes of a group are sorted by size and dealt into blocks of bounded
-size, and every two blocks whose sizes can link are one piece of work. First only the prefixes of order 3 travel, and classes without
-any partner leave the piece of work; then the texts of the others do. Both steps count shared tokens of all pairs of a piece of work
-at once, as products of 0/1 matrices. A piece of work gives out the links of a spanning forest and for each class the number of documents it
-links with, so what comes out is never more than a few times what went in, while every link is counted and every link that joins
-components is found. Two classes may meet in several groups; their link is counted in the first of these.
+with a token of order 2 in common are in a group together. All groups are sorted by size of their classes at once, by a range
+partitioning that cuts a large group wherever its task ends, and dealt into blocks of bounded size; every two blocks of a group whose
+sizes can link are one piece of work. First only the tokens of orders 2 to 4 travel, and classes without any candidate leave the piece of
+work; then the texts of the others do. Both steps count shared tokens of all pairs of a piece of work at once, as products of 0/1
+matrices, and intersect what the orders leave. A piece of work gives out the links of a spanning forest and for each class the number of
+documents it links with, so what comes out is never more than a few times what went in, while every link is counted and every link that
+joins components is found. Two classes may meet in several groups; their link is counted in the first of these.
 
 Defined results: a set without words is empty and links with nothing; rows with a null doc_id link as others do, and a component of
 them alone has a null component_id; rows that repeat a document are documents of their own; extra columns play no part; an empty
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_or_empty
+from .common import discard, map_arrow, materialize, one_of_each, text_or_empty
 from .word_shingles import WordHashes, mix, windows
 
 _NO_ID = (1 << 63) - 1
@@ -49,7 +54,7 @@ def need(n: int, percent: int) -> int:
 
 def shared_first(n: int, percent: int) -> int:
     """How many tokens the prefixes of a set of n must share under order 1."""
-    return (n - need(n, percent)) * 5 // 8 + 1
+    return n - need(n, percent) + 1
 
 
 def shared_third(n: int, percent: int) -> int:
@@ -66,7 +71,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """doc_id, fp (of the text), n, c1 and c2 (of the set), and the prefixes p1 (6 bytes a token) and p3 (4 bytes) under orders 1 and 3 of every row."""
+    """doc_id, fp (of the text), n, c1 and c2 (of the set), and the prefixes p1 (6 bytes a token), p3 and p4 (4 bytes) under orders 1, 3 and 4 of every row."""
 
     def run(batches):
         memory = WordHashes()
@@ -76,27 +81,27 @@ def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 own = shingle_set(words_of(text), memory, size)
                 n = len(own)
                 short = n - need(n, percent)
-                first, third = own[: short + shared_first(n, percent)], third_prefix(own, percent)
+                first = own[: short + shared_first(n, percent)]
                 c1, c2 = (int(mix(own * np.uint64(a) + np.uint64(1)).sum(dtype=np.uint64)) for a in (1, 0xD6E8FEB86659FD93))
-                rows.append((n, c1 - (1 << 64) * (c1 >> 63), c2 - (1 << 64) * (c2 >> 63), first.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes(), (third >> np.uint64(32)).astype("<u4").tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                rows.append((n, c1 - (1 << 64) * (c1 >> 63), c2 - (1 << 64) * (c2 >> 63), first.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes(), *(short_tokens(own, percent, k).tobytes() for k in (3, 4))))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["fp"], *made], names=["doc_id", "fp", "n", "c1", "c2", "p1", "p3"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["fp"], *made], names=["doc_id", "fp", "n", "c1", "c2", "p1", "p3", "p4"])
 
     own = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty()).alias("fp"), text_or_empty().alias("text"))
-    return map_arrow(own, run, "doc_id bigint, fp bigint, n bigint, c1 bigint, c2 bigint, p1 binary, p3 binary", heavy="text")
+    return map_arrow(own, run, "doc_id bigint, fp bigint, n bigint, c1 bigint, c2 bigint, p1 binary, p3 binary, p4 binary", heavy="text")
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row per non-empty distinct set: id, least (doc_id), fp, n, c1, c2, copies (rows that have it), p1, p3."""
+    """One row per non-empty distinct set: id, least (doc_id), fp, n, c1, c2, copies (rows that have it), p1, p3, p4."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.col("fp"))).alias("__first")
-    own = signed.where("n > 0").groupBy("n", "c1", "c2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("p1").alias("p1"), F.first("p3").alias("p3"))
-    own = own.select(F.col("__first.d").alias("least"), F.col("__first.fp").alias("fp"), "n", "c1", "c2", "copies", "p1", "p3")
+    own = signed.where("n > 0").groupBy("n", "c1", "c2").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("p1", "p3", "p4")])
+    own = own.select(F.col("__first.d").alias("least"), F.col("__first.fp").alias("fp"), "n", "c1", "c2", "copies", "p1", "p3", "p4")
     # A doc_id stands for its class, unless none is known or rows of several classes repeat it.
     twice = own.select("least").groupBy("least").count().where(f"count > 1 OR least = {_NO_ID}").select(F.col("least").alias("__twice"))
     own = own.join(twice, own["least"] == twice["__twice"], "left")
     other = F.lit(-1) - F.pmod(F.xxhash64("c1", "c2"), F.lit(1 << 62))
-    return own.select(F.when(F.col("__twice").isNull(), F.col("least")).otherwise(other).alias("id"), "least", "fp", "n", "c1", "c2", "copies", "p1", "p3")
+    return own.select(F.when(F.col("__twice").isNull(), F.col("least")).otherwise(other).alias("id"), "least", "fp", "n", "c1", "c2", "copies", "p1", "p3", "p4")
 
 
 def postings(own: DataFrame) -> DataFrame:
@@ -117,13 +122,13 @@ def postings(own: DataFrame) -> DataFrame:
 def rarest(found: DataFrame, percent: int) -> DataFrame:
     """token, id, n: what is left of the prefixes under order 2, without tokens of a single class."""
     n, need_of = F.col("n"), lambda c: F.ceil(c * percent / F.lit(100))
-    shared = lambda c: F.floor((c - need_of(c)) * 5 / F.lit(8)) + 1
-    prefix = n - need_of(n) + shared(n)
+    prefix = 2 * (n - need_of(n)) + 1
     # A partner has at least need(n) tokens, and none of that many or more has to share fewer than this.
-    least_shared = F.floor((need_of(n) - need_of(need_of(n)) - 1) * 5 / F.lit(8)) + 1
-    least_shared = F.greatest(least_shared, F.lit(1))
+    least_shared = need_of(n) - need_of(need_of(n)) + 1
     prefix = F.least(prefix, n)
-    held = found.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot token.
+    shared_by = materialize(found.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token-classes")
+    held = found.join(shared_by.hint("merge"), "token")
     by_id = Window.partitionBy("id")
     nth = F.row_number().over(by_id.orderBy("df", "token"))
     single = prefix - F.count(F.lit(1)).over(by_id)
@@ -144,11 +149,27 @@ def groups(kept: DataFrame) -> DataFrame:
 
 
 def work(grouped: DataFrame, percent: int, block_classes: int, block_tokens: int) -> DataFrame:
-    """g, i, j, side, id: each class once for each pair of blocks (i, j) that it has a part in, on side 0, 1 or, for i = j, 0 alone."""
-    w = Window.partitionBy("g").orderBy("n", "id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    tokens = F.coalesce(F.sum("n").over(before), F.lit(0))
-    dealt = materialize(grouped.select("g", "id", "n", (F.floor((F.row_number().over(w) - 1) / block_classes) + F.floor(tokens / block_tokens)).alias("block")), "blocks")
+    """g, i, j, side, id: each class once for each pair of blocks (i, j) that it has a part in, on side 0, 1 or, for i = j, 0 alone.
+
+    ``grouped`` is materialised. Blocks are numbered in the order of their classes' sizes.
+    """
+
+    def deal(batches):
+        from pyspark import TaskContext
+
+        block, group, classes, held = (TaskContext.get().partitionId() << 32) - 1, None, 0, 0
+        for b in batches:
+            out = []
+            for g, n in zip(b["g"].to_pylist(), b["n"].to_pylist(), strict=True):
+                if g != group or classes == block_classes or held + n > block_tokens:
+                    block, group, classes, held = block + 1, g, 0, 0
+                classes, held = classes + 1, held + n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([b["g"], b["id"], b["n"], pa.array(out, pa.int64())], names=["g", "id", "n", "block"])
+
+    parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_by_size = grouped.select("g", "id", "n").repartitionByRange(parts, "g", "n", "id").sortWithinPartitions("g", "n", "id")
+    dealt = materialize(map_arrow(sorted_by_size, deal, "g bigint, id bigint, n bigint, block bigint"), "blocks")
     blocks = dealt.groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a = blocks.select("g", F.col("block").alias("i"), F.col("hi").alias("hi"))
     b = blocks.select("g", F.col("block").alias("j"), F.col("lo").alias("lo"))
@@ -157,12 +178,20 @@ def work(grouped: DataFrame, percent: int, block_classes: int, block_tokens: int
     return dealt.join(sides.select("g", "i", "j", "x.side", "x.block"), ["g", "block"]).select("g", "i", "j", "side", "id")
 
 
-def third_prefix(own: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set under order 3."""
+#: What tells the hash orders 3 and 4 apart (fixed values).
+_ORDERS = {3: np.uint64(0x5851F42D4C957F2D), 4: np.uint64(0x2545F4914F6CDD1D)}
+
+
+def prefix(own: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """The first tokens of a set under order 3 or 4."""
     n = len(own)
     k = min(n, n - need(n, percent) + shared_third(n, percent))
-    order = mix(own ^ np.uint64(0x5851F42D4C957F2D))
-    return own[np.argpartition(order, k - 1)[:k]] if k < n else own
+    return own[np.argpartition(mix(own ^ _ORDERS[order]), k - 1)[:k]] if k < n else own
+
+
+def short_tokens(own: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """The same in 4 bytes a token."""
+    return (prefix(own, percent, order) >> np.uint64(32)).astype("<u4")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -191,17 +220,21 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096)
     return out
 
 
-def may_link(thirds: list[np.ndarray], size: np.ndarray, own: list[int], other: list[int], percent: int, lost: np.ndarray | int = 0) -> np.ndarray:
-    """Which pairs pass order 3 and the bound on sizes; of the pairs within one side, one of each two.
+def may_link(prefixes: list[list[np.ndarray]], rare: list[np.ndarray], size: np.ndarray, own: list[int], other: list[int], percent: int, lost: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which pairs are candidates: all orders and the bound on sizes let them pass. Of the pairs within one side, one of each two.
 
-    ``lost`` is how many tokens of each prefix fell together when they were shortened, which the pair then need not share.
+    ``prefixes`` has each set's tokens under orders 3 and 4, ``rare`` its tokens under order 2. ``lost`` is how many tokens of each prefix
+    fell together when they were shortened, which the pair then need not share.
     """
     na, nb = size[own][:, None], size[other][None, :]
-    ask = np.array([shared_third(int(n), percent) for n in size]) - lost
     may = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
-    may &= shared_counts([thirds[k] for k in own], [thirds[k] for k in other]) >= np.minimum(ask[own][:, None], ask[other][None, :])
     if other is own:
         may &= np.tri(len(own), k=-1, dtype=bool)
+    may &= shared_counts([rare[k] for k in own], [rare[k] for k in other]) > 0
+    for k, tokens in enumerate(prefixes):
+        if may.any():
+            ask = np.array([shared_third(int(n), percent) for n in size]) - (lost[k] if lost else 0)
+            may &= shared_counts([tokens[x] for x in own], [tokens[x] for x in other]) >= np.minimum(ask[own][:, None], ask[other][None, :])
     return may
 
 
@@ -210,7 +243,7 @@ def sides_of(sides: list[int]) -> tuple[list[int], list[int]]:
     return own, [k for k, s in enumerate(sides) if s == 1] or own
 
 
-def linking(sets: list[np.ndarray], sides: list[int], percent: int, copies: list[int], earlier: list[np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
+def linking(sets: list[np.ndarray], rare: list[np.ndarray], sides: list[int], percent: int, copies: list[int], earlier: list[np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A spanning forest of the links between side 0 and side 1, or within side 0 if there is no other, and how many copies each set links with.
 
     Pairs that share a group in ``earlier`` have been counted there.
@@ -220,7 +253,7 @@ def linking(sets: list[np.ndarray], sides: list[int], percent: int, copies: list
     if not own:
         return [], counts
     size = np.array([len(s) for s in sets])
-    may = may_link([third_prefix(s, percent) for s in sets], size, own, other, percent)
+    may = may_link([[prefix(s, percent, k) for s in sets] for k in (3, 4)], rare, size, own, other, percent)
     rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
     if not len(rows):
         return [], counts
@@ -273,41 +306,45 @@ def pieces(batches, payload: str):
         yield key, ids, sides, held
 
 
-def with_partners(todo: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``todo`` whose class has a partner under order 3 in the piece of work."""
+def rare_tokens(kept: DataFrame) -> DataFrame:
+    """id, rare: the tokens of order 2 of each class, which are fewer than its prefix has."""
+    return kept.groupBy("id").agg(F.collect_set("token").alias("rare"))
+
+
+def with_partners(todo: DataFrame, own: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``todo`` whose class is one of a candidate pair in the piece of work."""
 
     def run(batches):
         for (g, i, j), ids, sides, held in pieces(batches, "x"):
             mine, other = sides_of(sides)
             if not mine:
                 continue
-            # The size comes in front of the prefix.
-            size = np.array([int.from_bytes(x[:8], "big") for x in held])
-            thirds = [np.unique(np.frombuffer(x, "<u4", offset=8)) for x in held]
-            lost = np.array([(len(x) - 8) // 4 - len(t) for x, t in zip(held, thirds, strict=True)])
-            may = may_link(thirds, size, mine, other, percent, lost)
+            size = np.array([x["n"] for x in held])
+            raw = [[np.frombuffer(x[c], "<u4") for x in held] for c in ("p3", "p4")]
+            tokens = [[np.unique(t) for t in own] for own in raw]
+            lost = [np.array([len(a) - len(b) for a, b in zip(*x, strict=True)]) for x in zip(raw, tokens, strict=True)]
+            may = may_link(tokens, [np.array(x["rare"], np.int64) for x in held], size, mine, other, percent, lost)
             keep = sorted({mine[k] for k in np.flatnonzero(may.any(1))} | {other[k] for k in np.flatnonzero(may.any(0))})
             if keep:
                 cols = [[g] * len(keep), [i] * len(keep), [j] * len(keep), [sides[k] for k in keep], [ids[k] for k in keep]]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["g", "i", "j", "side", "id"])
 
-    carried = own.select("id", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "p3").alias("x"))
-    carried = only(carried, todo.select("id"), ["id"])
+    carried = only(own.select("id", "n", "p3", "p4"), todo.select("id"), ["id"]).join(rare, "id").select("id", F.struct("n", "p3", "p4", "rare").alias("x"))
     return map_arrow(by_piece(todo.join(carried, "id"), "x"), run, "g bigint, i bigint, j bigint, side int, id bigint")
 
 
 def links_of(todo: DataFrame, percent: int, size: int) -> DataFrame:
     """a, b, n: links (a, b) and numbers n of documents that a links with, out of ``todo(g, i, j, side, id, x)``.
 
-    Each (g, i, j) is one piece of work of bounded size; x has the text, the copies and the earlier groups of a class.
+    Each (g, i, j) is one piece of work of bounded size; x has the text, the copies, the tokens of order 2 and the earlier groups of a class.
     """
 
     def run(batches):
         memory = WordHashes()
         for _, ids, sides, held in pieces(batches, "x"):
             sets = [shingle_set(words_of(x["text"]), memory, size) for x in held]
-            found, counts = linking(sets, sides, percent, [x["copies"] for x in held], [np.array(x["earlier"], np.int64) for x in held])
+            found, counts = linking(sets, [np.array(x["rare"], np.int64) for x in held], sides, percent, [x["copies"] for x in held], [np.array(x["earlier"], np.int64) for x in held])
             counted = np.flatnonzero(counts).tolist()
             a, b = [ids[i] for i, _ in found] + [ids[k] for k in counted], [ids[j] for _, j in found] + [None] * len(counted)
             n = [None] * len(found) + counts[counted].tolist()
@@ -349,14 +386,17 @@ def labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, block_classes: int, block_tokens: int) -> DataFrame:
     """a, b, n: links (a, b) that join the classes ``own`` to the components of all links, and numbers n of documents that a links with."""
     kept = materialize(rarest(postings(own), percent), "candidate-tokens")
-    todo = materialize(work(groups(kept), percent, block_classes, block_tokens), "work")
-    todo = materialize(with_partners(todo, own, percent), "work")
+    rare = materialize(rare_tokens(kept), "rare-tokens")
+    grouped = materialize(groups(kept), "groups")
+    laid_out = materialize(work(grouped, percent, block_classes, block_tokens), "work")
+    todo = materialize(with_partners(laid_out, own, rare, percent), "work")
+    discard(kept, grouped, laid_out)
     held = only(own.select("id", F.col("least").alias("__d"), F.col("fp").alias("__f"), "copies"), todo.select("id"), ["id"])
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("__d"), F.xxhash64(text_or_empty()).alias("__f"), text_or_empty().alias("text"))
-    texts = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).join(held, ["__d", "__f"]).select("id", "text", "copies")
-    # Two classes that link are partners in every group they share, so the groups left are all that matter.
+    texts = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).join(held, ["__d", "__f"]).select("id", "text", "copies").join(rare, "id")
+    # Two classes that link are candidates in every group they share, so the groups left are all that matter.
     todo = todo.join(todo.groupBy("id").agg(F.collect_set("g").alias("all")), "id").join(texts, "id")
-    carried = F.struct("text", "copies", F.filter("all", lambda x: x < F.col("g")).alias("earlier"))
+    carried = F.struct("text", "copies", "rare", F.filter("all", lambda x: x < F.col("g")).alias("earlier"))
     return materialize(links_of(todo.withColumn("x", carried), percent, size), "links")
 
 
@@ -377,7 +417,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, block_
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each component, that of the least doc_id, and all rows without words; all columns kept."""
+    """``docs`` with one row of each component, that of the least doc_id, and all rows without words; all columns kept.
+
+    Of rows that repeat this doc_id and text the least one stays, by its columns in their order.
+    """
     found = materialize(jaccard_components(docs, **how).select("doc_id", "fp", "comp"), "members")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.col("fp").alias("f"))).alias("first")
     chosen = found.where("comp IS NOT NULL").groupBy("comp").agg(first).select(F.col("first.d").alias("__d"), F.col("first.f").alias("__f"))
@@ -386,5 +429,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     out = own.join(chosen.unionByName(alone), ["__d", "__f"], "left_semi")
     if not found.where("comp IS NOT NULL").groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
         words = F.length(F.regexp_replace(text_or_empty(), r"[\x20\x09-\x0D]", "")) > 0
-        out = out.where(words).dropDuplicates(["__d", "__f"]).unionByName(out.where(~words))
+        out = one_of_each(out.where(words), ["__d", "__f"]).unionByName(out.where(~words))
     return out.drop("__d", "__f")

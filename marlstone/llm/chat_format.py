@@ -15,8 +15,9 @@ rendered and parsed again until both are identical; one pass suffices for this g
 Roles are written with their first letter in upper case when that can be undone, and percent-escaped otherwise.
 
 Turns are rendered where they lie, each by itself. Reading back needs the turns of a conversation in order, since its
-digests run over all of them: the rendered turns are sorted by Spark (which spills) and streamed through one incremental
-hash for each conversation. No conversation is ever held in memory.
+digests run over all of them: the rendered turns are sorted by Spark (which spills) and streamed, as the one text that they are
+together, through one parser and one incremental hash for each conversation. What the loss covers is cut out of that text by its
+spans. No conversation is ever held in memory.
 
 Defined results: a null text or role is the empty string; turns are ordered by turn (null first), then role, then text, and
 repeated rows are turns of their own; rows with a null conv_id form one conversation; other columns are ignored; an empty
@@ -91,6 +92,26 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
         at = end + len(_END)
 
 
+class Reader:
+    """The turns of one conversation that comes in parts, cut anywhere; it holds no more than the turn that is not ended yet."""
+
+    def __init__(self):
+        self.held = ""
+
+    def feed(self, part: str) -> Iterator[tuple[str, str]]:
+        """role and text of the turns that end in this part."""
+        self.held += part
+        # A turn's end may be cut, and what follows it starts the next turn.
+        end = self.held.rfind(_END)
+        if end >= 0:
+            whole, self.held = self.held[: end + len(_END)], self.held[end + len(_END) :]
+            yield from (x[:2] for x in parse(whole))
+
+    def close(self) -> None:
+        if self.held:
+            raise ParseError("a turn does not end")
+
+
 def format_turn(role: str, text: str, max_passes: int = 3) -> tuple[str, int, int, int]:
     """Rendered turn, span of its content, and how many passes of escaping it took to get the source back."""
     content = text
@@ -127,7 +148,8 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 def read_back(rendered: DataFrame) -> DataFrame:
     """What the rendered turns say, per conversation: the number and digest of turns, and the loss text's length and digest.
 
-    ``rendered`` has conv_id, turn, rendered, loss_start and loss_end, and the columns role and text only order its rows.
+    ``rendered`` has conv_id, turn, rendered, loss_start and loss_end, and the columns role and text only order its rows. Turns come from
+    a parse of the conversation as a whole, the loss text from its spans alone.
     """
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
@@ -140,21 +162,23 @@ def read_back(rendered: DataFrame) -> DataFrame:
             return out
 
         def close():
-            n, all_turns, n_loss, loss, chars = state
+            n, all_turns, n_loss, loss, chars, reader = state
+            reader.close()
             done.append({"conv_id": key, "n_turns": n, "turns_sha256": all_turns.hexdigest(), "loss_chars": n_loss, "loss_sha256": loss.hexdigest(), "formatted_chars": chars})
 
         for b in batches:
-            for conv, text, start in zip(*(b[c].to_pylist() for c in ("conv_id", "rendered", "loss_start")), strict=True):
+            for conv, text, start, end in zip(*(b[c].to_pylist() for c in ("conv_id", "rendered", "loss_start", "loss_end")), strict=True):
                 if state is None or conv != key:
                     if state is not None:
                         close()
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, _, _ in parse(text):
+                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
+                for role, said in state[5].feed(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                    if start is not None:
-                        state[2] += len(said)
-                        state[3].update(said.encode("utf-8", "surrogatepass"))
+                if start is not None:
+                    said = unescape(text[start:end])
+                    state[2] += len(said)
+                    state[3].update(said.encode("utf-8", "surrogatepass"))
                 state[4] += len(text)
             if len(done) >= 5000:
                 yield flush()
@@ -164,4 +188,4 @@ def read_back(rendered: DataFrame) -> DataFrame:
             yield flush()
 
     dealt = rendered.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(dealt.select("conv_id", "rendered", "loss_start"), run, schema)
+    return map_arrow(dealt.select("conv_id", "rendered", "loss_start", "loss_end"), run, schema)

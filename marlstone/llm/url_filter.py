@@ -13,8 +13,8 @@ empty token, which every URL holds.
 Defined results: a null URL or one without ``://`` has an empty host and path, and gets the default verdict; repeated
 rows are judged one by one; extra columns are not looked at; an empty table gives an empty table.
 
-Everything is DataFrame expressions. Up to ``inline_rules`` rules the index is a map literal inside the projection: no
-shuffle, no skew. Beyond that, URL tokens are joined to the index by shuffle and candidates are reduced per URL.
+Everything is DataFrame expressions. Up to ``inline_rules`` rules the index is a map literal inside the projection, which a URL's
+tokens are looked up in: no shuffle, no skew. Beyond that, URL tokens are joined to the index and candidates are reduced per URL.
 """
 
 from __future__ import annotations
@@ -91,12 +91,13 @@ def filter_urls(urls: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     # What decides among the rules that fit is the greatest struct.
     rank = lambda h, p, v: (len(h) + len(p), len(h), v == "block")
     if sum(map(len, index.values())) <= inline_rules:
-        as_struct = lambda h, p, v: F.struct(*[F.lit(x).alias(n) for n, x in zip(("n", "nh", "b", "rule", "verdict"), (*rank(h, p, v), h + p, v), strict=True)])
+        as_struct = lambda h, p, v, rx: F.struct(*[F.lit(x).alias(n) for n, x in zip(("n", "nh", "b", "rule", "verdict", "rx"), (*rank(h, p, v), h + p, v, rx), strict=True)])
+        found = F.create_map(*[x for key, held in index.items() for x in (F.lit(key), F.array(*[as_struct(*r) for r in held]))])
         cut = own.withColumns({"host": host, "path": path}).withColumn("__tokens", url_tokens(F.col("host"), F.col("path")))
         line = F.concat("host", "path")
-        # A candidate's expression runs only behind its token, and the greatest of no fits at all is null.
-        fetched = [F.when(F.array_contains("__tokens", key), F.array_max(F.array(*[F.when(line.rlike(rx), as_struct(h, p, v)) for h, p, v, rx in held]))) for key, held in index.items()]
-        cut = cut.withColumn("__best", F.array_max(F.array(*fetched)))
+        # Only the rules that the tokens fetch run their expressions, and the greatest of no fits at all is null.
+        fetched = F.flatten(F.array_compact(F.transform("__tokens", lambda t: F.try_element_at(found, t))))
+        cut = cut.withColumn("__best", F.array_max(F.filter(fetched, lambda r: F.rlike(line, r["rx"]))))
         return cut.select(*[F.col(f"`{c}`") for c in names], "host", "path", F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
     table = spark.createDataFrame([(k, *rank(h, p, v), h + p, v, rx) for k, held in index.items() for h, p, v, rx in held], "token string, n int, nh int, b boolean, rule string, verdict string, rx string")
     lines = own.select(F.col(url).alias("__url")).distinct()

@@ -13,7 +13,8 @@ A minimiser that more than ``most`` super-k-mers share (a boilerplate line in a
 its packed strings are reduced to distinct ones with their number, and their windows are counted by a distributed aggregation.
 
 Words covered by a window that starts anywhere else as well, in this document or another, are removed. Windows are judged on the
-input. Intermediate rows carry (doc_id, text hash); only packed strings and one shuffle of the texts move text.
+input. Intermediate rows carry (doc_id, text hash). Text moves three times: when texts meet the places of their super-k-mers that
+share a minimiser, as packed strings of these, and when texts meet the words that go.
 
 Defined results: a null text has no words; rows that repeat a document are documents of their own (so that windows of theirs
 repeat); texts shorter than a window lose nothing; extra columns play no part (``dedup_texts`` keeps them); an empty table gives
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, text_or_empty
+from .common import columns_of, discard, map_arrow, materialize, text_or_empty
 from .word_shingles import WordHashes, windows
 
 GRAM = 4
@@ -167,17 +168,21 @@ def count_buckets(packed: DataFrame, size: int) -> DataFrame:
 
 
 def count_hot(packed: DataFrame, size: int) -> DataFrame:
-    """The same for minimisers that many share: distinct packed strings, then a distributed count of their windows."""
+    """The same for minimisers that many share: distinct packed strings, named by their SHA-256, then a distributed count of their windows."""
 
     def explode(batches):
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64()]
         for b in batches:
-            for sid, n, words, c in zip(*(b[x].to_pylist() for x in ("sid", "n", "words", "c")), strict=True):
-                ws = window_texts(words, n, size)
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(ws, pa.binary()), pa.array([c] * n, pa.int64())], names=["sid", "i", "w", "c"])
+            out = []
+            for k, (sid, n, words, c) in enumerate(zip(*(b[x].to_pylist() for x in ("sid", "n", "words", "c")), strict=True), 1):
+                out += [(sid, i, w, c) for i, w in enumerate(window_texts(words, n, size))]
+                if len(out) > 10_000 or (out and k == b.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["sid", "i", "w", "c"])
+                    out = []
 
-    sid = F.md5("words").alias("sid")
+    sid = F.sha2("words", 256).alias("sid")
     distinct = packed.groupBy("words", "n").agg(F.count(F.lit(1)).alias("c")).select(sid, "n", "words", "c")
-    each = materialize(map_arrow(distinct, explode, "sid string, i int, w binary, c bigint"), "hot-windows")
+    each = materialize(map_arrow(distinct, explode, "sid string, i int, w binary, c bigint", heavy="words"), "hot-windows")
     again = each.groupBy("w").agg(F.sum("c").alias("total")).where("total > 1").select("w")
     hit = each.join(again, "w").groupBy("sid").agg(F.collect_set("i").alias("at"))
     rows = packed.select("__id", "__fp", "start", sid).join(hit, "sid")
@@ -193,6 +198,7 @@ def repeated_ranges(docs: DataFrame, size: int, most: int) -> DataFrame:
     # Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot minimiser.
     shared = materialize(spans.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m", (F.col("times") > most).alias("hot")), "shared")
     packed = materialize(pack(docs, spans.join(shared, "m"), size), "packed")
+    discard(spans, shared)
     found = count_buckets(packed.where("NOT hot").drop("hot"), size)
     if packed.where("hot").isEmpty():
         return found
@@ -209,7 +215,8 @@ def covered(found: list[dict] | None, n: int) -> np.ndarray:
 
 
 def _with_ranges(docs: DataFrame, size: int, most: int) -> DataFrame:
-    by_doc = repeated_ranges(docs.select("__id", "__fp", text_or_empty().alias("text")), size, most).groupBy("__id", "__fp").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))
+    found = repeated_ranges(docs.select("__id", "__fp", text_or_empty().alias("text")), size, most)
+    by_doc = found.groupBy("__id", "__fp").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))
     return docs.join(by_doc, ["__id", "__fp"], "left")
 
 
@@ -249,4 +256,4 @@ def dedup_texts(docs: DataFrame, size: int = 35, most: int = 20_000) -> DataFram
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__fp": F.xxhash64(text)})
     own = _with_ranges(own, size, most).drop("__id", "__fp")
     schema = T.StructType([f for f in own.schema.fields if f.name != "__ranges"])
-    return map_arrow(own, run, schema, heavy="text").select(*docs.columns)
+    return map_arrow(own, run, schema, heavy="text").select(*columns_of(docs))

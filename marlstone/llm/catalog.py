@@ -64,12 +64,6 @@ def op4_bpe_round_trip(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def op5_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -159,7 +153,6 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_media_columns": op9_media_columns,
         "op10_token_id_output": op10_token_id_output,
-        "pipeline": pipeline,
     }
 
 

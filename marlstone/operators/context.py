@@ -28,15 +28,29 @@ def _union(arrays: Column) -> Column:
     return F.array_distinct(F.flatten(arrays))
 
 
+#: What a hit may carry besides; of merged hits the first one that has it counts.
+CARRIED = ("document_id", "module", "section_id")
+_COLS = ["rank", "chunk_id", "document", "page", "heading", "score", "text", "entities"]
+
+
+def _carried(hits: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in hits.columns]
+
+
+def _first_known(values: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.filter(values, lambda x: F.coalesce(x.cast("string"), F.lit("")) != ""), F.lit(1)), F.try_element_at(values, F.lit(1)))
+
+
 def merge_adjacent(hits: DataFrame) -> DataFrame:
     """Neighbours in rank with one document and heading and consecutive pages become one hit, with the first one's ids and score."""
     same = (F.lag("document").over(_ranked()) == F.col("document")) & (F.lag("heading").over(_ranked()) == F.col("heading")) & (F.lag("page").over(_ranked()) + 1 == F.col("page"))
     island = F.sum(F.when(same, 0).otherwise(1)).over(_ranked().rowsBetween(Window.unboundedPreceding, 0))
-    cols = ["rank", "chunk_id", "document", "page", "heading", "score", "text", "entities"]
-    parts = F.sort_array(F.collect_list(F.struct(*cols)))
+    more = _carried(hits)
+    parts = F.sort_array(F.collect_list(F.struct(*_COLS, *more)))
     got = hits.withColumn("__island", island).groupBy("query_id", "__island").agg(parts.alias("p"))
-    first = [F.element_at("p", 1)[c].alias(c) for c in cols[:6]]
-    return got.select("query_id", *first, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), _union(F.transform("p", lambda x: x["entities"])).alias("entities"))
+    first = [F.element_at("p", 1)[c].alias(c) for c in _COLS[:6]]
+    rest = [_first_known(F.transform("p", lambda x, c=c: x[c])).alias(c) for c in more]
+    return got.select("query_id", *first, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), _union(F.transform("p", lambda x: x["entities"])).alias("entities"), *rest)
 
 
 def merge_hierarchical(hits: DataFrame) -> DataFrame:
@@ -44,19 +58,20 @@ def merge_hierarchical(hits: DataFrame) -> DataFrame:
 
     The comparison is with the leader of the group, so this is a fold over a query's few ranked hits.
     """
-    cols = ["rank", "chunk_id", "document", "page", "heading", "score", "text", "entities"]
-    rows = F.sort_array(F.collect_list(F.struct(*cols, section_number("heading").alias("num"))))
+    more = _carried(hits)
+    rows = F.sort_array(F.collect_list(F.struct(*_COLS, *more, section_number("heading").alias("num"))))
     own = hits.groupBy("query_id").agg(rows.alias("rows"))
 
     def step(groups: Column, x: Column) -> Column:
         lead = F.try_element_at(groups, F.lit(-1))
         joins = F.coalesce((lead["document"] == x["document"]) & is_descendant(x["num"], lead["num"]), F.lit(False))
         page = F.when((lead["page"] > 0) & (x["page"] > 0), F.least(lead["page"], x["page"])).otherwise(F.greatest(lead["page"], x["page"]))
-        merged = F.struct(lead["rank"].alias("rank"), lead["chunk_id"].alias("chunk_id"), lead["document"].alias("document"), page.alias("page"), lead["heading"].alias("heading"), F.greatest(lead["score"], x["score"]).alias("score"), F.concat(lead["text"], F.lit("\n\n"), x["text"]).alias("text"), F.array_distinct(F.concat(lead["entities"], x["entities"])).alias("entities"), lead["num"].alias("num"))
+        rest = [_first_known(F.array(lead[c], x[c])).alias(c) for c in more]
+        merged = F.struct(lead["rank"].alias("rank"), lead["chunk_id"].alias("chunk_id"), lead["document"].alias("document"), page.alias("page"), lead["heading"].alias("heading"), F.greatest(lead["score"], x["score"]).alias("score"), F.concat(lead["text"], F.lit("\n\n"), x["text"]).alias("text"), F.array_distinct(F.concat(lead["entities"], x["entities"])).alias("entities"), *rest, lead["num"].alias("num"))
         return F.when(joins, F.concat(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(groups, F.array(x)))
 
     groups = F.aggregate("rows", F.slice("rows", 1, 0), step)
-    return own.select("query_id", F.explode(groups).alias("g")).select("query_id", *[F.col(f"g.{c}").alias(c) for c in cols])
+    return own.select("query_id", F.explode(groups).alias("g")).select("query_id", *[F.col(f"g.{c}").alias(c) for c in [*_COLS, *more]])
 
 
 def blocks(hits: DataFrame) -> DataFrame:
@@ -69,10 +84,11 @@ def blocks(hits: DataFrame) -> DataFrame:
         F.concat(F.lit("<document>"), e("document"), F.lit("</document>")),
         F.lit("<document_id></document_id>") if "document_id" not in hits.columns else F.concat(F.lit("<document_id>"), e("document_id"), F.lit("</document_id>")),
         F.concat(F.lit("<section>"), e("heading"), F.lit("</section>")),
-        F.concat(F.lit("<section_id>"), e("section_id") if "section_id" in hits.columns else e("chunk_id"), F.lit("</section_id>")),
+        F.concat(F.lit("<section_id>"), xml_escape(F.coalesce(F.when(F.col("section_id") != "", F.col("section_id").cast("string")), F.col("chunk_id").cast("string"))) if "section_id" in hits.columns else e("chunk_id"), F.lit("</section_id>")),
         F.concat(F.lit("<module>"), e("module") if "module" in hits.columns else F.lit(""), F.lit("</module>")),
         F.concat(F.lit("<page>"), F.col("page").cast("string"), F.lit("</page>")),
-        F.lit("<page_end></page_end>"),
+        # Hits end on the page where they start, as far as a retriever knows.
+        F.concat(F.lit("<page_end>"), e("page_end"), F.lit("</page_end>")) if "page_end" in hits.columns else F.lit("<page_end></page_end>"),
         F.concat(F.lit("<entities>"), xml_escape(F.array_join("entities", ", ")), F.lit("</entities>")),
         F.concat(F.lit("<text>\n"), e("text"), F.lit("\n</text>")),
         F.lit("</context_block>"),

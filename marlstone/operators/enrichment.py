@@ -199,6 +199,29 @@ def text_tables(blocks: DataFrame, share: float = 0.6) -> DataFrame:
     return got.select(F.concat("document_id", F.lit(":tbl:"), nth).alias("id"), "document_id", F.col("block_id").alias("source_block_id"), "page", head.alias("headers"), F.slice("cells", F.lit(2), F.size("cells") - 1).alias("rows"), (F.size("cells") - 1).alias("num_rows"), F.size(head).alias("num_cols"))
 
 
+def explicit_tables(blocks: DataFrame) -> DataFrame:
+    """The tables of ``blocks`` of type ``table`` that carry one (``table struct<title, headers, rows>``): headers, rows and their numbers.
+
+    A table without headers is as wide as its first row.
+    """
+    own = with_block_ids(blocks).where("type = 'table' AND table IS NOT NULL")
+    heads, rows = F.coalesce("table.headers", F.array().cast("array<string>")), F.coalesce("table.rows", F.array().cast("array<array<string>>"))
+    wide = F.when(F.size(heads) > 0, F.size(heads)).otherwise(F.coalesce(F.size(F.get(rows, F.lit(0))), F.lit(0)))
+    return own.select("document_id", "page", "block_index", F.col("block_id").alias("source_block_id"), F.col("table.title").alias("title"), heads.alias("headers"), rows.alias("rows"), F.size(rows).alias("num_rows"), F.greatest(wide, F.lit(0)).alias("num_cols"))
+
+
+def tables(blocks: DataFrame) -> DataFrame:
+    """Explicit tables and text tables of a document, numbered together in its order."""
+    found = text_tables(blocks).drop("id").withColumn("title", F.lit(None).cast("string"))
+    at = with_block_ids(blocks).select(F.col("block_id").alias("source_block_id"), "block_index")
+    if "table" in blocks.columns:
+        found = found.join(at, "source_block_id").unionByName(explicit_tables(blocks))
+    else:
+        found = found.join(at, "source_block_id")
+    nth = F.row_number().over(document_order())
+    return found.select(F.concat("document_id", F.lit(":tbl:"), nth).alias("id"), "document_id", "source_block_id", "page", "title", "headers", "rows", "num_rows", "num_cols")
+
+
 # Entities and modules ------------------------------------------------------------------------------------------------------
 
 
@@ -227,6 +250,12 @@ def classify_modules(documents: DataFrame, keywords: Sequence[tuple[str, Sequenc
     return best.select("document_id", F.when(F.col("x.hits") > 0, F.col("x.module")).otherwise("Unknown").alias("module"), F.col("x.hits").alias("hits"))
 
 
+def classified_texts(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """document_id, text that a module is found in: the filename, the title (null: none) and the first pages of ``files(document_id, filename, title)``."""
+    own = files.select("document_id", F.concat_ws(" ", "filename", F.coalesce("title", F.lit(""))).alias("__head"))
+    return own.join(first_pages(blocks), "document_id", "left").select("document_id", F.concat_ws(" ", "__head", F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def first_pages(blocks: DataFrame, pages: int = 3) -> DataFrame:
     """document_id, text: the paragraphs of the first pages, joined by blanks."""
     each = split_paragraphs(blocks).where(F.col("page") <= pages)

@@ -40,3 +40,8 @@ def report(means: DataFrame) -> DataFrame:
         "total_queries", *[F.col(f"hit_{k}") * 100 for k in (1, 3, 5, 10)], "mrr", "ndcg_5", "ndcg_10",
     )
     return means.select(text.alias("report"))
+
+
+def write_report(means: DataFrame, path: str) -> None:
+    """The report as a text file below ``path``."""
+    report(means).coalesce(1).write.mode("overwrite").text(path)

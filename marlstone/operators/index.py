@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +32,25 @@ def change_counts(held: DataFrame, new: DataFrame, key: str = "chunk_id") -> Dat
     return met.agg(F.count_if(F.col("__k").isNull()).alias("added"), F.count_if(F.col("__k").isNotNull()).alias("skipped"))
 
 
+def reset(held: DataFrame) -> DataFrame:
+    """The empty table of the same columns."""
+    return held.limit(0)
+
+
+def chunk_by_id(held: DataFrame, chunk_id) -> DataFrame:
+    """The row of a chunk, or none."""
+    return held.where(F.col("chunk_id") == F.lit(chunk_id))
+
+
+def chunks_of_document(held: DataFrame, document_id: str) -> DataFrame:
+    return held.where(F.col("document_id") == F.lit(document_id))
+
+
+def deleted_counts(held: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows a delete removes."""
+    return held.join(gone.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("removed"))
+
+
 def health(held: DataFrame) -> DataFrame:
     return held.agg(F.count(F.lit(1)).alias("total_chunks"), F.countDistinct("document_id").alias("total_documents"))
 
@@ -77,23 +98,77 @@ def hash_embedding(texts: pd.Series, dims: int = 64) -> list[np.ndarray]:
     return out
 
 
-def embed(chunks: DataFrame, embedder: Callable[[pd.Series], list] = hash_embedding, batch: int = 64, retries: int = 3) -> DataFrame:
-    """chunk_id, embedding of ``chunks(chunk_id, text)`` in batches; a batch that fails ``retries`` times is dropped."""
+def embed(chunks: DataFrame, embedder: Callable[[pd.Series], list] = hash_embedding, batch: int = 64, retries: int = 3, backoff: float = 2.0) -> DataFrame:
+    """chunk_id, embedding, error, latency of ``chunks(chunk_id, text)`` in batches.
+
+    A batch is tried ``retries`` times, after a pause of ``backoff`` seconds that doubles; when it fails for good its rows stay, with a null
+    embedding and the error. latency is the seconds that a row of the batch took.
+    """
+
+    def vectors(texts: pd.Series) -> tuple[list, str | None]:
+        for k in range(retries):
+            try:
+                got = list(embedder(texts))
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+                return got, None
+            except Exception as e:  # whatever the embedder raises is a failure of its batch, and is given out as such
+                failure = f"{type(e).__name__}: {e}"
+                if k < retries - 1:
+                    time.sleep(backoff * 2**k)
+        return [None] * len(texts), failure
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for k in range(0, len(f), batch):
                 part = f.iloc[k : k + batch]
-                for _ in range(retries):
-                    try:
-                        yield pd.DataFrame({"chunk_id": part["chunk_id"], "embedding": list(embedder(part["text"]))})
-                        break
-                    except Exception:
-                        continue
+                start = time.monotonic()
+                got, failure = vectors(part["text"])
+                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "embedding": got, "error": [failure] * len(part), "latency": [(time.monotonic() - start) / len(part)] * len(part)})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, embedding array<float>")
+    return chunks.select("chunk_id", "text").mapInPandas(run, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, embedding array<float>, error string, latency double")
 
 
-def embed_cached(chunks: DataFrame, cache: DataFrame, model: str, embedder: Callable = hash_embedding) -> DataFrame:
+def embed_cached(chunks: DataFrame, cache: DataFrame, model: str, embedder: Callable = hash_embedding, **how) -> DataFrame:
+    """chunk_id, key, embedding, error, latency, hit: cached vectors, and new ones for each missing text once. Write the result before it is read twice."""
     hits, misses = split_by_cache(chunks, cache, model)
-    return hits.select("chunk_id", "embedding").unionByName(embed(misses, embedder))
+    texts = misses.groupBy("key").agg(F.first("text").alias("text")).select(F.col("key").alias("chunk_id"), "text")
+    made = embed(texts, embedder, **how).withColumnRenamed("chunk_id", "key")
+    new = misses.select("chunk_id", "key").join(made, "key").select("chunk_id", "key", "embedding", "error", "latency", F.lit(False).alias("hit"))
+    old = hits.select("chunk_id", "key", "embedding", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("latency"), F.lit(True).alias("hit"))
+    return old.unionByName(new)
+
+
+def cache_additions(embedded: DataFrame) -> DataFrame:
+    """key, embedding: what the cache lacks yet; failures are not cached."""
+    return embedded.where("NOT hit AND embedding IS NOT NULL").groupBy("key").agg(F.first("embedding").alias("embedding"))
+
+
+def cache_table(spark: SparkSession, path: str) -> DataFrame:
+    """The cache below a folder: rows (key, embedding). Without one, or with files of another shape, everything is a miss."""
+    try:
+        got = spark.read.parquet(path)
+        if {"key", "embedding"} <= set(got.columns):
+            return got.select("key", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["key"])
+    except AnalysisException:  # no folder, or nothing in it that is Parquet
+        pass
+    return spark.createDataFrame([], "key string, embedding array<float>")
+
+
+def write_back(embedded: DataFrame, path: str) -> None:
+    """Append the new vectors of ``embed_cached`` (a written table) to the cache below ``path``."""
+    cache_additions(embedded).write.mode("append").parquet(path)
+
+
+def embed_metrics(embedded: DataFrame) -> DataFrame:
+    """One row: hits, misses, embedded, failures, total seconds of the embedder, its mean latency and vectors a second."""
+    new, failed = ~F.col("hit"), F.col("embedding").isNull()
+    spent = F.sum(F.when(new, F.col("latency")))
+    done = F.count_if(~failed)
+    out = embedded.agg(F.count_if("hit").alias("cache_hits"), F.count_if(new).alias("cache_misses"), F.count_if(new & ~failed).alias("embedded"), F.count_if(failed).alias("failures"), F.coalesce(spent, F.lit(0.0)).alias("seconds"), done.alias("__done"))
+    return out.select("cache_hits", "cache_misses", "embedded", "failures", "seconds", F.when(F.col("__done") > 0, F.col("seconds") / F.col("__done")).otherwise(0.0).alias("average_latency"), F.when(F.col("seconds") > 0, F.col("__done") / F.col("seconds")).otherwise(0.0).alias("vectors_per_second"))
+
+
+def embedded_chunks(embedded: DataFrame, model: str, version: str = "1.0.0") -> DataFrame:
+    """What is stored of embedded chunks: vector, model, dimension, version and latency; failures are left out."""
+    return embedded.where("embedding IS NOT NULL").select("chunk_id", "embedding", F.lit(model).alias("embedding_model"), F.size("embedding").alias("embedding_dimension"), F.lit(version).alias("embedding_version"), "latency")

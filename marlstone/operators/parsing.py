@@ -40,6 +40,14 @@ def span_blocks(spans: DataFrame) -> DataFrame:
     return got.select("document_id", "page", "block", "text", F.when(heading, "heading").otherwise("text").alias("type"), F.when(heading, heading_level(F.col("largest"), F.col("median"))).cast("int").alias("level"))
 
 
+def kept_blocks(texts: DataFrame, figures: DataFrame) -> DataFrame:
+    """document_id, page, block_index, type, level, text of ``span_blocks`` and of image blocks (document_id, page, block), which have no text."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    each = texts.select("document_id", "page", "block", "type", "level", "text").unionByName(figures.select("document_id", "page", "block", F.lit("figure").alias("type"), none("int", "level"), F.lit("").alias("text")))
+    nth = F.row_number().over(Window.partitionBy("document_id", "page").orderBy("block")) - 1
+    return each.select("document_id", "page", nth.alias("block_index"), "type", "level", "text")
+
+
 def split_paragraphs(blocks: DataFrame) -> DataFrame:
     """One row per non-empty paragraph, numbered from 0 within its block; blocks without any vanish."""
     return blocks.select("document_id", "page", "block_index", F.posexplode(paragraphs("text")).alias("paragraph", "text"))

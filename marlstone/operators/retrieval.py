@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
@@ -27,8 +28,9 @@ def top_k(hits: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf of ``chunks(chunk_id, text)``."""
-    return chunks.select("chunk_id", F.explode(tokens("text")).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, term, tf, dl of ``chunks(chunk_id, text)``; dl is the number of tokens of the chunk."""
+    each = chunks.select("chunk_id", tokens("text").alias("__t")).select("chunk_id", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    return each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -36,10 +38,19 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tokens("text")).alias("dl"))
 
 
-def term_stats(posted: DataFrame, lengths: DataFrame) -> DataFrame:
-    """term, df, idf. A negative idf becomes EPSILON times the mean over all terms, negative ones included."""
-    n = lengths.agg(F.count(F.lit(1)).alias("n"))
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+def totals(chunks: DataFrame) -> DataFrame:
+    """One row: n chunks and their mean number of tokens, avgdl."""
+    return chunk_lengths(chunks).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """term, df: each chunk names a term once, so counts are reduced where the texts lie."""
+    return chunks.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_stats(frequencies: DataFrame, whole: DataFrame) -> DataFrame:
+    """term, df, idf out of ``frequencies(term, df)`` and the one row of ``totals``. A negative idf becomes EPSILON times the mean over all terms, negative ones included."""
+    df = frequencies.select("term", "df").crossJoin(F.broadcast(whole.select("n")))
     raw = df.select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -50,18 +61,65 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("question")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Okapi BM25 over all chunks; hits with a positive score. Only postings of query terms meet a query."""
-    posted, lengths = postings(chunks), chunk_lengths(chunks)
-    stats = term_stats(posted, lengths)
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
-    asked = query_terms(queries).join(stats.select("term", "idf"), "term")
-    met = asked.join(posted, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(mean))
+def _small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """Rows to be broadcast if they are few enough: counted first, as far as it takes to know."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def _weighed(met: DataFrame, k: int) -> DataFrame:
+    """Ranked hits of postings that have met question terms: query_id, chunk_id, qtf, idf, tf, dl, avgdl."""
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
     return top_k(scored, k, F.desc("score"), F.asc("chunk_id")).withColumn("method", F.lit("bm25"))
 
 
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """Okapi BM25 over all chunks; hits with a positive score. Without a stored index; only tokens that a question has are shuffled."""
+    whole = totals(chunks)
+    asked = query_terms(queries)
+    terms = _small(asked.select("term").distinct())
+    each = chunks.select("chunk_id", tokens("text").alias("__t")).select("chunk_id", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    posted = each.join(terms, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    stats = term_stats(document_frequencies(chunks), whole)
+    asked = asked.join(stats.select("term", "idf"), "term")
+    return _weighed(posted.join(asked, "term").crossJoin(F.broadcast(whole.select("avgdl"))), k)
+
+
+def write_bm25(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store the index: postings by bucket of their term, sorted by term within a file, term statistics and totals."""
+    spark = chunks.sparkSession
+    own = postings(chunks).withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
+    # A term of a third of all postings is many rows of one bucket; rebalancing splits it over files.
+    own.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(own.schema).parquet(f"{path}/postings")
+    totals(chunks).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
+    whole = spark.read.parquet(f"{path}/totals")
+    term_stats(stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")), whole).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def read_bm25(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Postings, term statistics and totals of a stored index; None where there is none."""
+    try:
+        return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals"))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def bm25_stored(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """The same hits from a stored index: question terms read their buckets only. Without an index there are no hits."""
+    spark = queries.sparkSession
+    stored = read_bm25(spark, path)
+    if stored is None:
+        return spark.createDataFrame([], "query_id bigint, chunk_id string, score double, rank int, method string")
+    posted, terms, whole = stored
+    row = whole.first()
+    asked = query_terms(queries).join(terms.select("term", "idf"), "term").withColumn("bucket", F.pmod(F.hash("term"), F.lit(row["buckets"])).cast("int"))
+    met = posted.join(_small(asked), ["bucket", "term"])
+    return _weighed(met.withColumn("avgdl", F.lit(row["avgdl"])), k)
+
+
 # --- dense ------------------------------------------------------------------------------------------------------------
 
 
@@ -73,15 +131,15 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, most_bytes: int = 32 << 20) -> DataFrame:
     """The k nearest of ``vectors(chunk_id, embedding)`` by cosine distance for each of ``queries(query_id, embedding)``, exactly.
 
-    A stated set of queries meets all vectors: the queries are broadcast in blocks of ``most_queries``, and each task keeps k hits for
-    each query before anything is shuffled.
+    A stated set of queries meets all vectors: the queries are broadcast in blocks of about ``most_bytes`` of vectors at most, and each
+    task keeps k hits for each query before anything is shuffled.
     """
     asked = queries.select("query_id", F.col("embedding").alias("__q"))
-    n = asked.count()
-    blocks = [asked] if n <= most_queries else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(m)) == i) for m in [-(-n // (most_queries // 2))] for i in range(m)]
+    size = asked.agg(F.coalesce(F.sum(F.size("__q") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
+    blocks = [asked] if size <= most_bytes else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(m)) == i) for m in [-(-2 * size // most_bytes)] for i in range(m)]
     held = vectors.select("chunk_id", "embedding")
     met = [held.crossJoin(F.broadcast(b)).select("query_id", "chunk_id", F.round(cosine_distance(F.col("__q"), F.col("embedding")), 6).alias("score")) for b in blocks]
     near = [top_k(m, k, F.asc("score"), F.asc("chunk_id")) for m in met]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import answers, chunking, context, enrichment, evaluation, index, parsing, retrieval
-from marlstone.sources import corpus
+from marlstone.plans.scratch import scratch_dir
+from marlstone.sources import corpus, ingest
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -44,15 +45,17 @@ def questions(spark, sf):
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
 BM25_CTE = f"""
-tok AS (SELECT doc_id AS chunk_id, {_TOK("coalesce(text, '')")} AS ts FROM documents),
-dl AS (SELECT chunk_id, len(ts) AS dl FROM tok),
-post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM dl) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
-stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+tok AS MATERIALIZED (SELECT doc_id AS chunk_id, {_TOK("coalesce(text, '')")} AS ts FROM documents),
+dl AS MATERIALIZED (SELECT chunk_id, len(ts) AS dl FROM tok),
+whole AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term), whole),
+middle AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+stats AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, middle),
 asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOK("text")}) AS term FROM benchmark) GROUP BY ALL),
 scored AS (
-  SELECT query_id, p.chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))), 6) AS score
-  FROM asked JOIN stats USING (term) JOIN post p USING (term) JOIN dl ON dl.chunk_id = p.chunk_id GROUP BY ALL
+  SELECT query_id, p.chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM asked JOIN stats USING (term) JOIN post p USING (term) JOIN dl ON dl.chunk_id = p.chunk_id, whole GROUP BY ALL
 ),
 bm25 AS (
   SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM scored WHERE score > 0) WHERE rank <= 20
@@ -135,7 +138,7 @@ def tokenize_counts(spark, sf):
 @query(f"WITH {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, sf):
     own = chunks_of(spark, sf)
-    return retrieval.term_stats(retrieval.postings(own), retrieval.chunk_lengths(own)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.term_stats(retrieval.document_frequencies(own), retrieval.totals(own)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25_CTE} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
@@ -143,6 +146,13 @@ def bm25_topk(spark, sf):
     return retrieval.bm25(questions(spark, sf), chunks_of(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
 
 
+@query(f"WITH {BM25_CTE} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_stored_topk(spark, sf):
+    path = scratch_dir(spark, "bm25")
+    retrieval.write_bm25(chunks_of(spark, sf), path)
+    return retrieval.bm25_stored(questions(spark, sf), path, 10).select("query_id", "rank", "chunk_id", "score")
+
+
 @query(f"WITH {KNN_CTE} SELECT query_id, rank, chunk_id, score FROM knn WHERE rank <= 10")
 def knn_cosine_topk(spark, sf):
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -172,9 +182,31 @@ def entity_index_dedup(spark, sf):
     return located_entities(spark, sf).select("entity_name", "chunk_id")
 
 
-@query(f"WITH {ENT_CTE} SELECT entity_name, count(*) AS chunks, min(chunk_id) AS first_chunk FROM located GROUP BY 1")
+#: Upper-case words of the tables' texts, written as a user might.
+_ASKED_NAMES = ("ghp_", "Secret_Key", "token", "THOREA", "erringle", "elleen")
+
+
+@query(f"WITH {ENT_CTE} SELECT entity_name, chunk_id FROM located WHERE entity_name IN ({', '.join(f'upper({n!r})' for n in _ASKED_NAMES)}, (SELECT min(entity_name) FROM located))")
 def entity_lookup(spark, sf):
-    return located_entities(spark, sf).groupBy("entity_name").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first_chunk"))
+    located = located_entities(spark, sf)
+    first = located.agg(F.min("entity_name")).first()[0] or ""
+    found = [index.lookup(located, n).select("entity_name", "chunk_id") for n in (*_ASKED_NAMES, first.lower())]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query(f"WITH {ENT_CTE} SELECT 'document' AS what, (SELECT count(*) FROM located WHERE chunk_id % 7 = 0) AS removed, count(*) AS remaining FROM located WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'chunk', (SELECT count(*) FROM located WHERE chunk_id % 5 = 1), count(*) FROM located WHERE chunk_id % 5 <> 1 UNION ALL SELECT 'all', (SELECT count(*) FROM located), 0")
+def entity_deletes(spark, sf):
+    located = located_entities(spark, sf)
+    ids = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"))
+    out = None
+    for what, gone, key in (("document", ids.where("chunk_id % 7 = 0"), "document_id"), ("chunk", ids.where("chunk_id % 5 = 1"), "chunk_id"), ("all", located, "chunk_id")):
+        left = index.reset(located) if what == "all" else index.delete(located, gone, key)
+        row = index.deleted_counts(located, gone, key).crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("remaining")))).select(F.lit(what).alias("what"), "removed", "remaining")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"WITH {ENT_CTE} SELECT query_id, rank, chunk_id FROM ent")
@@ -200,6 +232,11 @@ def rrf_provenance(spark, sf):
     return hybrid(spark, sf).groupBy("method").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("best_rank"))
 
 
+@query(f"{ALL_CTE} SELECT query_id, chunk_id, score FROM hybrid")
+def rrf_normalised(spark, sf):
+    return hybrid(spark, sf).select("query_id", "chunk_id", "score")
+
+
 def judged(spark, sf):
     hits = hybrid(spark, sf).join(chunks_of(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
     none = F.lit(None).cast("string")
@@ -207,9 +244,33 @@ def judged(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", matched.alias("matched"))
 
 
-@query(f"{ALL_CTE}, {JUDGED_CTE} SELECT query_id, rank, chunk_id, matched FROM judged")
+@query(f"""{ALL_CTE} SELECT query_id, rank, chunk_id,
+  (query_id % 3 <> 0 OR d.source = 'src1') AND (query_id % 2 <> 0 OR contains(lower(d.lang), 'e')) AND (query_id % 5 <> 0 OR chunk_id % 3 + 1 = 2)
+  AND contains(lower(d.text), lower(split_part(b.text, ' ', 1))) AND contains(lower(d.text), lower(split_part(b.text, ' ', 2))) AS matched
+FROM hybrid h JOIN documents d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id""")
 def eval_is_match(spark, sf):
-    return judged(spark, sf)
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
+    hits = hybrid(spark, sf).join(docs, "chunk_id").join(questions(spark, sf), "query_id")
+    word = lambda k: F.split_part("question", F.lit(" "), F.lit(k))
+    every = lambda m, v: F.when(F.col("query_id") % m == 0, F.lit(v))
+    page = (F.col("chunk_id") % 3 + 1).cast("int")
+    matched = evaluation.is_match(F.col("source"), F.col("lang"), page, F.col("text"), F.coalesce(every(3, "src1"), F.lit("")), every(2, "E"), F.coalesce(every(5, 2), F.lit(0)), F.array(word(1), word(2)))
+    return hits.select("query_id", "rank", "chunk_id", matched.alias("matched"))
+
+
+@query(f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} SELECT query_id, hit_1, hit_3, hit_5, hit_10 FROM per")
+def eval_hit_recall(spark, sf):
+    return evaluation.per_query(questions(spark, sf), judged(spark, sf)).select("query_id", "hit_1", "hit_3", "hit_5", "hit_10")
+
+
+@query(f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} SELECT query_id, rr FROM per")
+def eval_mrr(spark, sf):
+    return evaluation.per_query(questions(spark, sf), judged(spark, sf)).select("query_id", "rr")
+
+
+@query(f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} SELECT query_id, ndcg_5, ndcg_10 FROM per")
+def eval_ndcg(spark, sf):
+    return evaluation.per_query(questions(spark, sf), judged(spark, sf)).select("query_id", "ndcg_5", "ndcg_10")
 
 
 @query(f"{ALL_CTE}, {JUDGED_CTE}, {PER_CTE} SELECT query_id, first, hit_1, hit_3, hit_5, hit_10, rr, ndcg_5, ndcg_10 FROM per")
@@ -271,6 +332,18 @@ def heading_detect(spark, sf):
     return parsing.span_blocks(spans(spark, sf))
 
 
+@query(f"{_SPAN_BLOCKS} SELECT document_id, page, block, text FROM b")
+def span_join(spark, sf):
+    return parsing.span_blocks(spans(spark, sf)).select("document_id", "page", "block", "text")
+
+
+@query(f"{_SPAN_BLOCKS}, figs AS (SELECT DISTINCT document_id, page, block + 50 AS block FROM s WHERE block % 2 = 0) SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY block) - 1 AS block_index, type, level, text FROM (SELECT document_id, page, block, type, level, text FROM lv UNION ALL SELECT document_id, page, block, 'figure', NULL, '' FROM figs)")
+def block_kinds(spark, sf):
+    own = spans(spark, sf)
+    figures = own.where("block % 2 = 0").select("document_id", "page", (F.col("block") + 50).alias("block")).distinct()
+    return parsing.kept_blocks(parsing.span_blocks(own), figures)
+
+
 @query(f"{_SPAN_BLOCKS} SELECT level, count(*) AS headings, sum(length(text)) AS characters FROM lv WHERE type = 'heading' GROUP BY 1")
 def heading_level(spark, sf):
     found = parsing.span_blocks(spans(spark, sf)).where("type = 'heading'")
@@ -377,6 +450,11 @@ def sections(spark, sf):
     return manual_sections(spark, sf)
 
 
+@query(f"{_HEADS} SELECT {_SEC_ID} section_ord AS section_id, word_count FROM sec")
+def section_words(spark, sf):
+    return manual_sections(spark, sf).select("section_id", "word_count")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, line FROM l WHERE trim(line) <> '')
 SELECT doc_id || ':sec:1' AS section_id, '1' AS number, CAST(ceil(count(*) / 4.0) AS INT) AS page_end, sum(len(regexp_extract_all(line, '\S+'))) AS word_count, count(*) AS block_count FROM k GROUP BY doc_id
@@ -443,6 +521,22 @@ def table_parse(spark, sf):
     return found.withColumns({"headers": F.array_join("headers", "|"), "rows": F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";")})
 
 
+_BOXES = "SELECT concat('N', c_nationkey) AS document_id, CAST(c_custkey % 5 AS INT) AS page, CAST(c_custkey AS INT) AS block_index, c_custkey, c_name, c_mktsegment FROM {customer}"
+
+
+@query(f"""SELECT document_id || ':tbl:' || row_number() OVER (PARTITION BY document_id ORDER BY page, block_index) AS id, document_id || ':p' || page || ':b' || block_index AS source_block_id, page, c_name AS title,
+  CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Name|Segment|Key' END AS headers, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS num_rows, CASE WHEN c_custkey % 3 <> 0 THEN 3 WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS num_cols
+FROM ({_BOXES.format(customer='customer')}) WHERE c_custkey % 7 <> 0""")
+def tables_explicit(spark, sf):
+    none = F.array().cast("array<string>")
+    heads = F.when(F.col("c_custkey") % 3 == 0, none).otherwise(F.array(F.lit("Name"), F.lit("Segment"), F.lit("Key")))
+    cells = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array("c_name", "c_mktsegment"), F.array("c_name", "c_name")))
+    own = spark.sql(_BOXES, customer=read(spark, sf, "customer"))
+    table = F.when(F.col("c_custkey") % 7 != 0, F.struct(F.col("c_name").alias("title"), heads.alias("headers"), cells.alias("rows")))
+    blocks = own.select("document_id", "page", "block_index", F.lit("table").alias("type"), F.lit(None).cast("int").alias("level"), F.lit("").alias("text"), table.alias("table"))
+    return enrichment.tables(blocks).select("id", "source_block_id", "page", "title", F.array_join("headers", "|").alias("headers"), "num_rows", "num_cols")
+
+
 _NAMED = ", ".join(f"('{n}', '{t}')" for n, t in enrichment.NAMED_ENTITIES)
 
 
@@ -463,6 +557,17 @@ def classify_module(spark, sf):
     return enrichment.classify_modules(read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
+@query(f"""{_MAN}, {_PARA}, kw(i, module, k) AS (VALUES {_MODULES}),
+txt AS (SELECT document_id, lower('Loan_' || document_id || '.pdf Guide ' || string_agg(text, ' ' ORDER BY page, block_index, paragraph)) AS t FROM para WHERE page <= 3 GROUP BY document_id),
+hit AS (SELECT document_id, module, i, count(*) AS hits FROM txt JOIN kw ON contains(t, k) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, i) AS r FROM hit) WHERE r = 1)
+SELECT d.document_id, coalesce(module, 'Unknown') AS module, coalesce(hits, 0) AS hits FROM txt d LEFT JOIN best b ON b.document_id = d.document_id""")
+def classify_files(spark, sf):
+    blocks = corpus.manual_blocks(spark, sf)
+    files = blocks.select("document_id").distinct().select("document_id", F.concat(F.lit("Loan_"), "document_id", F.lit(".pdf")).alias("filename"), F.lit("Guide").alias("title"))
+    return enrichment.classify_modules(enrichment.classified_texts(files, blocks))
+
+
 # Chunks --------------------------------------------------------------------------------------------------------------------
 
 _PACK = r"""
@@ -535,7 +640,9 @@ def chunk_refs_tables(spark, sf):
 # Context -------------------------------------------------------------------------------------------------------------------
 
 HITS = """
-SELECT query_id, rank, chunk_id, document, CAST(rank + p % 2 AS INT) AS page, heading, score, text, entities FROM (
+SELECT query_id, rank, chunk_id, document, CAST(rank + p % 2 AS INT) AS page, heading, score, text, entities,
+       CASE WHEN p % 3 = 0 THEN '' ELSE concat('id-', document) END AS document_id, CASE WHEN p % 4 = 1 THEN 'CASA & GL' ELSE '' END AS module, CASE WHEN p % 5 < 2 THEN concat('sec:', p % 5) ELSE '' END AS section_id
+FROM (
   SELECT l_orderkey AS query_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax) AS INT) AS rank, CAST(l_partkey % 7 AS INT) AS chunk_id, l_partkey AS p,
          concat('D', l_suppkey % 2, '.pdf') AS document,
          CASE WHEN l_suppkey % 3 = 0 THEN 'Intro' ELSE CASE l_partkey % 4 WHEN 0 THEN '7' WHEN 1 THEN '7.1' WHEN 2 THEN '7.1.1 Deep' ELSE '8 Other' END END AS heading,
@@ -554,7 +661,8 @@ _DEDUP = """dd AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTI
 _ADJ = """isl AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY rank) AS g FROM (
   SELECT *, coalesce(lag(document) OVER w = document AND lag(heading) OVER w = heading AND lag(page) OVER w + 1 = page, false) AS same FROM dd WINDOW w AS (PARTITION BY query_id ORDER BY rank))),
 adj AS (SELECT query_id, min(rank) AS rank, arg_min(chunk_id, rank) AS chunk_id, arg_min(document, rank) AS document, arg_min(page, rank) AS page, arg_min(heading, rank) AS heading, arg_min(score, rank) AS score,
-  string_agg(text, chr(10) || chr(10) ORDER BY rank) AS text, flatten(list(entities ORDER BY rank)) AS ents FROM isl GROUP BY query_id, g)"""
+  string_agg(text, chr(10) || chr(10) ORDER BY rank) AS text, flatten(list(entities ORDER BY rank)) AS ents,
+  coalesce(arg_min(document_id, rank) FILTER (WHERE document_id <> ''), '') AS document_id, coalesce(arg_min(module, rank) FILTER (WHERE module <> ''), '') AS module, coalesce(arg_min(section_id, rank) FILTER (WHERE section_id <> ''), '') AS section_id FROM isl GROUP BY query_id, g)"""
 _HIER = r"""o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k, regexp_extract(heading, '^(\d+(?:\.\d+)*)', 1) AS num FROM adj),
 fold AS (
   SELECT query_id, k, rank AS lead_rank, document AS ldoc, num AS lnum FROM o WHERE k = 1
@@ -564,12 +672,13 @@ fold AS (
   FROM fold JOIN o ON o.query_id = fold.query_id AND o.k = fold.k + 1
 ),
 hier AS (SELECT o.query_id, lead_rank AS rank, arg_min(chunk_id, o.rank) AS chunk_id, arg_min(document, o.rank) AS document, min(page) AS page, arg_min(heading, o.rank) AS heading, max(score) AS score,
-  string_agg(text, chr(10) || chr(10) ORDER BY o.rank) AS text, flatten(list(ents ORDER BY o.rank)) AS ents FROM o JOIN fold ON fold.query_id = o.query_id AND fold.k = o.k GROUP BY o.query_id, lead_rank)"""
+  string_agg(text, chr(10) || chr(10) ORDER BY o.rank) AS text, flatten(list(ents ORDER BY o.rank)) AS ents,
+  coalesce(arg_min(document_id, o.rank) FILTER (WHERE document_id <> ''), '') AS document_id, coalesce(arg_min(module, o.rank) FILTER (WHERE module <> ''), '') AS module, coalesce(arg_min(section_id, o.rank) FILTER (WHERE section_id <> ''), '') AS section_id FROM o JOIN fold ON fold.query_id = o.query_id AND fold.k = o.k GROUP BY o.query_id, lead_rank)"""
 _UNIQ = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), ',')".format
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')".format
 _BLK = f"""blk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS index FROM hier),
-ren AS (SELECT *, concat_ws(chr(10), '<context_block index="' || index || '" id="' || chunk_id || '">', '<chunk_id>' || chunk_id || '</chunk_id>', '<document>' || {_ESC("document")} || '</document>', '<document_id></document_id>',
-  '<section>' || {_ESC("heading")} || '</section>', '<section_id>' || chunk_id || '</section_id>', '<module></module>', '<page>' || page || '</page>', '<page_end></page_end>',
+ren AS (SELECT *, concat_ws(chr(10), '<context_block index="' || index || '" id="' || chunk_id || '">', '<chunk_id>' || chunk_id || '</chunk_id>', '<document>' || {_ESC("document")} || '</document>', '<document_id>' || {_ESC("document_id")} || '</document_id>',
+  '<section>' || {_ESC("heading")} || '</section>', '<section_id>' || CASE WHEN section_id <> '' THEN section_id ELSE chunk_id::VARCHAR END || '</section_id>', '<module>' || {_ESC("module")} || '</module>', '<page>' || page || '</page>', '<page_end></page_end>',
   '<entities>' || replace({_UNIQ("ents")}, ',', ', ') || '</entities>', '<text>' || chr(10) || {_ESC("text")} || chr(10) || '</text>', '</context_block>') AS block FROM blk)"""
 _CTX = f"WITH RECURSIVE {_HITS}, {_DEDUP}, {_ADJ}, {_HIER}, {_BLK}"
 
@@ -584,12 +693,12 @@ def dedup_hits(spark, sf):
     return context.distinct_chunks(hits_of(spark, sf)).select("query_id", "rank", "chunk_id")
 
 
-@query(f"{_CTX} SELECT query_id, rank, chunk_id, document, page, heading, score, text, {_UNIQ('ents')} AS entities FROM adj")
+@query(f"{_CTX} SELECT query_id, rank, chunk_id, document, page, heading, score, text, {_UNIQ('ents')} AS entities, document_id, module, section_id FROM adj")
 def merge_adjacent(spark, sf):
     return context.merge_adjacent(context.distinct_chunks(hits_of(spark, sf))).withColumn("entities", F.array_join("entities", ","))
 
 
-@query(f"{_CTX} SELECT query_id, rank, chunk_id, document, page, heading, score, text, {_UNIQ('ents')} AS entities FROM hier")
+@query(f"{_CTX} SELECT query_id, rank, chunk_id, document, page, heading, score, text, {_UNIQ('ents')} AS entities, document_id, module, section_id FROM hier")
 def merge_hierarchical(spark, sf):
     return context.merge_hierarchical(context.merge_adjacent(context.distinct_chunks(hits_of(spark, sf)))).withColumn("entities", F.array_join("entities", ","))
 
@@ -608,9 +717,9 @@ def context_blocks(spark, sf):
 _BUDGET = "fit AS (SELECT * FROM (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) + 20 AS used FROM ren) WHERE floor(used / 4) <= 400)"
 
 
-@query(f"{_CTX}, {_BUDGET} SELECT query_id, index, length(block) AS size FROM fit")
+@query(f"{_CTX}, {_BUDGET} SELECT query_id, index, sha256(block) AS block_sha256 FROM fit")
 def budget_truncate(spark, sf):
-    return context.within_budget(context.assemble(hits_of(spark, sf)), 400).select("query_id", "index", F.length("block").alias("size"))
+    return context.within_budget(context.assemble(hits_of(spark, sf)), 400).select("query_id", "index", F.sha2("block", 256).alias("block_sha256"))
 
 
 def asked_of(spark, sf):
@@ -632,20 +741,23 @@ def context_xml(spark, sf):
 _QUESTION = "trim(' What about order ' || query_id || '? ')"
 
 
-@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, sha256(context || chr(10) || chr(10) || {_QUESTION}) AS prompt_sha256, greatest(1, CAST(floor(length('Date: 2024-01-01' || chr(10) || chr(10) || '{context.system_prompt('benchmark')}' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'User Question' || chr(10) || '-------------' || chr(10) || chr(10) || {_QUESTION}) / 4) AS INT)) AS estimated_tokens FROM xml")
+@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, sha256(context || chr(10) || chr(10) || {_QUESTION}) AS prompt_sha256, greatest(1, CAST(floor(length('Date: 2024-01-01' || chr(10) || chr(10) || 'You answer questions about a document collection.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'User Question' || chr(10) || '-------------' || chr(10) || chr(10) || {_QUESTION}) / 4) AS INT)) AS estimated_tokens FROM xml")
 def prompt_build(spark, sf):
     made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"), "benchmark")
     return made.select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), "estimated_tokens")
 
 
-@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, length(context || chr(10) || chr(10) || {_QUESTION}) + CASE query_id % 4 WHEN 1 THEN {len(context.MODES['detailed'])} WHEN 2 THEN {len(context.MODES['expert'])} ELSE {len(context.MODES['concise'])} END AS size FROM xml")
+@query(f"""{_CTX}, {_BUDGET}, {_XML} SELECT query_id, sha256(context || chr(10) || chr(10) || {_QUESTION} || chr(10) || chr(10) || CASE query_id % 4
+  WHEN 1 THEN 'Answer Mode: Detailed' || chr(10) || 'Explain step by step with inline citations.'
+  WHEN 2 THEN 'Answer Mode: Expert' || chr(10) || 'Give all technical details, notes and cross-references with inline citations.'
+  ELSE 'Answer Mode: Concise' || chr(10) || 'Give two to five sentences with inline citations.' END) AS prompt_sha256 FROM xml""")
 def final_prompt(spark, sf):
     made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"))
     mode = F.when(F.col("query_id") % 4 == 1, "detailed").when(F.col("query_id") % 4 == 2, "expert").when(F.col("query_id") % 4 == 3, "unheard of").otherwise("concise")
-    return context.final_prompt(made, mode).select("query_id", F.length("prompt").alias("size"))
+    return context.final_prompt(made, mode).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query(f"WITH {_HITS}, {_DEDUP} SELECT query_id, sha256('{context.SYSTEM_INTRO}' || chr(10) || chr(10) || '----------------' || chr(10) || 'Retrieved Context' || chr(10) || '----------------' || chr(10) || string_agg(chr(10) || '[Source ' || rank || ']' || chr(10) || 'Document: ' || document || chr(10) || 'Page: ' || page || chr(10) || 'Section: ' || heading || chr(10) || 'Text:' || chr(10) || trim(text), chr(10) ORDER BY rank) || chr(10) || chr(10) || '----------------' || chr(10) || 'User Question' || chr(10) || '----------------' || chr(10) || {_QUESTION}) AS prompt_sha256 FROM dd GROUP BY query_id")
+@query(f"WITH {_HITS}, {_DEDUP} SELECT query_id, sha256('You answer questions about a document collection.' || chr(10) || chr(10) || '----------------' || chr(10) || 'Retrieved Context' || chr(10) || '----------------' || chr(10) || string_agg(chr(10) || '[Source ' || rank || ']' || chr(10) || 'Document: ' || document || chr(10) || 'Page: ' || page || chr(10) || 'Section: ' || heading || chr(10) || 'Text:' || chr(10) || trim(text), chr(10) ORDER BY rank) || chr(10) || chr(10) || '----------------' || chr(10) || 'User Question' || chr(10) || '----------------' || chr(10) || {_QUESTION}) AS prompt_sha256 FROM dd GROUP BY query_id")
 def plain_prompt(spark, sf):
     return context.plain_prompt(asked_of(spark, sf), context.distinct_chunks(hits_of(spark, sf))).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
@@ -655,6 +767,11 @@ def citations(spark, sf):
     return context.citations(context.assemble(hits_of(spark, sf)))
 
 
+@query(f"{_CTX} SELECT DISTINCT query_id, document, heading AS section, page FROM blk")
+def citation_dedup(spark, sf):
+    return context.citations(context.assemble(hits_of(spark, sf))).select("query_id", "document", "section", "page")
+
+
 # Answers -------------------------------------------------------------------------------------------------------------------
 
 _CONF = "conf AS (SELECT query_id, least(100 * (0.4::DOUBLE * max(score) + 0.3::DOUBLE * avg(score) + 0.15::DOUBLE * least(count(DISTINCT document) / 3, 1) + 0.15::DOUBLE * CAST(bool_or(len(ents) > 0) AS INT)), 100) AS p FROM blk GROUP BY 1)"
@@ -681,6 +798,34 @@ def answer_format(spark, sf):
     return answers.console_text(own)
 
 
+def answered(spark, sf):
+    source = F.array(F.struct(F.lit("D.pdf").alias("document"), (F.col("o_orderkey") % 9).alias("page"), F.when(F.col("o_orderkey") % 2 == 0, "S").otherwise("").alias("section")))
+    sources = F.when(F.col("o_orderkey") % 3 == 0, F.slice(source, 1, 0)).otherwise(source)
+    figures = [(F.col("o_orderkey") % 8 / 8.0).alias("retrieval_time"), (F.col("o_orderkey") % 4 / 4.0).alias("generation_time"), (F.col("o_orderkey") % 100).alias("prompt_tokens"), (F.col("o_orderkey") % 30).alias("completion_tokens"), F.lit("qwen").alias("model_name")]
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("question"), F.lit("expert").alias("mode"), F.col("o_orderstatus").alias("answer"), sources.alias("sources"), F.lit("High").alias("label"), (F.col("o_orderkey") % 50).cast("double").alias("percentage"), *figures)
+
+
+_FOOT = """CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || 'Sources' || chr(10) || '  D.pdf (Page ' || o_orderkey % 9 || ')' || CASE WHEN o_orderkey % 2 = 0 THEN ' | Section: S' ELSE '' END || chr(10) END
+  || chr(10) || 'Confidence: High (' || o_orderkey % 50 || '%)' || chr(10)
+  || 'Retrieval: ' || (o_orderkey % 8) * 125 || 'ms | Generation: ' || (o_orderkey % 4) * 250 || 'ms | Total: ' || ((o_orderkey % 8) * 125 + (o_orderkey % 4) * 250) || 'ms' || chr(10)
+  || 'Tokens: ' || o_orderkey % 100 || ' prompt + ' || o_orderkey % 30 || ' completion = ' || (o_orderkey % 100 + o_orderkey % 30) || ' total' || chr(10) || 'Model: qwen' || chr(10) || repeat('-', 60)"""
+
+
+@query(f"SELECT o_orderkey AS query_id, 'Question: ' || o_orderpriority || chr(10) || chr(10) || 'Answer [expert]' || chr(10) || o_orderstatus || chr(10) || {_FOOT} AS text FROM orders")
+def answer_format_full(spark, sf):
+    return answers.console_text(answered(spark, sf))
+
+
+@query(f"SELECT o_orderkey AS query_id, 'Question: ' || o_orderpriority || chr(10) || chr(10) || 'Answer [expert]:' || chr(10) AS header, {_FOOT} AS footer FROM orders")
+def answer_stream_texts(spark, sf):
+    return answers.stream_texts(answered(spark, sf))
+
+
+@query("SELECT count(*) AS total_questions, avg(o_orderkey % 4 / 4.0) AS avg_generation_time, avg(o_orderkey % 4 / 4.0 + o_orderkey % 8 / 8.0) AS avg_total_latency, avg(o_orderkey % 50) AS avg_confidence, CAST(sum(o_orderkey % 30) AS BIGINT) AS total_tokens, 'qwen' AS model_name FROM orders")
+def answer_metrics(spark, sf):
+    return answers.answer_metrics(answered(spark, sf))
+
+
 @query()
 def generate_stub(spark, sf):
     made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"))
@@ -719,6 +864,27 @@ def index_delete_doc(spark, sf):
     return index.delete(held, spark.createDataFrame([("src0",)], "document_id string"), "document_id")
 
 
+@query(f"WITH {_HELD} SELECT * FROM held WHERE chunk_id % 11 <> 3")
+def index_delete_chunk(spark, sf):
+    held, _ = held_and_new(spark, sf)
+    return index.delete(held, held.where("chunk_id % 11 = 3").unionByName(held.where("chunk_id = 3")), "chunk_id")
+
+
+@query(f"WITH {_HELD} SELECT * FROM held WHERE false")
+def index_reset(spark, sf):
+    return index.reset(held_and_new(spark, sf)[0])
+
+
+@query(f"WITH {_HELD} SELECT * FROM held WHERE chunk_id = 7")
+def chunk_lookup(spark, sf):
+    return index.chunk_by_id(held_and_new(spark, sf)[0], 7)
+
+
+@query(f"WITH {_HELD} SELECT * FROM held WHERE document_id = 'src3'")
+def document_lookup(spark, sf):
+    return index.chunks_of_document(held_and_new(spark, sf)[0], "src3")
+
+
 @query(f"WITH {_HELD} SELECT count(*) AS total_chunks, count(DISTINCT document_id) AS total_documents FROM held")
 def index_health(spark, sf):
     return index.health(held_and_new(spark, sf)[0])
@@ -730,20 +896,60 @@ def metadata_json(spark, sf):
     return index.metadata_json(own, ["document_id", "module", "page_start"])
 
 
-@query("SELECT doc_id, sha256('hash-64:' || text) AS key, (doc_id IN (SELECT vec_id FROM embeddings) ) AS hit FROM documents")
+_CACHED = "cached AS (SELECT DISTINCT sha256('hash-64:' || coalesce(text, '')) AS key FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
+
+
+def cache_of(spark, sf):
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return chunks_of(spark, sf).join(vectors, "chunk_id").select(index.cache_key("hash-64", F.col("text")).alias("key"), "embedding").dropDuplicates(["key"])
+
+
+@query(f"WITH {_CACHED} SELECT doc_id, sha256('hash-64:' || coalesce(text, '')) AS key, sha256('hash-64:' || coalesce(text, '')) IN (SELECT key FROM cached) AS hit FROM documents")
 def cache_hit_miss(spark, sf):
-    own = chunks_of(spark, sf)
-    cached = own.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id").select(index.cache_key("hash-64", F.col("text")).alias("key"), "embedding", "chunk_id")
-    keyed = own.withColumn("key", index.cache_key("hash-64", F.col("text")))
-    return keyed.join(cached.select("chunk_id", F.lit(True).alias("hit")), "chunk_id", "left").select(F.col("chunk_id").alias("doc_id"), "key", F.coalesce("hit", F.lit(False)).alias("hit"))
+    # A vector without numbers is a miss.
+    empty = spark.createDataFrame([("none", [])], "key string, embedding array<float>")
+    hits, misses = index.split_by_cache(chunks_of(spark, sf), cache_of(spark, sf).unionByName(empty), "hash-64")
+    out = hits.select("chunk_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("chunk_id", "key", F.lit(False).alias("hit")))
+    return out.withColumnRenamed("chunk_id", "doc_id")
+
+
+def embedded(spark, sf):
+    """Chunks embedded with a cache, in a written table."""
+    path = scratch_dir(spark, "embedded")
+    index.embed_cached(chunks_of(spark, sf), cache_of(spark, sf), "hash-64").write.parquet(path)
+    return spark.read.parquet(path)
+
 
+_SPLIT = f"WITH {_CACHED}, own AS (SELECT sha256('hash-64:' || coalesce(text, '')) AS key FROM documents)"
 
-@query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) SELECT count(*) FILTER (text IN (SELECT text FROM k)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM k)) AS misses FROM documents")
+
+@query(f"{_SPLIT} SELECT count(*) FILTER (key IN (SELECT key FROM cached)) AS cache_hits, count(*) FILTER (key NOT IN (SELECT key FROM cached)) AS cache_misses, count(*) FILTER (key NOT IN (SELECT key FROM cached)) AS embedded, 0 AS failures FROM own")
 def embed_metrics(spark, sf):
-    own = chunks_of(spark, sf)
-    cache = own.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id").select(index.cache_key("m", F.col("text")).alias("key"), "embedding").dropDuplicates(["key"])
-    hits, misses = index.split_by_cache(own, cache, "m")
-    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses")))
+    return index.embed_metrics(embedded(spark, sf)).select("cache_hits", "cache_misses", "embedded", "failures")
+
+
+@query(f"{_SPLIT} SELECT DISTINCT key FROM own WHERE key NOT IN (SELECT key FROM cached)")
+def cache_write_back(spark, sf):
+    path = scratch_dir(spark, "cache")
+    cache_of(spark, sf).write.parquet(path)
+    index.write_back(embedded(spark, sf), path)
+    return index.cache_table(spark, path).join(cache_of(spark, sf).select("key"), "key", "left_anti").select("key")
+
+
+@query("SELECT doc_id AS chunk_id, coalesce(text, '') LIKE '%Th%' AS failed FROM documents")
+def embed_failures(spark, sf):
+    def picky(texts):
+        if any("Th" in t for t in texts):
+            raise ConnectionError("refused")
+        return index.hash_embedding(texts)
+
+    out = index.embed(chunks_of(spark, sf), picky, batch=1, retries=2, backoff=0.0)
+    return out.select("chunk_id", (F.col("embedding").isNull() & F.col("error").startswith("ConnectionError")).alias("failed"))
+
+
+@query("SELECT doc_id AS chunk_id, 'hash-64' AS embedding_model, 64 AS embedding_dimension, '1.0.0' AS embedding_version FROM documents")
+def embedded_rows(spark, sf):
+    return index.embedded_chunks(embedded(spark, sf), "hash-64").select("chunk_id", "embedding_model", "embedding_dimension", "embedding_version")
 
 
 @query()
@@ -758,6 +964,78 @@ def manifest(spark, sf):
     return corpus.manifest(files)
 
 
+#: A file of each kind out of the pages: no PDF, one with a password, one without pages, one that is cut off, and good ones.
+_FILES = """
+SELECT page_id, concat(page_id, '.pdf') AS filename, kind, CASE kind WHEN 0 THEN concat('no PDF ', page_id) ELSE concat(
+  '%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R /Outlines 5 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [', CASE kind WHEN 2 THEN '' ELSE '3 0 R 9 0 R' END, '] >>\nendobj\n',
+  '3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>\nendobj\n4 0 obj\n<< /Length 99 >>\nstream\nBT /F1 24 Tf (Title ', page_id, ') Tj ET BT /F1 11 Tf (Body ', chr(92), '(of', chr(92), ') ', page_id, ') Tj [(in) 20 (parts)] TJ ET BT /F1 11 Tf (More) Tj ET\nendstream\nendobj\n',
+  '5 0 obj\n<< /Type /Outlines /First 6 0 R >>\nendobj\n6 0 obj\n<< /Title (Title ', page_id, ') /Dest [3 0 R /Fit] /First 7 0 R /Next 8 0 R >>\nendobj\n7 0 obj\n<< /Title (Below) /Dest [9 0 R /Fit] >>\nendobj\n8 0 obj\n<< /Title (Nowhere) >>\nendobj\n',
+  '9 0 obj\n<< /Type /Page /Parent 2 0 R /Resources << /XObject << /I << /Subtype /Image >> >> >> >>\nendobj\n10 0 obj\n<< /Title (Guide ', page_id, ') /CreationDate (D:20240102030405+05) /Producer (p) >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 10 0 R ', CASE kind WHEN 1 THEN '/Encrypt 11 0 R ' ELSE '' END, '>>\n', CASE kind WHEN 3 THEN '' ELSE '%%EOF\n' END) END AS content
+FROM (SELECT page_id, page_id % 8 AS kind FROM {pages}) numbered
+"""
+
+
+def files_of(spark, sf):
+    own = spark.sql(_FILES, pages=read(spark, sf, "pages"))
+    raw = F.col("content").cast("binary")
+    return own.select(F.concat(F.lit("/data/"), "filename").alias("path"), "filename", F.sha2(raw, 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("file_size_bytes"), F.lit(None).cast("timestamp").alias("last_modified"), T.mime_type("filename").alias("mime_type"), raw.alias("content"))
+
+
+def opened(spark, sf):
+    path = scratch_dir(spark, "opened")
+    ingest.open_files(files_of(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_F = "WITH f AS (" + _FILES.format(pages="pages") + "), g AS (SELECT *, sha256(content) AS document_id FROM f WHERE kind > 3)"
+
+
+@query(f"{_F} SELECT filename, CASE kind WHEN 0 THEN 'corrupted' WHEN 1 THEN 'encrypted' WHEN 2 THEN 'empty' WHEN 3 THEN 'corrupted' END AS error_class FROM f")
+def pdf_validate(spark, sf):
+    return opened(spark, sf).select("filename", "error_class")
+
+
+@query(f"{_F} SELECT filename, document_id AS sha256, 2 AS page_count FROM g")
+def safe_open(spark, sf):
+    return ingest.good(opened(spark, sf)).select("filename", "sha256", "page_count")
+
+
+@query(f"{_F} SELECT filename, CASE kind WHEN 0 THEN 'no PDF header' WHEN 1 THEN 'a password is needed' WHEN 2 THEN 'no pages' ELSE 'the file is cut off' END AS error FROM f WHERE kind < 4")
+def ingest_failures(spark, sf):
+    return ingest.failures(opened(spark, sf)).select("filename", "error")
+
+
+@query(f"{_F} SELECT document_id, 1 AS ord, 1 AS level, 'Title ' || page_id AS title, 1 AS page FROM g UNION ALL SELECT document_id, 2, 2, 'Below', 2 FROM g")
+def toc_extract(spark, sf):
+    return ingest.toc_rows(opened(spark, sf))
+
+
+@query(f"{_F} SELECT document_id, 'Guide ' || page_id AS title, '' AS author, 'p' AS producer, '2024-01-02 03:04:05' AS created, 2 AS page_count FROM g")
+def document_metadata(spark, sf):
+    got = ingest.document_metadata(opened(spark, sf))
+    return got.select("document_id", "title", "author", "producer", F.date_format("creation_date", "yyyy-MM-dd HH:mm:ss").alias("created"), "page_count")
+
+
+@query(f"{_F} SELECT document_id, 1 AS page, 0 AS block_index, 'heading' AS type, 2 AS level, 'Title ' || page_id AS text FROM g UNION ALL SELECT document_id, 1, 1, 'text', NULL, 'Body (of) ' || page_id || ' inparts' FROM g UNION ALL SELECT document_id, 1, 2, 'text', NULL, 'More' FROM g UNION ALL SELECT document_id, 2, 0, 'figure', NULL, '' FROM g")
+def ingest_blocks(spark, sf):
+    return ingest.blocks(opened(spark, sf))
+
+
+@query(f"{_F} SELECT document_id, filename, octet_length(encode(content)) AS file_size_bytes, 'application/pdf' AS mime_type, 'Guide ' || page_id AS title, 2 AS page_count, 7 AS word_count FROM g")
+def ingest_documents(spark, sf):
+    return ingest.documents(opened(spark, sf)).select("document_id", "filename", "file_size_bytes", "mime_type", "title", "page_count", "word_count")
+
+
+@query(f"{_F} SELECT document_id AS id, filename, document_id AS sha256, octet_length(encode(content)) AS file_size_bytes, 2 AS pages, false AS indexed FROM g WHERE kind <> 5")
+def manifest_rows(spark, sf):
+    docs = ingest.documents(opened(spark, sf))
+    path = scratch_dir(spark, "manifest")
+    ingest.write_manifest(docs, path)
+    held = ingest.read_manifest(spark, path)
+    again = ingest.new_files(files_of(spark, sf).join(docs.select("sha256"), "sha256", "left_semi"), held.where(F.split_part("filename", F.lit("."), F.lit(1)).cast("int") % 8 != 5))
+    return held.join(again.select("sha256"), "sha256", "left_anti").select("id", "filename", "sha256", "file_size_bytes", "pages", "indexed")
+
+
 @query("SELECT doc_id, sha256(text) AS document_id, sha256(text) || ':p1:b0' AS block_id FROM documents")
 def sha256_ids(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("document_id"), F.concat(F.sha2("text", 256), F.lit(":p1:b0")).alias("block_id"))

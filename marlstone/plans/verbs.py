@@ -1,6 +1,6 @@
-"""The engine's verbs over a folder of Parquet tables: index, search, prompt, ask, benchmark, stats.
+"""The engine's verbs over a folder of Parquet tables: ingest and index, search, prompt, ask, benchmark, stats.
 
-``index`` writes chunks, vectors and entity locations; the others read them. Questions are always a DataFrame
+``index`` writes chunks, vectors, BM25 postings and entity locations; the others read them. Questions are always a DataFrame
 ``query_id bigint, question string``; one question is a table of one row.
 """
 
@@ -13,23 +13,30 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import answers, chunking, context, enrichment, evaluation, retrieval
 from marlstone.operators import index as tables
+from marlstone.sources import ingest
 
 PER_SOURCE = 20
 
 
-def index(blocks: DataFrame, titles: DataFrame, path: str, embedder: Callable = tables.hash_embedding) -> None:
-    """Build the tables from ``blocks`` and ``titles(document_id, title, page_count)``."""
+def index(blocks: DataFrame, titles: DataFrame, path: str, embedder: Callable = tables.hash_embedding, model: str = "hash-64") -> None:
+    """Build the tables from ``blocks`` and ``titles(document_id, title, page_count)``, which may have a filename; vectors of known texts come from the cache."""
     spark = blocks.sparkSession
     own = enrichment.block_sections(blocks)
     # A document without headings is one section.
     bare = own.groupBy("document_id").agg(F.max("section_ord").alias("__last"))
     own = own.join(bare, "document_id").withColumn("section_ord", F.when(F.col("__last") == 0, 1).otherwise(F.col("section_ord"))).drop("__last")
     sections = enrichment.sections(blocks, titles).select("document_id", "section_ord", "section_id", F.col("title").alias("heading"))
-    modules = enrichment.classify_modules(enrichment.first_pages(blocks)).select("document_id", "module")
+    files = titles if "filename" in titles.columns else titles.withColumn("filename", F.lit(""))
+    modules = enrichment.classify_modules(enrichment.classified_texts(files, blocks)).select("document_id", "module")
     made = chunking.stamp(chunking.assemble(own, chunking.pack(own))).join(sections, ["document_id", "section_ord"]).join(modules, "document_id", "left")
     made.write.mode("overwrite").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
-    tables.embed(chunks, embedder).write.mode("overwrite").parquet(f"{path}/vectors")
+    cache = tables.cache_table(spark, f"{path}/cache")
+    tables.embed_cached(chunks, cache, model, embedder).write.mode("overwrite").parquet(f"{path}/embedded")
+    embedded = spark.read.parquet(f"{path}/embedded")
+    tables.embedded_chunks(embedded, model).write.mode("overwrite").parquet(f"{path}/vectors")
+    tables.write_back(embedded, f"{path}/cache")
+    retrieval.write_bm25(chunks, f"{path}/bm25")
     named = enrichment.named_entities(blocks).select("document_id", "page", "name", "entity_type", F.lit(0).alias("kind"))
     found = named.unionByName(enrichment.pattern_entities(blocks).select("document_id", "page", "name", "entity_type", F.lit(1).alias("kind")))
     held = chunking.chunk_entities(chunks, found.select("document_id", F.lit(None).cast("bigint").alias("section_ord"), "page", "name", "entity_type"))
@@ -37,6 +44,19 @@ def index(blocks: DataFrame, titles: DataFrame, path: str, embedder: Callable =
     tables.locate_entities(held.withColumn("ord", F.col("name"))).write.mode("overwrite").parquet(f"{path}/entities")
 
 
+def ingest_and_index(spark: SparkSession, root: str, path: str, **how) -> dict[str, DataFrame]:
+    """Open the files of a folder and index what they hold; the tables that the ingest has written, failures included."""
+    made = ingest.ingest(spark, root, f"{path}/ingested", **how)
+    titles = made["documents"].select("document_id", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("filename")).alias("title"), "page_count", "filename")
+    index(made["blocks"], titles, path)
+    return made
+
+
+def metrics(spark: SparkSession, path: str) -> DataFrame:
+    """What embedding the last index took."""
+    return tables.embed_metrics(_table(spark, path, "embedded"))
+
+
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
@@ -44,8 +64,8 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, entities: bool = False, embedder: Callable = tables.hash_embedding) -> DataFrame:
     """Fused hits with what a context needs: query_id, rank, chunk_id, document, page, heading, text, score, entities, document_id, section_id, module."""
     chunks = _table(spark, path, "chunks")
-    asked = tables.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("text")), embedder).withColumnRenamed("chunk_id", "query_id")
-    lists = [retrieval.knn(asked, _table(spark, path, "vectors"), PER_SOURCE), retrieval.bm25(queries, chunks, PER_SOURCE)]
+    asked = tables.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("text")), embedder).where("embedding IS NOT NULL").select(F.col("chunk_id").alias("query_id"), "embedding")
+    lists = [retrieval.knn(asked, _table(spark, path, "vectors"), PER_SOURCE), retrieval.bm25_stored(queries, f"{path}/bm25", PER_SOURCE)]
     located = _table(spark, path, "entities")
     if entities:
         lists.append(retrieval.entity_retrieve(queries, located, PER_SOURCE))

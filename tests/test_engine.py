@@ -189,7 +189,79 @@ def test_embedding_cache_and_failures(spark):
     def broken(texts):
         raise RuntimeError
 
-    assert index.embed(chunks, broken).count() == 0
+    # The rows of a batch that fails for good stay, with their error.
+    failed = index.embed(chunks, broken, retries=2, backoff=0.0).collect()
+    assert len(failed) == 3 and all(r.embedding is None and r.error.startswith("RuntimeError") for r in failed)
+    lost = index.embed_cached(chunks, cache, "m", broken, retries=1)
+    (m,) = index.embed_metrics(lost).collect()
+    assert (m.cache_hits, m.cache_misses, m.embedded, m.failures) == (1, 2, 0, 2) and index.cache_additions(lost).count() == 0
+    assert index.embedded_chunks(lost, "m").count() == 1
+
+
+def test_cache_is_written_back(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    chunks = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "c")], "chunk_id int, text string")
+    for hits in (0, 3):
+        out = str(tmp_path / f"embedded{hits}")
+        index.embed_cached(chunks, index.cache_table(spark, path), "m").write.parquet(out)
+        got = spark.read.parquet(out)
+        assert got.where("hit").count() == hits and got.where("embedding IS NOT NULL").count() == 3
+        index.write_back(got, path)
+    assert index.cache_table(spark, path).count() == 2
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.parquet").write_bytes(b"nothing of the kind")
+    assert index.cache_table(spark, str(tmp_path / "odd")).count() == 0
+    spark.range(2).write.parquet(str(tmp_path / "legacy"))
+    assert index.cache_table(spark, str(tmp_path / "legacy")).count() == 0
+
+
+def test_stored_bm25_gives_the_same_hits(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", "Refer to STTM_PRODUCT module"), ("c2", "Lending and CASA integration casa"), ("c3", "Some unrelated text"), ("c4", None)], "chunk_id string, text string").na.fill("")
+    asked = spark.createDataFrame([(1, "STTM_PRODUCT"), (2, "casa casa lending text"), (3, "zzz")], "query_id bigint, question string")
+    retrieval.write_bm25(chunks, str(tmp_path / "bm25"), buckets=3)
+    got = sorted(map(tuple, retrieval.bm25_stored(asked, str(tmp_path / "bm25")).select("query_id", "rank", "chunk_id", "score").collect()))
+    assert got == sorted(map(tuple, retrieval.bm25(asked, chunks).select("query_id", "rank", "chunk_id", "score").collect()))
+    assert [(q, c) for q, _, c, _ in got] == [(1, "c1"), (2, "c2"), (2, "c3")]
+    assert retrieval.bm25_stored(asked, str(tmp_path / "nothing")).count() == 0
+
+
+def test_answers_stream(spark):
+    from collections.abc import Iterator
+
+    class Client:
+        def __init__(self):
+            self.calls = []
+
+        def stream(self, prompt: str, **options) -> Iterator[str]:
+            self.calls.append(options)
+            if len(self.calls) < 3:
+                raise ConnectionError("refused")
+            yield from ("a", "", " b")
+
+    client = Client()
+    engine = answers.Engine(client, delays=(0,), temperature=0.5)
+    assert engine.generate("p") == "a b" and len(client.calls) == 3 and client.calls[0]["temperature"] == 0.5 and client.calls[0]["num_ctx"] == 8192
+    stream = engine.stream("p")
+    assert list(stream) == ["a", " b"] and (stream.count, stream.text) == (2, "a b")
+    with pytest.raises(ValueError):
+        answers.Engine(type("Silent", (), {"stream": lambda self, p, **o: iter(())})()).generate("p")
+    made = spark.createDataFrame([(2, "<text>\nhello there\n"), (1, "")], "query_id bigint, prompt string")
+    got = [(q, "".join(s)) for q, s in answers.stream_answers(made)]
+    assert got == [(1, "The context does not say."), (2, "hello there")]
+
+
+def test_report_file(spark, tmp_path):
+    q = spark.createDataFrame([(1,)], "query_id int")
+    evaluation.write_report(evaluation.summary(evaluation.per_query(q, spark.createDataFrame([(1, 1, True)], "query_id int, rank int, matched boolean"))), str(tmp_path / "report"))
+    assert "| MRR | 1.0000 |" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+
+
+def test_context_carries_ids(spark):
+    rows = [(1, 1, "a", "GL", 5, "7 A", "t1", 0.9, ["X"], "", "", "s1"), (1, 2, "b", "GL", 6, "7 A", "t2", 0.8, [], "d9", "GL & CASA", ""), (1, 3, "c", "GL", 2, "7.1 B", "t3", 0.7, [], "d8", "", "s3")]
+    made = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, document string, page int, heading string, text string, score double, entities array<string>, document_id string, module string, section_id string")
+    (r,) = context.assemble(made).collect()
+    assert (r.document_id, r.module, r.section_id, r.page) == ("d9", "GL & CASA", "s1", 2)
+    assert all(x in r.block for x in ("<document_id>d9</document_id>", "<module>GL &amp; CASA</module>", "<section_id>s1</section_id>", "<page_end></page_end>"))
 
 
 def test_generator_retries(spark):

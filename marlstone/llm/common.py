@@ -10,6 +10,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,44 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written = threading.local()
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Shuffle files of what is written inside go with the end of the write, as nothing else reads them, and not at some later collection of garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for scope in getattr(_written, "scopes", ()):
+        scope.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` of what ``make`` returns, after which all tables that ``make`` has materialised on the way are deleted."""
+    if not hasattr(_written, "scopes"):
+        _written.scopes = []
+    _written.scopes.append(own := [])
+    try:
+        out = materialize(make(), name)
+    finally:
+        _written.scopes.pop()
+    discard(*own[:-1])
     return out
 
 
@@ -61,7 +93,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing will read any more."""
+    """Delete tables of ``materialize`` that nothing will read any more; one that is gone already is left alone."""
     for t in tables:
         _delete(t.sparkSession, t._written_to)
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, materialize, one_of_each, text_or_empty
+from .common import WHITESPACE, materialize, one_of_each, settled, text_or_empty
 
 #: What stands for a null doc_id where the smallest wins.
 _LAST = (1 << 63) - 1
@@ -101,11 +101,15 @@ def exact_dedup(docs: DataFrame, **how) -> DataFrame:
 
 def drop_copies(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept; of rows that repeat its doc_id and text the least one, by its columns in their order."""
-    rows, wins = _decided(verified_recipes(docs.select("doc_id", "text"), **how))
-    kept = rows.where(wins).select(F.col("doc_id").alias("__doc_id"), F.col("text_sha256").alias("__sha"), F.col("__len").alias("__length"))
+
+    def winners() -> DataFrame:
+        rows, wins = _decided(verified_recipes(docs.select("doc_id", "text"), **how))
+        return rows.where(wins).select(F.col("doc_id").alias("__doc_id"), F.col("text_sha256").alias("__sha"), F.col("__len").alias("__length"), "__times")
+
+    kept = settled(winners, "kept")
     own = docs.withColumns({"__own_sha": F.sha2(normalised(), 256), "__own_length": F.length(text_or_empty())})
     same = own["doc_id"].eqNullSafe(kept["__doc_id"]) & (own["__own_sha"] == kept["__sha"]) & (own["__own_length"] == kept["__length"])
     out = own.join(kept, same, "left_semi")
-    if not rows.where(wins & (F.col("__times") > 1)).isEmpty():
+    if not kept.where("__times > 1").isEmpty():
         out = one_of_each(out, ["doc_id", "__own_sha", "__own_length"])
     return out.drop("__own_sha", "__own_length")

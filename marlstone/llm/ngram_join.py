@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize, one_of_each, text_or_empty
+from .common import discard, map_arrow, materialize, one_of_each, settled, text_or_empty
 from .word_shingles import WordHashes, mix, windows
 
 _NO_ID = (1 << 63) - 1
@@ -397,16 +397,21 @@ def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, block_c
     # Two classes that link are candidates in every group they share, so the groups left are all that matter.
     todo = todo.join(todo.groupBy("id").agg(F.collect_set("g").alias("all")), "id").join(texts, "id")
     carried = F.struct("text", "copies", "rare", F.filter("all", lambda x: x < F.col("g")).alias("earlier"))
-    return materialize(links_of(todo.withColumn("x", carried), percent, size), "links")
+    return links_of(todo.withColumn("x", carried), percent, size)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, size: int = 3, block_classes: int = 2048, block_tokens: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (of its text), n_shingles, n_links, component_id and comp, which tells components apart."""
     docs = docs.select("doc_id", "text")
-    signed = materialize(signatures(docs, percent, size), "signatures")
-    own = materialize(classes(signed), "classes")
-    found = find_links(own, docs, percent, size, block_classes, block_tokens)
-    comps = components(found.where("b IS NOT NULL").select("a", "b"))
+    large = materialize(signatures(docs, percent, size), "signatures")
+    whole = materialize(classes(large), "classes")
+    # Prefixes, the bulk of both tables, go as soon as nothing reads them.
+    signed = materialize(large.select("doc_id", "fp", "n", "c1", "c2"), "documents")
+    discard(large)
+    found = settled(lambda: find_links(whole, docs, percent, size, block_classes, block_tokens), "links")
+    own = materialize(whole.select("id", "least", "n", "c1", "c2", "copies"), "classes")
+    discard(whole)
+    comps = settled(lambda: components(found.where("b IS NOT NULL").select("a", "b")), "components")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     member = labelled(own.select("id", "least", "n", "c1", "c2", "copies"), comps).join(counts, "id", "left")
     member = member.withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
@@ -421,7 +426,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Of rows that repeat this doc_id and text the least one stays, by its columns in their order.
     """
-    found = materialize(jaccard_components(docs, **how).select("doc_id", "fp", "comp"), "members")
+    found = settled(lambda: jaccard_components(docs, **how).select("doc_id", "fp", "comp"), "members")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.col("fp").alias("f"))).alias("first")
     chosen = found.where("comp IS NOT NULL").groupBy("comp").agg(first).select(F.col("first.d").alias("__d"), F.col("first.f").alias("__f"))
     alone = found.where("comp IS NULL").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__d"), F.col("fp").alias("__f")).distinct()

@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import columns_of, discard, map_arrow, materialize, text_or_empty
+from .common import discard, map_arrow, materialize, settled, text_or_empty
 from .word_shingles import WordHashes, windows
 
 GRAM = 4
@@ -214,9 +213,9 @@ def covered(found: list[dict] | None, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _with_ranges(docs: DataFrame, size: int, most: int) -> DataFrame:
-    found = repeated_ranges(docs.select("__id", "__fp", text_or_empty().alias("text")), size, most)
-    by_doc = found.groupBy("__id", "__fp").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))
+def _with_ranges(docs: DataFrame, size: int, most: int, text: str = "text") -> DataFrame:
+    own = docs.select("__id", "__fp", text_or_empty(text).alias("text"))
+    by_doc = settled(lambda: repeated_ranges(own, size, most).groupBy("__id", "__fp").agg(F.collect_set(F.struct("first", "end")).alias("__ranges")), "ranges")
     return docs.join(by_doc, ["__id", "__fp"], "left")
 
 
@@ -241,19 +240,22 @@ def substring_dedup(docs: DataFrame, size: int = 35, most: int = 20_000) -> Data
 def dedup_texts(docs: DataFrame, size: int = 35, most: int = 20_000) -> DataFrame:
     """``docs`` without the repeated words; a text that loses any is its kept words joined by single blanks, others stay as they are."""
 
+    # Columns go by place, so that their names may be any.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+
     def run(batches):
         for b in batches:
             out = []
-            for text, found in zip(b["text"].to_pylist(), b["__ranges"].to_pylist(), strict=True):
+            for x, found in zip(b[text].to_pylist(), b["__ranges"].to_pylist(), strict=True):
                 if found:
-                    words = text.encode().split()
-                    text = b" ".join(w for w, g in zip(words, covered(found, len(words)).tolist(), strict=True) if not g).decode()
-                out.append(text)
-            keep = [c for c in b.schema.names if c != "__ranges"]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b[c] for c in keep], names=keep)
-
-    text = text_or_empty()
-    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__fp": F.xxhash64(text)})
-    own = _with_ranges(own, size, most).drop("__id", "__fp")
-    schema = T.StructType([f for f in own.schema.fields if f.name != "__ranges"])
-    return map_arrow(own, run, schema, heavy="text").select(*columns_of(docs))
+                    words = x.encode().split()
+                    x = b" ".join(w for w, g in zip(words, covered(found, len(words)).tolist(), strict=True) if not g).decode()
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b[c] for c in names], names=names)
+
+    own = docs.toDF(*names)
+    schema = own.schema
+    own = own.withColumns({"__id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)), "__fp": F.xxhash64(text_or_empty(text))})
+    own = _with_ranges(own, size, most, text).select(*names, "__ranges")
+    return map_arrow(own, run, schema, heavy=text).toDF(*docs.columns)

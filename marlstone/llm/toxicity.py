@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, map_arrow, materialize, release, resident, text_or_empty
+from .common import columns_of, discard, map_arrow, materialize, release, resident, settled, text_or_empty
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 #: Parts of the labelled rows; the models lack one part each, and the last one lacks none.
@@ -399,22 +399,30 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) ->
     return model._replace(fit=logistic(np.stack([got[c].to_numpy() for c in _FEATURES], 1), y, balanced(y)))
 
 
-def score_texts(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
-    own = docs.drop("held_out", "score", "predicted")
-    own = own.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False)))
+def text_scores(docs: DataFrame, model: Model | None) -> DataFrame:
+    """__k and score of each distinct text key of ``docs``."""
     if model is None:
-        return own.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return docs.select(text_key().alias("__k"), F.lit(0.0).alias("score")).distinct()
     found = features(docs.select(text_key().alias("k"), F.lit(ALL).alias("model"), text_or_empty().alias("text")), model, [ALL])
     weighed = F.lit(float(model.fit[0]))
     for w, c in zip(model.fit[1:].tolist(), _FEATURES, strict=True):
         weighed = weighed + F.lit(w) * F.col(c)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(weighed, F.lit(40.0)), F.lit(-40.0))))
-    scores = materialize(found.select(F.col("k").alias("__k"), score.alias("score")), "toxic-scores")
+    return found.select(F.col("k").alias("__k"), score.alias("score"))
+
+
+def with_scores(docs: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
+    own = docs.drop("held_out", "score", "predicted")
+    own = own.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False)))
     scored = own.withColumn("__k", text_key()).join(scores, "__k").drop("__k")
     return scored.select(*columns_of(own), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def score_texts(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """``docs`` with held_out, score and predicted; without a model all scores are 0."""
+    return with_scores(docs, settled(lambda: text_scores(docs, model), "toxic-scores"), threshold)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, calibration_rows: int = 20_000) -> DataFrame:
-    """Train on the labelled rows of ``docs`` and score every row."""
-    return score_texts(docs, train(docs, labels, calibration_rows), threshold)
+    """Train on the labelled rows of ``docs`` and score every row; the model goes when the scores are written."""
+    return with_scores(docs, settled(lambda: text_scores(docs, train(docs, labels, calibration_rows)), "toxic-scores"), threshold)

@@ -37,6 +37,10 @@ def _carried(hits: DataFrame) -> list[str]:
     return [c for c in CARRIED if c in hits.columns]
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def _first_known(values: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(values, lambda x: F.coalesce(x.cast("string"), F.lit("")) != ""), F.lit(1)), F.try_element_at(values, F.lit(1)))
 
@@ -49,7 +53,7 @@ def merge_adjacent(hits: DataFrame) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct(*_COLS, *more)))
     got = hits.withColumn("__island", island).groupBy("query_id", "__island").agg(parts.alias("p"))
     first = [F.element_at("p", 1)[c].alias(c) for c in _COLS[:6]]
-    rest = [_first_known(F.transform("p", lambda x, c=c: x[c])).alias(c) for c in more]
+    rest = [_first_known(F.transform("p", _field(c))).alias(c) for c in more]
     return got.select("query_id", *first, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), _union(F.transform("p", lambda x: x["entities"])).alias("entities"), *rest)
 
 

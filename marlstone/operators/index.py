@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,6 +153,9 @@ def cache_table(spark: SparkSession, path: str) -> DataFrame:
             return got.select("key", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["key"])
     except AnalysisException:  # no folder, or nothing in it that is Parquet
         pass
+    except Py4JJavaError as e:  # files that only have the name of Parquet
+        if "CANNOT_READ_FILE_FOOTER" not in str(e):
+            raise
     return spark.createDataFrame([], "key string, embedding array<float>")
 
 

@@ -17,7 +17,8 @@ BLOCKS_ON_PAGE = 4
 def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
     """Files below a folder but hidden ones: path, filename, sha256, file_size_bytes, last_modified, mime_type, content.
 
-    Only the columns that are asked for are read; a missing folder raises when the plan is built.
+    Only the columns that are asked for are read; a missing folder raises when the plan is built. Spark's scan gives no row for a file
+    of no bytes.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     local = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")

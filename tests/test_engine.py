@@ -138,7 +138,7 @@ def test_knn_in_blocks_is_the_same(spark):
     rng = random.Random(1)
     v = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(60)], "chunk_id bigint, embedding array<float>")
     q = v.limit(12).select(F.col("chunk_id").alias("query_id"), "embedding")
-    one, many = (sorted(map(tuple, retrieval.knn(q, v, 3, n).select("query_id", "rank", "chunk_id").collect())) for n in (100, 4))
+    one, many = (sorted(map(tuple, retrieval.knn(q, v, 3, n).select("query_id", "rank", "chunk_id").collect())) for n in (1 << 20, 700))
     assert one == many and len(one) == 36
 
 

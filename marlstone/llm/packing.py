@@ -204,7 +204,8 @@ def place(pieces: DataFrame, capacity: int, range_rows: int = 50_000) -> DataFra
                 opened = open_sequences(left, capacity, hi, -(-n_left // range_rows))
                 placed.append(opened.select("key", "seq"))
                 rows, n_gaps, n_left = rows.unionByName(opened), n_gaps + n_left, 0
-            gaps = gaps_after(rows)
+            # Written, so that no round's plan holds the rounds before it.
+            gaps = materialize(gaps_after(rows), "gaps")
     found = placed[0]
     for p in placed[1:]:
         found = found.unionByName(p)

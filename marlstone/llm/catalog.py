@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .bpe_fragments import round_trip
 from .chat_format import format_turns, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .jpeg_media import media_features, to_jpeg
+from .neighbours import neighbours
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
@@ -76,6 +78,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark, sf_dir):
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 _WS = "'[\\x20\\x09-\\x0D]'"
 
 OP1_SQL = r"""
@@ -153,6 +159,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_media_columns": op9_media_columns,
         "op10_token_id_output": op10_token_id_output,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 

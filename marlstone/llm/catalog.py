@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe_fragments import round_trip
 from .chat_format import format_turns, read_back
 from .common import table
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .jpeg_media import media_features, to_jpeg
 from .neighbours import neighbours
@@ -78,6 +79,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_nearest_neighbours(spark, sf_dir):
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -146,6 +151,46 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL
+), k AS (
+  SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 3
+), l AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT x.lang, x.source, coalesce(any_value(l.v), 0) AS v, any_value(l.total) AS lang_total, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) x
+  LEFT JOIN l ON l.lang = x.lang
+  LEFT JOIN c ON c.lang = x.lang AND c.source = x.source
+  LEFT JOIN k ON k.lang = c.lang AND k.term = c.term
+  GROUP BY x.lang, x.source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p,
+         1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (g.lang_total + g.v) AS lang_p
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), found AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - lang_p) * (p - lang_p)) // lang_p FROM p WHERE n > 0 AND p > lang_p
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def queries():
     return {
@@ -159,6 +204,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_media_columns": op9_media_columns,
         "op10_token_id_output": op10_token_id_output,
+        "op11_source_divergence": op11_source_divergence,
         "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
@@ -169,4 +215,5 @@ def oracle_sql():
         "op5_url_filters": OP5_SQL,
         "op6_substring_dedup": OP6_SQL,
         "op7_exact_dedup": OP7_SQL,
+        "op11_source_divergence": OP11_SQL,
     }

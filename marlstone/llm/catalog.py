@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .token_files import write_and_read
 from .toxicity import toxicity
+from .turn_repair import repair_damaged
 from .url_filter import filter_urls
 
 #: (host, path, verdict)
@@ -83,6 +84,10 @@ def op11_source_divergence(spark, sf_dir):
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark, sf_dir):
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_nearest_neighbours(spark, sf_dir):
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -192,6 +197,76 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def _add(state: str, cost: str, letter: str) -> str:
+    """SQL: a cost of nine digits and an audit, with an edit more; null stays null, and the least of several is the cheapest and then least."""
+    return f"lpad(CAST(CAST(left({state}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}'"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE steps AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM named, steps
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS trimmed FROM damaged
+), faulty AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, trimmed = '' AS blank,
+         count(*) OVER (PARTITION BY conv_id, role, text ORDER BY i ROWS UNBOUNDED PRECEDING) > 1 AS again, NOT right(trimmed, 1) IN ('.', '!', '?') AS cut
+  FROM numbered
+), paid AS (
+  SELECT *, CASE WHEN cut AND NOT blank AND NOT again THEN 5 ELSE 0 END AS more FROM faulty
+), dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM paid
+  UNION ALL
+  SELECT y.conv_id, r.i, {_add("v0", "2", "D")},
+         CASE WHEN blank OR again THEN {_add("v1", "2", "D")} WHEN initial = 's' THEN least({_add("v1", "2", "D")}, {_add("v0", "more", "K")}) ELSE {_add("v1", "2", "D")} END,
+         CASE WHEN blank OR again THEN {_add("n2", "2", "D")}
+              ELSE least({_add("n2", "2", "D")}, {_add("v0", "more + 1", "R")}, {_add("v1", "more + 1", "R")}, {_add("n3", "more + 1", "R")},
+                         CASE WHEN initial = 'u' THEN least({_add("v0", "more", "K")}, {_add("v1", "more", "K")}, {_add("n3", "more", "K")}) END) END,
+         CASE WHEN blank OR again THEN {_add("n3", "2", "D")} ELSE least({_add("n3", "2", "D")}, {_add("n2", "more + 1", "R")}, CASE WHEN initial = 'a' THEN {_add("n2", "more", "K")} END) END
+  FROM (SELECT *, least(v3, {_add("n2", "5", "I")}) AS n3
+        FROM (SELECT *, least(v2, {_add("v0", "5", "I")}, {_add("v1", "5", "I")}, {_add("v3", "5", "I")}) AS n2 FROM dp)) y
+  JOIN paid r ON r.conv_id IS NOT DISTINCT FROM y.conv_id AND r.i = y.i + 1
+), sound AS (
+  SELECT conv_id, least(v0, v3, {_add("n2", "5", "I")}) AS v
+  FROM (SELECT *, least(v2, {_add("v0", "5", "I")}, {_add("v1", "5", "I")}, {_add("v3", "5", "I")}) AS n2
+        FROM (SELECT conv_id, i, v0, v1, v2, v3, max(i) OVER (PARTITION BY conv_id) AS last FROM dp) WHERE i = last)
+), letters AS (
+  SELECT conv_id, j, substr(v, CAST(9 + j AS BIGINT), 1) AS x, count(*) FILTER (substr(v, CAST(9 + j AS BIGINT), 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i,
+         count(*) FILTER (substr(v, CAST(9 + j AS BIGINT), 1) <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS nth
+  FROM (SELECT conv_id, v, unnest(range(1, length(v) - 8)) AS j FROM sound)
+), turns AS (
+  SELECT l.conv_id, j, x, nth, r.role, r.text, bool_or(x = 'K' AND initial = 's') OVER (PARTITION BY l.conv_id) AS opened
+  FROM letters l LEFT JOIN paid r ON x <> 'I' AND r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i
+), said AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN role ELSE CASE WHEN (nth - CASE WHEN opened THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                                    || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha
+  FROM turns WHERE x <> 'D' GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(NOT blank AND again) AS duplicate,
+         count_if(NOT blank AND NOT again AND cut) AS truncated, count_if(before IS NOT NULL AND NOT before || initial IN ('su', 'ua', 'au')) AS illegal
+  FROM paid GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(v, 9), '0') AS BIGINT) AS cost,
+       coalesce(substr(v, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN sound s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN said a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def queries():
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -205,6 +280,7 @@ def queries():
         "op9_media_columns": op9_media_columns,
         "op10_token_id_output": op10_token_id_output,
         "op11_source_divergence": op11_source_divergence,
+        "op12_structure_repair": op12_structure_repair,
         "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
@@ -216,4 +292,5 @@ def oracle_sql():
         "op6_substring_dedup": OP6_SQL,
         "op7_exact_dedup": OP7_SQL,
         "op11_source_divergence": OP11_SQL,
+        "op12_structure_repair": OP12_SQL,
     }

@@ -61,12 +61,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("question")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
     """Rows to be broadcast if they are few enough: counted first, as far as it takes to know."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def _weighed(met: DataFrame, k: int) -> DataFrame:
+def weighed(met: DataFrame, k: int) -> DataFrame:
     """Ranked hits of postings that have met question terms: query_id, chunk_id, qtf, idf, tf, dl, avgdl."""
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
@@ -77,12 +77,12 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Okapi BM25 over all chunks; hits with a positive score. Without a stored index; only tokens that a question has are shuffled."""
     whole = totals(chunks)
     asked = query_terms(queries)
-    terms = _small(asked.select("term").distinct())
+    terms = small(asked.select("term").distinct())
     each = chunks.select("chunk_id", tokens("text").alias("__t")).select("chunk_id", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
     posted = each.join(terms, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     stats = term_stats(document_frequencies(chunks), whole)
     asked = asked.join(stats.select("term", "idf"), "term")
-    return _weighed(posted.join(asked, "term").crossJoin(F.broadcast(whole.select("avgdl"))), k)
+    return weighed(posted.join(asked, "term").crossJoin(F.broadcast(whole.select("avgdl"))), k)
 
 
 def write_bm25(chunks: DataFrame, path: str, buckets: int = 64) -> None:
@@ -116,8 +116,8 @@ def bm25_stored(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
     posted, terms, whole = stored
     row = whole.first()
     asked = query_terms(queries).join(terms.select("term", "idf"), "term").withColumn("bucket", F.pmod(F.hash("term"), F.lit(row["buckets"])).cast("int"))
-    met = posted.join(_small(asked), ["bucket", "term"])
-    return _weighed(met.withColumn("avgdl", F.lit(row["avgdl"])), k)
+    met = posted.join(small(asked), ["bucket", "term"])
+    return weighed(met.withColumn("avgdl", F.lit(row["avgdl"])), k)
 
 
 # --- dense ------------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import answers, chunking, context, enrichment, evaluation, index, parsing, retrieval
+from marlstone.operators import answers, chunking, context, enrichment, evaluation, index, ivf, parsing, retrieval
 from marlstone.plans.scratch import scratch_dir
 from marlstone.sources import corpus, ingest
 
@@ -160,6 +160,55 @@ def knn_cosine_topk(spark, sf):
     return retrieval.knn(asked, vectors, 10).select("query_id", "rank", "chunk_id", "score")
 
 
+LISTS, PROBES = 24, 10
+
+
+def _ivf_cte(lists: int, rounds: int, probes: int) -> str:
+    """Rounds of k-means over unit vectors, seeded by the least SHA-256 of ids, then the lists that each question reads."""
+    unit = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
+    parts = [
+        "raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)",
+        f"unit AS MATERIALIZED (SELECT vec_id, v, {unit} AS u FROM raw)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS list, u AS c FROM unit QUALIFY list < {lists})",
+    ]
+    nearest = "SELECT vec_id, arg_max(list, (list_cosine_similarity(u, c), -list)) AS list FROM unit, {} GROUP BY vec_id"
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED ({nearest.format(f'c{i}')})",
+            f"m{i} AS (SELECT list, list(x ORDER BY k) AS c FROM (SELECT list, k, avg(x) AS x FROM (SELECT list, unnest(u) AS x, generate_subscripts(u, 1) AS k FROM unit JOIN a{i} USING (vec_id)) GROUP BY list, k) GROUP BY list)",
+            f"c{i + 1} AS MATERIALIZED (SELECT o.list, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (list))",
+        ]
+    near = f"SELECT vec_id, list, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(u, c) DESC, list) AS nth FROM unit, c{rounds}"
+    parts += [
+        f"held AS MATERIALIZED ({nearest.format(f'c{rounds}')})",
+        f"probed AS (SELECT vec_id AS query_id, list FROM ({near}) WHERE nth <= {probes} AND vec_id % 20 = 0)",
+        "pairs AS MATERIALIZED (SELECT query_id, held.vec_id AS chunk_id, round(1 - list_cosine_similarity(q.v, h.v), 6) AS score FROM probed JOIN held USING (list) JOIN unit q ON q.vec_id = query_id JOIN unit h ON h.vec_id = held.vec_id)",
+        "near AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank, chunk_id, score FROM pairs) WHERE rank <= 10)",
+    ]
+    return ",\n".join(parts)
+
+
+def _ivf(spark, sf):
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    path = scratch_dir(spark, "ivf")
+    ivf.write(vectors, path, LISTS)
+    return vectors, vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), path
+
+
+@query(f"WITH {_ivf_cte(LISTS, 2, PROBES)} SELECT query_id, rank, chunk_id, score FROM near")
+def ivf_topk(spark, sf):
+    _, asked, path = _ivf(spark, sf)
+    return ivf.search(asked, path, 10, PROBES).select("query_id", "rank", "chunk_id", "score")
+
+
+@query(f"WITH {_ivf_cte(LISTS, 2, PROBES)}, {KNN_CTE.strip()} SELECT count(*) AS wanted, count(n.chunk_id) AS found, round(count(n.chunk_id) / count(*), 6) AS recall, (SELECT count(*) FROM pairs) AS vectors_read FROM knn k LEFT JOIN near n ON n.query_id = k.query_id AND n.chunk_id = k.chunk_id WHERE k.rank <= 10")
+def ivf_recall(spark, sf):
+    """How many of the exact neighbours are found, and how many distances that takes, over all questions."""
+    vectors, asked, path = _ivf(spark, sf)
+    met = ivf.recall(ivf.search(asked, path, 10, PROBES), retrieval.knn(asked, vectors, 10))
+    return met.crossJoin(F.broadcast(ivf.candidates(asked, path, PROBES).agg(F.count(F.lit(1)).alias("vectors_read"))))
+
+
 def located_entities(spark, sf):
     found = enrichment.pattern_entities(corpus.line_blocks(read(spark, sf, "documents")))
     own = found.select(F.col("document_id").cast("bigint").alias("chunk_id"), "document_id", "page", F.lit("").alias("section"), "name", "entity_type", F.struct("page", "block_index", "paragraph", "k").alias("ord"))

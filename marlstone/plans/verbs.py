@@ -1,6 +1,6 @@
 """The engine's verbs over a folder of Parquet tables: ingest and index, search, prompt, ask, benchmark, stats.
 
-``index`` writes chunks, vectors, BM25 postings and entity locations; the others read them. Questions are always a DataFrame
+``index`` adds chunks, vectors, BM25 postings and entity locations to the store, or replaces those of documents that it has; the others read them. Questions are always a DataFrame
 ``query_id bigint, question string``; one question is a table of one row.
 """
 
@@ -11,15 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import answers, chunking, context, enrichment, evaluation, retrieval
+from marlstone.operators import answers, chunking, context, enrichment, evaluation, ivf, retrieval, segments, store
 from marlstone.operators import index as tables
+from marlstone.plans.scratch import scratch_dir
 from marlstone.sources import ingest
 
 PER_SOURCE = 20
 
 
-def index(blocks: DataFrame, titles: DataFrame, path: str, embedder: Callable = tables.hash_embedding, model: str = "hash-64") -> None:
-    """Build the tables from ``blocks`` and ``titles(document_id, title, page_count)``, which may have a filename; vectors of known texts come from the cache."""
+def index(blocks: DataFrame, titles: DataFrame, path: str, embedder: Callable = tables.hash_embedding, model: str = "hash-64") -> dict[str, int]:
+    """Add the documents of ``blocks`` to the store, in place of what it has of them; how many chunks were added, updated, skipped and deleted.
+
+    ``blocks`` come with ``titles(document_id, title, page_count)``, which may have a filename; vectors of known texts come from the cache.
+    """
     spark = blocks.sparkSession
     own = enrichment.block_sections(blocks)
     # A document without headings is one section.
@@ -29,26 +33,34 @@ def index(blocks: DataFrame, titles: DataFrame, path: str, embedder: Callable =
     files = titles if "filename" in titles.columns else titles.withColumn("filename", F.lit(""))
     modules = enrichment.classify_modules(enrichment.classified_texts(files, blocks)).select("document_id", "module")
     made = chunking.stamp(chunking.assemble(own, chunking.pack(own))).join(sections, ["document_id", "section_ord"]).join(modules, "document_id", "left")
-    made.write.mode("overwrite").parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks")
+    work = scratch_dir(spark, "index")
+    made.write.mode("overwrite").parquet(f"{work}/chunks")
+    chunks = spark.read.parquet(f"{work}/chunks")
     cache = tables.cache_table(spark, f"{path}/cache")
     tables.embed_cached(chunks, cache, model, embedder).write.mode("overwrite").parquet(f"{path}/embedded")
     embedded = spark.read.parquet(f"{path}/embedded")
-    tables.embedded_chunks(embedded, model).write.mode("overwrite").parquet(f"{path}/vectors")
     tables.write_back(embedded, f"{path}/cache")
-    retrieval.write_bm25(chunks, f"{path}/bm25")
     named = enrichment.named_entities(blocks).select("document_id", "page", "name", "entity_type", F.lit(0).alias("kind"))
     found = named.unionByName(enrichment.pattern_entities(blocks).select("document_id", "page", "name", "entity_type", F.lit(1).alias("kind")))
     held = chunking.chunk_entities(chunks, found.select("document_id", F.lit(None).cast("bigint").alias("section_ord"), "page", "name", "entity_type"))
     held = held.join(chunks.select("chunk_id", "document_id", F.col("page_start").alias("page"), F.col("heading").alias("section")), "chunk_id")
-    tables.locate_entities(held.withColumn("ord", F.col("name"))).write.mode("overwrite").parquet(f"{path}/entities")
+    return store.apply(spark, path, chunks, tables.embedded_chunks(embedded, model), tables.locate_entities(held.withColumn("ord", F.col("name"))), whole_documents=True)
+
+
+def train_lists(spark: SparkSession, path: str, lists: int = 256) -> None:
+    """Store the vectors by inverted list as well, for ``search`` with ``probes``; later changes keep the lists."""
+    ivf.write(_table(spark, path, "vectors").select("chunk_id", "embedding"), f"{path}/ivf", lists)
 
 
 def ingest_and_index(spark: SparkSession, root: str, path: str, **how) -> dict[str, DataFrame]:
-    """Open the files of a folder and index what they hold; the tables that the ingest has written, failures included."""
-    made = ingest.ingest(spark, root, f"{path}/ingested", **how)
+    """Open the files of a folder that are new and index what they hold; the tables that this run's ingest has written, failures included.
+
+    The manifest is written last, so files whose indexing has failed are taken again.
+    """
+    made = ingest.read_new(spark, root, f"{path}/ingested", **how)
     titles = made["documents"].select("document_id", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("filename")).alias("title"), "page_count", "filename")
     index(made["blocks"], titles, path)
+    ingest.remember(spark, f"{path}/ingested", made)
     return made
 
 
@@ -58,19 +70,35 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    return store.table(spark, path, name) if name in ("chunks", "vectors", "entities") else spark.read.parquet(f"{path}/{name}")
+
 
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, entities: bool = False, embedder: Callable = tables.hash_embedding, probes: int | None = None) -> DataFrame:
+    """Fused hits with what a context needs: query_id, rank, chunk_id, document, page, heading, text, score, entities, document_id, section_id, module.
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, entities: bool = False, embedder: Callable = tables.hash_embedding) -> DataFrame:
-    """Fused hits with what a context needs: query_id, rank, chunk_id, document, page, heading, text, score, entities, document_id, section_id, module."""
-    chunks = _table(spark, path, "chunks")
+    ``probes`` asks that many inverted lists of ``train_lists`` instead of all vectors.
+    """
+    hits = _hits(spark, path, queries, k, entities, embedder, probes)
+    return _with_payload(spark, path, hits)
+
+
+def _hits(spark: SparkSession, path: str, queries: DataFrame, k: int, entities: bool, embedder: Callable, probes: int | None) -> DataFrame:
+    """The fused hits, written: they are few, and what follows reads them more than once."""
     asked = tables.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("text")), embedder).where("embedding IS NOT NULL").select(F.col("chunk_id").alias("query_id"), "embedding")
-    lists = [retrieval.knn(asked, _table(spark, path, "vectors"), PER_SOURCE), retrieval.bm25_stored(queries, f"{path}/bm25", PER_SOURCE)]
-    located = _table(spark, path, "entities")
+    dense = retrieval.knn(asked, _table(spark, path, "vectors"), PER_SOURCE) if probes is None else ivf.search(asked, f"{path}/ivf", PER_SOURCE, probes)
+    lists = [dense, segments.search(queries, f"{path}/bm25", PER_SOURCE)]
     if entities:
-        lists.append(retrieval.entity_retrieve(queries, located, PER_SOURCE))
-    hits = retrieval.rrf(lists, k)
-    names = located.groupBy("chunk_id").agg(F.sort_array(F.collect_set("entity_name")).alias("entities"))
+        lists.append(retrieval.entity_retrieve(queries, _table(spark, path, "entities"), PER_SOURCE))
+    to = scratch_dir(spark, "hits")
+    retrieval.rrf(lists, k).write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)
+
+
+def _with_payload(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
+    """Chunks and entities of the hits alone: both tables are cut down to the hits' chunks before anything is grouped or shuffled."""
+    ids = retrieval.small(hits.select("chunk_id").distinct())
+    chunks = _table(spark, path, "chunks").join(ids, "chunk_id", "left_semi")
+    names = _table(spark, path, "entities").join(ids, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.sort_array(F.collect_set("entity_name")).alias("entities"))
     payload = chunks.select("chunk_id", F.col("document_id").alias("document"), F.col("page_start").alias("page"), F.coalesce("heading", F.lit("")).alias("heading"), "text", "document_id", "section_id", "module")
     out = hits.join(payload, "chunk_id").join(names, "chunk_id", "left")
     return out.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))

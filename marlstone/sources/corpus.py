@@ -14,7 +14,7 @@ from marlstone.functions.text import is_hidden, mime_type
 BLOCKS_ON_PAGE = 4
 
 
-def scan_files(spark: SparkSession, root: str, glob: str = "*.pdf") -> DataFrame:
+def scan_files(spark: SparkSession, root: str | list[str], glob: str = "*.pdf") -> DataFrame:
     """Files below a folder but hidden ones: path, filename, sha256, file_size_bytes, last_modified, mime_type, content.
 
     Only the columns that are asked for are read; a missing folder raises when the plan is built. Spark's scan gives no row for a file

@@ -6,6 +6,7 @@ costs no other file anything. All tables come from ``opened``, which is to be wr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -94,10 +95,19 @@ def documents(opened: DataFrame) -> DataFrame:
     return out.withColumn("word_count", F.coalesce("word_count", F.lit(0)))
 
 
+#: Files whose paths the driver holds at once to open them.
+PATHS_AT_ONCE = 10_000
+
+
 def new_files(files: DataFrame, held: DataFrame | None) -> DataFrame:
-    """Files whose checksum a manifest does not have; equal files count once."""
-    own = files.dropDuplicates(["sha256"])
-    return own if held is None else own.join(held.select("sha256"), "sha256", "left_anti")
+    """path, sha256 of the files whose checksum a manifest does not have; of equal files the one of the least path. No content is moved."""
+    own = files.groupBy("sha256").agg(F.min("path").alias("path"))
+    return own if held is None else own.join(held.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def unseen(files: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Files that no earlier run has read, by path, size and time of change; their content isn't asked for to know that."""
+    return files if seen is None else files.join(seen.select("path", "file_size_bytes", "last_modified"), ["path", "file_size_bytes", "last_modified"], "left_anti")
 
 
 # Manifest ----------------------------------------------------------------------------------------------------------------
@@ -120,24 +130,70 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def ingest(spark: SparkSession, root: str, path: str, glob: str = "*.pdf", reader: Callable[[bytes], dict] = read_pdf) -> dict[str, DataFrame]:
-    """Open the files below ``root`` that the manifest of ``path`` lacks, write what they hold below ``path`` and give it back by name.
+def _seen(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("path string, file_size_bytes bigint, last_modified timestamp, sha256 string").parquet(f"{path}/manifest/seen")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _paths(rows: DataFrame) -> Iterator[list[str]]:
+    """Paths in bounded lists."""
+    held: list[str] = []
+    for r in rows.select("path").toLocalIterator():
+        held.append(re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]))  # a name is no pattern
+        if len(held) == PATHS_AT_ONCE:
+            yield held
+            held = []
+    if held:
+        yield held
+
 
-    Written are opened, documents, toc, blocks and failures of this run, and a manifest that has the documents of earlier runs as well.
+def parts(opened: DataFrame) -> dict[str, DataFrame]:
+    """What opened files hold, by name."""
+    return {"documents": documents(opened), "toc": toc_rows(opened), "blocks": blocks(opened), "failures": failures(opened)}
+
+
+def read_new(spark: SparkSession, root: str, path: str, glob: str = "*.pdf", reader: Callable[[bytes], dict] = read_pdf) -> dict[str, DataFrame]:
+    """Open the files below ``root`` that are new to the manifest of ``path``, write what they hold below ``path`` and give it back by name.
+
+    Files that were seen before under their path, size and time are not read; the others are read once for their checksums, and those
+    with new ones once more to be opened. ``remember`` makes them known.
     """
     held = read_manifest(spark, f"{path}/manifest")
-    files = new_files(corpus.scan_files(spark, root, glob), held)
-    open_files(files, reader).write.mode("overwrite").parquet(f"{path}/opened")
-    opened = spark.read.parquet(f"{path}/opened")
-    made = {"documents": documents(opened), "toc": toc_rows(opened), "blocks": blocks(opened), "failures": failures(opened)}
+    listed = unseen(corpus.scan_files(spark, root, glob).select("path", "file_size_bytes", "last_modified"), _seen(spark, path))
+    listed.write.mode("overwrite").parquet(f"{path}/unseen")
+    schema = "path string, file_size_bytes bigint, last_modified timestamp, sha256 string"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/hashed")
+    for names in _paths(spark.read.parquet(f"{path}/unseen")):
+        corpus.scan_files(spark, names, glob).select("path", "file_size_bytes", "last_modified", "sha256").write.mode("append").parquet(f"{path}/hashed")
+    new_files(spark.read.schema(schema).parquet(f"{path}/hashed"), held).write.mode("overwrite").parquet(f"{path}/new")
+    open_files(corpus.scan_files(spark, root, glob).limit(0), reader).write.mode("overwrite").parquet(f"{path}/opened")
+    for names in _paths(spark.read.parquet(f"{path}/new")):
+        open_files(corpus.scan_files(spark, names, glob), reader).write.mode("append").parquet(f"{path}/opened")
+    made = parts(spark.read.parquet(f"{path}/opened"))
     for name, rows in made.items():
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    out = {name: spark.read.parquet(f"{path}/{name}") for name in made}
-    listed = out["documents"].select("document_id", "filename", "sha256", "file_size_bytes", "page_count", "word_count")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in made}
+
+
+def remember(spark: SparkSession, path: str, made: dict[str, DataFrame]) -> None:
+    """Add what ``read_new`` has given out to the manifest, which keeps the documents of earlier runs, and all files it has read to those that are seen."""
+    held = read_manifest(spark, f"{path}/manifest")
+    listed = made["documents"].select("document_id", "filename", "sha256", "file_size_bytes", "page_count", "word_count")
     if held is not None:
         earlier = held.select(F.col("id").alias("document_id"), "filename", "sha256", "file_size_bytes", F.col("pages").alias("page_count"), F.lit(None).cast("bigint").alias("word_count"))
         # Written beside the old manifest, which this one is made from.
         listed.unionByName(earlier.join(listed.select("sha256"), "sha256", "left_anti")).write.mode("overwrite").parquet(f"{path}/listed")
         listed = spark.read.parquet(f"{path}/listed")
     write_manifest(listed, f"{path}/manifest")
-    return out
+    spark.read.parquet(f"{path}/hashed").write.mode("append").parquet(f"{path}/manifest/seen")
+
+
+def ingest(spark: SparkSession, root: str, path: str, glob: str = "*.pdf", reader: Callable[[bytes], dict] = read_pdf) -> dict[str, DataFrame]:
+    """``read_new`` and ``remember``: documents, toc, blocks and failures of this run."""
+    made = read_new(spark, root, path, glob, reader)
+    remember(spark, path, made)
+    return made

@@ -5,8 +5,10 @@ Inputs are blocks with ids (``parsing.with_block_ids``). Windows are partitioned
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,6 @@ from marlstone.functions.text import paragraphs, word_count
 
 from .parsing import document_order, split_paragraphs, with_block_ids
 
-DEPTH = 6
-
 # Fixed values ----------------------------------------------------------------------------------------------------------
 
 #: Cross-reference patterns in scan order, all case-insensitive: (pattern, groups, type).
@@ -59,34 +59,41 @@ def _in_order():
 
 
 def headings(blocks: DataFrame) -> DataFrame:
-    """Heading blocks with ord (from 1, in document order), title, hierarchical number and parent.
+    """Heading blocks with ord (from 1, in document order), title, hierarchical number, parent and path, whatever their depth.
 
-    A counter of level k starts again after every heading of a smaller level, so it is a count within the stretch between those; the
-    parent is the nearest heading before with a smaller level, the latest of the last ones of each level.
+    A counter of level k starts again after every heading of a smaller level; the parent is the nearest heading before with a smaller
+    level. Headings of a document come to one task in their order and pass a stack, which holds one heading for each level at most.
     """
-    own = with_block_ids(blocks).where("type = 'heading' AND level IS NOT NULL")
-    own = own.withColumn("ord", F.row_number().over(document_order())).withColumn("title", F.array_join(paragraphs("text"), " "))
-    stretch = _in_order().rowsBetween(Window.unboundedPreceding, 0)
-    before = _in_order().rowsBetween(Window.unboundedPreceding, -1)
-    for k in range(1, DEPTH + 1):
-        own = own.withColumn(f"__g{k}", F.sum((F.col("level") < k).cast("int")).over(stretch))
-    for k in range(1, DEPTH + 1):
-        inside = Window.partitionBy("document_id", f"__g{k}").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        own = own.withColumn(f"__c{k}", F.sum((F.col("level") == k).cast("int")).over(inside))
-        own = own.withColumn(f"__l{k}", F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("ord"))).over(before)))
-    number = F.array_join(F.slice(F.array(*[F.col(f"__c{k}") for k in range(1, DEPTH + 1)]), F.lit(1), F.col("level")), ".")
-    parent = F.greatest(*[F.col(f"__l{k}") for k in range(1, DEPTH + 1)])
-    return own.select("document_id", "block_id", "ord", "page", "block_index", "level", "title", number.alias("number"), parent.alias("parent_ord"))
+    own = with_block_ids(blocks).where("type = 'heading' AND level IS NOT NULL").withColumn("title", F.array_join(paragraphs("text"), " "))
+    own = own.select("document_id", "block_id", "page", "block_index", "level", "title")
+    more = pa.schema([("ord", pa.int32()), ("number", pa.string()), ("parent_ord", pa.int32()), ("path", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, stack, counters, nth = None, [], [], 0
+        for b in batches:
+            rows = []
+            for doc, level, title in zip(*(b[c].to_pylist() for c in ("document_id", "level", "title")), strict=True):
+                if doc != document or not nth:
+                    document, stack, counters, nth = doc, [], [], 0
+                nth += 1
+                level = max(level, 1)
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                counters = [*counters[:level], *[0] * (level - len(counters))]
+                counters[level - 1] += 1
+                up = stack[-1][1] if stack else None
+                stack.append((level, nth, title))
+                rows.append((nth, ".".join(map(str, counters)), up, [t for _, _, t in stack]))
+            made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), more, strict=True)] if rows else [pa.array([], f.type) for f in more]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *more.names])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.repartition("document_id").sortWithinPartitions("document_id", "page", "block_index").mapInArrow(run, f"{schema}, ord int, number string, parent_ord int, path array<string>")
 
 
 def heading_paths(heads: DataFrame) -> DataFrame:
-    """document_id, ord, block_id, path: titles from the root down. A parent's level is smaller, so DEPTH steps suffice."""
-    step = heads.select("document_id", "block_id", "ord", F.array("title").alias("path"), F.col("parent_ord").alias("up"))
-    above = heads.select(F.col("document_id").alias("__d"), F.col("ord").alias("__o"), F.col("title").alias("__t"), F.col("parent_ord").alias("__p"))
-    for _ in range(DEPTH - 1):
-        step = step.join(above, (F.col("document_id") == F.col("__d")) & (F.col("up") == F.col("__o")), "left")
-        step = step.select("document_id", "block_id", "ord", F.when(F.col("__t").isNotNull(), F.concat(F.array("__t"), "path")).otherwise(F.col("path")).alias("path"), F.col("__p").alias("up"))
-    return step.select("document_id", "ord", "block_id", "path")
+    """document_id, ord, block_id, path: titles from the root down."""
+    return heads.select("document_id", "ord", "block_id", "path")
 
 
 def toc_with_fallback(toc: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -222,14 +229,70 @@ def tables(blocks: DataFrame) -> DataFrame:
     return found.select(F.concat("document_id", F.lit(":tbl:"), nth).alias("id"), "document_id", "source_block_id", "page", "title", "headers", "rows", "num_rows", "num_cols")
 
 
+# Dictionaries -------------------------------------------------------------------------------------------------------------
+
+#: Bytes of terms up to which a dictionary is sent to the tasks.
+DICTIONARY_BYTES = 64 << 20
+
+
+def dictionary_hits(texts: DataFrame, terms: Sequence[str], word_bounds: bool = True, column: str = "text", ignore_case: bool = False) -> DataFrame:
+    """``texts`` and ``hits``, the distinct terms that the text holds, as positions in ``terms``, in ascending order.
+
+    An automaton over all terms reads each text once, however many terms there are. With ``word_bounds`` a term counts where no word
+    character (of any script) comes directly before or after it, at ends that are word characters, as in a search for ``\\bterm\\b``.
+    The dictionary is broadcast, and must have at most DICTIONARY_BYTES. A null text has no hits.
+    """
+    size = sum(len(t.encode()) for t in terms)
+    if size > DICTIONARY_BYTES:
+        raise ValueError(f"the dictionary has {size} bytes; at most {DICTIONARY_BYTES} can be sent to the tasks")
+    held = texts.sparkSession.sparkContext.broadcast(list(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, word = ahocorasick.Automaton(), re.compile(r"\w")
+        places: dict[str, list[int]] = {}
+        for i, t in enumerate(held.value):
+            if t:
+                places.setdefault(t.lower() if ignore_case else t, []).append(i)
+        for t, at in places.items():
+            automaton.add_word(t, (len(t), at))
+        if places:
+            automaton.make_automaton()
+
+        def bounded(text: str, start: int, end: int) -> bool:
+            """Whether both ends lie where a word character meets another, or the text's end."""
+            left = bool(start and word.match(text[start - 1])) != bool(word.match(text[start]))
+            return left and bool(word.match(text[end - 1])) != bool(end < len(text) and word.match(text[end]))
+
+        for b in batches:
+            out = []
+            for text in b[column].to_pylist():
+                text = (text or "").lower() if ignore_case else text or ""
+                found: set[int] = set()
+                for last, (n, at) in automaton.iter(text) if places and text else ():
+                    if at[0] not in found and (not word_bounds or bounded(text, last + 1 - n, last + 1)):
+                        found.update(at)
+                out.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, "hits"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.mapInArrow(run, f"{schema}, hits array<int>")
+
+
 # Entities and modules ------------------------------------------------------------------------------------------------------
 
 
 def named_entities(blocks: DataFrame, names: Sequence[tuple[str, str]] = NAMED_ENTITIES) -> DataFrame:
     """Known names with word bounds, the first mention on each page: name, type, page, context (the first 200 characters around)."""
-    paras = split_paragraphs(blocks)
-    hits = F.array(*[F.when(F.col("text").rlike(rf"\b{n}\b"), F.struct(F.lit(n).alias("name"), F.lit(t).alias("entity_type"))) for n, t in names])
-    found = paras.select("document_id", "page", "block_index", "paragraph", "text", F.explode(F.array_compact(hits)).alias("x"))
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("entity_type")) for n, t in names]) if len(names) <= 100 else None
+    met = dictionary_hits(split_paragraphs(blocks), [n for n, _ in names])
+    each = met.where(F.size("hits") > 0).select("document_id", "page", "block_index", "paragraph", "text", F.explode("hits").alias("at"))
+    if known is not None:
+        found = each.withColumn("x", F.get(known, F.col("at")))
+    else:
+        table = blocks.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(names)], "at int, name string, entity_type string")
+        found = each.join(table, "at").withColumn("x", F.struct("name", "entity_type"))
     nth = F.row_number().over(Window.partitionBy("document_id", "x.name", "page").orderBy("block_index", "paragraph"))
     return found.withColumn("__n", nth).where("__n = 1").select("document_id", "x.name", "x.entity_type", "page", F.substring("text", 1, 200).alias("context"))
 
@@ -244,9 +307,13 @@ def pattern_entities(blocks: DataFrame) -> DataFrame:
 
 def classify_modules(documents: DataFrame, keywords: Sequence[tuple[str, Sequence[str]]] = MODULE_KEYWORDS) -> DataFrame:
     """document_id, module, hits of ``documents(document_id, text)``: the module with the most keywords found as parts of the text."""
-    low = F.lower("text")
-    hits = [F.struct(sum((F.contains(low, F.lit(k.lower())).cast("int") for k in ks), F.lit(0)).alias("hits"), F.lit(-i).alias("ord"), F.lit(m).alias("module")) for i, (m, ks) in enumerate(keywords)]
-    best = documents.select("document_id", F.array_max(F.array(*hits)).alias("x"))
+    flat = [(k, i) for i, (_, ks) in enumerate(keywords) for k in ks]
+    met = dictionary_hits(documents.select("document_id", "text"), [k for k, _ in flat], word_bounds=False, ignore_case=True).select("document_id", "hits")
+    owner = F.array(*[F.lit(i) for _, i in flat])
+    owners = F.transform("hits", lambda h: F.get(owner, h))
+    count_of = lambda i: F.size(F.filter(owners, lambda o: o == i))
+    counts = [F.struct(count_of(i).alias("hits"), F.lit(-i).alias("ord"), F.lit(m).alias("module")) for i, (m, _) in enumerate(keywords)]
+    best = met.select("document_id", F.array_max(F.array(*counts)).alias("x"))
     return best.select("document_id", F.when(F.col("x.hits") > 0, F.col("x.module")).otherwise("Unknown").alias("module"), F.col("x.hits").alias("hits"))
 
 

@@ -6,22 +6,32 @@ chunks that go, out of the forward index, so a change costs what it changes, and
 are sums over segments. ``totals`` is written last and names the segments that count, so a change that fails half-way is not there, and
 is written over when it is tried again. ``merge`` makes one segment of all of them.
 
+Postings lie in blocks: a term's postings within one window of chunks (``WINDOW`` of them, dealt by hash) with their greatest tf and
+least dl, which bound what the term can add to a chunk of the window. A search first scores each question's rarest term alone. The k-th
+of these scores is one that the k-th hit has at least, so windows whose bounds don't add up to it are left out before their postings are
+opened, and the hits stay the same.
+
 Tables below a path, all partitioned by ``segment``: ``forward`` (chunk_id, dl, terms; by bucket of the chunk), ``postings`` (term,
-chunk_id, tf, dl; by bucket of the term), ``stats`` (term, df), ``marks`` (chunk_id) and ``totals`` (n, length, mean, buckets, base).
+window, tf, dl, held; by bucket of the term), ``stats`` (term, df), ``marks`` (chunk_id) and ``totals`` (n, length, mean, buckets, base).
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
+from marlstone.plans.scratch import scratch_dir
 
 from .buckets import delete_path
-from .retrieval import EPSILON, query_terms, small, weighed
+from .retrieval import EPSILON, K1, B, query_terms, small, weighed
 
 BUCKETS = 64
+#: Chunks of a window, on average.
+WINDOW = 64
+#: Scores are rounded to a millionth; a window that comes nearer than this to the threshold is read.
+_SLACK = 1e-5
 #: Segments beyond which a change ends with a merge.
 MOST_SEGMENTS = 8
 
@@ -91,8 +101,11 @@ def _put(rows: DataFrame, path: str, name: str, segment: int, by: str | None = N
 
 
 def _put_postings(spark: SparkSession, path: str, segment: int, buckets: int, kind: str) -> None:
-    own = _forward(spark, path, [segment], kind).select("chunk_id", "dl", F.explode("terms").alias("x")).select("chunk_id", "x.term", "x.tf", "dl")
-    dealt = own.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
+    lists = _forward(spark, path, [segment], kind)
+    windows = max(1, lists.count() // WINDOW)
+    own = lists.select("chunk_id", "dl", F.pmod(F.xxhash64("chunk_id"), F.lit(windows)).alias("window"), F.explode("terms").alias("x"))
+    blocks = own.groupBy("x.term", "window").agg(F.max("x.tf").alias("tf"), F.min("dl").alias("dl"), F.collect_list(F.struct("chunk_id", "x.tf", "dl")).alias("held"))
+    dealt = blocks.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "window")
     _put(dealt, path, "postings", segment, "bucket")
 
 
@@ -159,20 +172,68 @@ def merge(spark: SparkSession, path: str) -> None:
             delete_path(spark, f"{path}/{name}/segment={old}")
 
 
-def search(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
-    """The hits of ``retrieval.bm25`` over the chunks that are there now; question terms read their buckets only."""
+def _adds(avgdl: float) -> Column:
+    """What tf and dl of a term's posting add to a score."""
+    return F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+
+
+class _Search:
+    """What a search reads: weighed question terms, their blocks, and the marks."""
+
+    def __init__(self, queries: DataFrame, path: str, whole: list[Row]):
+        spark = queries.sparkSession
+        self.n, length = sum(r["n"] for r in whole), sum(r["length"] for r in whole)
+        self.avgdl = length / self.n
+        held, kind = [r["segment"] for r in whole], _kind(spark, path)
+        asked = query_terms(queries)
+        terms = small(asked.select("term").distinct())
+        df = _read(spark, path, "stats", "term string, df bigint, segment int", held).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        raw = F.ln(F.lit(self.n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        idf = df.select("term", F.when(raw < 0, F.lit(EPSILON * whole[-1]["mean"])).otherwise(raw).alias("idf"))
+        to = scratch_dir(spark, "asked")
+        asked.join(idf, "term").withColumn("bucket", _bucket("term", whole[0]["buckets"])).write.mode("overwrite").parquet(to)
+        self.weights = small(spark.read.parquet(to))
+        self.stored = _read(spark, path, "postings", f"term string, window bigint, tf bigint, dl int, held array<struct<chunk_id: {kind}, tf: bigint, dl: int>>, segment int, bucket int", held)
+        self.marks = _marks(spark, path, held, kind)
+
+    def blocks(self, weights: DataFrame | None = None) -> DataFrame:
+        return self.stored.join(self.weights if weights is None else weights, ["bucket", "term"])
+
+    def opened(self, blocks: DataFrame) -> DataFrame:
+        """The postings of blocks that are alive."""
+        each = blocks.select("query_id", "qtf", "idf", "segment", F.explode("held").alias("x")).select("query_id", "qtf", "idf", "segment", "x.*")
+        return _alive(each, self.marks).withColumn("avgdl", F.lit(self.avgdl))
+
+    def thresholds(self, k: int) -> DataFrame:
+        """query_id, least: the k-th score by the rarest term alone, of questions none of whose terms takes away."""
+        w = Window.partitionBy("query_id")
+        nth = F.row_number().over(w.orderBy(F.desc("idf"), "term"))
+        rarest = self.weights.withColumns({"__n": nth, "__least": F.min("idf").over(w)}).where("__n = 1 AND __least >= 0").drop("__n", "__least")
+        return weighed(self.opened(self.blocks(small(rarest))), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+
+    def windows(self, k: int) -> DataFrame:
+        """query_id, segment, window whose bounds add up to the question's threshold."""
+        most = self.blocks().groupBy("query_id", "segment", "window").agg(F.sum(_adds(self.avgdl)).alias("most"))
+        met = most.join(self.thresholds(k), "query_id", "left")
+        return met.where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - _SLACK).select("query_id", "segment", "window")
+
+
+def search(queries: DataFrame, path: str, k: int = 5, prune: bool = True) -> DataFrame:
+    """The hits of ``retrieval.bm25`` over the chunks that are there now; question terms read their buckets only, and ``prune`` leaves windows out."""
     spark = queries.sparkSession
     whole = _totals(spark, path)
-    n, length = sum(r["n"] for r in whole), sum(r["length"] for r in whole)
-    if not n:
+    if not sum(r["n"] for r in whole):
         return spark.createDataFrame([], "query_id bigint, chunk_id string, score double, rank int, method string")
-    held, kind = [r["segment"] for r in whole], _kind(spark, path)
-    asked = query_terms(queries)
-    terms = small(asked.select("term").distinct())
-    df = _read(spark, path, "stats", "term string, df bigint, segment int", held).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    raw = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    idf = df.select("term", F.when(raw < 0, F.lit(EPSILON * whole[-1]["mean"])).otherwise(raw).alias("idf"))
-    weights = asked.join(idf, "term").withColumn("bucket", _bucket("term", whole[0]["buckets"]))
-    posted = _read(spark, path, "postings", f"chunk_id {kind}, term string, tf bigint, dl int, segment int, bucket int", held)
-    met = _alive(posted.join(small(weights), ["bucket", "term"]), _marks(spark, path, held, kind))
-    return weighed(met.withColumn("avgdl", F.lit(length / n)), k)
+    own = _Search(queries, path, whole)
+    blocks = own.blocks()
+    if prune:
+        blocks = blocks.join(small(own.windows(k)), ["query_id", "segment", "window"], "left_semi")
+    return weighed(own.opened(blocks), k)
+
+
+def blocks_read(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """One row: blocks of the questions' terms, and how many of them a search opens after its threshold is known."""
+    own = _Search(queries, path, _totals(queries.sparkSession, path))
+    kept = own.windows(k).withColumn("kept", F.lit(1))
+    met = own.blocks().select("query_id", "segment", "window").join(kept, ["query_id", "segment", "window"], "left")
+    return met.agg(F.count(F.lit(1)).alias("blocks"), F.count("kept").alias("opened"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import answers, chunking, context, enrichment, evaluation, index, ivf, parsing, retrieval
+from marlstone.operators import answers, chunking, context, enrichment, evaluation, index, ivf, parsing, retrieval, segments, store
 from marlstone.plans.scratch import scratch_dir
 from marlstone.sources import corpus, ingest
 
@@ -160,7 +160,126 @@ def knn_cosine_topk(spark, sf):
     return retrieval.knn(asked, vectors, 10).select("query_id", "rank", "chunk_id", "score")
 
 
-LISTS, PROBES = 24, 10
+_INDEXES: dict = {}
+
+
+def stored(spark, sf, name: str, make):
+    """The path of an index over the tables of ``sf``, built by ``make(path)`` once for each application, as indexes are there to be read again."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _INDEXES:
+        path = scratch_dir(spark, name)
+        make(path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _documents(what: str) -> str:
+    """The CTE of BM25 over other documents."""
+    return BM25_CTE.replace("FROM documents)", f"FROM ({what}) changed)")
+
+
+#: What is left of the documents after the changes of ``_changed``.
+_CHANGED_SQL = "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' marked again' ELSE text END AS text FROM documents WHERE doc_id % 10 NOT IN (2, 4)"
+
+
+def _changed(spark, sf):
+    """An index by segments: most documents, then some more, then some changed and some deleted."""
+
+    def make(path):
+        own = chunks_of(spark, sf)
+        segments.change(spark, path, own.where("chunk_id % 10 NOT IN (1, 2)"))
+        segments.change(spark, path, own.where("chunk_id % 10 = 1"))
+        segments.change(spark, path, own.where("chunk_id % 10 = 3").withColumn("text", F.concat("text", F.lit(" marked again"))), own.where("chunk_id % 10 IN (3, 4)"))
+
+    return stored(spark, sf, "segments", make)
+
+
+@query(f"WITH {_documents(_CHANGED_SQL)} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_changed_topk(spark, sf):
+    return segments.search(questions(spark, sf), _changed(spark, sf), 10).select("query_id", "rank", "chunk_id", "score")
+
+
+@query(f"WITH {_documents(_CHANGED_SQL)} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def bm25_merged_topk(spark, sf):
+    def make(path):
+        changed = _changed(spark, sf)
+        for name in ("forward", "postings", "stats", "marks", "totals"):
+            spark.read.parquet(f"{changed}/{name}").write.partitionBy("segment", *(["bucket"] if name in ("forward", "postings") else [])).parquet(f"{path}/{name}")
+        segments.merge(spark, path)
+
+    return segments.search(questions(spark, sf), stored(spark, sf, "merged", make), 10).select("query_id", "rank", "chunk_id", "score")
+
+
+#: Two or three words of each benchmark passage: questions as people ask them.
+_SHORT_SQL = "SELECT item_id, array_to_string(list_distinct([split_part(text, ' ', 1), split_part(text, ' ', 4), split_part(text, ' ', 9)]), ' ') AS text FROM benchmark"
+
+
+def short_questions(spark, sf):
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(F.array(word(1), word(4), word(9))), " ").alias("question"))
+
+
+@query(f"WITH {BM25_CTE.replace('FROM benchmark)', f'FROM ({_SHORT_SQL}) short)')} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 3")
+def bm25_bounded_topk(spark, sf):
+    """Short questions, for which most windows are left out by their bounds."""
+    return segments.search(short_questions(spark, sf), bm25_index(spark, sf), 3).select("query_id", "rank", "chunk_id", "score")
+
+
+def bm25_index(spark, sf):
+    return stored(spark, sf, "bm25", lambda path: segments.change(spark, path, chunks_of(spark, sf)))
+
+
+def _store(spark, sf):
+    """A store after it was made, made again, added to, changed and cut: chunks are documents, 50 groups of them are the documents."""
+
+    def make(path):
+        docs = chunks_of(spark, sf)
+        own = docs.select("chunk_id", (F.col("chunk_id") % 50).cast("string").alias("document_id"), "text")
+        vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+        entities = located_entities(spark, sf).select("entity_name", "chunk_id")
+        most = own.where("chunk_id % 10 <> 1")
+        for _ in range(2):
+            store.apply(spark, path, most, vectors, entities)
+        store.apply(spark, path, own.where("chunk_id % 10 IN (1, 3)").withColumn("text", F.when(F.col("chunk_id") % 10 == 3, F.concat("text", F.lit(" marked again"))).otherwise(F.col("text"))), vectors, entities)
+        store.apply(spark, path, gone_documents=own.where("document_id = '7'").select("document_id"), gone_chunks=own.where("chunk_id % 10 = 4").select("chunk_id"))
+
+    return stored(spark, sf, "store", make)
+
+
+_STORED_SQL = "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' marked again' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 10 <> 4 AND doc_id % 50 <> 7"
+
+
+@query(f"SELECT doc_id AS chunk_id, CAST(doc_id % 50 AS VARCHAR) AS document_id, sha256(text) AS text_sha256 FROM ({_STORED_SQL})")
+def store_chunks(spark, sf):
+    return store.table(spark, _store(spark, sf), "chunks").select("chunk_id", "document_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT vec_id AS chunk_id, len(embedding) AS size, round(CAST(list_sum(CAST(embedding AS DOUBLE[])) AS DOUBLE), 4) AS total FROM embeddings WHERE vec_id IN (SELECT doc_id FROM ({_STORED_SQL}))")
+def store_vectors(spark, sf):
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return store.table(spark, _store(spark, sf), "vectors").select("chunk_id", F.size("embedding").alias("size"), F.round(total, 4).alias("total"))
+
+
+@query(f"WITH {ENT_CTE} SELECT entity_name, chunk_id FROM located WHERE chunk_id IN (SELECT doc_id FROM ({_STORED_SQL}))")
+def store_entities(spark, sf):
+    return store.table(spark, _store(spark, sf), "entities").select("entity_name", "chunk_id")
+
+
+@query(f"WITH {_documents(_STORED_SQL)} SELECT query_id, rank, chunk_id, score FROM bm25 WHERE rank <= 10")
+def store_bm25_topk(spark, sf):
+    return segments.search(questions(spark, sf), f"{_store(spark, sf)}/bm25", 10).select("query_id", "rank", "chunk_id", "score")
+
+
+@query(f"WITH {ENT_CTE}, left_ AS ({_STORED_SQL}) SELECT 'chunk' AS what, doc_id AS chunk_id FROM left_ WHERE doc_id = 123 UNION ALL SELECT 'document', doc_id FROM left_ WHERE doc_id % 50 = 21 UNION ALL SELECT 'entity', chunk_id FROM located WHERE chunk_id IN (SELECT doc_id FROM left_) AND entity_name = (SELECT min(entity_name) FROM located WHERE chunk_id IN (SELECT doc_id FROM left_))")
+def store_lookups(spark, sf):
+    path = _store(spark, sf)
+    first = store.table(spark, path, "entities").agg(F.min("entity_name")).first()[0] or ""
+    found = {"chunk": store.chunk_by_id(spark, path, 123), "document": store.chunks_of_document(spark, path, "21"), "entity": store.entity(spark, path, first.lower())}
+    rows = [f.select(F.lit(what).alias("what"), "chunk_id") for what, f in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+LISTS, PROBES = 24, 16
 
 
 def _ivf_cte(lists: int, rounds: int, probes: int) -> str:
@@ -190,8 +309,7 @@ def _ivf_cte(lists: int, rounds: int, probes: int) -> str:
 
 def _ivf(spark, sf):
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    path = scratch_dir(spark, "ivf")
-    ivf.write(vectors, path, LISTS)
+    path = stored(spark, sf, "ivf", lambda path: ivf.write(vectors, path, LISTS))
     return vectors, vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), path
 
 
@@ -215,6 +333,12 @@ def located_entities(spark, sf):
     return index.locate_entities(own)
 
 
+def entity_index(spark, sf):
+    """Located entities, stored by name."""
+    path = stored(spark, sf, "entities", lambda path: located_entities(spark, sf).select("entity_name", "chunk_id").sort("entity_name").write.parquet(path))
+    return spark.read.parquet(path)
+
+
 @query(f"WITH {ENT_CTE} SELECT DISTINCT query_id, name FROM asking")
 def query_entity_names(spark, sf):
     return retrieval.query_entities(questions(spark, sf)).select("query_id", "name")
@@ -264,10 +388,10 @@ def entity_retrieve(spark, sf):
 
 
 def hybrid(spark, sf, k: int = 10):
-    asked, own = questions(spark, sf), chunks_of(spark, sf)
+    asked = questions(spark, sf)
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     dense = asked.join(vectors.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", "embedding")
-    lists = [retrieval.knn(dense, vectors, 20), retrieval.bm25(asked, own, 20), retrieval.entity_retrieve(asked, located_entities(spark, sf), 20)]
+    lists = [retrieval.knn(dense, vectors, 20), segments.search(asked, bm25_index(spark, sf), 20), retrieval.entity_retrieve(asked, entity_index(spark, sf), 20)]
     return retrieval.rrf(lists, k)
 
 
@@ -455,6 +579,30 @@ sec AS (
 )"""
 
 
+#: Headings of ten levels: the orders of a twentieth of the customers are a document.
+_DEEP = "SELECT CAST(o_custkey % 20 AS {text}) AS document_id, CAST(floor(o_orderkey / 64) AS INT) AS page, CAST(o_orderkey % 64 AS INT) AS block_index, 'heading' AS type, CAST(1 + (o_orderkey * 7 + floor(o_orderkey / 3)) % 10 AS INT) AS level, concat(o_orderpriority, ' ', CAST(o_orderkey AS {text})) AS text FROM {orders}"
+
+
+def _deep_sql() -> str:
+    levels = range(1, 11)
+    before = ", ".join(f"count(*) FILTER (level < {k}) OVER w AS g{k}, max(ord) FILTER (level = {k}) OVER b AS l{k}" for k in levels)
+    counters = ", ".join(f"count(*) FILTER (level = {k}) OVER (PARTITION BY document_id, g{k} ORDER BY ord) AS c{k}" for k in levels)
+    parent = ", ".join(f"CASE WHEN level > {k} THEN l{k} END" for k in levels)
+    return f"""
+WITH RECURSIVE own AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, block_index) AS ord FROM ({_DEEP.format(text="VARCHAR", orders="orders")})),
+g AS (SELECT *, {before} FROM own WINDOW w AS (PARTITION BY document_id ORDER BY ord), b AS (PARTITION BY document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT document_id, ord, level, text AS title, array_to_string(list_slice([{", ".join(f"c{k}" for k in levels)}], 1, level), '.') AS number, greatest({parent}) AS parent_ord FROM (SELECT *, {counters} FROM g)),
+p AS (SELECT document_id, ord, title AS path FROM h WHERE parent_ord IS NULL UNION ALL SELECT h.document_id, h.ord, p.path || ' > ' || h.title FROM p JOIN h ON h.document_id = p.document_id AND h.parent_ord = p.ord)
+SELECT h.document_id, h.ord, h.level, h.number, h.parent_ord, p.path FROM h JOIN p USING (document_id, ord)"""
+
+
+@query(_deep_sql())
+def heading_deep(spark, sf):
+    """Numbers, parents and paths of headings of ten levels."""
+    found = enrichment.headings(spark.sql(_DEEP.replace("{text}", "STRING"), orders=read(spark, sf, "orders")))
+    return found.select("document_id", "ord", "level", "number", "parent_ord", F.array_join("path", " > ").alias("path"))
+
+
 def manual_titles(blocks):
     return blocks.groupBy("document_id").agg(F.lit("Manual").alias("title"), F.max("page").alias("page_count"))
 
@@ -541,6 +689,19 @@ def refs_extract_dedup(spark, sf):
     return enrichment.references(corpus.manual_blocks(spark, sf))
 
 
+_BENCH_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS term FROM benchmark"
+
+
+@query(f"SELECT doc_id, count(DISTINCT t) AS terms, CAST(sum(length(t)) AS BIGINT) AS characters FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS t FROM documents) JOIN ({_BENCH_WORDS}) ON t = term GROUP BY 1")
+def dictionary_terms(spark, sf):
+    """All words of the benchmark as one dictionary, found in all documents."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    terms = [r[0] for r in read(spark, sf, "benchmark").select(F.explode(words).alias("t")).distinct().orderBy("t").collect()]
+    met = enrichment.dictionary_hits(read(spark, sf, "documents").select("doc_id", "text"), terms).where(F.size("hits") > 0)
+    sizes = F.lit([len(t) for t in terms])
+    return met.select("doc_id", F.size("hits").cast("bigint").alias("terms"), F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, h: s + F.get(sizes, h)).alias("characters"))
+
+
 @query(f"{_MAN}, {_PARA}, {_ref_sql()} SELECT type, count(*) AS n, count(DISTINCT target) AS targets FROM refs WHERE type IN ('entity_ref', 'cross_ref') GROUP BY 1")
 def refs_filtered(spark, sf):
     found = enrichment.references(corpus.manual_blocks(spark, sf)).where(F.col("type").isin("entity_ref", "cross_ref"))

@@ -6,9 +6,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import answers, chunking, context, enrichment, evaluation, ivf, retrieval, segments, store
@@ -58,12 +59,16 @@ def ingest_and_index(spark: SparkSession, root: str, path: str, **how) -> dict[s
     The manifest is written last, so files whose indexing has failed are taken again.
     """
     made = ingest.read_new(spark, root, f"{path}/ingested", **how)
-    titles = made["documents"].select("document_id", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("filename")).alias("title"), "page_count", "filename")
-    index(made["blocks"], titles, path)
+    index(made["blocks"], titles_of(made["documents"]), path)
     ingest.remember(spark, f"{path}/ingested", made)
     return made
 
 
+def titles_of(documents: DataFrame) -> DataFrame:
+    """What ``index`` asks of documents: a title, or else the filename."""
+    return documents.select("document_id", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("filename")).alias("title"), "page_count", "filename")
+
+
 def metrics(spark: SparkSession, path: str) -> DataFrame:
     """What embedding the last index took."""
     return tables.embed_metrics(_table(spark, path, "embedded"))
@@ -82,16 +87,20 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, entit
     return _with_payload(spark, path, hits)
 
 
-def _hits(spark: SparkSession, path: str, queries: DataFrame, k: int, entities: bool, embedder: Callable, probes: int | None) -> DataFrame:
-    """The fused hits, written: they are few, and what follows reads them more than once."""
-    asked = tables.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("text")), embedder).where("embedding IS NOT NULL").select(F.col("chunk_id").alias("query_id"), "embedding")
+def _hits(spark: SparkSession, path: str, queries: DataFrame, k: int, entities: bool, embedder: Callable, probes: int | None, seen: Observation | None = None) -> DataFrame:
+    """The fused hits, written: they are few, and what follows reads them more than once. ``seen`` observes the embedding of the questions."""
+    asked = tables.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("text")), embedder)
+    if seen is not None:
+        asked = asked.observe(seen, F.count(F.lit(1)).alias("questions"), F.count_if(F.col("embedding").isNull()).alias("failed"), F.coalesce(F.sum("latency"), F.lit(0.0)).alias("seconds"))
+    to = scratch_dir(spark, "hits")
+    asked.where("embedding IS NOT NULL").select(F.col("chunk_id").alias("query_id"), "embedding").write.mode("overwrite").parquet(f"{to}/asked")
+    asked = spark.read.parquet(f"{to}/asked")
     dense = retrieval.knn(asked, _table(spark, path, "vectors"), PER_SOURCE) if probes is None else ivf.search(asked, f"{path}/ivf", PER_SOURCE, probes)
     lists = [dense, segments.search(queries, f"{path}/bm25", PER_SOURCE)]
     if entities:
         lists.append(retrieval.entity_retrieve(queries, _table(spark, path, "entities"), PER_SOURCE))
-    to = scratch_dir(spark, "hits")
-    retrieval.rrf(lists, k).write.mode("overwrite").parquet(to)
-    return spark.read.parquet(to)
+    retrieval.rrf(lists, k).write.mode("overwrite").parquet(f"{to}/hits")
+    return spark.read.parquet(f"{to}/hits")
 
 
 def _with_payload(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
@@ -119,15 +128,24 @@ def ask(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, max_toke
     return answers.generate(made, generator).join(answers.confidence(with_hits, fit), "query_id").join(cited, "query_id")
 
 
-def benchmark(spark: SparkSession, path: str, expected: DataFrame, k: int = 10) -> DataFrame:
-    """The metrics' means over ``expected`` (query_id, question and the columns of a question set); an empty set raises."""
+def benchmark(spark: SparkSession, path: str, expected: DataFrame, k: int = 10, embedder: Callable = tables.hash_embedding) -> DataFrame:
+    """The metrics' means over ``expected`` (query_id, question and the columns of a question set) and both latencies; an empty set raises.
+
+    embedding_latency is what a question's embedding took, observed while the questions were embedded; retrieval_latency is the time of
+    the whole retrieval, embedding included, by the number of questions, as they are answered together. failed_embeddings had no vector.
+    """
     if expected.isEmpty():
         raise ValueError("the question set is empty")
-    hits = search(spark, path, expected.select("query_id", "question"), k, entities=True)
+    seen, start = Observation("questions"), time.monotonic()
+    found = _hits(spark, path, expected.select("query_id", "question"), k, True, embedder, None, seen)
+    took, asked = time.monotonic() - start, seen.get
+    hits = _with_payload(spark, path, found)
     wanted = expected.select(F.col("query_id").alias("__q"), *[F.col(f"expected_{c}").alias(f"__{c}") for c in ("document", "section", "page", "keywords")])
     met = hits.join(wanted, F.col("query_id") == F.col("__q"))
     matched = evaluation.is_match(*[F.col(c) for c in ("document", "heading", "page", "text", "__document", "__section", "__page", "__keywords")])
-    return evaluation.summary(evaluation.per_query(expected, met.select("query_id", "rank", matched.alias("matched"))))
+    out = evaluation.summary(evaluation.per_query(expected, met.select("query_id", "rank", matched.alias("matched"))))
+    each = 1 / max(asked["questions"], 1)
+    return out.withColumns({"embedding_latency": F.lit(asked["seconds"] * each), "retrieval_latency": F.lit(took * each), "failed_embeddings": F.lit(asked["failed"])})
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:

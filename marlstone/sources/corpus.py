@@ -20,7 +20,11 @@ def scan_files(spark: SparkSession, root: str | list[str], glob: str = "*.pdf")
     Only the columns that are asked for are read; a missing folder raises when the plan is built. Spark's scan gives no row for a file
     of no bytes.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    return file_columns(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root))
+
+
+def file_columns(found: DataFrame) -> DataFrame:
+    """The columns of ``scan_files`` out of a scan of binary files, which may be a stream."""
     local = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
     name = F.element_at(F.split("path", "/"), -1)
     return found.where(~is_hidden(local)).select("path", name.alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("last_modified"), mime_type("path").alias("mime_type"), "content")

@@ -37,6 +37,7 @@ def test_prompt_and_answer(spark, built, asked):
 
 def test_benchmark(spark, built, asked):
     expected = asked.where("query_id = 1").select("*", F.lit(None).cast("string").alias("expected_document"), F.lit(None).cast("string").alias("expected_section"), F.lit(None).cast("int").alias("expected_page"), F.array(F.lit("sttm_building")).alias("expected_keywords"))
-    assert verbs.benchmark(spark, built, expected).first().mrr == 1.0
+    got = verbs.benchmark(spark, built, expected).first()
+    assert got.mrr == 1.0 and 0 <= got.embedding_latency <= got.retrieval_latency and got.failed_embeddings == 0
     with pytest.raises(ValueError):
         verbs.benchmark(spark, built, expected.limit(0))

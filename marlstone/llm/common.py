@@ -15,7 +15,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,27 +48,55 @@ def _tables_dir(spark: SparkSession) -> str:
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written = threading.local()
+_writes = {"lock": threading.Lock(), "running": 0, "before": "false"}
+#: Seconds between two requests to the driver's JVM to collect its garbage.
+COLLECT_S = 4.0
+_collected = {"at": 0.0}
 
 
 @contextmanager
 def _shuffles_go(spark: SparkSession):
-    """Shuffle files of what is written inside go with the end of the write, as nothing else reads them, and not at some later collection of garbage."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """Shuffle files of what is written inside go with the end of the write, as nothing else reads them, and not at some later collection of garbage.
+
+    Writes may run on several threads: the first one changes the session's setting, the last one puts it back.
+    """
+    with _writes["lock"]:
+        if not _writes["running"]:
+            _writes["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writes["running"] += 1
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _writes["lock"]:
+            _writes["running"] -= 1
+            if not _writes["running"]:
+                spark.conf.set(_CLEANUP, _writes["before"])
+
 
+def _collect(spark: SparkSession) -> None:
+    """What broadcasts and plans of finished writes hold in the driver and in the executors goes when the driver's JVM collects garbage, which it puts off while there is room."""
+    if time.monotonic() - _collected["at"] > COLLECT_S:
+        spark._jvm.System.gc()
+        _collected["at"] = time.monotonic()
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd", **seen: Column) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
+
+    ``seen`` are aggregates of what is written, observed on the way; the result has them as ``seen``.
+    """
     spark = df.sparkSession
+    watch = Observation()
+    if seen:
+        df = df.observe(watch, *[c.alias(k) for k, c in seen.items()])
     path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _shuffles_go(spark):
         df.write.option("compression", codec).parquet(path)
+    _collect(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    out.seen = watch.get if seen else {}
     for scope in getattr(_written, "scopes", ()):
         scope.append(out)
     return out

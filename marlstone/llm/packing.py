@@ -25,15 +25,16 @@ play no part; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_or_empty
+from .common import discard, map_arrow, materialize, text_or_empty
 from .token_ids import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, __key bigint"
@@ -131,8 +132,13 @@ def between_ranges(swept: DataFrame) -> DataFrame:
     return swept.where(F.col("kind") == TOOK).unionByName(at.where(~((F.col("kind") == FREE) & F.coalesce(F.col("after") == LEFT, F.lit(False)))).select(*own))
 
 
-def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int) -> DataFrame:
-    """One round for ``pieces(key, length)`` of lengths in (lo, hi] and ``gaps(seq, gap)``: rows of SWEPT, materialised."""
+def _gap_rows() -> list[Column]:
+    """Gaps as rows of SWEPT that no piece has met."""
+    return [F.lit(FREE).alias("kind"), F.col("seq"), F.col("gap"), *(F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("length", "bigint"), ("part", "int"), ("nth", "bigint")))]
+
+
+def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """One round for ``pieces(key, length)`` of lengths in (lo, hi] and ``gaps(seq, gap)``: rows of SWEPT, materialised, and those of gaps that are too small for the band."""
     many = F.greatest(F.floor(F.col("gap") / hi), F.lit(1))
     slots = gaps.where(F.col("gap") > lo).select("seq", "gap", many.alias("many"), F.explode(F.sequence(F.lit(1).cast("bigint"), many)).alias("k"))
     # All slots of a gap but one have just the size that each piece of the band fits into.
@@ -147,11 +153,14 @@ def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int) ->
         return sweep(batches, TaskContext.get().partitionId())
 
     dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
-    swept = materialize(map_arrow(dealt.sortWithinPartitions(*order), run, SWEPT), "swept")
-    small = gaps.where(F.col("gap") <= lo).select(F.lit(FREE).alias("kind"), "seq", "gap", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("length", "bigint"), ("part", "int"), ("nth", "bigint"))))
+    kinds = {"took": F.count_if(F.col("kind") == TOOK), "left": F.count_if(F.col("kind") == LEFT), "least": F.min(F.when(F.col("kind") == LEFT, F.col("length")))}
+    swept = materialize(map_arrow(dealt.sortWithinPartitions(*order), run, SWEPT), "swept", **kinds)
+    small = gaps.where(F.col("gap") <= lo).select(*_gap_rows())
     if ranges > 1:
-        return materialize(between_ranges(swept).unionByName(small), "round")
-    return swept.unionByName(small)
+        rows = materialize(between_ranges(swept), "round", **kinds)
+        discard(swept)
+        swept = rows
+    return swept, small
 
 
 def open_sequences(pieces: DataFrame, capacity: int, hi: int, ranges: int) -> DataFrame:
@@ -180,8 +189,13 @@ def gaps_after(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind") != LEFT).groupBy("seq").agg(left.alias("gap")).where("gap > 0")
 
 
+def ranges_of(rows: int, range_rows: int) -> int:
+    """How many ranges that many rows are dealt to: a range has ``range_rows`` at least and grows with the root of the rows, so that neither ranges nor their rows are ever very many."""
+    return -(-rows // max(range_rows, 8 * math.isqrt(rows)))
+
+
 def place(pieces: DataFrame, capacity: int, range_rows: int = 50_000) -> DataFrame:
-    """Materialised ``pieces`` (with length and __key) with sequence_id and offset; a range has about ``range_rows`` rows."""
+    """Materialised ``pieces`` (with length and __key) with sequence_id and offset; a range has about ``range_rows`` rows, or more if there are very many."""
     items = pieces.select(F.col("__key").alias("key"), "length")
     in_band = bands(capacity)
     number = F.lit(-1)
@@ -189,26 +203,35 @@ def place(pieces: DataFrame, capacity: int, range_rows: int = 50_000) -> DataFra
         number = F.when((F.col("length") > lo) & (F.col("length") <= hi), F.lit(k)).otherwise(number)
     counts = {r["band"]: r["n"] for r in items.groupBy(number.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
     alone = items.where(F.col("length") > capacity // 2)
-    placed = [alone.select("key", F.col("key").alias("seq"))]
-    gaps, n_gaps = alone.select(F.col("key").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0"), counts.get(-1, 0)
+    placed, done = [alone.select("key", F.col("key").alias("seq"))], []
+    gaps, n_gaps, largest = alone.select(F.col("key").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0"), counts.get(-1, 0), capacity
     for k, (lo, hi) in enumerate(in_band):
-        left, n_left = items.where((F.col("length") > lo) & (F.col("length") <= hi)), counts.get(k, 0)
+        left, n_left, least = items.where((F.col("length") > lo) & (F.col("length") <= hi)), counts.get(k, 0), lo + 1
         while n_left:
-            ranges = -(-(n_left + n_gaps) // range_rows)
-            rows = match(gaps, left, lo, hi, ranges)
-            seen = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
-            n_left, left = seen.get(LEFT, 0), rows.where(F.col("kind") == LEFT)
-            if seen.get(TOOK):
-                placed.append(rows.where(F.col("kind") == TOOK).select("key", "seq"))
-            elif n_left:
-                opened = open_sequences(left, capacity, hi, -(-n_left // range_rows))
+            rows, small, took = None, gaps.select(*_gap_rows()), 0
+            if largest >= least:  # else nothing that is left fits anywhere
+                rows, small = match(gaps, left, lo, hi, ranges_of(n_left + n_gaps, range_rows))
+                took, n_left, least = rows.seen["took"], rows.seen["left"], rows.seen["least"] or hi
+                left = rows.where(F.col("kind") == LEFT)
+                done.append(rows)
+                if took:
+                    placed.append(rows.where(F.col("kind") == TOOK).select("key", "seq"))
+            after = small if rows is None else rows.unionByName(small)
+            if n_left and not took:
+                opened = open_sequences(left, capacity, hi, ranges_of(n_left, range_rows))
+                done.append(opened)
                 placed.append(opened.select("key", "seq"))
-                rows, n_gaps, n_left = rows.unionByName(opened), n_gaps + n_left, 0
+                after, n_gaps, n_left = after.unionByName(opened), n_gaps + n_left, 0
             # Written, so that no round's plan holds the rounds before it.
-            gaps = materialize(gaps_after(rows), "gaps")
+            before, gaps = gaps, materialize(gaps_after(after), "gaps", most=F.max("gap"))
+            largest = gaps.seen["most"] or 0
+            if hasattr(before, "_written_to"):
+                discard(before)
     found = placed[0]
     for p in placed[1:]:
         found = found.unionByName(p)
+    found = materialize(found, "placed")
+    discard(*done, *([gaps] if hasattr(gaps, "_written_to") else []))
     out = pieces.join(found.select(F.col("key").alias("__key"), F.col("seq").alias("sequence_id")), "__key")
     # A sequence has at most ``capacity`` pieces.
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "__key").rowsBetween(Window.unboundedPreceding, -1)

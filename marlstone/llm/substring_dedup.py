@@ -182,8 +182,10 @@ def count_hot(packed: DataFrame, size: int) -> DataFrame:
     sid = F.sha2("words", 256).alias("sid")
     distinct = packed.groupBy("words", "n").agg(F.count(F.lit(1)).alias("c")).select(sid, "n", "words", "c")
     each = materialize(map_arrow(distinct, explode, "sid string, i int, w binary, c bigint", heavy="words"), "hot-windows")
-    again = each.groupBy("w").agg(F.sum("c").alias("total")).where("total > 1").select("w")
-    hit = each.join(again, "w").groupBy("sid").agg(F.collect_set("i").alias("at"))
+    # Written, so that both sides of the joins are plain exchanges and adaptive execution can split a line that nearly every text has.
+    again = materialize(each.groupBy("w").agg(F.sum("c").alias("total")).where("total > 1").select("w"), "hot-again")
+    hit = materialize(each.join(again, "w").groupBy("sid").agg(F.collect_set("i").alias("at")), "hot-hits")
+    discard(each, again)
     rows = packed.select("__id", "__fp", "start", sid).join(hit, "sid")
     # Runs of neighbouring windows, told apart by their distance from their rank.
     rows = rows.select("__id", "__fp", "start", F.posexplode(F.array_sort("at")).alias("k", "i"))

@@ -140,7 +140,9 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, mode: str = "
 
     own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # The text's hash is part of the range key, so that rows that repeat a doc_id, or have none, are dealt to several tasks.
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = own.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return map_arrow(dealt, run, SHARDS, heavy="text")
 
 

@@ -393,7 +393,9 @@ def find_links(own: DataFrame, docs: DataFrame, percent: int, size: int, block_c
     discard(kept, grouped, laid_out)
     held = only(own.select("id", F.col("least").alias("__d"), F.col("fp").alias("__f"), "copies"), todo.select("id"), ["id"])
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("__d"), F.xxhash64(text_or_empty()).alias("__f"), text_or_empty().alias("text"))
-    texts = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).join(held, ["__d", "__f"]).select("id", "text", "copies").join(rare, "id")
+    # One row for each document that is asked for, however often it is there.
+    asked = only(keyed, held.select("__d", "__f"), ["__d", "__f"]).dropDuplicates(["__d", "__f"])
+    texts = asked.join(held, ["__d", "__f"]).select("id", "text", "copies").join(rare, "id")
     # Two classes that link are candidates in every group they share, so the groups left are all that matter.
     todo = todo.join(todo.groupBy("id").agg(F.collect_set("g").alias("all")), "id").join(texts, "id")
     carried = F.struct("text", "copies", "rare", F.filter("all", lambda x: x < F.col("g")).alias("earlier"))
@@ -430,9 +432,12 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.col("fp").alias("f"))).alias("first")
     chosen = found.where("comp IS NOT NULL").groupBy("comp").agg(first).select(F.col("first.d").alias("__d"), F.col("first.f").alias("__f"))
     alone = found.where("comp IS NULL").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__d"), F.col("fp").alias("__f")).distinct()
-    own = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)), "__f": F.xxhash64(text_or_empty())})
+    # Columns go by place, so that their names may be any.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    own = docs.toDF(*names).withColumns({"__d": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)), "__f": F.xxhash64(text_or_empty(text))})
     out = own.join(chosen.unionByName(alone), ["__d", "__f"], "left_semi")
     if not found.where("comp IS NOT NULL").groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        words = F.length(F.regexp_replace(text_or_empty(), r"[\x20\x09-\x0D]", "")) > 0
+        words = F.length(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]", "")) > 0
         out = one_of_each(out.where(words), ["__d", "__f"]).unionByName(out.where(~words))
-    return out.drop("__d", "__f")
+    return out.select(*names).toDF(*docs.columns)

@@ -107,9 +107,12 @@ def drop_copies(docs: DataFrame, **how) -> DataFrame:
         return rows.where(wins).select(F.col("doc_id").alias("__doc_id"), F.col("text_sha256").alias("__sha"), F.col("__len").alias("__length"), "__times")
 
     kept = settled(winners, "kept")
-    own = docs.withColumns({"__own_sha": F.sha2(normalised(), 256), "__own_length": F.length(text_or_empty())})
-    same = own["doc_id"].eqNullSafe(kept["__doc_id"]) & (own["__own_sha"] == kept["__sha"]) & (own["__own_length"] == kept["__length"])
+    # Columns go by place, so that their names may be any.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    own = docs.toDF(*names).withColumns({"__own_sha": F.sha2(normalised(text), 256), "__own_length": F.length(text_or_empty(text))})
+    same = own[doc_id].eqNullSafe(kept["__doc_id"]) & (own["__own_sha"] == kept["__sha"]) & (own["__own_length"] == kept["__length"])
     out = own.join(kept, same, "left_semi")
     if not kept.where("__times > 1").isEmpty():
-        out = one_of_each(out, ["doc_id", "__own_sha", "__own_length"])
-    return out.drop("__own_sha", "__own_length")
+        out = one_of_each(out, [doc_id, "__own_sha", "__own_length"])
+    return out.select(*names).toDF(*docs.columns)

@@ -217,9 +217,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it can be asked for, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns, whatever their names."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, quoted
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -82,7 +82,7 @@ def filter_urls(urls: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     """``urls`` with the columns host, path, rule and verdict (which replace columns of those names)."""
     spark = urls.sparkSession
     names = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    own = urls.select(*[F.col(f"`{c}`") for c in names])
+    own = urls.select(*[F.col(quoted(c)) for c in names])
     host, path = split_url(F.col(url))
     if not rules:
         return own.select("*", host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
@@ -98,7 +98,7 @@ def filter_urls(urls: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
         # Only the rules that the tokens fetch run their expressions, and the greatest of no fits at all is null.
         fetched = F.flatten(F.array_compact(F.transform("__tokens", lambda t: F.try_element_at(found, t))))
         cut = cut.withColumn("__best", F.array_max(F.filter(fetched, lambda r: F.rlike(line, r["rx"]))))
-        return cut.select(*[F.col(f"`{c}`") for c in names], "host", "path", F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
+        return cut.select(*[F.col(quoted(c)) for c in names], "host", "path", F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
     table = spark.createDataFrame([(k, *rank(h, p, v), h + p, v, rx) for k, held in index.items() for h, p, v, rx in held], "token string, n int, nh int, b boolean, rule string, verdict string, rx string")
     lines = own.select(F.col(url).alias("__url")).distinct()
     h, p = split_url(F.col("__url"))
@@ -106,4 +106,4 @@ def filter_urls(urls: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     fits = lines.join(table, "token").where(F.expr("line rlike rx"))
     won = fits.groupBy("__url").agg(F.max(F.struct("n", "nh", "b", "rule", "verdict")).alias("__best"))
     out = own.join(won, own[url].eqNullSafe(won["__url"]), "left")
-    return out.select(*[own[f"`{c}`"] for c in names], host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
+    return out.select(*[own[quoted(c)] for c in names], host.alias("host"), path.alias("path"), F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))

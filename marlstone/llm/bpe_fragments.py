@@ -34,11 +34,19 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from .common import map_arrow, resident, text_or_empty
-from .token_ids import _SETTLED, byte_letters
+from .token_ids import _SETTLED, byte_letters, expect
 
 #: The pre-tokenizer's pattern (a fixed value of the public vocabulary).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The steps that are done here in the tokenizer's place (fixed values of the public vocabulary).
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+    "decoder": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False},
+}
+
 
 def symbols(token: str, end: str) -> list[str]:
     """The symbols of a vocabulary entry."""
@@ -53,7 +61,9 @@ class FragmentCoder:
 
     def __init__(self, path: str, limit: int = 600_000):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            made = json.load(f)
+        expect(path, made, WORD_STEPS)
+        model = made["model"]
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()

@@ -37,6 +37,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+#: What this subpackage does itself in a tokenizer's place (fixed values of the library's format).
+BYTE_STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}}
+
+
+def _holds(got, wanted) -> bool:
+    if isinstance(wanted, dict):
+        return isinstance(got, dict) and all(_holds(got.get(k), w) for k, w in wanted.items())
+    if isinstance(wanted, list):
+        return isinstance(got, list) and len(got) == len(wanted) and all(map(_holds, got, wanted))
+    return got == wanted
+
+
+def expect(path: str, made: dict, steps: dict) -> None:
+    """Raise unless the tokenizer file has the given steps, since with others the ids would be wrong without a word."""
+    for name, wanted in steps.items():
+        got = made.get(name)
+        # Files of older versions leave out what is not set.
+        if not _holds({"ignore_merges": False, "byte_fallback": False, **got} if name == "model" and isinstance(got, dict) else got, wanted):
+            raise ValueError(f"{path}: the tokenizer's {name} is not the one that is encoded here")
+
+
 class ByteLevelEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
@@ -48,7 +69,9 @@ class ByteLevelEncoder:
         tokenizer.no_padding()
         letters = dict(enumerate(byte_letters()))
         with open(path, encoding="utf-8") as f:
-            made = json.load(f)["model"]
+            made = json.load(f)
+        expect(path, made, BYTE_STEPS)
+        made = made["model"]
         # The library's model without its own cache, which costs more than it saves behind the memory here.
         model = BPE(made["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in made["merges"]], cache_capacity=0)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]

@@ -1,6 +1,7 @@
 """Each training-data operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm import bpe_fragments, chat_format, exact_dedup, jpeg_media, ngram_join, packing, substring_dedup, token_files, toxicity, url_filter
+from marlstone.llm import bpe_fragments, chat_format, exact_dedup, jpeg_media, ngram_join, packing, substring_dedup, token_files, token_ids, toxicity, url_filter
 from marlstone.llm.common import materialize
 from marlstone.llm.token_ids import ByteLevelEncoder
 
@@ -734,3 +735,29 @@ def test_crcs_combine():
     for _ in range(50):
         a, b = rng.randbytes(rng.randrange(40)), rng.randbytes(rng.randrange(40))
         assert token_files.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+# Shared --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("path", "make"), [(BYTE, lambda p: token_ids.ByteLevelEncoder(p)), (WORD, lambda p: bpe_fragments.FragmentCoder(p))])
+def test_other_tokenizers_are_refused(path, make, tmp_path):
+    """A vocabulary whose steps are others gives no ids at all instead of wrong ones."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    for name, other in (("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", made["model"] | {"ignore_merges": True})):
+        (tmp_path / "t.json").write_text(json.dumps(made | {name: other}))
+        with pytest.raises(ValueError, match=name):
+            make(str(tmp_path / "t.json"))
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns named like the helpers of the dedup stages, or with a backtick in the name, come out as they went in."""
+    rows = [(1, "one two three four five six", "a", "b", "c"), (1, "one two three four five six", "a", "b", "c"), (2, "one two three  four five six", "x", "y", "z"), (3, "else", "k", "l", "m")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __d string, __own_sha string, `od``d` string")
+    for out in (exact_dedup.drop_copies(docs), ngram_join.keep_one(docs, percent=80, size=5)):
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect())) in ([rows[0], rows[3]], [rows[2], rows[3]])
+    urls = spark.createDataFrame([("http://a.com/en/" + "x" * 300_000, "v"), (None, "w")], "url string, `od``d` string")
+    got = {r[1]: r["verdict"] for r in url_filter.filter_urls(urls, [("com", "/en/", "block")]).collect()}
+    assert got == {"v": "block", "w": "allow"}

@@ -310,9 +310,11 @@ def features(texts: DataFrame, model: Model, models) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["k"], part["model"], *read_texts(part["text"].to_pylist(), part["model"].to_numpy(), lexicon, said)], names=[x.split()[0] for x in _READ.split(", ")])
 
     read = materialize(map_arrow(texts.select("k", "model", "text"), run, _READ, heavy="text"), "toxic-texts").dropDuplicates(["k"])
-    rest = read.select("k", "model", F.explode("rest").alias("word"))
-    said = materialize(score_words(rest.select("word").distinct(), model, models), "toxic-rest-words")
-    own = F.coalesce(*[F.when(F.col("model") == m, F.col(f"said{m}")) for m in models])
+    models = list(models)
+    # Where all texts ask one model its number need not travel with each word.
+    rest = read.select("k", *(["model"] if len(models) > 1 else []), F.explode("rest").alias("word"))
+    said = settled(lambda: score_words(rest.select("word").distinct(), model, models), "toxic-rest-words")
+    own = F.coalesce(*[F.when(F.col("model") == m, F.col(f"said{m}")) for m in models]) if len(models) > 1 else F.col(f"said{models[0]}")
     # Plain exchanges on both sides: a word of many texts is split.
     joined = rest.join(said.hint("merge"), "word").select("k", own.alias("said"))
     more = joined.groupBy("k").agg(*[F.sum(x).alias(f"more_{c}") for c, x in zip(_SUMS, _sums(F.col("said")), strict=True)], F.slice(F.sort_array(F.collect_list("said"), False), 1, TOP).alias("others"))
@@ -399,11 +401,14 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) ->
     return model._replace(fit=logistic(np.stack([got[c].to_numpy() for c in _FEATURES], 1), y, balanced(y)))
 
 
-def text_scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """__k and score of each distinct text key of ``docs``."""
+def text_scores(docs: DataFrame, model: Model | None, last: bool = False) -> DataFrame:
+    """__k and score of each distinct text key of ``docs``. With ``last`` the model isn't asked again, and its tables go."""
     if model is None:
         return docs.select(text_key().alias("__k"), F.lit(0.0).alias("score")).distinct()
     found = features(docs.select(text_key().alias("k"), F.lit(ALL).alias("model"), text_or_empty().alias("text")), model, [ALL])
+    if last:
+        # All words have been scored by now, and what is left to do reads what they say alone.
+        discard(*model.shares, *model.weights, model.base)
     weighed = F.lit(float(model.fit[0]))
     for w, c in zip(model.fit[1:].tolist(), _FEATURES, strict=True):
         weighed = weighed + F.lit(w) * F.col(c)
@@ -425,4 +430,4 @@ def score_texts(docs: DataFrame, model: Model | None, threshold: float = 0.7) ->
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, calibration_rows: int = 20_000) -> DataFrame:
     """Train on the labelled rows of ``docs`` and score every row; the model goes when the scores are written."""
-    return with_scores(docs, settled(lambda: text_scores(docs, train(docs, labels, calibration_rows)), "toxic-scores"), threshold)
+    return with_scores(docs, settled(lambda: text_scores(docs, train(docs, labels, calibration_rows), last=True), "toxic-scores"), threshold)

@@ -62,6 +62,25 @@ def metadata_json(chunks: DataFrame, columns: list[str]) -> DataFrame:
     return chunks.select("chunk_id", F.to_json(flat).alias("metadata"))
 
 
+#: Keys of a stored chunk's metadata (fixed values), in their order.
+METADATA_KEYS = ["chunk_id", "document_id", "document_name", "module", "section", "section_id", "heading_path", "page_start", "page_end", "entities", "processing_stage", "chunking_version", "embedding_version", "pipeline_version"]
+
+
+def stored_metadata(chunks: DataFrame, stage: str = "INDEXED") -> DataFrame:
+    """chunk_id, metadata: all keys in one flat JSON object. Numbers and booleans stay so, null is an empty text, nested values are JSON texts (null: an empty list)."""
+    own = chunks.withColumn("processing_stage", F.lit(stage))
+    kinds = dict(own.dtypes)
+
+    def flat(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("")
+        if kinds[c].startswith(("array", "struct", "map")):
+            return F.coalesce(F.to_json(F.col(c)), F.lit("[]"))
+        return F.coalesce(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c)
+
+    return own.select("chunk_id", F.to_json(F.struct(*[flat(c).alias(c) for c in METADATA_KEYS])).alias("metadata"))
+
+
 def locate_entities(found: DataFrame) -> DataFrame:
     """Distinct (upper-cased entity_name, chunk_id) of ``found(chunk_id, document_id, page, section, name, entity_type, ord)``, the first one staying."""
     own = found.withColumn("entity_name", F.upper("name"))

@@ -387,6 +387,36 @@ def entity_retrieve(spark, sf):
     return retrieval.entity_retrieve(questions(spark, sf), located_entities(spark, sf), 20).select("query_id", "rank", "chunk_id")
 
 
+_ASKED = "SELECT CAST(chunk_id % 25 AS BIGINT) AS {id}, concat('Where are ', max(entity_name), ' and ', min(entity_name), ', or zz_top?') AS {text} FROM {located} GROUP BY 1"
+_NAMED_CTE = ENT_CTE.replace("FROM benchmark)", f"FROM ({_ASKED.format(id='item_id', text='text', located='located')}) asked)")
+
+
+def naming_questions(spark, sf):
+    """Questions that hold identifiers which the documents have."""
+    return spark.sql(_ASKED.replace("{id}", "query_id").replace("{text}", "question"), located=located_entities(spark, sf))
+
+
+@query(f"WITH {_NAMED_CTE} SELECT DISTINCT query_id, name FROM asking")
+def query_entities_named(spark, sf):
+    return retrieval.query_entities(naming_questions(spark, sf)).select("query_id", "name")
+
+
+@query(f"WITH {_NAMED_CTE} SELECT query_id, rank, chunk_id FROM ent")
+def entity_retrieve_named(spark, sf):
+    return retrieval.entity_retrieve(naming_questions(spark, sf), entity_index(spark, sf), 20).select("query_id", "rank", "chunk_id")
+
+
+@query(f"WITH {BM25_CTE}, {ENT_CTE}, names AS (SELECT chunk_id, list_sort(list_distinct(list(entity_name))) AS names FROM located GROUP BY 1) SELECT query_id, rank, chunk_id, score, CAST(doc_id % 50 AS VARCHAR) AS document_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(array_to_string(names, ','), '') AS entities FROM bm25 JOIN documents ON doc_id = bm25.chunk_id LEFT JOIN names USING (chunk_id) WHERE rank <= 10")
+def hit_payload(spark, sf):
+    """Hits with what their chunks and entities say: both tables are cut down to the hits first."""
+    hits = segments.search(questions(spark, sf), bm25_index(spark, sf), 10)
+    ids = retrieval.small(hits.select("chunk_id").distinct())
+    chunks = chunks_of(spark, sf).join(ids, "chunk_id", "left_semi").select("chunk_id", (F.col("chunk_id") % 50).cast("string").alias("document_id"), F.sha2("text", 256).alias("text_sha256"))
+    names = entity_index(spark, sf).join(ids, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.array_join(F.sort_array(F.collect_set("entity_name")), ",").alias("entities"))
+    got = hits.join(chunks, "chunk_id").join(names, "chunk_id", "left")
+    return got.select("query_id", "rank", "chunk_id", "score", "document_id", "text_sha256", F.coalesce("entities", F.lit("")).alias("entities"))
+
+
 def hybrid(spark, sf, k: int = 10):
     asked = questions(spark, sf)
     vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -835,6 +865,22 @@ def manual_chunks(spark, sf):
 _MCHUNK = f"{_HEADS}, {_PARA}, chunks AS (SELECT bs.document_id, section_ord, row_number() OVER (PARTITION BY bs.document_id ORDER BY section_ord) AS chunk_ord, min(page) AS p0, max(page) AS p1, list(block_id) AS ids FROM bs GROUP BY bs.document_id, section_ord)"
 
 
+@query(rf"""{_MCHUNK}, ne AS (SELECT DISTINCT document_id, section_ord, name, entity_type FROM bs JOIN (VALUES {_NAMED}) e(name, entity_type) ON list_contains(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), name))
+SELECT c.document_id || ':chunk:' || chunk_ord AS chunk_id, name, entity_type FROM chunks c JOIN ne USING (document_id, section_ord)""")
+def chunk_entities_of_section(spark, sf):
+    """Entities whose section is known go to that section's chunks."""
+    names = enrichment.NAMED_ENTITIES
+    met = enrichment.dictionary_hits(enrichment.block_sections(corpus.manual_blocks(spark, sf)).select("document_id", "section_ord", "page", "text"), [n for n, _ in names])
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("entity_type")) for n, t in names])
+    found = met.select("document_id", "section_ord", "page", F.explode("hits").alias("at")).withColumn("x", F.get(known, F.col("at"))).select("document_id", "section_ord", "page", "x.name", "x.entity_type")
+    return chunking.chunk_entities(manual_chunks(spark, sf), found)
+
+
+@query(f"{_MCHUNK} SELECT document_id || ':chunk:' || chunk_ord AS chunk_id, '1.0.0' AS pipeline_version, '1.0.0' AS chunking_version, 'v1' AS embedding_version FROM chunks")
+def chunk_stamps(spark, sf):
+    return chunking.stamp(manual_chunks(spark, sf)).select("chunk_id", "pipeline_version", "chunking_version", "embedding_version")
+
+
 @query(rf"""{_MCHUNK}, ne AS (SELECT DISTINCT document_id, page, name, entity_type FROM para JOIN (VALUES {_NAMED}) e(name, entity_type) ON list_contains(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), name))
 SELECT DISTINCT c.document_id || ':chunk:' || chunk_ord AS chunk_id, name, entity_type FROM chunks c JOIN ne ON ne.document_id = c.document_id AND ne.page BETWEEN p0 AND p1""")
 def chunk_entities(spark, sf):
@@ -948,9 +994,16 @@ def context_xml(spark, sf):
     return contexts_of(spark, sf).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").alias("size"))
 
 
+_POLICY_SQL = "'" + context.system_prompt("strict").replace("'", "''") + "'"
 _QUESTION = "trim(' What about order ' || query_id || '? ')"
 
 
+@query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, greatest(1, CAST(floor((length('Date: ' || strftime(current_date, '%Y-%m-%d') || chr(10) || chr(10)) + length({_POLICY_SQL}) + length(chr(10) || chr(10) || context || chr(10) || chr(10) || 'User Question' || chr(10) || '-------------' || chr(10) || chr(10) || {_QUESTION})) / 4) AS INT)) AS estimated_tokens FROM xml")
+def prompt_today(spark, sf):
+    """Today's date and the whole policy, which modes other than benchmark have."""
+    return context.prompts(asked_of(spark, sf), contexts_of(spark, sf), None, "strict").select("query_id", "estimated_tokens")
+
+
 @query(f"{_CTX}, {_BUDGET}, {_XML} SELECT query_id, sha256(context || chr(10) || chr(10) || {_QUESTION}) AS prompt_sha256, greatest(1, CAST(floor(length('Date: 2024-01-01' || chr(10) || chr(10) || 'You answer questions about a document collection.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'User Question' || chr(10) || '-------------' || chr(10) || chr(10) || {_QUESTION}) / 4) AS INT)) AS estimated_tokens FROM xml")
 def prompt_build(spark, sf):
     made = context.prompts(asked_of(spark, sf), contexts_of(spark, sf), F.lit("2024-01-01"), "benchmark")
@@ -1106,6 +1159,23 @@ def metadata_json(spark, sf):
     return index.metadata_json(own, ["document_id", "module", "page_start"])
 
 
+_META_SQL = f"""WITH {ENT_CTE}, names AS (SELECT chunk_id, list_sort(list_distinct(list(entity_name))) AS names FROM located GROUP BY 1)
+SELECT doc_id AS chunk_id, CAST(json_object('chunk_id', doc_id, 'document_id', coalesce(source, ''), 'document_name', coalesce(source, '') || '.pdf', 'module', coalesce(lang, ''), 'section', '', 'section_id', coalesce(lang, '') || ':sec:1',
+  'heading_path', CAST(to_json([coalesce(source, ''), coalesce(lang, '')]) AS VARCHAR), 'page_start', 1, 'page_end', n_chars, 'entities', coalesce(CAST(to_json(list_transform(names, lambda x: {{'name': x, 'type': 'MODULE/SCREEN'}})) AS VARCHAR), '[]'),
+  'processing_stage', 'INDEXED', 'chunking_version', '1.0.0', 'embedding_version', 'v1', 'pipeline_version', '1.0.0') AS VARCHAR) AS metadata
+FROM documents LEFT JOIN names ON names.chunk_id = doc_id"""
+
+
+@query(_META_SQL)
+def chunk_metadata(spark, sf):
+    """All fourteen keys of a stored chunk: numbers stay numbers, nested values are JSON texts, what isn't known is an empty text."""
+    blank = F.lit("")
+    own = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", blank).alias("document_id"), F.coalesce("lang", blank).alias("module"), F.col("n_chars").alias("page_end"))
+    names = located_entities(spark, sf).groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_set("entity_name")), lambda n: F.struct(n.alias("name"), F.lit("MODULE/SCREEN").alias("type"))).alias("entities"))
+    made = own.withColumns({"document_name": F.concat("document_id", F.lit(".pdf")), "section": F.lit(None).cast("string"), "section_id": F.concat("module", F.lit(":sec:1")), "heading_path": F.array("document_id", "module"), "page_start": F.lit(1)})
+    return index.stored_metadata(chunking.stamp(made).join(names, "chunk_id", "left"))
+
+
 _CACHED = "cached AS (SELECT DISTINCT sha256('hash-64:' || coalesce(text, '')) AS key FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
 
 

@@ -45,7 +45,7 @@ MODULE_KEYWORDS = [
 ]
 
 #: Names that are entities wherever they stand: (name, type).
-NAMED_ENTITIES = [("CASA", "MODULE"), ("GL", "MODULE"), ("CIF", "MODULE"), ("ICCF", "MODULE"), ("EOD", "PROCESS"), ("BOD", "PROCESS")]
+NAMED_ENTITIES = [("CASA", "MODULE"), ("EOD", "PROCESS"), ("BOD", "PROCESS"), ("GL", "MODULE"), ("CIF", "MODULE"), ("ICCF", "MODULE")]
 
 #: Delimiters of text tables in the order in which they are tried.
 TABLE_DELIMITERS = [r"\s{2,}", r"\t", r"\|"]

@@ -10,7 +10,7 @@ from test_llm import BYTE, brute_components, corpus, norm
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import catalog
+from marlstone.llm import catalog, toxicity
 from marlstone.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,19 @@ def test_toxicity_stage_keeps_rows_as_they_are(spark, docs, rows):
     assert not got - Counter(rows) and sum(got.values()) >= 0.9 * len(rows)
 
 
+def test_toxicity_stage_drops_the_toxic(spark):
+    """Of the labelled documents of the tables most toxic ones go and hardly a clean one does, and those that go are those that score 0.7 or more."""
+    larger = SF.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to learn from
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    labels = spark.read.parquet(f"{larger}/labels.parquet")
+    kept = {r.doc_id for r in stage("toxicity")(spark, docs, larger).collect()}
+    scored = {r.doc_id: r.score for r in toxicity.toxicity(docs.select("doc_id", "text"), labels).collect()}
+    assert kept == {d for d, s in scored.items() if s < 0.7}
+    marks = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in scored}
+    toxic, clean = ([d for d, t in marks.items() if t == x] for x in (1, 0))
+    assert sum(d not in kept for d in toxic) >= 0.7 * len(toxic) and sum(d in kept for d in clean) >= 0.95 * len(clean)
+
+
 def test_exact_stage(spark, docs, rows):
     got = stage("exact_dedup")(spark, docs, SF).collect()
     best = {}

@@ -7,9 +7,9 @@ are sums over segments. ``totals`` is written last and names the segments that c
 is written over when it is tried again. ``merge`` makes one segment of all of them.
 
 Postings lie in blocks: a term's postings within one window of chunks (``WINDOW`` of them, dealt by hash) with their greatest tf and
-least dl, which bound what the term can add to a chunk of the window. A search first scores each question's rarest term alone. The k-th
-of these scores is one that the k-th hit has at least, so windows whose bounds don't add up to it are left out before their postings are
-opened, and the hits stay the same.
+least dl, which bound what the term can add to a chunk of the window. A search first scores each question by its rarest terms alone, as
+many as have ``RARE`` of its postings. The k-th of these scores is one that the k-th hit has at least, so windows whose bounds don't add up
+to it are left out before their postings are opened, and the hits stay the same.
 
 Tables below a path, all partitioned by ``segment``: ``forward`` (chunk_id, dl, terms; by bucket of the chunk), ``postings`` (term,
 window, tf, dl, held; by bucket of the term), ``stats`` (term, df), ``marks`` (chunk_id) and ``totals`` (n, length, mean, buckets, base).
@@ -30,6 +30,8 @@ from .retrieval import EPSILON, K1, B, query_terms, small, weighed
 BUCKETS = 64
 #: Chunks of a window, on average.
 WINDOW = 64
+#: Share of a question's postings that are scored to learn its threshold; one term at least.
+RARE = 0.25
 #: Scores are rounded to a millionth; a window that comes nearer than this to the threshold is read.
 _SLACK = 1e-5
 #: Segments beyond which a change ends with a merge.
@@ -189,7 +191,7 @@ class _Search:
         terms = small(asked.select("term").distinct())
         df = _read(spark, path, "stats", "term string, df bigint, segment int", held).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         raw = F.ln(F.lit(self.n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        idf = df.select("term", F.when(raw < 0, F.lit(EPSILON * whole[-1]["mean"])).otherwise(raw).alias("idf"))
+        idf = df.select("term", "df", F.when(raw < 0, F.lit(EPSILON * whole[-1]["mean"])).otherwise(raw).alias("idf"))
         to = scratch_dir(spark, "asked")
         asked.join(idf, "term").withColumn("bucket", _bucket("term", whole[0]["buckets"])).write.mode("overwrite").parquet(to)
         self.weights = small(spark.read.parquet(to))
@@ -205,10 +207,11 @@ class _Search:
         return _alive(each, self.marks).withColumn("avgdl", F.lit(self.avgdl))
 
     def thresholds(self, k: int) -> DataFrame:
-        """query_id, least: the k-th score by the rarest term alone, of questions none of whose terms takes away."""
+        """query_id, least: the k-th score by the rarest terms alone, of questions none of whose terms takes away."""
         w = Window.partitionBy("query_id")
-        nth = F.row_number().over(w.orderBy(F.desc("idf"), "term"))
-        rarest = self.weights.withColumns({"__n": nth, "__least": F.min("idf").over(w)}).where("__n = 1 AND __least >= 0").drop("__n", "__least")
+        by_rarity = w.orderBy(F.desc("idf"), "term")
+        own = self.weights.withColumns({"__n": F.row_number().over(by_rarity), "__so_far": F.sum("df").over(by_rarity), "__all": F.sum("df").over(w), "__least": F.min("idf").over(w)})
+        rarest = own.where((F.col("__least") >= 0) & ((F.col("__n") == 1) | (F.col("__so_far") <= RARE * F.col("__all")))).select(*self.weights.columns)
         return weighed(self.opened(self.blocks(small(rarest))), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
 
     def windows(self, k: int) -> DataFrame:

@@ -14,7 +14,7 @@ Decoding goes from ids to their tokens' strings, joined as the library's ``decod
 tokenizer without a decoder.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded one by one; extra
-columns play no part; an empty table gives an empty table.
+columns play no part; an empty table gives an empty table. A very long text is encoded whole, fragment by fragment, in a batch of its own.
 """
 
 from __future__ import annotations

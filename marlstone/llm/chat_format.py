@@ -21,7 +21,8 @@ spans. No conversation is ever held in memory.
 
 Defined results: a null text or role is the empty string; turns are ordered by turn (null first), then role, then text, and
 repeated rows are turns of their own; rows with a null conv_id form one conversation; other columns are ignored; an empty
-table gives an empty table.
+table gives an empty table. A very long turn is rendered whole, alone in its batch if need be; a conversation is read back as a stream, so
+no more of it is held than one turn.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ texts; whole texts are never shuffled or compared again.
 Of equal texts the row with the most code points in the original text stays, then the one with the smallest doc_id (a
 null doc_id counts as the largest). Defined results: null and empty texts form one group; each row of the table has its
 row in the result; of rows that repeat a doc_id and a text just one is kept; extra columns play no part; an empty table
-gives an empty table. A hot group is reduced in each task before the shuffle, and its rows then meet one row that says
+gives an empty table. A very long text becomes many chunks, of which only identifiers travel on. A hot group is reduced in each task before the shuffle, and its rows then meet one row that says
 who stays, a join that adaptive execution can split.
 """
 

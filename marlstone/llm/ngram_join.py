@@ -30,7 +30,7 @@ joins components is found. Two classes may meet in several groups; their link is
 
 Defined results: a set without words is empty and links with nothing; rows with a null doc_id link as others do, and a component of
 them alone has a null component_id; rows that repeat a document are documents of their own; extra columns play no part; an empty
-table gives an empty table. Set hashes have 64 bits for a shingle and 128 for a class.
+table gives an empty table. A very long text is read whole and has one set like any other; its block holds fewer others. Set hashes have 64 bits for a shingle and 128 for a class.
 """
 
 from __future__ import annotations

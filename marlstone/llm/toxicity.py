@@ -23,7 +23,7 @@ depend on an order.
 Defined results: a null or empty text (or one without words) has all features 0 and so the score that the fit gives them; a null
 doc_id is not held out and never trains; conflicting labels count as toxic; repeated rows are scored one by one, and of several texts
 of a doc_id the greatest calibrates; with no labelled rows of a class every score is 0; columns named held_out, score or predicted
-are replaced, all others stay; an empty table gives an empty table.
+are replaced, all others stay; an empty table gives an empty table. A very long text is read whole, as the set of its distinct words.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ prefix, so it is a token only when a ``/`` follows it. A rule with neither host
 empty token, which every URL holds.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, and gets the default verdict; repeated
-rows are judged one by one; extra columns are not looked at; an empty table gives an empty table.
+rows are judged one by one; extra columns are not looked at; an empty table gives an empty table. A very long URL is
+split into all its tokens, as any other.
 
 Everything is DataFrame expressions. Up to ``inline_rules`` rules the index is a map literal inside the projection, which a URL's
 tokens are looked up in: no shuffle, no skew. Beyond that, URL tokens are joined to the index and candidates are reduced per URL.

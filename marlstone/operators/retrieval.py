@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
+from marlstone.plans.scratch import scratch_dir
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from .best import K1, B, Nearest, Scored
+
+EPSILON = 0.25
+#: Terms of questions that travel to the tasks at once.
+MOST_ASKED = 500_000
 RRF_K = 60
 
 
@@ -73,16 +78,35 @@ def weighed(met: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k, F.desc("score"), F.asc("chunk_id")).withColumn("method", F.lit("bm25"))
 
 
+def scored(asked: DataFrame, chunks: DataFrame, avgdl: float, k: int, tokenised: bool = False) -> DataFrame:
+    """Ranked hits of ``asked(query_id, term, qtf, idf)`` over postings (chunk_id, term, tf, dl), or over chunks with all their tokens if ``tokenised``.
+
+    Postings are dealt by chunk, so that a chunk's score is added up in one task; each posting is shuffled once, however many questions
+    have its term, and pairs of a question and a chunk never are. Chunks with their tokens aren't shuffled at all.
+    """
+    kinds = dict(asked.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    if not tokenised:
+        terms = small(asked.select("term").distinct())
+        chunks = chunks.select("chunk_id", "term", "tf", "dl").join(terms, "term", "left_semi").repartition("chunk_id").sortWithinPartitions("chunk_id")
+        chunks = chunks.select("chunk_id", "term", "tf", "dl")
+
+    def found(block: DataFrame) -> DataFrame:
+        own = Scored(block.select("query_id", "term", "qtf", "idf").toArrow(), avgdl, k)
+        return chunks.mapInArrow(own.of_texts if tokenised else own.of_postings, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+
+    hits = [top_k(found(b), k, F.desc("score"), F.asc("chunk_id")) for b in blocks_of(asked, asked.count(), MOST_ASKED)]
+    return reduce(DataFrame.unionByName, hits).withColumn("method", F.lit("bm25"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Okapi BM25 over all chunks; hits with a positive score. Without a stored index; only tokens that a question has are shuffled."""
+    """Okapi BM25 over all chunks; hits with a positive score. Without a stored index; no text and no posting is shuffled, but the terms' frequencies."""
     whole = totals(chunks)
-    asked = query_terms(queries)
-    terms = small(asked.select("term").distinct())
-    each = chunks.select("chunk_id", tokens("text").alias("__t")).select("chunk_id", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    posted = each.join(terms, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    to = scratch_dir(chunks.sparkSession, "asked")
     stats = term_stats(document_frequencies(chunks), whole)
-    asked = asked.join(stats.select("term", "idf"), "term")
-    return weighed(posted.join(asked, "term").crossJoin(F.broadcast(whole.select("avgdl"))), k)
+    query_terms(queries).join(stats.select("term", "idf"), "term").crossJoin(F.broadcast(whole.select("avgdl"))).write.parquet(to)
+    asked = chunks.sparkSession.read.parquet(to)
+    avgdl = asked.agg(F.first("avgdl")).first()[0] or 1.0
+    return scored(asked, chunks.select("chunk_id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("tokens")), avgdl, k, True)
 
 
 def write_bm25(chunks: DataFrame, path: str, buckets: int = 64) -> None:
@@ -116,8 +140,11 @@ def bm25_stored(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
     posted, terms, whole = stored
     row = whole.first()
     asked = query_terms(queries).join(terms.select("term", "idf"), "term").withColumn("bucket", F.pmod(F.hash("term"), F.lit(row["buckets"])).cast("int"))
-    met = posted.join(small(asked), ["bucket", "term"])
-    return weighed(met.withColumn("avgdl", F.lit(row["avgdl"])), k)
+    to = scratch_dir(spark, "asked")
+    asked.write.parquet(to)
+    asked = spark.read.parquet(to)
+    where = [r[0] for r in asked.select("bucket").distinct().collect()]  # buckets
+    return scored(asked, posted.where(F.col("bucket").isin(where)), row["avgdl"] or 1.0, k)
 
 
 # --- dense ------------------------------------------------------------------------------------------------------------
@@ -131,19 +158,30 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def blocks_of(rows: DataFrame, size: int, most: int) -> list[DataFrame]:
+    """``rows`` by blocks of about ``most`` at most, of ``size`` in all; all rows of a question are in one block."""
+    n = 1 if size <= most else -(-2 * size // most)
+    return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, most_bytes: int = 32 << 20) -> DataFrame:
     """The k nearest of ``vectors(chunk_id, embedding)`` by cosine distance for each of ``queries(query_id, embedding)``, exactly.
 
-    A stated set of queries meets all vectors: the queries are broadcast in blocks of about ``most_bytes`` of vectors at most, and each
-    task keeps k hits for each query before anything is shuffled.
+    A stated set of queries meets all vectors: blocks of queries of about ``most_bytes`` of vectors at most travel to the tasks, where they
+    meet the vectors as matrix products, and each task keeps k hits for each query. Vectors that are null, zero or hold null or non-finite
+    components take no part, and only vectors of as many components meet.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("__q"))
-    size = asked.agg(F.coalesce(F.sum(F.size("__q") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
-    blocks = [asked] if size <= most_bytes else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(m)) == i) for m in [-(-2 * size // most_bytes)] for i in range(m)]
-    held = vectors.select("chunk_id", "embedding")
-    met = [held.crossJoin(F.broadcast(b)).select("query_id", "chunk_id", F.round(cosine_distance(F.col("__q"), F.col("embedding")), 6).alias("score")) for b in blocks]
-    near = [top_k(m, k, F.asc("score"), F.asc("chunk_id")) for m in met]
-    return reduce(DataFrame.unionByName, near).withColumn("method", F.lit("vector"))
+    asked = queries.select("query_id", "embedding")
+    size = asked.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
+    return near(blocks_of(asked, size, most_bytes), vectors.select("chunk_id", "embedding"), k)
+
+
+def near(blocks: list[DataFrame], vectors: DataFrame, k: int) -> DataFrame:
+    """Ranked hits of blocks of questions, each of bounded size."""
+    kinds = dict(blocks[0].dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+    met = [vectors.mapInArrow(Nearest(b.toArrow(), k).run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double") for b in blocks]
+    hits = [top_k(m, k, F.asc("score"), F.asc("chunk_id")) for m in met]
+    return reduce(DataFrame.unionByName, hits).withColumn("method", F.lit("vector"))
 
 
 # --- entities ---------------------------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import delete_path
-from .retrieval import cosine_distance, small, top_k
+from .retrieval import blocks_of, cosine_distance, near, small
 
 MOST_LISTS = 4096
 
@@ -162,9 +162,23 @@ def candidates(queries: DataFrame, path: str, probes: int, most_bytes: int = 32
     return met.select("query_id", "chunk_id", F.round(cosine_distance(F.col("__q"), F.col("embedding")), 6).alias("score"))
 
 
-def search(queries: DataFrame, path: str, k: int = 5, probes: int = 8) -> DataFrame:
-    """The k nearest stored vectors within the probed lists of each question, like ``retrieval.knn``."""
-    return top_k(candidates(queries, path, probes), k, F.asc("score"), F.asc("chunk_id")).withColumn("method", F.lit("vector"))
+def search(queries: DataFrame, path: str, k: int = 5, probes: int = 8, most_bytes: int = 32 << 20) -> DataFrame:
+    """The k nearest stored vectors within the probed lists of each question, like ``retrieval.knn``.
+
+    Blocks of questions with their lists, of about ``most_bytes`` at most, travel to the tasks; pairs are never rows.
+    """
+    spark = queries.sparkSession
+    own = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
+    asked = assign(own, centres_of(spark, path), probes)
+    size = asked.agg(F.coalesce(F.sum(F.size("embedding") * 8 + F.size("lists") * 12 + 16), F.lit(0)).alias("n")).first()["n"]
+    return near(blocks_of(asked, size, most_bytes), spark.read.parquet(f"{path}/lists").select("chunk_id", "embedding", "list"), k)
+
+
+def vectors_read(queries: DataFrame, path: str, probes: int) -> DataFrame:
+    """One row: how many pairs of a question and a vector a search compares, out of the lists' sizes."""
+    held = queries.sparkSession.read.parquet(f"{path}/lists").groupBy("list").agg(F.count(F.lit(1)).alias("held"))
+    asked = probed(queries, path, probes).groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    return held.join(asked, "list").agg(F.coalesce(F.sum(F.col("held") * F.col("asked")), F.lit(0)).alias("vectors_read"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -78,20 +78,17 @@ def weighed(met: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k, F.desc("score"), F.asc("chunk_id")).withColumn("method", F.lit("bm25"))
 
 
-def scored(asked: DataFrame, chunks: DataFrame, avgdl: float, k: int, tokenised: bool = False) -> DataFrame:
-    """Ranked hits of ``asked(query_id, term, qtf, idf)`` over postings (chunk_id, term, tf, dl), or over chunks with all their tokens if ``tokenised``.
+def scored(asked: DataFrame, chunks: DataFrame, avgdl: float, k: int, tokenised: bool = False, prune: bool = True) -> DataFrame:
+    """Ranked hits of ``asked(query_id, term, qtf, idf)`` over postings (chunk_id, term, tf, dl) of its terms that are dealt by chunk, or over chunks with all their tokens if ``tokenised``.
 
-    Postings are dealt by chunk, so that a chunk's score is added up in one task; each posting is shuffled once, however many questions
-    have its term, and pairs of a question and a chunk never are. Chunks with their tokens aren't shuffled at all.
+    A chunk's score is added up in one task: pairs of a question and a chunk are never shuffled, and chunks with their tokens not at all.
     """
     kinds = dict(asked.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
     if not tokenised:
-        terms = small(asked.select("term").distinct())
-        chunks = chunks.select("chunk_id", "term", "tf", "dl").join(terms, "term", "left_semi").repartition("chunk_id").sortWithinPartitions("chunk_id")
-        chunks = chunks.select("chunk_id", "term", "tf", "dl")
+        chunks = chunks.select("chunk_id", "term", "tf", "dl").sortWithinPartitions("chunk_id")
 
     def found(block: DataFrame) -> DataFrame:
-        own = Scored(block.select("query_id", "term", "qtf", "idf").toArrow(), avgdl, k)
+        own = Scored(block.select("query_id", "term", "qtf", "idf").toArrow(), avgdl, k, prune)
         return chunks.mapInArrow(own.of_texts if tokenised else own.of_postings, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
 
     hits = [top_k(found(b), k, F.desc("score"), F.asc("chunk_id")) for b in blocks_of(asked, asked.count(), MOST_ASKED)]
@@ -144,7 +141,8 @@ def bm25_stored(queries: DataFrame, path: str, k: int = 5) -> DataFrame:
     asked.write.parquet(to)
     asked = spark.read.parquet(to)
     where = [r[0] for r in asked.select("bucket").distinct().collect()]  # buckets
-    return scored(asked, posted.where(F.col("bucket").isin(where)), row["avgdl"] or 1.0, k)
+    own = posted.where(F.col("bucket").isin(where)).join(small(asked.select("term").distinct()), "term", "left_semi")
+    return scored(asked, own.select("chunk_id", "term", "tf", "dl").repartition("chunk_id"), row["avgdl"] or 1.0, k)
 
 
 # --- dense ------------------------------------------------------------------------------------------------------------

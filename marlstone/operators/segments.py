@@ -7,9 +7,9 @@ are sums over segments. ``totals`` is written last and names the segments that c
 is written over when it is tried again. ``merge`` makes one segment of all of them.
 
 Postings lie in blocks: a term's postings within one window of chunks (``WINDOW`` of them, dealt by hash) with their greatest tf and
-least dl, which bound what the term can add to a chunk of the window. A search first scores each question by its rarest terms alone, as
+least dl, which bound what the term can add to a chunk of the window. ``blocks_read`` scores each question by its rarest terms alone, as
 many as have ``RARE`` of its postings. The k-th of these scores is one that the k-th hit has at least, so windows whose bounds don't add up
-to it are left out before their postings are opened, and the hits stay the same.
+to it hold no hit. A search bounds chunks in the same way, by what its task has found so far.
 
 Tables below a path, all partitioned by ``segment``: ``forward`` (chunk_id, dl, terms; by bucket of the chunk), ``postings`` (term,
 window, tf, dl, held; by bucket of the term), ``stats`` (term, df), ``marks`` (chunk_id) and ``totals`` (n, length, mean, buckets, base).
@@ -17,6 +17,10 @@ window, tf, dl, held; by bucket of the term), ``stats`` (term, df), ``marks`` (c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,11 +29,14 @@ from marlstone.functions.text import tokens
 from marlstone.plans.scratch import scratch_dir
 
 from .buckets import delete_path
-from .retrieval import EPSILON, K1, B, query_terms, small, weighed
+from .best import K1, B
+from .retrieval import EPSILON, query_terms, scored, small, weighed
 
 BUCKETS = 64
 #: Chunks of a window, on average.
 WINDOW = 64
+#: Windows of a file of a bucket, about.
+PART_WINDOWS = 1024
 #: Share of a question's postings that are scored to learn its threshold; one term at least.
 RARE = 0.25
 #: Scores are rounded to a millionth; a window that comes nearer than this to the threshold is read.
@@ -90,11 +97,21 @@ def _alive(rows: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _term_lists(chunks: DataFrame) -> DataFrame:
-    """chunk_id, dl, terms of ``chunks(chunk_id, text)``."""
-    each = chunks.select("chunk_id", tokens("text").alias("__t")).withColumn("dl", F.size("__t"))
-    counted = each.select("chunk_id", F.explode("__t").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lists = counted.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-    return each.select("chunk_id", "dl").join(lists, "chunk_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_TERMS)))
+    """chunk_id, dl, terms of ``chunks(chunk_id, text)``, counted where the texts lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b["tokens"]
+            dl = own.value_lengths().to_numpy(zero_copy_only=False)
+            words = own.flatten().dictionary_encode()
+            many = max(1, len(words.dictionary))
+            pair, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * many + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(dl) + 1) * many)
+            terms = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pair % many)), pa.array(tf, pa.int64())], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([b["chunk_id"], pa.array(dl, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=["chunk_id", "dl", "terms"])
+
+    own = chunks.select("chunk_id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("tokens"))
+    return own.mapInArrow(run, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dl int, terms {_TERMS}")
 
 
 def _put(rows: DataFrame, path: str, name: str, segment: int, by: str | None = None) -> None:
@@ -105,9 +122,12 @@ def _put(rows: DataFrame, path: str, name: str, segment: int, by: str | None = N
 def _put_postings(spark: SparkSession, path: str, segment: int, buckets: int, kind: str) -> None:
     lists = _forward(spark, path, [segment], kind)
     windows = max(1, lists.count() // WINDOW)
-    own = lists.select("chunk_id", "dl", F.pmod(F.xxhash64("chunk_id"), F.lit(windows)).alias("window"), F.explode("terms").alias("x"))
-    blocks = own.groupBy("x.term", "window").agg(F.max("x.tf").alias("tf"), F.min("dl").alias("dl"), F.collect_list(F.struct("chunk_id", "x.tf", "dl")).alias("held"))
-    dealt = blocks.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "window")
+    # One shuffle, by bucket and part of it: a bucket is as many files as its windows need, and a term of most chunks is in all of them.
+    part = F.pmod(F.col("window"), F.lit(1 + windows // PART_WINDOWS)).alias("part")
+    own = lists.select("chunk_id", "dl", F.pmod(F.xxhash64("chunk_id"), F.lit(windows)).alias("window"), F.explode("terms").alias("x")).select("chunk_id", "dl", "window", "x.term", "x.tf")
+    own = own.select(_bucket("term", buckets).alias("bucket"), part, "*").repartition("bucket", "part")
+    blocks = own.groupBy("bucket", "part", "term", "window").agg(F.max("tf").alias("__tf"), F.min("dl").alias("__dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("held"))
+    dealt = blocks.select("term", "window", F.col("__tf").alias("tf"), F.col("__dl").alias("dl"), "held", "bucket").sortWithinPartitions("bucket", "term", "window")
     _put(dealt, path, "postings", segment, "bucket")
 
 
@@ -195,12 +215,20 @@ class _Search:
         to = scratch_dir(spark, "asked")
         asked.join(idf, "term").withColumn("bucket", _bucket("term", whole[0]["buckets"])).write.mode("overwrite").parquet(to)
         self.weights = small(spark.read.parquet(to))
+        self.buckets = [r[0] for r in self.weights.select("bucket").distinct().collect()]
         self.stored = _read(spark, path, "postings", f"term string, window bigint, tf bigint, dl int, held array<struct<chunk_id: {kind}, tf: bigint, dl: int>>, segment int, bucket int", held)
         self.marks = _marks(spark, path, held, kind)
 
     def blocks(self, weights: DataFrame | None = None) -> DataFrame:
         return self.stored.join(self.weights if weights is None else weights, ["bucket", "term"])
 
+    def postings(self) -> DataFrame:
+        """The postings of question terms that are alive, dealt by chunk: each once, however many questions ask for it."""
+        terms = small(self.weights.select("term").distinct())
+        blocks = self.stored.where(F.col("bucket").isin(self.buckets)).join(terms, "term", "left_semi")
+        each = blocks.select("segment", "term", F.explode("held").alias("x")).select("segment", "term", "x.*")
+        return _alive(each.repartition("chunk_id"), self.marks)
+
     def opened(self, blocks: DataFrame) -> DataFrame:
         """The postings of blocks that are alive."""
         each = blocks.select("query_id", "qtf", "idf", "segment", F.explode("held").alias("x")).select("query_id", "qtf", "idf", "segment", "x.*")
@@ -222,16 +250,17 @@ class _Search:
 
 
 def search(queries: DataFrame, path: str, k: int = 5, prune: bool = True) -> DataFrame:
-    """The hits of ``retrieval.bm25`` over the chunks that are there now; question terms read their buckets only, and ``prune`` leaves windows out."""
+    """The hits of ``retrieval.bm25`` over the chunks that are there now; question terms read their buckets only.
+
+    Each posting of a question term is shuffled once, by its chunk, so that scores add up in one task. With ``prune`` a task leaves questions
+    out whose k-th score so far the bounds of some chunks don't reach.
+    """
     spark = queries.sparkSession
     whole = _totals(spark, path)
     if not sum(r["n"] for r in whole):
         return spark.createDataFrame([], "query_id bigint, chunk_id string, score double, rank int, method string")
     own = _Search(queries, path, whole)
-    blocks = own.blocks()
-    if prune:
-        blocks = blocks.join(small(own.windows(k)), ["query_id", "segment", "window"], "left_semi")
-    return weighed(own.opened(blocks), k)
+    return scored(own.weights, own.postings(), own.avgdl or 1.0, k, prune=prune)
 
 
 def blocks_read(queries: DataFrame, path: str, k: int = 5) -> DataFrame:

@@ -170,12 +170,18 @@ def work(grouped: DataFrame, percent: int, block_classes: int, block_tokens: int
     parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_by_size = grouped.select("g", "id", "n").repartitionByRange(parts, "g", "n", "id").sortWithinPartitions("g", "n", "id")
     dealt = materialize(map_arrow(sorted_by_size, deal, "g bigint, id bigint, n bigint, block bigint"), "blocks")
-    blocks = dealt.groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a = blocks.select("g", F.col("block").alias("i"), F.col("hi").alias("hi"))
-    b = blocks.select("g", F.col("block").alias("j"), F.col("lo").alias("lo"))
+    # A group that many tasks have dealt is in as many parts; those that lie one after the other are one block, of less than twice the bounds.
+    in_order = Window.partitionBy("g").orderBy("block")
+    parts_of = dealt.groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens"))
+    before = lambda c, most: F.floor((F.sum(c).over(in_order) - F.col(c)) / most)
+    parts_of = materialize(parts_of.withColumn("whole", before("classes", block_classes) + before("tokens", block_tokens)), "blocks")
+    blocks = parts_of.groupBy("g", "whole").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    a = blocks.select("g", F.col("whole").alias("i"), F.col("hi").alias("hi"))
+    b = blocks.select("g", F.col("whole").alias("j"), F.col("lo").alias("lo"))
     met = a.join(b, "g").where((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo") * percent)).select("g", "i", "j")
-    sides = met.select("g", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("x"))
-    return dealt.join(sides.select("g", "i", "j", "x.side", "x.block"), ["g", "block"]).select("g", "i", "j", "side", "id")
+    sides = met.select("g", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("whole")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("whole")), F.struct(F.lit(1).alias("side"), F.col("j").alias("whole"))))).alias("x"))
+    sides = sides.select("g", "i", "j", "x.side", "x.whole").join(parts_of.select("g", "whole", "block"), ["g", "whole"])
+    return dealt.join(sides.select("g", "i", "j", "side", "block"), ["g", "block"]).select("g", "i", "j", "side", "id")
 
 
 #: What tells the hash orders 3 and 4 apart (fixed values).

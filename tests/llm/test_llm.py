@@ -761,3 +761,22 @@ def test_columns_of_any_name_stay(spark):
     urls = spark.createDataFrame([("http://a.com/en/" + "x" * 300_000, "v"), (None, "w")], "url string, `od``d` string")
     got = {r[1]: r["verdict"] for r in url_filter.filter_urls(urls, [("com", "/en/", "block")]).collect()}
     assert got == {"v": "block", "w": "allow"}
+
+
+def test_parts_of_a_group_are_one_block(spark):
+    """A group that many tasks deal is in as few blocks as its size needs, so that a class travels a few times only."""
+    from marlstone.llm import common, ngram_join
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = common.materialize(spark.range(400).selectExpr("1L AS g", "id", "100L + id % 3 AS n").unionByName(spark.range(6).selectExpr("2L + id % 3 AS g", "1000 + id AS id", "50L AS n")), "groups")
+        laid_out = ngram_join.work(rows, 90, 100, 1_000_000).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(laid_out) <= 400 * 6 + 6
+    together = {}
+    for r in laid_out:
+        together.setdefault((r.g, r.i, r.j), set()).add(r.id)
+    assert all(len(x) < 2 * 2 * 100 for x in together.values())
+    assert all(any({a, b} <= x for x in together.values()) for a, b in [(0, 399), (3, 200), (17, 18), (1000, 1003)])

@@ -95,11 +95,23 @@ def scored(asked: DataFrame, chunks: DataFrame, avgdl: float, k: int, tokenised:
     return reduce(DataFrame.unionByName, hits).withColumn("method", F.lit("bm25"))
 
 
+def counted_terms(chunks: DataFrame) -> DataFrame:
+    """term, df, avgdl, written: document frequencies as of ``document_frequencies`` and, under the null term, the row of ``totals``; texts are tokenised once for both."""
+    found = chunks.select(tokens("text").alias("__t"))
+    # The null term stands for the chunk itself, so that chunks are counted with their terms.
+    own = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("__t"), F.array().cast("array<string>")))
+    each = found.select(F.size("__t").alias("dl"), F.explode(own).alias("term"))
+    to = scratch_dir(chunks.sparkSession, "terms")
+    each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl")).write.parquet(to)
+    return chunks.sparkSession.read.schema("term string, df bigint, avgdl double").parquet(to)
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Okapi BM25 over all chunks; hits with a positive score. Without a stored index; no text and no posting is shuffled, but the terms' frequencies."""
-    whole = totals(chunks)
+    counts = counted_terms(chunks)
+    whole = counts.where("term IS NULL").select(F.col("df").alias("n"), "avgdl")
     to = scratch_dir(chunks.sparkSession, "asked")
-    stats = term_stats(document_frequencies(chunks), whole)
+    stats = term_stats(counts.where("term IS NOT NULL"), whole)
     query_terms(queries).join(stats.select("term", "idf"), "term").crossJoin(F.broadcast(whole.select("avgdl"))).write.parquet(to)
     asked = chunks.sparkSession.read.parquet(to)
     avgdl = asked.agg(F.first("avgdl")).first()[0] or 1.0

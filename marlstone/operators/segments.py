@@ -6,7 +6,7 @@ chunks that go, out of the forward index, so a change costs what it changes, and
 are sums over segments. ``totals`` is written last and names the segments that count, so a change that fails half-way is not there, and
 is written over when it is tried again. ``merge`` makes one segment of all of them.
 
-Postings lie in blocks: a term's postings within one window of chunks (``WINDOW`` of them, dealt by hash) with their greatest tf and
+Postings lie in blocks: a term's postings within one window of chunks (``WINDOW`` of them at most, that lie together) with their greatest tf and
 least dl, which bound what the term can add to a chunk of the window. ``blocks_read`` scores each question by its rarest terms alone, as
 many as have ``RARE`` of its postings. The k-th of these scores is one that the k-th hit has at least, so windows whose bounds don't add up
 to it hold no hit. A search bounds chunks in the same way, by what its task has found so far.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from .retrieval import EPSILON, query_terms, scored, small, weighed
 BUCKETS = 64
 #: Chunks of a window, on average.
 WINDOW = 64
+#: Windows whose blocks are made at once.
+WINDOWS_AT_ONCE = 32
 #: Windows of a file of a bucket, about.
 PART_WINDOWS = 1024
 #: Share of a question's postings that are scored to learn its threshold; one term at least.
@@ -77,7 +80,18 @@ def _kind(spark: SparkSession, path: str) -> str:
     return dict(spark.read.parquet(f"{path}/forward").dtypes)["chunk_id"]
 
 
-_TERMS = "array<struct<term: string, tf: bigint>>"
+#: Parallel arrays: a row for each term or posting would be several times as large on its way.
+_TERMS = "struct<term: array<string>, tf: array<int>>"
+
+
+def _held(kind: str) -> str:
+    return f"struct<chunk_id: array<{kind}>, tf: array<int>, dl: array<int>>"
+
+
+def _each(blocks: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` with chunk_id, tf and dl of each posting that blocks hold."""
+    own = blocks.select(*cols, *[F.col(f"held.{c}").alias(c) for c in ("chunk_id", "tf", "dl")])
+    return own.select(*cols, F.explode(F.arrays_zip("chunk_id", "tf", "dl")).alias("__x")).select(*cols, "__x.*")
 
 
 def _forward(spark: SparkSession, path: str, segments: list[int], kind: str) -> DataFrame:
@@ -96,6 +110,11 @@ def _alive(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.join(gone, (F.col("chunk_id") == F.col("__gone")) & (F.col("segment") < F.col("until")), "left_anti")
 
 
+def _lists(ends: np.ndarray, **values: pa.Array) -> pa.StructArray:
+    """A struct of one list of each of ``values`` for each two neighbours of ``ends``."""
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in values.values()], names=list(values))
+
+
 def _term_lists(chunks: DataFrame) -> DataFrame:
     """chunk_id, dl, terms of ``chunks(chunk_id, text)``, counted where the texts lie."""
 
@@ -107,8 +126,8 @@ def _term_lists(chunks: DataFrame) -> DataFrame:
             many = max(1, len(words.dictionary))
             pair, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * many + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
             ends = np.searchsorted(pair, np.arange(len(dl) + 1) * many)
-            terms = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pair % many)), pa.array(tf, pa.int64())], names=["term", "tf"])
-            yield pa.RecordBatch.from_arrays([b["chunk_id"], pa.array(dl, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=["chunk_id", "dl", "terms"])
+            terms = _lists(ends, term=words.dictionary.take(pa.array(pair % many)), tf=pa.array(tf, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["chunk_id"], pa.array(dl, pa.int32()), terms], names=["chunk_id", "dl", "terms"])
 
     own = chunks.select("chunk_id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("tokens"))
     return own.mapInArrow(run, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, dl int, terms {_TERMS}")
@@ -119,16 +138,42 @@ def _put(rows: DataFrame, path: str, name: str, segment: int, by: str | None = N
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}/segment={segment}")
 
 
+def _blocks(lists: DataFrame, kind: str) -> DataFrame:
+    """term, window, held of ``lists(chunk_id, dl, terms)``: a window is ``WINDOW`` chunks that lie together, so its blocks are made in their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for at in range(0, whole.num_rows, WINDOWS_AT_ONCE * WINDOW):
+                b = whole.slice(at, WINDOWS_AT_ONCE * WINDOW)
+                terms, counts = b["terms"].field("term"), b["terms"].field("tf")
+                words = terms.flatten().dictionary_encode()
+                row = np.repeat(np.arange(b.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False))
+                windows = -(-b.num_rows // WINDOW)
+                key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * windows + row // WINDOW
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], row[order]
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+                tf, dl = counts.flatten().to_numpy(zero_copy_only=False)[order], b["dl"].to_numpy()[row]
+                if len(starts):
+                    held = _lists(np.r_[starts, len(key)], chunk_id=b["chunk_id"].take(pa.array(row)), tf=pa.array(tf, pa.int32()), dl=pa.array(dl, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [words.dictionary.take(pa.array(key[starts] // windows)), pa.array(window + key[starts] % windows), held],
+                        names=["term", "window", "held"],
+                    )
+                window += windows
+
+    return lists.select("chunk_id", "dl", "terms").mapInArrow(run, f"term string, window bigint, held {_held(kind)}")
+
+
 def _put_postings(spark: SparkSession, path: str, segment: int, buckets: int, kind: str) -> None:
     lists = _forward(spark, path, [segment], kind)
     windows = max(1, lists.count() // WINDOW)
     # One shuffle, by bucket and part of it: a bucket is as many files as its windows need, and a term of most chunks is in all of them.
-    part = F.pmod(F.col("window"), F.lit(1 + windows // PART_WINDOWS)).alias("part")
-    own = lists.select("chunk_id", "dl", F.pmod(F.xxhash64("chunk_id"), F.lit(windows)).alias("window"), F.explode("terms").alias("x")).select("chunk_id", "dl", "window", "x.term", "x.tf")
-    own = own.select(_bucket("term", buckets).alias("bucket"), part, "*").repartition("bucket", "part")
-    blocks = own.groupBy("bucket", "part", "term", "window").agg(F.max("tf").alias("__tf"), F.min("dl").alias("__dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("held"))
-    dealt = blocks.select("term", "window", F.col("__tf").alias("tf"), F.col("__dl").alias("dl"), "held", "bucket").sortWithinPartitions("bucket", "term", "window")
-    _put(dealt, path, "postings", segment, "bucket")
+    part = F.pmod(F.xxhash64("window"), F.lit(1 + windows // PART_WINDOWS))
+    dealt = _blocks(lists, kind).repartition(_bucket("term", buckets), part)
+    own = dealt.select("term", "window", F.array_max("held.tf").cast("bigint").alias("tf"), F.array_min("held.dl").alias("dl"), "held", _bucket("term", buckets).alias("bucket"))
+    _put(own.sortWithinPartitions("bucket", "term", "window"), path, "postings", segment, "bucket")
 
 
 def _mean(spark: SparkSession, path: str, segments: list[int], n: int) -> float:
@@ -216,7 +261,7 @@ class _Search:
         asked.join(idf, "term").withColumn("bucket", _bucket("term", whole[0]["buckets"])).write.mode("overwrite").parquet(to)
         self.weights = small(spark.read.parquet(to))
         self.buckets = [r[0] for r in self.weights.select("bucket").distinct().collect()]
-        self.stored = _read(spark, path, "postings", f"term string, window bigint, tf bigint, dl int, held array<struct<chunk_id: {kind}, tf: bigint, dl: int>>, segment int, bucket int", held)
+        self.stored = _read(spark, path, "postings", f"term string, window bigint, tf bigint, dl int, held {_held(kind)}, segment int, bucket int", held)
         self.marks = _marks(spark, path, held, kind)
 
     def blocks(self, weights: DataFrame | None = None) -> DataFrame:
@@ -226,13 +271,12 @@ class _Search:
         """The postings of question terms that are alive, dealt by chunk: each once, however many questions ask for it."""
         terms = small(self.weights.select("term").distinct())
         blocks = self.stored.where(F.col("bucket").isin(self.buckets)).join(terms, "term", "left_semi")
-        each = blocks.select("segment", "term", F.explode("held").alias("x")).select("segment", "term", "x.*")
+        each = _each(blocks, "segment", "term")
         return _alive(each.repartition("chunk_id"), self.marks)
 
     def opened(self, blocks: DataFrame) -> DataFrame:
         """The postings of blocks that are alive."""
-        each = blocks.select("query_id", "qtf", "idf", "segment", F.explode("held").alias("x")).select("query_id", "qtf", "idf", "segment", "x.*")
-        return _alive(each, self.marks).withColumn("avgdl", F.lit(self.avgdl))
+        return _alive(_each(blocks, "query_id", "qtf", "idf", "segment"), self.marks).withColumn("avgdl", F.lit(self.avgdl))
 
     def thresholds(self, k: int) -> DataFrame:
         """query_id, least: the k-th score by the rarest terms alone, of questions none of whose terms takes away."""

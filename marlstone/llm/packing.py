@@ -6,7 +6,7 @@ first piece may be shorter. A sequence is named by the key of the piece that ope
 Pieces come in bands of lengths, from the longest down. Pieces of more than half a sequence open one each; below that, a round
 
 1. range-sorts the band's pieces and the gaps together, by size (a gap that holds several pieces of the band stands there as
-   several slots), so that each task has one range of sizes,
+   several slots, but the largest gaps no more than the band's pieces can need), so that each task has one range of sizes,
 2. sweeps each range from the largest size down: a piece takes its successor, the smallest slot that holds it and is still
    free; of pieces with the same successor the one of the first rank (longer, then smaller key) gets it, the next one takes the
    next larger slot,
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,30 +88,47 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def _swept(rows: list[tuple]) -> pa.RecordBatch:
-    names, kinds = zip(*(x.split() for x in SWEPT.split(", ")), strict=True)
-    types = {"int": pa.int32(), "bigint": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _swept(**columns: np.ndarray | int | None) -> pa.RecordBatch:
+    """Rows of SWEPT; a single value stands for all rows, a column that is not given is null."""
+    n = next(len(c) for c in columns.values() if isinstance(c, np.ndarray))
+    types, out = {"int": pa.int32(), "bigint": pa.int64()}, []
+    for name, kind in (x.split() for x in SWEPT.split(", ")):
+        c = columns.get(name)
+        out.append(pa.nulls(n, types[kind]) if c is None else pa.array(np.broadcast_to(c, n), types[kind]))
+    return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in SWEPT.split(", ")])
+
+
+def stacked(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots are laid on a stack, pieces take from it: places of the pieces that took and of what they took, of pieces that met an empty stack, and of the slots that stay."""
+    height = np.cumsum(np.where(is_piece, -1, 1))
+    least = np.minimum.accumulate(np.minimum(height, 0))
+    lost = is_piece & (least < np.r_[0, least[:-1]])
+    at = np.flatnonzero(~lost)
+    # How high the slot lies that a row lays down or takes; at each height a slot is laid, taken, laid again ...
+    level = (height - least)[at] + is_piece[at]
+    at = at[np.argsort(level, kind="stable")]
+    takes = is_piece[at]
+    nth = np.flatnonzero(takes)
+    free = ~takes & ~np.r_[takes[1:], False]
+    return at[nth], at[nth - 1], np.flatnonzero(lost), at[free]
 
 
 def sweep(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
     """One range, sorted from the largest size down: (size, is_piece, id, gap) -> pieces with their slots, then what is left over in its order."""
-    free, left, out = [], [], []
-    for b in batches:
-        for size, is_piece, own, gap in zip(*(b[c].to_pylist() for c in ("size", "is_piece", "id", "gap")), strict=True):
-            if not is_piece:
-                free.append((own, gap))
-            elif free:
-                out.append((TOOK, *free.pop(), own, size, part, 0))
-            else:
-                left.append((own, size))
-        if len(out) > 20_000:
-            yield _swept(out)
-            out = []
-    out += [(LEFT, None, None, key, size, part, k) for k, (key, size) in enumerate(left)]
-    out += [(FREE, seq, gap, None, None, part, k) for k, (seq, gap) in enumerate(free)]
-    if out:
-        yield _swept(out)
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    whole = pa.Table.from_batches(got).combine_chunks()
+    size, own = (whole[c].to_numpy() for c in ("size", "id"))
+    gap = pc.fill_null(whole["gap"], 0).to_numpy()
+    took, slot, lost, free = stacked(whole["is_piece"].to_numpy() == 1)
+    for i in range(0, len(took), 20_000):
+        t, f = took[i : i + 20_000], slot[i : i + 20_000]
+        yield _swept(kind=TOOK, seq=own[f], gap=gap[f], key=own[t], length=size[t], part=part, nth=0)
+    if len(lost):
+        yield _swept(kind=LEFT, key=own[lost], length=size[lost], part=part, nth=np.arange(len(lost)))
+    if len(free):
+        yield _swept(kind=FREE, seq=own[free], gap=gap[free], part=part, nth=np.arange(len(free)))
 
 
 def between_ranges(swept: DataFrame) -> DataFrame:
@@ -137,10 +155,27 @@ def _gap_rows() -> list[Column]:
     return [F.lit(FREE).alias("kind"), F.col("seq"), F.col("gap"), *(F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("length", "bigint"), ("part", "int"), ("nth", "bigint")))]
 
 
-def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """One round for ``pieces(key, length)`` of lengths in (lo, hi] and ``gaps(seq, gap)``: rows of SWEPT, materialised, and those of gaps that are too small for the band."""
+def offered(sizes: dict[int, int], hi: int, pieces: int) -> tuple[int, int]:
+    """Of ``sizes`` (gap: how many), the largest gap that is needed for that many pieces of length ``hi`` at most, and how many slots a gap of it offers.
+
+    Smaller gaps offer all their slots. What is offered never exceeds twice the pieces and one for each gap.
+    """
+    short = pieces
+    for gap in sorted(g for g in sizes if g >= hi):
+        if sizes[gap] * (gap // hi) >= short:
+            return gap, -(-short // sizes[gap])
+        short -= sizes[gap] * (gap // hi)
+    return max(sizes, default=0), max(sizes, default=0)
+
+
+def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int, most: int | None = None, slots_of_most: int = 1) -> tuple[DataFrame, DataFrame]:
+    """One round for ``pieces(key, length)`` of lengths in (lo, hi] and ``gaps(seq, gap)``: rows of SWEPT, materialised, and those of gaps that are too small for the band, or larger than ``offered`` has them."""
     many = F.greatest(F.floor(F.col("gap") / hi), F.lit(1))
-    slots = gaps.where(F.col("gap") > lo).select("seq", "gap", many.alias("many"), F.explode(F.sequence(F.lit(1).cast("bigint"), many)).alias("k"))
+    within = F.col("gap") > lo
+    if most is not None:
+        many = F.when(F.col("gap") == most, F.least(many, F.lit(slots_of_most).cast("bigint"))).otherwise(many)
+        within &= F.col("gap") <= most
+    slots = gaps.where(within).select("seq", "gap", many.alias("many"), F.explode(F.sequence(F.lit(1).cast("bigint"), many)).alias("k"))
     # All slots of a gap but one have just the size that each piece of the band fits into.
     size = F.when(F.col("k") < F.col("many"), F.lit(hi)).otherwise(F.col("gap") - (F.col("many") - 1) * hi).cast("bigint")
     rows = slots.select(size.alias("size"), F.lit(0).alias("is_piece"), F.col("seq").alias("id"), "gap")
@@ -155,7 +190,7 @@ def match(gaps: DataFrame, pieces: DataFrame, lo: int, hi: int, ranges: int) ->
     dealt = rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)
     kinds = {"took": F.count_if(F.col("kind") == TOOK), "left": F.count_if(F.col("kind") == LEFT), "least": F.min(F.when(F.col("kind") == LEFT, F.col("length")))}
     swept = materialize(map_arrow(dealt.sortWithinPartitions(*order), run, SWEPT), "swept", **kinds)
-    small = gaps.where(F.col("gap") <= lo).select(*_gap_rows())
+    small = gaps.where(~within).select(*_gap_rows())
     if ranges > 1:
         rows = materialize(between_ranges(swept), "round", **kinds)
         discard(swept)
@@ -168,15 +203,15 @@ def open_sequences(pieces: DataFrame, capacity: int, hi: int, ranges: int) -> Da
     each = capacity // hi
 
     def run(batches):
-        n, first = 0, None
+        n, first = 0, -1
         for b in batches:
-            out = []
-            for key, length in zip(b["key"].to_pylist(), b["length"].to_pylist(), strict=True):
-                first = key if n % each == 0 else first
-                n += 1
-                out.append((TOOK, first, capacity, key, length, 0, 0))
-            if out:
-                yield _swept(out)
+            if not b.num_rows:
+                continue
+            key, nth = b["key"].to_numpy(), n + np.arange(b.num_rows)
+            opens = nth - nth % each - n  # where the piece that opens the sequence stands in this batch
+            seq = np.where(opens < 0, first, key[np.maximum(opens, 0)])
+            n, first = n + b.num_rows, int(seq[-1])
+            yield _swept(kind=TOOK, seq=seq, gap=capacity, key=key, length=b["length"].to_numpy(), part=0, nth=0)
 
     order = [F.desc("length"), "key"]
     dealt = pieces.select("key", "length").repartitionByRange(ranges, *order) if ranges > 1 else pieces.select("key", "length").coalesce(1)
@@ -189,6 +224,11 @@ def gaps_after(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind") != LEFT).groupBy("seq").agg(left.alias("gap")).where("gap > 0")
 
 
+def gaps_by_size(gaps: DataFrame) -> dict[int, int]:
+    """How many gaps there are of each size: at most as many numbers as a sequence has places."""
+    return {r["gap"]: r["n"] for r in gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def ranges_of(rows: int, range_rows: int) -> int:
     """How many ranges that many rows are dealt to: a range has ``range_rows`` at least and grows with the root of the rows, so that neither ranges nor their rows are ever very many."""
     return -(-rows // max(range_rows, 8 * math.isqrt(rows)))
@@ -204,13 +244,15 @@ def place(pieces: DataFrame, capacity: int, range_rows: int = 50_000) -> DataFra
     counts = {r["band"]: r["n"] for r in items.groupBy(number.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
     alone = items.where(F.col("length") > capacity // 2)
     placed, done = [alone.select("key", F.col("key").alias("seq"))], []
-    gaps, n_gaps, largest = alone.select(F.col("key").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0"), counts.get(-1, 0), capacity
+    gaps = alone.select(F.col("key").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0")
+    sizes = gaps_by_size(gaps)
     for k, (lo, hi) in enumerate(in_band):
         left, n_left, least = items.where((F.col("length") > lo) & (F.col("length") <= hi)), counts.get(k, 0), lo + 1
         while n_left:
             rows, small, took = None, gaps.select(*_gap_rows()), 0
-            if largest >= least:  # else nothing that is left fits anywhere
-                rows, small = match(gaps, left, lo, hi, ranges_of(n_left + n_gaps, range_rows))
+            if max(sizes, default=0) >= least:  # else nothing that is left fits anywhere
+                most, each = offered(sizes, hi, n_left)
+                rows, small = match(gaps, left, lo, hi, ranges_of(n_left + sum(n for g, n in sizes.items() if lo < g <= most), range_rows), most, each)
                 took, n_left, least = rows.seen["took"], rows.seen["left"], rows.seen["least"] or hi
                 left = rows.where(F.col("kind") == LEFT)
                 done.append(rows)
@@ -221,10 +263,10 @@ def place(pieces: DataFrame, capacity: int, range_rows: int = 50_000) -> DataFra
                 opened = open_sequences(left, capacity, hi, ranges_of(n_left, range_rows))
                 done.append(opened)
                 placed.append(opened.select("key", "seq"))
-                after, n_gaps, n_left = after.unionByName(opened), n_gaps + n_left, 0
+                after, n_left = after.unionByName(opened), 0
             # Written, so that no round's plan holds the rounds before it.
-            before, gaps = gaps, materialize(gaps_after(after), "gaps", most=F.max("gap"))
-            largest = gaps.seen["most"] or 0
+            before, gaps = gaps, materialize(gaps_after(after), "gaps")
+            sizes = gaps_by_size(gaps)
             if hasattr(before, "_written_to"):
                 discard(before)
     found = placed[0]

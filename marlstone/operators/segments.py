@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import tokens
 from marlstone.plans.scratch import scratch_dir
 
-from .buckets import delete_path
+from .buckets import delete_path, keys_at_once
 from .best import K1, B
 from .retrieval import EPSILON, query_terms, scored, small, weighed
 
@@ -40,6 +40,8 @@ WINDOW = 64
 WINDOWS_AT_ONCE = 32
 #: Windows of a file of a bucket, about.
 PART_WINDOWS = 1024
+#: Windows whose blocks a task sorts, on average.
+TASK_WINDOWS = 64
 #: Share of a question's postings that are scored to learn its threshold; one term at least.
 RARE = 0.25
 #: Scores are rounded to a millionth; a window that comes nearer than this to the threshold is read.
@@ -48,7 +50,7 @@ _SLACK = 1e-5
 MOST_SEGMENTS = 8
 
 
-def _bucket(col: str, buckets: int) -> Column:
+def _bucket(col: str | Column, buckets: int) -> Column:
     return F.pmod(F.hash(col), F.lit(buckets))
 
 
@@ -138,8 +140,12 @@ def _put(rows: DataFrame, path: str, name: str, segment: int, by: str | None = N
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}/segment={segment}")
 
 
-def _blocks(lists: DataFrame, kind: str) -> DataFrame:
-    """term, window, held of ``lists(chunk_id, dl, terms)``: a window is ``WINDOW`` chunks that lie together, so its blocks are made in their task."""
+#: Terms, postings and chunks of a bucket in up to ``WINDOWS_AT_ONCE`` windows, as they are shuffled: a row for each block would be several times as large.
+_PACKED = "bucket int, window bigint, term array<string>, df array<int>, row array<smallint>, tf array<int>, chunk_id array<{0}>, dl array<int>".format
+
+
+def _packed(lists: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """``lists(chunk_id, dl, terms)`` by bucket of the term: a window is ``WINDOW`` chunks that lie together, so it is made in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window = TaskContext.get().partitionId() << 32
@@ -148,37 +154,73 @@ def _blocks(lists: DataFrame, kind: str) -> DataFrame:
                 b = whole.slice(at, WINDOWS_AT_ONCE * WINDOW)
                 terms, counts = b["terms"].field("term"), b["terms"].field("tf")
                 words = terms.flatten().dictionary_encode()
+                word = words.indices.to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(b.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False))
-                windows = -(-b.num_rows // WINDOW)
-                key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * windows + row // WINDOW
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-                tf, dl = counts.flatten().to_numpy(zero_copy_only=False)[order], b["dl"].to_numpy()[row]
-                if len(starts):
-                    held = _lists(np.r_[starts, len(key)], chunk_id=b["chunk_id"].take(pa.array(row)), tf=pa.array(tf, pa.int32()), dl=pa.array(dl, pa.int32()))
+                bucket = np.zeros(len(words.dictionary), np.int64)
+                bucket[word] = b["buckets"].flatten().to_numpy(zero_copy_only=False)
+                by_bucket = np.argsort(bucket, kind="stable")
+                nth = np.empty_like(by_bucket)
+                nth[by_bucket] = np.arange(len(by_bucket))
+                order = np.argsort(nth[word] * b.num_rows + row, kind="stable")
+                df = np.bincount(nth[word], minlength=len(by_bucket))
+                own, first = np.unique(bucket[by_bucket], return_index=True)
+                if len(own):
+                    ends = np.r_[first, len(by_bucket)]
+                    postings = np.r_[0, np.cumsum(df)][ends]
+                    each = np.arange(len(own) + 1) * b.num_rows
+                    of = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+                    repeated = pa.array(np.tile(np.arange(b.num_rows), len(own)))
                     yield pa.RecordBatch.from_arrays(
-                        [words.dictionary.take(pa.array(key[starts] // windows)), pa.array(window + key[starts] % windows), held],
-                        names=["term", "window", "held"],
-                    )
-                window += windows
+                        [
+                            pa.array(own, pa.int32()), pa.array(np.full(len(own), window)), of(ends, words.dictionary.take(pa.array(by_bucket))), of(ends, pa.array(df, pa.int32())),
+                            of(postings, pa.array(row[order], pa.int16())), of(postings, pa.array(counts.flatten().to_numpy(zero_copy_only=False)[order], pa.int32())),
+                            of(each, b["chunk_id"].take(repeated)), of(each, b["dl"].take(repeated)),
+                        ],
+                        names=["bucket", "window", "term", "df", "row", "tf", "chunk_id", "dl"],
+                    )
+                window += -(-b.num_rows // WINDOW)
+
+    buckets_of = F.transform("terms.term", lambda t: _bucket(t, buckets))
+    return lists.select("chunk_id", "dl", "terms", buckets_of.alias("buckets")).mapInArrow(run, _PACKED(kind))
+
 
-    return lists.select("chunk_id", "dl", "terms").mapInArrow(run, f"term string, window bigint, held {_held(kind)}")
+def _blocks(packed: DataFrame, kind: str) -> DataFrame:
+    """bucket, term, window, held of what ``_packed`` gives, where it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                of = lambda name: b[name].slice(k, 1).flatten()  # noqa: B023, E731
+                row, chunks, dl = of("row").to_numpy().astype(np.int64), of("chunk_id"), of("dl").to_numpy()
+                windows = -(-len(dl) // WINDOW)
+                key = np.repeat(np.arange(len(of("df"))), of("df").to_numpy()) * windows + row // WINDOW
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                held = _lists(np.r_[starts, len(key)], chunk_id=chunks.take(pa.array(row)), tf=of("tf"), dl=pa.array(dl[row], pa.int32()))
+                bucket = pa.array(np.full(len(starts), b["bucket"][k].as_py()), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [bucket, of("term").take(pa.array(key[starts] // windows)), pa.array(b["window"][k].as_py() + key[starts] % windows), held],
+                    names=["bucket", "term", "window", "held"],
+                )
+
+    return packed.mapInArrow(run, f"bucket int, term string, window bigint, held {_held(kind)}")
 
 
 def _put_postings(spark: SparkSession, path: str, segment: int, buckets: int, kind: str) -> None:
     lists = _forward(spark, path, [segment], kind)
     windows = max(1, lists.count() // WINDOW)
-    # One shuffle, by bucket and part of it: a bucket is as many files as its windows need, and a term of most chunks is in all of them.
+    # One shuffle, by bucket and part of it: a bucket is as many files as its windows need, and a term of most chunks is in all of them. The
+    # number of tasks is given, since what is shuffled is much smaller than the blocks that a task makes of it and sorts.
     part = F.pmod(F.xxhash64("window"), F.lit(1 + windows // PART_WINDOWS))
-    dealt = _blocks(lists, kind).repartition(_bucket("term", buckets), part)
-    own = dealt.select("term", "window", F.array_max("held.tf").cast("bigint").alias("tf"), F.array_min("held.dl").alias("dl"), "held", _bucket("term", buckets).alias("bucket"))
+    dealt = _packed(lists, kind, buckets).repartition(1 + windows // TASK_WINDOWS, "bucket", part)
+    own = _blocks(dealt, kind).select("term", "window", F.array_max("held.tf").cast("bigint").alias("tf"), F.array_min("held.dl").alias("dl"), "held", "bucket")
     _put(own.sortWithinPartitions("bucket", "term", "window"), path, "postings", segment, "bucket")
 
 
 def _mean(spark: SparkSession, path: str, segments: list[int], n: int) -> float:
     """The mean of the terms' idf before negative ones are lifted, over all terms that a chunk has."""
-    held = _read(spark, path, "stats", "term string, df bigint, segment int", segments).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    held = _read(spark, path, "stats", "term string, df bigint, segment int", segments)
+    if len(segments) > 1:  # a term is in a segment once
+        held = held.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     return held.agg(F.avg(F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))).first()[0] or 0.0
 
 
@@ -198,11 +240,13 @@ def change(spark: SparkSession, path: str, add: DataFrame | None = None, gone: D
     _put(_term_lists(added).withColumn("bucket", _bucket("chunk_id", buckets)), path, "forward", segment, "bucket")
     came = _forward(spark, path, [segment], kind)
     if gone is not None and held:
-        ids = small(gone.select("chunk_id").distinct())
-        where = [r[0] for r in ids.select(_bucket("chunk_id", buckets)).distinct().collect()]  # buckets
-        went = _alive(_forward(spark, path, held, kind).where(F.col("bucket").isin(where)).join(ids, "chunk_id", "left_semi"), _marks(spark, path, held, kind))
-        _put(went.select("chunk_id", "dl", "terms"), path, "leaving", segment)
-        went = spark.read.parquet(f"{path}/leaving/segment={segment}")
+        # Term lists meet the ids where they lie, and the ids' marks, which are no more than the ids.
+        delete_path(spark, f"{path}/leaving")
+        for where, ids in keys_at_once(gone.select("chunk_id").distinct().withColumn("bucket", _bucket("chunk_id", buckets))):
+            went = _forward(spark, path, held, kind).where(F.col("bucket").isin(where)).join(ids, ["chunk_id", "bucket"], "left_semi")
+            marked = _marks(spark, path, held, kind).join(ids.select("chunk_id"), "chunk_id", "left_semi")
+            _alive(went, marked).select("chunk_id", "dl", "terms").write.mode("append").parquet(f"{path}/leaving/segment={segment}")
+        went = _read(spark, path, "leaving", f"chunk_id {kind}, dl int, terms {_TERMS}, segment int", [segment])
     else:
         went = spark.createDataFrame([], f"chunk_id {kind}, dl int, terms {_TERMS}")
     _put(went.select("chunk_id"), path, "marks", segment)
